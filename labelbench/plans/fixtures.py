@@ -191,9 +191,9 @@ SQL_VIEWS = {
 }
 
 
-def with_views(sql: str, *views: str, ctes=()) -> str:
+def with_views(sql: str, *views: str, ctes=(), recursive: bool = False) -> str:
     """Prefix ``sql`` with the view CTEs it needs, then extra ``ctes`` (in order)."""
     parts = [SQL_VIEWS[v] for v in views] + list(ctes)
     if not parts:
         return sql
-    return "WITH " + ",\n".join(parts) + "\n" + sql
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + sql
