@@ -23,8 +23,10 @@ def argmax(col) -> Column:
 def cross_entropy(logits, y) -> Column:
     """-log softmax(logits)[y], shifted by the max for stability."""
     lg = _c(logits)
-    m = F.array_max(lg)
-    lse = F.log(F.aggregate(F.transform(lg, lambda x: F.exp(x - m)), F.lit(0.0), lambda a, x: a + x)) + m
+    # The max is bound once by the finish lambda, not re-evaluated per element.
+    lse = F.aggregate(
+        lg, F.lit(float("-inf")), lambda a, x: F.greatest(a, x),
+        lambda m: F.log(F.aggregate(lg, F.lit(0.0), lambda a, x: a + F.exp(x - m))) + m)
     return lse - F.get(lg, _c(y))
 
 
@@ -46,9 +48,12 @@ def layer_norm(col, eps: float = 1e-5, gamma: list | None = None, beta: list | N
     """V2: (x - mean) / sqrt(var_pop + eps), then optional scale and shift."""
     c = _c(col)
     n = F.size(c).cast("double")
-    mean = vsum(c) / n
-    var = F.aggregate(c, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    out = F.transform(c, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))
+    # Two passes, each bound once through a finish lambda: O(H) per vector.
+    out = F.aggregate(
+        c, F.lit(0.0), lambda a, x: a + x,
+        lambda s: F.aggregate(
+            c, F.lit(0.0), lambda a, x: a + (x - s / n) * (x - s / n),
+            lambda q: F.transform(c, lambda x: (x - s / n) / F.sqrt(q / n + F.lit(eps)))))
     if gamma is not None:
         g = F.array(*[F.lit(float(v)) for v in gamma])
         out = F.zip_with(out, g, lambda x, y: x * y)
