@@ -326,31 +326,46 @@ def pruned_table(clean: DataFrame, metrics=("acc_test", "balanced_acc_test", "f1
     """Per dataset and layer 12..1 - parameter %, times, speed-up and per
     metric the difference to the baseline in points (round(mean*100, 1) -
     round(base*100, 2), rounded to 1) with the Wilcoxon p-value; layer 12 holds
-    the baseline values.  Numbers only; text is X14's job."""
+    the baseline values.  Numbers only; text is X14's job.
+
+    All metrics go through one long table (metric as a column), so there is one
+    aggregate, one pairing join and one Wilcoxon for all of them, then a pivot."""
+    # the reduced models have layers 1..11; layer 12 is the baseline row
     par = percent_of_baseline(clean, "num_trainable_parameters", combination, epochs, flag=flag) \
-        .select("dataset", LAYER, F.round(stable("pct"), 0).alias("params_pct"))
+        .where(F.col(LAYER) < 12).select("dataset", LAYER, F.round(stable("pct"), 0).alias("params_pct"))
     base_par = baseline_stats(clean, "num_trainable_parameters", epochs).select(
         "dataset", F.lit(12).alias(LAYER), F.col("base_mean").alias("params_pct"))
     out = par.unionByName(base_par)
     out = out.join(duration_table(clean, combination, epochs, flag), ["dataset", LAYER], "full_outer")
     out = out.join(speedup(clean, combination, epochs, flag), ["dataset", LAYER], "left")
-    for m in metrics:
-        short = m.replace("_test", "")
-        v = cell_values(clean, m, epochs).where((F.col(COMB) == combination) & (F.col(FLAG) == flag))
-        st = v.groupBy("dataset", LAYER).agg(F.avg("value").alias("__mean"))
-        bs = baseline_stats(clean, m, epochs)
-        pairs = v.join(baseline_values(clean, m, epochs), ["dataset", "seed"]) \
-                 .withColumn("d", F.col("value") - F.col("base"))
-        tests = wilcoxon_signed_rank(pairs, ["dataset", LAYER], "d").select(
-            "dataset", LAYER, F.col("p_value").alias(f"p_{short}"))
-        diff = st.join(bs, "dataset").select(
-            "dataset", LAYER,
-            F.round(stable(F.round(stable(F.col("__mean") * 100), 1) - F.round(stable(F.col("base_mean") * 100), 2)), 1)
-            .alias(f"diff_{short}"))
-        basecol = bs.select("dataset", F.lit(12).alias(LAYER),
-                            F.round(stable(F.col("base_mean") * 100), 2).alias(f"diff_{short}"))
-        out = out.join(diff.unionByName(basecol), ["dataset", LAYER], "left").join(tests, ["dataset", LAYER], "left")
-    return out
+
+    comb, blayer, bflag = BASELINE
+    rows = clean.where((F.col("epochs") == epochs)
+                       & (((F.col(COMB) == combination) & (F.col(FLAG) == flag))
+                          | ((F.col(COMB) == comb) & (F.col(LAYER) == blayer) & (F.col(FLAG) == bflag))))
+    long = rows.select("dataset", COMB, LAYER, "seed", F.explode(F.array(*[
+        F.struct(F.lit(m.replace("_test", "")).alias("metric"), F.col(m).cast("double").alias("value"))
+        for m in metrics])).alias("r")).select("dataset", COMB, LAYER, "seed", "r.metric", "r.value")
+    is_base = (F.col(COMB) == comb) & (F.col(LAYER) == blayer)
+    cell = long.where(~is_base & (F.col(COMB) == combination) & (F.col(LAYER) < 12))
+    base = long.where(is_base).select("dataset", "seed", "metric", F.col("value").alias("base"))
+    means = cell.groupBy("dataset", LAYER, "metric").agg(F.avg("value").alias("__mean"))
+    bmeans = base.groupBy("dataset", "metric").agg(F.avg("base").alias("__bmean"))
+    diff = means.join(bmeans, ["dataset", "metric"]).select(
+        "dataset", LAYER, "metric",
+        F.round(stable(F.round(stable(F.col("__mean") * 100), 1) - F.round(stable(F.col("__bmean") * 100), 2)), 1)
+        .alias("diff"))
+    diff = diff.unionByName(bmeans.select("dataset", F.lit(12).alias(LAYER), "metric",
+                                          F.round(stable(F.col("__bmean") * 100), 2).alias("diff")))
+    pairs = cell.join(base, ["dataset", "seed", "metric"]).withColumn("d", F.col("value") - F.col("base"))
+    tests = wilcoxon_signed_rank(pairs, ["dataset", LAYER, "metric"], "d").select(
+        "dataset", LAYER, "metric", "p_value")
+    per_metric = diff.join(tests, ["dataset", LAYER, "metric"], "left")
+    names = [m.replace("_test", "") for m in metrics]
+    wide = per_metric.groupBy("dataset", LAYER).pivot("metric", names).agg(
+        F.first("diff").alias("diff"), F.first("p_value").alias("p"))
+    wide = wide.select("dataset", LAYER, *[F.col(f"{n}_{k}").alias(f"{k}_{n}") for n in names for k in ("diff", "p")])
+    return out.join(wide, ["dataset", LAYER], "left")
 
 
 def series_means(clean: DataFrame, metric: str = "acc_test", epochs: int = EPOCHS, flag: bool = False) -> DataFrame:

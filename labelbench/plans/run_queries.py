@@ -453,8 +453,8 @@ def _a15_sql():
             base("num_trainable_parameters", "b_par"), bstats("bs_par", "b_par")]
     ctes.append("par AS (SELECT s.dataset, s.hidden_layer_to_use, " + sround("CASE WHEN s.n = 10 THEN s.mean / b.base_mean * 100 END", 0) + " "
                 "AS params_pct FROM (SELECT dataset, hidden_layer_to_use, avg(value) AS mean, count(value) AS n FROM cv_par "
-                "WHERE combination_type = 'cutoff_layers_one_layer_cls' AND NOT not_special_tokens_to_zero GROUP BY ALL) s "
-                "JOIN bs_par b USING (dataset) UNION ALL SELECT dataset, 12, base_mean FROM bs_par)")
+                "WHERE combination_type = 'cutoff_layers_one_layer_cls' AND NOT not_special_tokens_to_zero AND hidden_layer_to_use < 12 "
+                "GROUP BY ALL) s JOIN bs_par b USING (dataset) UNION ALL SELECT dataset, 12, base_mean FROM bs_par)")
     sel = ["coalesce(p.dataset, u.dataset) AS dataset", "coalesce(p.hidden_layer_to_use, u.hidden_layer_to_use) AS hidden_layer_to_use",
            "p.params_pct", "u.total_seconds", "u.epoch_seconds"]
     joins = ""
@@ -462,11 +462,13 @@ def _a15_sql():
         s = m.replace("_test", "")
         ctes += [cellv(m, f"cv_{s}"), base(m, f"b_{s}"), bstats(f"bs_{s}", f"b_{s}"),
                  f"pr_{s} AS (SELECT v.dataset, v.hidden_layer_to_use, v.value - b.base AS d FROM cv_{s} v JOIN b_{s} b "
-                 f"USING (dataset, seed) WHERE v.combination_type = 'cutoff_layers_one_layer_cls' AND NOT v.not_special_tokens_to_zero)",
+                 f"USING (dataset, seed) WHERE v.combination_type = 'cutoff_layers_one_layer_cls' AND NOT v.not_special_tokens_to_zero "
+                 f"AND v.hidden_layer_to_use < 12)",
                  *wilcoxon_ctes(f"wx_{s}", f"pr_{s}", "dataset, hidden_layer_to_use"),
                  f"df_{s} AS (SELECT s.dataset, s.hidden_layer_to_use, {sround(sround('s.mean * 100', 1) + ' - ' + sround('b.base_mean * 100', 2), 1)} "
                  f"AS diff_{s} FROM (SELECT dataset, hidden_layer_to_use, avg(value) AS mean FROM cv_{s} WHERE combination_type = "
-                 f"'cutoff_layers_one_layer_cls' AND NOT not_special_tokens_to_zero GROUP BY ALL) s JOIN bs_{s} b USING (dataset) "
+                 f"'cutoff_layers_one_layer_cls' AND NOT not_special_tokens_to_zero AND hidden_layer_to_use < 12 GROUP BY ALL) s "
+                 f"JOIN bs_{s} b USING (dataset) "
                  f"UNION ALL SELECT dataset, 12, {sround('base_mean * 100', 2)} FROM bs_{s})"]
         sel += [f"df_{s}.diff_{s}", f"wx_{s}.p_value AS p_{s}"]
         joins += (f" LEFT JOIN df_{s} ON df_{s}.dataset = k.dataset AND df_{s}.hidden_layer_to_use = k.hidden_layer_to_use"
