@@ -55,7 +55,9 @@ def class_quotas(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
                    F.raise_error(F.lit("stratified split: train side smaller than the number of classes")))
              .when(F.col("n_test") < F.col("n_classes"),
                    F.raise_error(F.lit("stratified split: test side smaller than the number of classes"))))
-    return q.withColumn("__ok", check).select(label_col, "n_class", "q_train")
+    # the checks live inside the quota column, so the plan cannot prune them
+    guarded = check.otherwise(F.col("q_train")).cast("long")
+    return q.select(label_col, "n_class", guarded.alias("q_train"))
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float,
@@ -98,7 +100,7 @@ def three_way_split(df: DataFrame, label_col: str, id_col: str, ratio_train: flo
                    F.raise_error(F.lit("stratified split: valid side smaller than the number of classes")))
              .when(F.col("n_test") < F.col("n_classes"),
                    F.raise_error(F.lit("stratified split: test side smaller than the number of classes"))))
-    quotas = q2.withColumn("__ok", check).select(label_col, "q_train", "q_valid")
+    quotas = q2.select(label_col, "q_train", check.otherwise(F.col("q_valid")).cast("long").alias("q_valid"))
     keyed = df.withColumn("__key", seeded_key(seed, id_col))
     ranked = two_phase_row_number(keyed, [label_col], "__key", hex_bucket("__key", bucket_digits),
                                   out="__rn", tie_cols=[id_col])
