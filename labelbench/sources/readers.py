@@ -134,7 +134,9 @@ def read_json_lines(spark: SparkSession, paths, schema: str, ordered: bool = Tru
         return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     lines = _lines(spark, paths).where(F.col("line") != "")
     rows = lines.select("file_idx", "pos", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
-    rows = rows.withColumn("__bad", F.when(F.col("r").isNull(), F.raise_error(F.lit("malformed JSON line"))))
+    # the check sits inside the struct column that is read, so it cannot be pruned
+    rows = rows.withColumn("r", F.when(F.col("r").isNull(), F.raise_error(F.lit("malformed JSON line")))
+                           .otherwise(F.col("r")))
     return _dense_ord(rows.select("file_idx", (F.row_number().over(
         Window.partitionBy("file_idx").orderBy("pos")) - 1).alias("pos"), "r.*"))
 
@@ -175,9 +177,9 @@ def read_paired_text(spark: SparkSession, corpus: str, labels: str) -> DataFrame
     a = _lines(spark, corpus).select(F.col("pos").alias("ord"), py_strip("line").alias("src"))
     b = _lines(spark, labels).select(F.col("pos").alias("ord"), py_strip("line").alias("label"))
     j = a.join(b, "ord", "full_outer")
-    chk = F.when(F.col("src").isNull() | F.col("label").isNull(),
-                 F.raise_error(F.lit("corpus and label files differ in length")))
-    return j.withColumn("__chk", chk).select(F.col("ord").cast("long"), "src", "label")
+    label = F.when(F.col("src").isNull() | F.col("label").isNull(),
+                   F.raise_error(F.lit("corpus and label files differ in length"))).otherwise(F.col("label"))
+    return j.select(F.col("ord").cast("long"), "src", label.alias("label"))
 
 
 RUNS_CSV_SCHEMA = {

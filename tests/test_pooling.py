@@ -91,7 +91,6 @@ def test_mask_positions_for_short_examples(spark):
 
 
 def test_layer_norm_and_heads(spark):
-    from pyspark.sql import functions as F
     from labelbench.functions.vectors import layer_norm
     from labelbench.operators import scoring as SC
     x = [1.0, 2.0, 4.0, -3.0]
@@ -106,4 +105,3 @@ def test_layer_norm_and_heads(spark):
     W1 = np.arange(16).reshape(4, 4) / 10
     dense = np.array(SC.score_dense_tanh(df, W1, np.zeros(4), np.array(W), b).first().logits)
     np.testing.assert_allclose(dense, np.array(W) @ np.tanh(W1 @ a) + np.array(b))
-    del F

@@ -1,0 +1,64 @@
+"""Run-table analysis: grid, cleaning, times, names."""
+from pyspark.sql import functions as F
+
+from labelbench.functions import timefmt as TF
+from labelbench.operators import runs as R
+from labelbench.plans.fixtures import runs
+
+from conftest import SF001
+
+
+def test_grid_has_83_configurations_per_seed(spark):
+    ds = spark.createDataFrame([("devign",), ("bifi",)], "dataset string")
+    g = R.run_grid(ds)
+    assert g.count() == 2 * 10 * 83
+    assert g.where("combination_type LIKE '%cls%' AND not_special_tokens_to_zero").count() == 0
+    assert g.where("combination_type = 'cutoff_layers_one_layer_cls'").agg(F.max(R.LAYER)).first()[0] == 11
+
+
+def test_keep_last_run_null_keys_equal(spark):
+    rows = [("d", 1, "c", 1, 1, 10, None, 0.1), ("d", 2, "c", 1, 1, 10, None, 0.2), ("d", 3, "c", 1, 2, 10, False, 0.3)]
+    df = spark.createDataFrame(rows, "dataset string, ord long, combination_type string, hidden_layer_to_use int, "
+                                     "seed int, epochs int, not_special_tokens_to_zero boolean, acc_test double")
+    out = sorted((r.seed, r.acc_test) for r in R.keep_last_run(df).collect())
+    assert out == [(1, 0.2), (2, 0.3)]
+
+
+def test_missing_runs_and_coverage(spark):
+    r = runs(spark, SF001)
+    miss = R.missing_runs(r)
+    grid = R.run_grid(r)
+    present = R.drop_missing_metric(r).where("epochs = 10").select(
+        "dataset", "seed", R.COMB, R.LAYER, R.FLAG).distinct()
+    assert miss.count() == grid.count() - grid.join(present, grid.columns, "left_semi").count()
+
+
+def test_duration_and_hms(spark):
+    df = spark.createDataFrame([("2023-01-31 23:00:00.5+00:00", "2023-02-01 01:00:00+00:00")], "s string, e string")
+    r = df.select(TF.duration_seconds("s", "e").alias("a"), TF.duration_seconds("s", "e", compat=True).alias("b")).first()
+    assert r.a == 7200
+    assert r.b == (1 * 86400 + 3600) - (31 * 86400 + 23 * 3600)  # the original's month-end error
+    secs = spark.createDataFrame([(0,), (912,), (3661,), (86400,), (200000,)], "s long")
+    got = [x.h for x in secs.select(TF.hms("s").alias("h")).collect()]
+    assert got == ["0:00:00", "0:15:12", "1:01:01", "1 day, 0:00:00", "2 days, 7:33:20"]
+    back = spark.createDataFrame([("1:01:01",)], "t string").select(TF.hms_to_seconds("t")).first()[0]
+    assert back == 3661
+
+
+def test_variant_and_names(spark):
+    df = spark.createDataFrame([("one_layer_w_sum_tokens", False, 3), ("one_layer_cls", False, 5),
+                                ("w_sum_cls", True, 12)], f"{R.COMB} string, {R.FLAG} boolean, {R.LAYER} int")
+    v = df.withColumn("variant", R.variant_key())
+    names = {r.variant: r.display_name for r in R.display_names(v).collect()}
+    assert names["one_layer_w_sum_tokens_zero_out_sp_tokens"] == "(ix) w sum tokens, layer 3,\nspecial tokens = 0"
+    assert names["one_layer_cls"] == "(ii) CLS, layer 5"
+    assert names["w_sum_cls"] == "(iv) w sum CLS tokens"
+
+
+def test_marks(spark):
+    df = spark.createDataFrame([(1.25, 0.01, True, "large"), (-0.03, 0.5, False, None), (-2.0, 0.2, False, "small")],
+                               "v double, p double, b boolean, band string")
+    got = [r.m for r in df.select(TF.mark_result("v", "p", "b", "band").alias("m")).collect()]
+    assert got == ["\\lef{\\bf{+1.3}}", "-0.0*", "\\sef{-2.0*}"]
+    heat = [r.h for r in df.select(TF.heat_text("v", "p", F.lit(False)).alias("h")).collect()]
+    assert heat == ["1.3*", "-0.03", "-2.0"]
