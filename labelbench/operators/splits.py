@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import hex_bucket, two_phase_row_number
+from .rank import hex_bucket, two_phase_row_number  # noqa: F401
 
 
 def seeded_key(seed, id_col: str, *salt) -> Column:
@@ -40,38 +40,72 @@ def _largest_remainder(counts: DataFrame, label_col: str, cnt_col: str, n_draws:
             .drop("__fl", "__rem", "__need", "__r"))
 
 
+def _guard(q: DataFrame, label_col: str, n_col: str, side_a: str, side_b: str, out: str, what: str) -> Column:
+    """The split's error checks, folded into the quota column (so the plan can
+    never prune them): a class with fewer than 2 rows, or a side smaller than
+    the number of classes."""
+    return (F.when(F.col(n_col) < 2, F.raise_error(F.lit(f"stratified split: a class has fewer than 2 rows{what}")))
+            .when(F.col(side_a) < F.col("n_classes"),
+                  F.raise_error(F.lit(f"stratified split: {side_a[2:]} side smaller than the number of classes")))
+            .when(F.col(side_b) < F.col("n_classes"),
+                  F.raise_error(F.lit(f"stratified split: {side_b[2:]} side smaller than the number of classes")))
+            .otherwise(F.col(out)).cast("long"))
+
+
+def _quota_stage(class_counts: DataFrame, label_col: str, n_col: str, test_size: float,
+                 first: str, out: str, what: str = "") -> DataFrame:
+    """Quota of the first side (``out``) per class for one stratified cut of
+    ``class_counts(label, n_col)`` (rule 2.12.2)."""
+    every = Window.partitionBy()  # class table only: one row per label
+    c = (class_counts.withColumn("n_all", F.sum(n_col).over(every))
+         .withColumn("n_classes", F.count(F.lit(1)).over(every))
+         .withColumn("n_second", F.ceil(F.lit(float(test_size)) * F.col("n_all")).cast("long"))
+         .withColumn(f"n_{first}", F.col("n_all") - F.col("n_second")))
+    q = _largest_remainder(c, label_col, n_col, F.col(f"n_{first}"), F.col("n_all"), out)
+    return q.select(label_col, n_col, _guard(q, label_col, n_col, f"n_{first}", "n_second", out, what).alias(out))
+
+
 def class_quotas(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
-    """Per-class train quota of a stratified split (rule 2.12.2)."""
+    """Per-class train quota of a stratified split of ``df``."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
-    every = Window.partitionBy()
-    counts = (counts.withColumn("n_all", F.sum("n_class").over(every))
-              .withColumn("n_classes", F.count(F.lit(1)).over(every))
-              .withColumn("n_test", F.ceil(F.lit(float(test_size)) * F.col("n_all")).cast("long"))
-              .withColumn("n_train", F.col("n_all") - F.col("n_test")))
-    q = _largest_remainder(counts, label_col, "n_class", F.col("n_train"), F.col("n_all"), "q_train")
-    check = (F.when(F.col("n_class") < 2,
-                    F.raise_error(F.lit("stratified split: a class has fewer than 2 rows")))
-             .when(F.col("n_train") < F.col("n_classes"),
-                   F.raise_error(F.lit("stratified split: train side smaller than the number of classes")))
-             .when(F.col("n_test") < F.col("n_classes"),
-                   F.raise_error(F.lit("stratified split: test side smaller than the number of classes"))))
-    # the checks live inside the quota column, so the plan cannot prune them
-    guarded = check.otherwise(F.col("q_train")).cast("long")
-    return q.select(label_col, "n_class", guarded.alias("q_train"))
+    return _quota_stage(counts, label_col, "n_class", test_size, "train", "q_train")
+
+
+def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int, quota_fn):
+    """Rows with their 1-based rank ``__rn`` inside the class (md5 order) and the
+    class quotas, in one plan:
+
+    * counts per (label, bucket) - one partial aggregation over the input;
+    * class counts, quotas and bucket offsets from that small table only;
+    * ``row_number`` per (label, bucket), then ONE join with the small
+      (label, bucket) table on the keys the rows are already partitioned by,
+      so the rows themselves are shuffled exactly once.
+    """
+    keyed = (df.withColumn("__key", seeded_key(seed, id_col))
+             .withColumn("__bucket", hex_bucket("__key", bucket_digits)))
+    counts = keyed.groupBy(label_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    class_counts = counts.groupBy(label_col).agg(F.sum("__n").alias("n_class"))
+    quotas = quota_fn(class_counts)
+    w_off = Window.partitionBy(label_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counts.select(label_col, "__bucket", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
+               .join(quotas, label_col))
+    w = Window.partitionBy(label_col, "__bucket").orderBy("__key", id_col)
+    ranked = keyed.withColumn("__rn_local", F.row_number().over(w))
+    return (ranked.join(offsets, [label_col, "__bucket"])
+            .withColumn("__rn", F.col("__off") + F.col("__rn_local"))
+            .drop("__key", "__bucket", "__off", "__rn_local"))
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float,
                      seed: int = 42, names=("train", "test"), out: str = "split",
                      bucket_digits: int = 3) -> DataFrame:
     """Exact per-class quotas, seeded membership; adds column ``out``."""
-    q = class_quotas(df, label_col, test_size)
-    keyed = df.withColumn("__key", seeded_key(seed, id_col))
-    ranked = two_phase_row_number(keyed, [label_col], "__key", hex_bucket("__key", bucket_digits),
-                                  out="__rn", tie_cols=[id_col])
-    return (ranked.join(q.select(label_col, "q_train"), label_col)
-            .withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit(names[0]))
-                        .otherwise(F.lit(names[1])))
-            .drop("__key", "__rn", "q_train"))
+    def quotas(cc):
+        return _quota_stage(cc, label_col, "n_class", test_size, "train", "q_train").drop("n_class")
+    r = _ranked(df, label_col, id_col, seed, bucket_digits, quotas)
+    return (r.withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit(names[0]))
+                         .otherwise(F.lit(names[1])))
+            .drop("__rn", "q_train"))
 
 
 def three_way_split(df: DataFrame, label_col: str, id_col: str, ratio_train: float = 0.8,
@@ -85,30 +119,19 @@ def three_way_split(df: DataFrame, label_col: str, id_col: str, ratio_train: flo
     """
     t1 = 1.0 - ratio_train
     t2 = ratio_test / (ratio_test + ratio_valid)
-    q1 = class_quotas(df, label_col, t1)
-    rest = q1.select(label_col, (F.col("n_class") - F.col("q_train")).alias("n_rest"),
-                     F.col("q_train"))
-    every = Window.partitionBy()
-    rest = (rest.withColumn("n_all", F.sum("n_rest").over(every))
-            .withColumn("n_classes", F.count(F.lit(1)).over(every))
-            .withColumn("n_test", F.ceil(F.lit(float(t2)) * F.col("n_all")).cast("long"))
-            .withColumn("n_valid", F.col("n_all") - F.col("n_test")))
-    q2 = _largest_remainder(rest, label_col, "n_rest", F.col("n_valid"), F.col("n_all"), "q_valid")
-    check = (F.when(F.col("n_rest") < 2,
-                    F.raise_error(F.lit("stratified split: a class has fewer than 2 rows in the rest")))
-             .when(F.col("n_valid") < F.col("n_classes"),
-                   F.raise_error(F.lit("stratified split: valid side smaller than the number of classes")))
-             .when(F.col("n_test") < F.col("n_classes"),
-                   F.raise_error(F.lit("stratified split: test side smaller than the number of classes"))))
-    quotas = q2.select(label_col, "q_train", check.otherwise(F.col("q_valid")).cast("long").alias("q_valid"))
-    keyed = df.withColumn("__key", seeded_key(seed, id_col))
-    ranked = two_phase_row_number(keyed, [label_col], "__key", hex_bucket("__key", bucket_digits),
-                                  out="__rn", tie_cols=[id_col])
-    return (ranked.join(quotas, label_col)
-            .withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit("train"))
-                        .when(F.col("__rn") <= F.col("q_train") + F.col("q_valid"), F.lit("valid"))
-                        .otherwise(F.lit("test")))
-            .drop("__key", "__rn", "q_train", "q_valid"))
+
+    def quotas(cc):
+        q1 = _quota_stage(cc, label_col, "n_class", t1, "train", "q_train")
+        rest = q1.select(label_col, "q_train", (F.col("n_class") - F.col("q_train")).alias("n_rest"))
+        q2 = _quota_stage(rest.select(label_col, "n_rest"), label_col, "n_rest", t2, "valid", "q_valid",
+                          " in the rest")
+        return rest.select(label_col, "q_train").join(q2.select(label_col, "q_valid"), label_col)
+
+    r = _ranked(df, label_col, id_col, seed, bucket_digits, quotas)
+    return (r.withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit("train"))
+                         .when(F.col("__rn") <= F.col("q_train") + F.col("q_valid"), F.lit("valid"))
+                         .otherwise(F.lit("test")))
+            .drop("__rn", "q_train", "q_valid"))
 
 
 def positional_clusters(df: DataFrame, ord_col: str = "ord", n: int | None = None,
@@ -154,7 +177,9 @@ def first_rows_per_split(df: DataFrame, k_by_split: dict | int, split_col: str =
         cond = F.col("__rn") <= k_by_split
     else:
         kmap = F.create_map(*[x for kv in k_by_split.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        cond = F.col("__rn") <= F.coalesce(kmap[F.col(split_col)], F.lit(0))
+        # the literal bound lets the optimizer put a group limit before the shuffle
+        cond = (F.col("__rn") <= max(k_by_split.values())) & \
+               (F.col("__rn") <= F.coalesce(kmap[F.col(split_col)], F.lit(0)))
     return ranked.where(cond).drop("__rn")
 
 

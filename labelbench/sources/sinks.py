@@ -32,9 +32,14 @@ def write_tables(tables: dict, path: str, params: dict | None = None) -> None:
 
 
 def write_predictions(files: DataFrame, path: str, key_cols=("run_id", "file"), order_col: str = "ex_id",
-                      value_col: str = "pred") -> None:
-    """K3: one label per line per (run, file), in example order."""
-    (files.repartition(*key_cols).sortWithinPartitions(*key_cols, order_col)
+                      value_col: str = "pred", partitions: int | None = None) -> None:
+    """K3: one label per line per (run, file), in example order.
+
+    Range partitioning on (run, file, example) keeps the lines of a large
+    run in several part files whose names follow the example order, instead of
+    sending a whole run to one task."""
+    n = partitions or files.sparkSession.sparkContext.defaultParallelism
+    (files.repartitionByRange(n, *key_cols, order_col).sortWithinPartitions(*key_cols, order_col)
      .select(*key_cols, F.col(value_col).cast("string").alias("value"))
      .write.mode("overwrite").partitionBy(*key_cols).text(path))
 
