@@ -147,6 +147,11 @@ def positional_clusters(df: DataFrame, ord_col: str = "ord", n: int | None = Non
             .withColumn("part", F.when(F.col("cluster") <= 2, F.lit("pool")).otherwise(F.lit("test"))))
 
 
+def zip_by_position(a: DataFrame, b: DataFrame, pos_col: str = "ord") -> DataFrame:
+    """Two sequences paired by position (both carry a dense position)."""
+    return a.join(b, pos_col, "inner")
+
+
 def split_by_index(examples: DataFrame, index: DataFrame, ord_col: str = "ord") -> DataFrame:
     """An example goes to every split whose index list holds its position.
 

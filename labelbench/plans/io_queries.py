@@ -1,11 +1,11 @@
-"""Registered queries of the sources and sinks.
+"""Registered queries of the sources and sinks.
 
 Each query writes data derived from the provided tables into the shared
 checkpoint folder with the library's writers, then reads it back with the
 library's readers, so the round trip is checked against SQL on the tables.
-Single-document layouts (S1-S3, S7: one JSON array / object / aligned text
-file) cannot be produced by a parallel writer; they are covered by tests on
-small files instead of registered queries.
+Single-document layouts (a JSON array or object per file, line-aligned text
+pairs) are written as one document per bounded group of rows, so the writer
+never gathers more than a group into one task.
 """
 
 from __future__ import annotations
@@ -187,3 +187,135 @@ def _k8(spark, sf):
 QUERIES["K8_write_weight_history"] = (_k8, with_views(
     "SELECT layer - 2 AS epoch, " + ", ".join(f'round(vec[{i + 1}], 9) AS "{i}"' for i in range(4)) +
     " FROM hidden_states WHERE example_id = 0 AND pos = 0", "hidden_states"))
+
+
+# -- single-document layouts, one document per bounded group of rows ----------
+# A JSON array / object file is written per group of GROUP rows (ord div GROUP,
+# zero-padded folder names keep the file order), so no task ever holds more
+# than GROUP rows, however large the table.
+
+GROUP = 100
+
+
+def _group(col="ord"):
+    return F.lpad(F.floor(F.col(col) / GROUP).cast("string"), 9, "0")
+
+
+def _write_docs(df, path, doc_col):
+    (df.repartition("g").select("g", doc_col).write.partitionBy("g").text(path))
+
+
+def _s1_files(spark, sf, path):
+    from .fixtures import labelled_quality
+    lq = labelled_quality(spark, sf).withColumn("g", _group())
+    docs = lq.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("ord", "src", "label"))).alias("rows")) \
+             .select("g", F.to_json(F.transform("rows", lambda r: F.struct(r["src"].alias("func"),
+                                                                           r["label"].alias("target")))).alias("doc"))
+    _write_docs(docs, path, "doc")
+
+
+def _s1(spark, sf):
+    path = scratch(spark, "s1")
+    _s1_files(spark, sf, path)
+    return RD.read_json_array(spark, path, "struct<func:string,target:int>").select("ord", "func", "target")
+
+
+SQL_S1 = with_views("SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS ord, src AS func, label AS target "
+                    "FROM labelled_quality", "labelled_quality")
+QUERIES["S1_read_json_array"] = (_s1, SQL_S1)
+
+
+def _j1_on_s1(spark, sf):
+    """J1 on positions read by S1: index lists from `labels` (quality -> train, toxic -> test)."""
+    from .prepare_queries import _index_lists
+    from ..operators.splits import split_by_index
+    path = scratch(spark, "s1j")
+    _s1_files(spark, sf, path)
+    # the index lists hold array positions; here they are taken from `labels`
+    ex = RD.read_json_array(spark, path, "struct<func:string,target:int>")
+    return split_by_index(ex, _index_lists(spark, sf)).select("split", "ord", "target")
+
+
+QUERIES["J1_split_by_index_on_array"] = (_j1_on_s1, with_views(
+    "SELECT i.split, a.ord, a.target FROM (SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS ord, label AS target "
+    "FROM labelled_quality) a JOIN (SELECT DISTINCT doc_id AS ord, 'train' AS split FROM labels WHERE quality = 1 "
+    "UNION SELECT DISTINCT doc_id, 'test' FROM labels WHERE toxic = 1) i ON a.ord = i.ord", "labelled_quality"))
+
+
+def _s2(spark, sf):
+    from .fixtures import labelled_quality
+    base = scratch(spark, "s2")
+    lq = labelled_quality(spark, sf).withColumn("g", _group())
+    for lab, name in ((1, "vulnerables"), (0, "non-vulnerables")):
+        part = lq.where(F.col("label") == lab)
+        docs = part.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("ord", "src"))).alias("rows")) \
+                   .select("g", F.to_json(F.transform("rows", lambda r: F.struct(r["src"].alias("code")))).alias("doc"))
+        _write_docs(docs, f"{base}/{name}", "doc")
+    df = RD.read_labelled_sources(spark, [(f"{base}/vulnerables", "vulnerable"),
+                                          (f"{base}/non-vulnerables", "non-vulnerable")])
+    return df.select("ord", "src", "label")
+
+
+QUERIES["S2_read_labelled_sources"] = (_s2, with_views(
+    "SELECT CAST(row_number() OVER (ORDER BY 1 - label, ord) - 1 AS BIGINT) AS ord, src, "
+    "CASE WHEN label = 1 THEN 'vulnerable' ELSE 'non-vulnerable' END AS label FROM labelled_quality", "labelled_quality"))
+
+# The six raw messages, assigned to documents by doc_id % 6.
+MESSAGES = ["unbalanced (){}[]", "expected an indented block", "unexpected indent", "unexpected unindent",
+            "unindent does not match any outer indentation level", "invalid syntax"]
+
+
+def _s3(spark, sf):
+    path = scratch(spark, "s3")
+    lt = labelled_text(spark, sf).withColumn("g", _group())
+    msg = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("ord") % 6 + 1).cast("int"))
+    rows = lt.select("g", "ord", F.concat(F.lit("id"), F.col("ord").cast("string")).alias("id"),
+                     F.struct(F.col("src").alias("code_string"), F.struct(msg.alias("msg")).alias("err_obj")).alias("v"))
+    docs = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "v"))).alias("rows")) \
+               .select("g", F.to_json(F.map_from_entries(F.transform("rows", lambda r: F.struct(r["id"], r["v"]))))
+                       .alias("doc"))
+    _write_docs(docs, path, "doc")
+    return RD.bifi_labels(RD.read_json_object(spark, path)).select("ord", "id", "src", "label")
+
+
+QUERIES["S3_read_json_object"] = (_s3, with_views(
+    "SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS ord, 'id' || CAST(ord AS VARCHAR) AS id, src, "
+    "CASE ord % 6 WHEN 0 THEN 'unbalanced (){}[]' WHEN 5 THEN 'invalid syntax' ELSE 'indentation error' END AS label "
+    "FROM labelled_text", "labelled_text"))
+
+
+def _s7(spark, sf):
+    from .prepare_queries import shrunk_text
+    base = scratch(spark, "s7")
+    lt = shrunk_text(spark, sf).withColumn("g", _group())
+    for col, name in (("src", "corpus"), ("label", "labels")):
+        (lt.repartition("g").sortWithinPartitions("g", "ord").select("g", col)
+         .write.partitionBy("g").text(f"{base}/{name}"))
+    return RD.read_paired_text(spark, f"{base}/corpus", f"{base}/labels")
+
+
+def _s7_sql():
+    from .prepare_queries import SQL_SHRUNK
+    return with_views("SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS ord, src, label FROM shrunk",
+                      "labelled_text", ctes=[SQL_SHRUNK])
+
+
+QUERIES["S7_read_paired_text"] = (_s7, _s7_sql())
+
+
+def _j6(spark, sf):
+    """The train and test texts paired by their position inside the split."""
+    from ..operators.rank import two_phase_row_number
+    from ..operators.splits import zip_by_position
+    lt = labelled_text(spark, sf)
+    numbered = two_phase_row_number(lt, ["split"], "ord", F.floor(F.col("ord") / 1000), out="pos")
+    a = numbered.where(F.col("split") == "train").select("pos", F.col("ord").alias("train_ord"))
+    b = numbered.where(F.col("split") == "test").select("pos", F.col("ord").alias("test_ord"))
+    return zip_by_position(a, b, "pos")
+
+
+QUERIES["J6_zip_by_position"] = (_j6, with_views(
+    "SELECT a.pos, a.ord AS train_ord, b.ord AS test_ord FROM "
+    "(SELECT ord, row_number() OVER (ORDER BY ord) AS pos FROM labelled_text WHERE split = 'train') a JOIN "
+    "(SELECT ord, row_number() OVER (ORDER BY ord) AS pos FROM labelled_text WHERE split = 'test') b ON a.pos = b.pos",
+    "labelled_text"))

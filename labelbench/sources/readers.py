@@ -100,7 +100,7 @@ def read_labelled_sources(spark: SparkSession, sources: list[tuple[str, str]], f
     parts = []
     for i, (path, label) in enumerate(sources):
         d = _whole_files(spark, path).select(
-            F.lit(i).alias("file_idx"),
+            (F.lit(i).cast("long") * 1_000_000_000 + F.col("file_idx")).alias("file_idx"),
             F.posexplode(F.from_json("value", f"array<{schema}>", {"mode": "FAILFAST"})).alias("pos", "r"))
         parts.append(d.select("file_idx", "pos", F.col(f"r.{field}").alias("src"), F.lit(label).alias("label")))
     out = parts[0]
@@ -174,8 +174,8 @@ def read_jsonl(spark: SparkSession, path, label_type: str = "string") -> DataFra
 def read_paired_text(spark: SparkSession, corpus: str, labels: str) -> DataFrame:
     """Corpus and label files zipped by line, each line stripped; files of
     different length are an error."""
-    a = _lines(spark, corpus).select(F.col("pos").alias("ord"), py_strip("line").alias("src"))
-    b = _lines(spark, labels).select(F.col("pos").alias("ord"), py_strip("line").alias("label"))
+    a = _dense_ord(_lines(spark, corpus)).select("ord", py_strip("line").alias("src"))
+    b = _dense_ord(_lines(spark, labels)).select("ord", py_strip("line").alias("label"))
     j = a.join(b, "ord", "full_outer")
     label = F.when(F.col("src").isNull() | F.col("label").isNull(),
                    F.raise_error(F.lit("corpus and label files differ in length"))).otherwise(F.col("label"))
