@@ -9,8 +9,6 @@ only on n (at most ~22,000 rows for n <= 50); it is built once and broadcast.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,29 +22,24 @@ ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
 EFFECT_BANDS = [(0.71, "large"), (0.64, "medium"), (0.56, "small")]
 
 
-@lru_cache(maxsize=4)
-def _signed_rank_counts(max_n: int) -> tuple:
-    """(n, w, cdf) with cdf = P(W+ <= w) under H0 for n = 1..max_n (subset sums)."""
-    rows = []
-    counts = [1]  # n = 0
-    for n in range(1, max_n + 1):
-        top = n * (n + 1) // 2
-        new = [0] * (top + 1)
-        for w, c in enumerate(counts):
-            new[w] += c
-            new[w + n] += c
-        counts = new
-        total = float(2 ** n)
-        run = 0
-        for w, c in enumerate(counts):
-            run += c
-            rows.append((n, w, run / total))
-    return tuple(rows)
-
-
 def signed_rank_table(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFrame:
-    """Exact null CDF of the signed-rank statistic; size depends only on ``max_n``."""
-    return spark.createDataFrame(list(_signed_rank_counts(max_n)), "n int, w int, cdf double")
+    """Exact null CDF of the signed-rank statistic: ``(n, w, cdf)`` with
+    cdf = P(W+ <= w) for n = 1..max_n.
+
+    Subset-sum counts are built on the executors from ``range(1, max_n + 1)``
+    (each n folds 1..n into a count array), so nothing but 50 numbers is
+    planned on the driver; the size depends only on ``max_n`` (22,150 rows for
+    50), which is what makes broadcasting it safe."""
+    def add_rank(acc, k):
+        return F.transform(F.sequence(F.lit(0), F.size(acc) - 1 + k),
+                           lambda w: F.coalesce(F.get(acc, w), F.lit(0).cast("long"))
+                           + F.coalesce(F.get(acc, w - k), F.lit(0).cast("long")))
+    counts = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.lit(1).cast("long")), add_rank)
+    rows = (spark.range(1, max_n + 1).select(F.col("id").cast("int").alias("n"))
+            .select("n", F.posexplode(counts).alias("w", "c")))
+    w = Window.partitionBy("n").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("n", F.col("w").cast("int").alias("w"),
+                       (F.sum("c").over(w) / F.pow(F.lit(2.0), F.col("n"))).alias("cdf"))
 
 
 def normal_sf2(z: Column) -> Column:

@@ -68,11 +68,28 @@ def test_wilcoxon_against_enumeration(spark):
             assert got[g].p_value == pytest.approx(want, rel=2e-7), g
 
 
-def test_exact_table_known_points():
-    rows = {(n, w): p for n, w, p in ST._signed_rank_counts(10) if n == 10}
-    assert 2 * rows[(10, 8)] == pytest.approx(0.048828125)
-    assert 2 * rows[(10, 9)] == pytest.approx(0.064453125)
-    assert 2 * rows[(10, 0)] == pytest.approx(0.001953125)
+def _py_table(max_n):
+    rows, counts = {}, [1]
+    for n in range(1, max_n + 1):
+        new = [0] * (len(counts) + n)
+        for w, c in enumerate(counts):
+            new[w] += c
+            new[w + n] += c
+        counts = new
+        run = 0
+        for w, c in enumerate(counts):
+            run += c
+            rows[(n, w)] = run / 2 ** n
+    return rows
+
+
+def test_exact_table(spark):
+    got = {(r.n, r.w): r.cdf for r in ST.signed_rank_table(spark, 20).collect()}
+    assert got == _py_table(20)
+    assert ST.signed_rank_table(spark).count() == 22150
+    assert 2 * got[(10, 8)] == pytest.approx(0.048828125)
+    assert 2 * got[(10, 9)] == pytest.approx(0.064453125)
+    assert 2 * got[(10, 0)] == pytest.approx(0.001953125)
 
 
 def py_a12(a, b):
