@@ -76,32 +76,37 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
     Zero differences are dropped.  Exact p = min(1, 2 P(W+ <= T)) when there
     are no zeros and no ties and n <= 50; otherwise the normal approximation
     with tie correction and no continuity correction.  All-zero -> NULL p.
+
+    One shuffle by group: every window shares the group partitioning and the
+    final ``groupBy`` reuses it.  Zeros sort first by |d|, so the rank among
+    non-zero differences is ``rank - zeros``; each row of a tie group of size
+    t adds t*t - 1, which sums to the t(t^2 - 1) of the tie correction.
     """
     spark = spark or pairs.sparkSession
     g = list(group_cols)
-    zeros = pairs.groupBy(*g).agg(F.sum(F.when(F.col(d_col) == 0, 1).otherwise(0)).alias("n_zero"),
-                                  F.count(F.lit(1)).alias("n_pairs"))
-    nz = pairs.where(F.col(d_col) != 0)
-    ranked = average_ranks(nz, g, F.abs(F.col(d_col)), "r")
-    ties = (ranked.groupBy(*g, F.abs(F.col(d_col)).alias("__a")).agg(F.count(F.lit(1)).alias("t"))
-            .groupBy(*g).agg(F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("tie_term"),
-                             F.max("t").alias("max_tie")))
-    agg = ranked.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col(d_col) > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col(d_col) < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
-    s = (zeros.join(agg, g, "left").join(ties, g, "left")
-         .withColumn("n", F.coalesce("n", F.lit(0)).cast("int"))
-         .withColumn("w_plus", F.coalesce("w_plus", F.lit(0.0)))
-         .withColumn("w_minus", F.coalesce("w_minus", F.lit(0.0)))
-         .withColumn("t_stat", F.least("w_plus", "w_minus")))
+    d = F.col("__d")
+    x = pairs.where(F.col(d_col).isNotNull()).select(*g, F.col(d_col).alias("__d")) \
+             .withColumn("__a", F.abs(d))
+    x = (x.withColumn("__z", F.sum(F.when(d == 0, 1).otherwise(0)).over(Window.partitionBy(*g)))
+         .withColumn("__rk", F.rank().over(Window.partitionBy(*g).orderBy("__a")))
+         .withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*g, "__a")))
+         .withColumn("__r", F.col("__rk") - F.col("__z") + (F.col("__t") - 1) / 2.0))
+    nz = d != 0
+    s = x.groupBy(*g).agg(
+        F.sum(F.when(nz, 0).otherwise(1)).cast("long").alias("n_zero"),
+        F.sum(F.when(nz, 1).otherwise(0)).cast("int").alias("n"),
+        F.sum(F.when(d > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(d < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"),
+        F.sum(F.when(nz, F.col("__t") * F.col("__t") - 1).otherwise(0)).alias("tie_term"),
+        F.max(F.when(nz, F.col("__t"))).alias("max_tie"))
+    s = s.withColumn("t_stat", F.least("w_plus", "w_minus"))
     exact = (F.col("n_zero") == 0) & (F.coalesce(F.col("max_tie"), F.lit(1)) <= 1) & \
             (F.col("n") <= EXACT_MAX_N) & (F.col("n") > 0)
     s = s.withColumn("method", F.when(F.col("n") == 0, F.lit(None).cast("string"))
                      .when(exact, F.lit("exact")).otherwise(F.lit("approx")))
     n = F.col("n").cast("double")
     mn = n * (n + 1) / 4.0
-    se = F.sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * F.coalesce(F.col("tie_term"), F.lit(0))) / 24.0)
+    se = F.sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * F.col("tie_term")) / 24.0)
     s = s.withColumn("z", F.when(F.col("method") == "approx", F.try_divide(F.col("t_stat") - mn, se)))
     table = F.broadcast(signed_rank_table(spark).withColumnRenamed("n", "__n"))
     s = s.withColumn("__w", F.floor("t_stat").cast("int"))

@@ -79,31 +79,29 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Tables whose rows carry long texts: per-row regex work dominates their queries.
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy row work at least one task per core.
-
-    A scan yields one task per file split; a small file written as a single
-    row group is one task however many cores there are.  Only then is the
-    table redistributed (round robin).  On large inputs the scan already has
-    thousands of splits and nothing is added - no shuffle of the full data.
-    """
+def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = 1 << 20) -> DataFrame:
+    """Give per-row work at least one task per core.
+
+    A scan yields one task per file split; a file written as a single row
+    group is one task however many cores there are.  Only when the scan is
+    that coarse and the input is not tiny (Catalyst's size estimate, from
+    file sizes) is the table redistributed round robin.  On large inputs the
+    scan already has thousands of splits and nothing is added - no shuffle of
+    the full data."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < min_bytes:
+        return df
+    return df.repartition(want)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool | None = None) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
     """Read one provided table; Catalyst prunes columns and pushes filters into the scan.
 
-    Text tables are spread over the cores when their scan is too coarse."""
+    A coarse scan of a non-tiny table is spread over the cores (see ``spread``)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if spread_rows if spread_rows is not None else name in TEXT_TABLES:
-        df = spread(df)
-    return df
+    return spread(df) if spread_rows else df
