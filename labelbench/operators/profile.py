@@ -87,6 +87,20 @@ def describe_tokens(df: DataFrame, value_col: str = "n_tokens", split_col: str =
     return _describe_finish(agg, [split_col], rounded)
 
 
+def describe_columns(df: DataFrame, cols: list[str], split_col: str = "split", rounded: bool = True) -> DataFrame:
+    """A4 for several columns at once, long form ``(split, column, count, ...)``.
+
+    The original describes every numeric column of its frame: the token count
+    and, when labels are integers, the label too."""
+    numeric = [c for c in cols if df.schema[c].dataType.typeName() in
+               ("integer", "long", "short", "byte", "double", "float", "decimal")]
+    long = df.select(split_col, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("__v")) for c in numeric])).alias("r")) \
+        .select(split_col, "r.column", "r.__v")
+    agg = long.groupBy(split_col, "column").agg(*_describe("__v"))
+    return _describe_finish(agg, [split_col, "column"], rounded)
+
+
 def describe_tokens_by_class(df: DataFrame, value_col: str = "n_tokens", split_col: str = "split",
                              label_col: str = "label", rounded: bool = True) -> DataFrame:
     """A5: as A4 per (split, label)."""

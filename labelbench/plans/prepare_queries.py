@@ -413,3 +413,20 @@ _reg("O3_intersect_distinct", _o3, SQL_O3)
 _reg("O4_union_distinct", _o4, SQL_O4)
 _reg("O5_difference", _o5, SQL_O5)
 _reg("entry_flagship", flagship, FLAGSHIP_SQL)
+
+
+def _a4_label(spark, sf):
+    """A4 when labels are integers: token count and label described per split."""
+    lq = labelled_quality(spark, sf).withColumn("src", X.shrink_text("src"))
+    split = SP.three_way_split(lq, "label", "ord", 0.8, 0.1, 0.1, seed=42)
+    return PR.describe_columns(PR.with_token_count(split), ["n_tokens", "label"])
+
+
+_DESC_V = _DESC_SQL.replace("n_tokens", "v")
+QUERIES["A4_describe_tokens_and_label"] = (_a4_label, with_views(
+    f"SELECT split, \"column\", {_DESC_V} FROM (SELECT split, 'n_tokens' AS \"column\", CAST(n_tokens AS DOUBLE) AS v FROM tokq "
+    "UNION ALL SELECT split, 'label', CAST(label AS DOUBLE) FROM tokq) GROUP BY split, \"column\"",
+    "labelled_quality",
+    ctes=[f"lq AS (SELECT ord, {S.shrink_text('src')} AS src, label FROM labelled_quality)",
+          *S.three_way_ctes("w5", "lq", "label", "ord"),
+          f"tokq AS (SELECT split, label, {S.token_count('src')} AS n_tokens FROM w5)"]))

@@ -218,3 +218,16 @@ def read_runs_csv(spark: SparkSession, paths: list[str], dataset_pattern: str =
 def bifi_labels(df: DataFrame) -> DataFrame:
     """P1 + P3 for the keyed layout: code_string -> src, mapped message -> label."""
     return df.select("ord", "id", F.col("code_string").alias("src"), map_labels(F.col("err_obj.msg")).alias("label"))
+
+
+# Name -> reader of each raw layout, for callers that pick the layout by name.
+READERS = {
+    "json_array": read_json_array,          # one array per file, position = key
+    "labelled_sources": read_labelled_sources,
+    "json_object": read_json_object,        # id -> record, file order kept
+    "jsonl_shards": read_jsonl_shards,
+    "index_list": read_index_list,
+    "jsonl": read_jsonl,
+    "paired_text": read_paired_text,
+    "runs_csv": read_runs_csv,
+}

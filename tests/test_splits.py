@@ -100,3 +100,12 @@ def test_debug_subset(spark):
     out = SP.debug_subset(labelled_text(spark, SF01), "cpu")
     got = {r.split: r.n for r in out.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert got == {"train": 16, "valid": 2, "test": 2}
+
+
+def test_describe_numeric_label(spark):
+    from labelbench.operators.profile import describe_columns
+    df = spark.createDataFrame([("train", 3, 1), ("train", 5, 0), ("test", 4, 1)],
+                               "split string, n_tokens int, label int")
+    got = {(r.split, r.column): (r["count"], r["mean"]) for r in describe_columns(df, ["n_tokens", "label"]).collect()}
+    assert got[("train", "n_tokens")] == (2, 4.0) and got[("train", "label")] == (2, 0.0)
+    assert got[("test", "label")] == (1, 1.0)

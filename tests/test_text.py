@@ -108,3 +108,9 @@ def test_token_count_matches_regex_module(spark):
 def test_json_field(spark):
     df = spark.createDataFrame([('{"a": {"b": 3}}',), ('{"a": 1}',)], "s string")
     assert [r[0] for r in df.select(X.json_field("s", "$.a.b", "int")).collect()] == [3, None]
+
+
+def test_pluggable_tokenizer_runs_as_arrow_udf(spark):
+    texts = ["a b  c", "", "x"]
+    got = _run(spark, texts, lambda c: X.token_count(c, tokenizer=str.split))
+    assert got == [3, 0, 1]
