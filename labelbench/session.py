@@ -51,18 +51,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster sets it to a shared file system; only when it is unset (local
     tests) do we pick a scratch folder of our own.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+        path = sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="labelbench-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # pragma: no cover - connect sessions have no context
-        pass
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # core configs may be read-only at runtime
+            pass
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
