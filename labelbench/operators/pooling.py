@@ -86,6 +86,41 @@ def effective_mask(hs: DataFrame, special_tokens_to_zero: bool = False,
     return out.drop("__n_real", "__n_pos", "__m0") if stats is not None else out
 
 
+def _special_drop(hs: DataFrame, special: str) -> DataFrame:
+    """``(example_id, pos, __drop)``: positions the special-token rule clears.
+    Built from (example, pos, mask) only - no vectors move."""
+    tok = hs.select(KEY, "pos", "mask").distinct()
+    m = effective_mask(tok, True, special)
+    return m.select(KEY, "pos", ((F.col("eff_mask") == 0) & (F.col("mask") == 1)).alias("__drop"))
+
+
+def _per_position(hs: DataFrame, how: str, w_layers=None, norm: bool = False,
+                  special_tokens_to_zero: bool = False, special: str = "reference") -> DataFrame:
+    """Masked states of layers 1..L reduced over layers per (example, pos).
+
+    The mask depends on (example, pos) only, so padding is cleared row by row,
+    the layers are reduced with map-side combine, and only then are the special
+    positions cleared - joining the small per-position table instead of
+    shuffling every state row to its example first."""
+    x = _encoder_layers(hs)
+    x = x.withColumn("vec", F.when(F.col("mask") == 0, zeros_like("vec")).otherwise(F.col("vec")))
+    x = _norm(x, norm)
+    if w_layers is not None:
+        x = x.withColumn("vec", scale("vec", _w_at(w_layers, F.col("layer") - 1)))
+    carry = [c for c in ("n_real", "n_pos") if c in hs.columns]
+    per_pos = (vsum if how == "sum" else vmax)(x, [KEY, "pos", *carry])
+    if not special_tokens_to_zero:
+        return per_pos
+    if len(carry) == 2:  # tokens per example travel with the rows (V16): no join
+        m = effective_mask(per_pos.withColumn("mask", F.lit(1)), True, special)
+        drop = F.col("eff_mask") == 0
+    else:
+        m = per_pos.join(_special_drop(hs, special), [KEY, "pos"], "left")
+        drop = F.coalesce(F.col("__drop"), F.lit(False))
+    out = m.withColumn("vec", F.when(drop, zeros_like("vec")).otherwise(F.col("vec")))
+    return out.select(KEY, "pos", "vec")
+
+
 def mask_states(hs: DataFrame, special_tokens_to_zero: bool = False, special: str = "reference") -> DataFrame:
     """V1: masked vectors become zero vectors and stay in their group."""
     m = effective_mask(hs, special_tokens_to_zero, special)
@@ -121,9 +156,9 @@ def one_layer_max_pool_tokens(hs, layer, norm=False, special_tokens_to_zero=Fals
 def w_sum_tokens_w_sum_layers(hs, w_tokens, w_layers, norm=False, special_tokens_to_zero=False,
                               special="reference"):
     """V6 (= V8 without norm): sum over layers and positions of wt[pos] wl[layer] vec."""
-    x = _norm(mask_states(_encoder_layers(hs), special_tokens_to_zero, special), norm)
-    w = _w_at(w_tokens, F.col("pos")) * _w_at(w_layers, F.col("layer") - 1)
-    return _norm(vsum(x.withColumn("vec", scale("vec", w)), [KEY]), norm)
+    per_pos = _per_position(hs, "sum", w_layers, norm, special_tokens_to_zero, special)
+    per_pos = per_pos.withColumn("vec", scale("vec", _w_at(w_tokens, F.col("pos"))))
+    return _norm(vsum(per_pos, [KEY]), norm)
 
 
 def w_sum_layers_w_sum_tokens(hs, w_tokens, w_layers, norm=False, special_tokens_to_zero=False,
@@ -134,8 +169,7 @@ def w_sum_layers_w_sum_tokens(hs, w_tokens, w_layers, norm=False, special_tokens
 
 def max_pool_layers_w_sum_tokens(hs, w_tokens, norm=False, special_tokens_to_zero=False, special="reference"):
     """V7: max over layers per (example, pos), then weighted sum over positions."""
-    x = mask_states(_encoder_layers(hs), special_tokens_to_zero, special)
-    per_pos = vmax(x, [KEY, "pos"])
+    per_pos = _per_position(hs, "max", None, False, special_tokens_to_zero, special)
     per_pos = per_pos.withColumn("vec", scale("vec", _w_at(w_tokens, F.col("pos"))))
     return _norm(vsum(per_pos, [KEY]), norm)
 
@@ -157,8 +191,8 @@ def max_pool_tokens_w_sum_layers(hs, w_layers, norm=False, special_tokens_to_zer
 
 def max_pool_layers_max_pool_tokens(hs, norm=False, special_tokens_to_zero=False, special="reference"):
     """One element-wise max over layers 1..L and positions."""
-    x = mask_states(_encoder_layers(hs), special_tokens_to_zero, special)
-    return _norm(vmax(x, [KEY]), norm)
+    per_pos = _per_position(hs, "max", None, False, special_tokens_to_zero, special)
+    return _norm(vmax(per_pos, [KEY]), norm)
 
 
 def w_sum_cls(hs, w_layers, norm=False):

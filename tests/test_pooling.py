@@ -105,3 +105,24 @@ def test_layer_norm_and_heads(spark):
     W1 = np.arange(16).reshape(4, 4) / 10
     dense = np.array(SC.score_dense_tanh(df, W1, np.zeros(4), np.array(W), b).first().logits)
     np.testing.assert_allclose(dense, np.array(W) @ np.tanh(W1 @ a) + np.array(b))
+
+
+def test_encoder_states_carry_token_counts(spark):
+    """V16 rows carry n_real/n_pos; masking from them equals masking by join."""
+    rng2 = np.random.default_rng(5)
+    emb = rng2.standard_normal((50, 3))
+
+    def enc(ids, mask):
+        x = emb[ids % 50] * mask[..., None]
+        return np.stack([x, np.tanh(x), np.tanh(2 * x)])
+
+    enc_df = spark.createDataFrame([(0, [0, 5, 7, 2, 1, 1], [1, 1, 1, 1, 0, 0]),
+                                    (1, [0, 9, 2, 1, 1, 1], [1, 1, 1, 0, 0, 0])],
+                                   "ex_id long, input_ids array<int>, attention_mask array<int>")
+    states = PO.encode_states(enc_df, enc, n_layers=2, hidden=3)
+    assert states.count() == 2 * 3 * 6
+    for fn in (PO.max_pool_layers_max_pool_tokens,
+               lambda h, **k: PO.w_sum_tokens_w_sum_layers(h, [1.0] * 6, [0.5, -1.0], **k)):
+        a = _collect(fn(states, special_tokens_to_zero=True))
+        b = _collect(fn(states.drop("n_real", "n_pos"), special_tokens_to_zero=True))
+        _check(a, b)
