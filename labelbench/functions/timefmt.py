@@ -13,7 +13,8 @@ def _c(col) -> Column:
 def parse_run_time(col) -> Column:
     """``YYYY-mm-dd HH:MM:SS[.f][+tz]`` -> timestamp; fraction and zone are cut off."""
     s = F.substring_index(F.substring_index(_c(col), "+", 1), ".", 1)
-    return F.to_timestamp(s, "yyyy-MM-dd HH:mm:ss")
+    # zone-free: the result does not depend on the session time zone (no DST shifts)
+    return F.to_timestamp_ntz(s, F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
 def duration_seconds(start, end, compat: bool = False) -> Column:
@@ -23,7 +24,7 @@ def duration_seconds(start, end, compat: bool = False) -> Column:
     a month end)."""
     a, b = parse_run_time(start), parse_run_time(end)
     if not compat:
-        return (F.unix_timestamp(b) - F.unix_timestamp(a)).cast("long")
+        return F.timestamp_diff("SECOND", a, b).cast("long")
 
     def secs(t):
         return (F.dayofmonth(t) * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)).cast("long")
