@@ -74,3 +74,15 @@ def test_running_best_and_best_epoch(spark):
     assert flags == {(1, 0): True, (1, 1): True, (1, 2): False, (1, 3): False, (2, 0): False, (2, 1): False}
     best = {r.run_id: (r.best_epoch, r.step_at_best_epoch) for r in M.best_epoch(log).collect()}
     assert best == {1: (1, 10)}  # earliest of the ties; run 2 never beats the start value -1
+
+
+def test_fit_head_separates_classes(spark):
+    from labelbench.operators import scoring as SC
+    rows = [(i, [float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2)], float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "example_id long, vec array<double>, label double")
+    model = SC.fit_head(df, "vec", "label", max_iter=50)
+    pred = SC.predict_head(model, df)
+    m = M.classification_metrics(M.confusion_counts(
+        pred.select(F.lit("t").alias("task"), F.col("label").cast("int").alias("y_true"),
+                    F.col("prediction").cast("int").alias("y_pred")))).first()
+    assert m.acc == 1.0

@@ -62,3 +62,9 @@ def test_marks(spark):
     assert got == ["\\lef{\\bf{+1.3}}", "-0.0*", "\\sef{-2.0*}"]
     heat = [r.h for r in df.select(TF.heat_text("v", "p", F.lit(False)).alias("h")).collect()]
     assert heat == ["1.3*", "-0.03", "-2.0"]
+
+
+def test_hms_round_trip(spark):
+    secs = spark.range(0, 86400, 997).select(F.col("id").alias("s"))
+    back = secs.select("s", TF.hms_to_seconds(TF.hms("s")).alias("b"))
+    assert back.where("s <> b").count() == 0

@@ -51,6 +51,7 @@ GROUPS = {
     "all_zero": [0.0, 0.0, 0.0],
     "n1": [0.4],
     "n12": [((-1) ** i) * (i + 1) / 7 for i in range(12)],
+    "n51_normal": [((-1) ** (i % 3)) * (i + 1) / 10 for i in range(51)],  # past the exact limit
 }
 
 
@@ -62,6 +63,8 @@ def test_wilcoxon_against_enumeration(spark):
         want = py_wilcoxon(ds)
         if want is None:
             assert got[g].p_value is None
+        elif g == "n51_normal":
+            assert got[g].method == "approx" and got[g].p_value == pytest.approx(want, rel=2e-7)
         elif got[g].method == "exact":
             assert got[g].p_value == pytest.approx(want, abs=1e-12), g
         else:  # normal tail via the fitted erfc: relative error below 1.2e-7
