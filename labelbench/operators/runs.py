@@ -209,9 +209,15 @@ def paired_with_baseline(clean: DataFrame, metric: str, epochs: int = EPOCHS, ba
 
 
 def cell_tests(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
-    """A16 per cell against the baseline, paired by seed."""
+    """A16 per cell against the baseline, paired by seed.  Every cell gets a
+    row; a cell sharing no seed with the baseline has n = 0 and no p-value
+    (the original's "n/a")."""
     pairs = paired_with_baseline(clean, metric, epochs, baseline)
-    return wilcoxon_signed_rank(pairs, CELL, "d")
+    tests = wilcoxon_signed_rank(pairs, CELL, "d")
+    cells = cell_values(clean, metric, epochs).select(*CELL).distinct()
+    return (cells.join(tests, CELL, "left")
+            .withColumn("n", F.coalesce("n", F.lit(0)))
+            .withColumn("n_zero", F.coalesce("n_zero", F.lit(0).cast("long"))))
 
 
 def cell_effects(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:

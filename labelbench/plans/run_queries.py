@@ -251,7 +251,9 @@ def _a16(spark, sf):
 
 
 QUERIES["A16_wilcoxon_signed_rank"] = (_a16, with_views(
-    r6("SELECT * FROM wx", ["w_plus", "w_minus", "t_stat", "z", "p_value"]), "runs",
+    r6("SELECT c.*, CAST(coalesce(w.n, 0) AS INTEGER) AS n, CAST(coalesce(w.n_zero, 0) AS BIGINT) AS n_zero, w.w_plus, "
+       "w.w_minus, w.t_stat, w.method, w.z, w.p_value FROM (SELECT DISTINCT " + CELL_SQL + " FROM cellv) c "
+       "LEFT JOIN wx w USING (" + CELL_SQL + ")", ["w_plus", "w_minus", "t_stat", "z", "p_value"]), "runs",
     ctes=[SQL_CLEAN, cellv(), base(), SQL_PAIRS, *SQL_CDF, *wilcoxon_ctes("wx", "pairs", CELL_SQL)], recursive=True))
 
 SQL_SAMPLES = ("samples AS (SELECT " + CELL_SQL + ", 1 AS side, value FROM cellv UNION ALL "
