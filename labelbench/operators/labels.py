@@ -78,11 +78,11 @@ def label_decode(df: DataFrame, codes: DataFrame, code_col: str = "code", out: s
 def vocabulary(texts: DataFrame, src_col: str = "src", first_id: int = 0) -> DataFrame:
     """Distinct tokens with dense ids in sorted token order.
 
-    Ids come from the two-phase rank (bucket = first character), so the sort
-    is spread over as many tasks as there are leading characters."""
+    Ids come from the two-phase rank (bucket = first two characters, which
+    keep the sort order), so the sort is spread over thousands of tasks."""
     words = texts.select(F.explode(tokens(src_col)).alias("token")).distinct()
     ranked = two_phase_row_number(words.withColumn("__g", F.lit(0)), ["__g"], "token",
-                                  F.substring("token", 1, 1), out="__rn")
+                                  F.substring("token", 1, 2), out="__rn")
     return ranked.select("token", (F.col("__rn") - 1 + first_id).cast("int").alias("id"))
 
 
@@ -97,17 +97,17 @@ def encode_fixed_length(df: DataFrame, vocab: DataFrame, id_col: str, src_col: s
     length are looked up (that cut is the operator's definition)."""
     pad = eos_id if pad_id is None else pad_id
     keep = max_length - 2
-    toks = (df.select(id_col, F.posexplode(tokens(src_col)).alias("p", "token"))
-            .where(F.col("p") < keep))
+    # posexplode_outer keeps a text without tokens as one row with a NULL position
+    toks = (df.select(id_col, F.posexplode_outer(tokens(src_col)).alias("p", "token"))
+            .where(F.col("p").isNull() | (F.col("p") < keep)))
     ids = (toks.join(vocab, "token", "left")
-           .select(id_col, "p", F.coalesce(F.col("id"), F.lit(unk_id)).alias("tid")))
-    seq = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("p", "tid"))).alias("__s"))
+           .select(id_col, "p", F.when(F.col("p").isNotNull(), F.coalesce(F.col("id"), F.lit(unk_id))).alias("tid")))
+    item = F.when(F.col("p").isNotNull(), F.struct("p", "tid"))  # NULL items are not collected
+    seq = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("__s"))
     body = F.transform(F.col("__s"), lambda s: s["tid"])
     full = F.concat(F.array(F.lit(bos_id)), body, F.array(F.lit(eos_id)))
     n = F.size(full)
     padded = F.concat(full, F.array_repeat(F.lit(pad), F.greatest(F.lit(max_length) - n, F.lit(0))))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(max_length) - n, F.lit(0))))
-    base = df.select(id_col).join(seq, id_col, "left").withColumn(
-        "__s", F.coalesce(F.col("__s"), F.array().cast("array<struct<p:int,tid:int>>")))
-    return base.select(id_col, padded.cast("array<int>").alias("input_ids"),
-                       mask.cast("array<int>").alias("attention_mask"))
+    return seq.select(id_col, padded.cast("array<int>").alias("input_ids"),
+                      mask.cast("array<int>").alias("attention_mask"))
