@@ -39,7 +39,7 @@ def two_phase_row_number(df: DataFrame, partition_cols: list[str], order_col: st
             .drop(b, "__off", "__rn_local"))
 
 
-def hex_bucket(key_col: str, digits: int = 3) -> Column:
+def hex_bucket(key_col: str, digits: int = 4) -> Column:
     """Order-preserving bucket of a lowercase hex hash: its first ``digits`` chars
-    (3 digits = 4,096 buckets per group)."""
+    (4 digits = 65,536 buckets per group)."""
     return F.substring(F.col(key_col), 1, digits)

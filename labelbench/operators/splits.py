@@ -98,7 +98,7 @@ def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float,
                      seed: int = 42, names=("train", "test"), out: str = "split",
-                     bucket_digits: int = 3) -> DataFrame:
+                     bucket_digits: int = 4) -> DataFrame:
     """Exact per-class quotas, seeded membership; adds column ``out``."""
     def quotas(cc):
         return _quota_stage(cc, label_col, "n_class", test_size, "train", "q_train").drop("n_class")
@@ -110,7 +110,7 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: floa
 
 def three_way_split(df: DataFrame, label_col: str, id_col: str, ratio_train: float = 0.8,
                     ratio_valid: float = 0.1, ratio_test: float = 0.1, seed: int = 42,
-                    out: str = "split", bucket_digits: int = 3) -> DataFrame:
+                    out: str = "split", bucket_digits: int = 4) -> DataFrame:
     """Train vs rest (test_size = 1 - ratio_train), then rest into valid/test
     (test_size = ratio_test / (ratio_test + ratio_valid)), both stratified.
 
@@ -198,7 +198,7 @@ def debug_subset(df: DataFrame, device: str = "cpu", split_col: str = "split",
 
 def shuffle_into_batches(df: DataFrame, id_col: str, batch_size: int = 64, seed: int = 42,
                          epoch: int = 0, drop_last: bool = True, group_cols: list[str] | None = None,
-                         bucket_digits: int = 3) -> DataFrame:
+                         bucket_digits: int = 4) -> DataFrame:
     """Seeded shuffle (md5 of seed, epoch, id), batch number from the rank,
     the last short batch dropped when ``drop_last``."""
     group_cols = group_cols or []

@@ -308,7 +308,8 @@ def _j6(spark, sf):
     from ..operators.rank import two_phase_row_number
     from ..operators.splits import zip_by_position
     lt = labelled_text(spark, sf)
-    numbered = two_phase_row_number(lt, ["split"], "ord", F.floor(F.col("ord") / 1000), out="pos")
+    # buckets of 2^20 positions: bounded window tasks and a bounded offsets table
+    numbered = two_phase_row_number(lt, ["split"], "ord", F.floor(F.col("ord") / (1 << 20)), out="pos")
     a = numbered.where(F.col("split") == "train").select("pos", F.col("ord").alias("train_ord"))
     b = numbered.where(F.col("split") == "test").select("pos", F.col("ord").alias("test_ord"))
     return zip_by_position(a, b, "pos")
