@@ -15,7 +15,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M
 from ..operators import profile as PR
 from ..session import ensure_checkpoint_dir, table
 from ..sources import readers as RD

@@ -183,10 +183,6 @@ def _tok(spark, sf):
 SQL_TOK = ("tok AS (SELECT ord, src, label, split, " + S.token_count("src") + " AS n_tokens FROM shrunk)")
 
 
-def _pv(views, body):
-    return with_views(body, *views)
-
-
 def _a1(spark, sf):
     return PR.class_distribution(labelled_text(spark, sf))
 
