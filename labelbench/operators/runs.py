@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefmt import duration_seconds, stable
+from ..functions.timefmt import duration_seconds, hms_to_seconds, stable
 from .stats import a12_effect_size, wilcoxon_signed_rank
 
 COMB = "combination_type"
@@ -127,17 +127,25 @@ def display_names(df: DataFrame, variant_col: str = "variant", layer_col: str =
             .drop("template"))
 
 
+def metric_value(metric: str) -> Column:
+    """The metric as a number; ``h:mm:ss`` strings of a ``total_time`` metric
+    become seconds first (A11)."""
+    if "total_time" in metric:
+        return hms_to_seconds(F.col(metric)).cast("double")
+    return F.col(metric)
+
+
 def run_cell(runs: DataFrame, combination: str, layer: int, flag: bool, metric: str,
              epochs: int = EPOCHS) -> DataFrame:
     """P5: the rows of one cell, one metric (with seed and order kept)."""
     return (runs.where((F.col(COMB) == combination) & (F.col(LAYER) == layer)
                        & (F.col("epochs") == epochs) & (F.col(FLAG) == flag))
-            .select("dataset", "seed", "ord", F.col(metric).alias("value")))
+            .select("dataset", "seed", "ord", metric_value(metric).alias("value")))
 
 
 def cell_values(clean: DataFrame, metric: str, epochs: int = EPOCHS) -> DataFrame:
     """All cells at once: (cell, seed, ord, value)."""
-    return clean.where(F.col("epochs") == epochs).select(*CELL, "seed", "ord", F.col(metric).alias("value"))
+    return clean.where(F.col("epochs") == epochs).select(*CELL, "seed", "ord", metric_value(metric).alias("value"))
 
 
 # -- grid and coverage ------------------------------------------------------

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timefmt import hms
 from ..session import table
 
 # Event types of the `events` table mapped to five pooling
@@ -106,6 +107,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         _ts_text(F.col("ts")).alias("start_time"),
         _ts_text(end).alias("end_time"),
         (value / 10).alias("time_train_min"),
+        hms(F.round(value * 60).cast("long")).alias("total_time"),
         F.when(F.col("event_id") % 89 == 0, F.lit(None).cast("double"))
          .otherwise(value / 100).alias("acc_test"),
         (k / 100).alias("balanced_acc_test"),
@@ -168,12 +170,14 @@ SQL_VIEWS = {
          strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '+00:00' AS start_time,
          strftime(ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S.%f') || '+00:00' AS end_time,
          value / 10 AS time_train_min,
+         CASE WHEN secs // 86400 = 1 THEN '1 day, ' WHEN secs // 86400 > 1 THEN CAST(secs // 86400 AS VARCHAR) || ' days, '
+              ELSE '' END || printf('%d:%02d:%02d', (secs % 86400) // 3600, (secs % 3600) // 60, secs % 60) AS total_time,
          CASE WHEN event_id % 89 = 0 THEN NULL ELSE value / 100 END AS acc_test,
          k / 100 AS balanced_acc_test,
          value / 100 AS f1_micro_test,
          (value + k) / 200 AS f1_macro_test,
          (value * 3 + k) / 400 AS f1_weighted_test
-  FROM (SELECT *, CAST(user_id % 12 + 1 AS INTEGER) AS layer,
+  FROM (SELECT *, CAST(user_id % 12 + 1 AS INTEGER) AS layer, CAST(round(value * 60) AS BIGINT) AS secs,
                CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
                CASE event_type WHEN 'click' THEN 'cutoff_layers_one_layer_cls'
                                WHEN 'view' THEN 'one_layer_cls'

@@ -86,14 +86,14 @@ QUERIES["S5_read_index_list"] = (_s5, "SELECT DISTINCT CAST(doc_id AS INTEGER) A
                                       "WHERE quality = 1")
 
 _RUN_COLS = ["combination_type", "hidden_layer_to_use", "seed", "epochs", "not_special_tokens_to_zero",
-             "num_trainable_parameters", "start_time", "end_time", "time_train_min", "acc_test",
+             "num_trainable_parameters", "start_time", "end_time", "time_train_min", "total_time", "acc_test",
              "balanced_acc_test", "f1_micro_test", "f1_macro_test", "f1_weighted_test"]
 
 
 def _dotted(c):
     if c in ("start_time", "end_time"):
         return c
-    if c in ("time_train_min",) or c.endswith("_test"):
+    if c in ("time_train_min", "total_time") or c.endswith("_test"):
         return f"metrics.{c}"
     return f"params.{c}"
 

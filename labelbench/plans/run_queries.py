@@ -405,6 +405,23 @@ QUERIES["A11_percent_of_baseline"] = (_a11, with_views(r6(
     "runs", ctes=_pct_sql("num_trainable_parameters")))
 
 
+def _a11_time(spark, sf):
+    return round_doubles(R.percent_of_baseline(_clean(spark, sf), "total_time"))
+
+
+def _secs_sql(col):
+    return (f"(CAST(split_part({col}, ':', 1) AS BIGINT) * 3600 + CAST(split_part({col}, ':', 2) AS BIGINT) * 60 "
+            f"+ CAST(split_part({col}, ':', 3) AS BIGINT))")
+
+
+QUERIES["A11_percent_of_baseline_total_time"] = (_a11_time, with_views(r6(
+    "SELECT s.dataset, s.hidden_layer_to_use, s.n, CASE WHEN s.n = 10 THEN s.mean / b.base_mean * 100 END AS pct FROM "
+    "(SELECT dataset, hidden_layer_to_use, avg(value) AS mean, count(value) AS n FROM cellv WHERE combination_type = "
+    "'cutoff_layers_one_layer_cls' AND NOT not_special_tokens_to_zero GROUP BY ALL) s JOIN bstats b USING (dataset)", ["pct"]),
+    "runs", ctes=[SQL_CLEAN, cellv(f"CAST({_secs_sql('total_time')} AS DOUBLE)"),
+                  base(f"CAST({_secs_sql('total_time')} AS DOUBLE)"), bstats()]))
+
+
 def _a12(spark, sf):
     return round_doubles(R.param_overhead(_clean(spark, sf), ("one_layer_w_sum_tokens", "w_sum_cls")))
 

@@ -186,7 +186,7 @@ RUNS_CSV_SCHEMA = {
     "params.combination_type": "string", "params.hidden_layer_to_use": "int", "params.seed": "int",
     "params.epochs": "int", "params.not_special_tokens_to_zero": "boolean",
     "params.num_trainable_parameters": "bigint", "start_time": "string", "end_time": "string",
-    "metrics.time_train_min": "double", "metrics.acc_test": "double", "metrics.balanced_acc_test": "double",
+    "metrics.time_train_min": "double", "metrics.total_time": "string", "metrics.acc_test": "double", "metrics.balanced_acc_test": "double",
     "metrics.f1_micro_test": "double", "metrics.f1_macro_test": "double", "metrics.f1_weighted_test": "double",
 }
 
