@@ -161,9 +161,10 @@ def _q_w7(spark, sf):
         b = SP.shuffle_into_batches(lt, "ord", 64, seed=42, epoch=ep, drop_last=True)
         parts.append(b.withColumn("epoch", F.lit(ep)))
     allb = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    nb = (lt.agg(F.floor(F.count(F.lit(1)) / 64).cast("long").alias("nb")))
-    return (allb.join(nb).where(F.col("pos_in_batch") == 0)
-            .select("epoch", "batch", SP.global_step(F.col("epoch"), F.col("batch"), F.col("nb")).alias("global_step")))
+    nb = lt.count() // 64  # batches per epoch: one number
+    return (allb.where(F.col("pos_in_batch") == 0)
+            .select("epoch", "batch", SP.global_step(F.col("epoch"), F.col("batch"), F.lit(nb).cast("long"))
+                    .alias("global_step")))
 
 
 SQL_W7 = with_views(

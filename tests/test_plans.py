@@ -48,3 +48,15 @@ def test_labelled_text_scan_reads_only_needed_columns(spark):
     lt = labelled_text(spark, SF01).select("ord", "label")
     p = lt._jdf.queryExecution().executedPlan().toString()
     assert "text" not in p.split("ReadSchema:")[-1].split("]")[0]
+
+
+def test_no_registered_query_plans_a_cross_join_or_row_udf(spark):
+    from labelbench.plans import registry
+    from conftest import SF001
+    bad = {}
+    for name, fn in registry.queries().items():
+        plan = _plan(fn(spark, SF001))
+        hits = [k for k in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython") if k in plan]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
