@@ -71,12 +71,38 @@ def class_quotas(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
     return _quota_stage(counts, label_col, "n_class", test_size, "train", "q_train")
 
 
+def _quota_on_buckets(t: DataFrame, label_col: str, n_col: str, test_size: float, first: str,
+                      out: str, what: str = "") -> DataFrame:
+    """``_quota_stage`` computed on the (label, bucket) count table itself.
+
+    Every row of a label carries the label's total ``n_col``; label-level sums
+    count each label once through its first-bucket row (``__first``).  The
+    global windows see at most labels x buckets rows, a bound that does not
+    grow with the data."""
+    every = Window.partitionBy()
+    once = F.col("__first")
+    t = (t.withColumn("n_all", F.sum(F.when(once, F.col(n_col)).otherwise(0)).over(every))
+         .withColumn("n_classes", F.sum(F.when(once, 1).otherwise(0)).over(every))
+         .withColumn("n_second", F.ceil(F.lit(float(test_size)) * F.col("n_all")).cast("long"))
+         .withColumn(f"n_{first}", F.col("n_all") - F.col("n_second"))
+         .withColumn("__num", F.col(n_col).cast("decimal(38,0)") * F.col(f"n_{first}").cast("decimal(38,0)"))
+         .withColumn("__tot", F.col("n_all").cast("decimal(38,0)"))
+         .withColumn("__fl", F.expr("__num div __tot").cast("long"))
+         .withColumn("__rem", F.expr("__num % __tot")))
+    t = (t.withColumn("__need", F.col(f"n_{first}") - F.sum(F.when(once, F.col("__fl")).otherwise(0)).over(every))
+         .withColumn("__r", F.dense_rank().over(Window.orderBy(F.desc("__rem"), F.asc(label_col))))
+         .withColumn(out, (F.col("__fl") + F.when(F.col("__r") <= F.col("__need"), 1).otherwise(0)).cast("long")))
+    t = t.withColumn(out, _guard(t, label_col, n_col, f"n_{first}", "n_second", out, what))
+    return t.drop("n_all", "n_classes", "n_second", f"n_{first}", "__num", "__tot", "__fl", "__rem", "__need", "__r")
+
+
 def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int, quota_fn):
     """Rows with their 1-based rank ``__rn`` inside the class (md5 order) and the
     class quotas, in one plan:
 
     * counts per (label, bucket) - one partial aggregation over the input;
-    * class counts, quotas and bucket offsets from that small table only;
+    * bucket offsets, class totals and quotas computed on that count table by
+      windows (one chain, one consumer, so the input is counted once);
     * ``row_number`` per (label, bucket), then ONE join with the small
       (label, bucket) table on the keys the rows are already partitioned by,
       so the rows themselves are shuffled exactly once.
@@ -84,11 +110,11 @@ def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int
     keyed = (df.withColumn("__key", seeded_key(seed, id_col))
              .withColumn("__bucket", hex_bucket("__key", bucket_digits)))
     counts = keyed.groupBy(label_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    class_counts = counts.groupBy(label_col).agg(F.sum("__n").alias("n_class"))
-    quotas = quota_fn(class_counts)
     w_off = Window.partitionBy(label_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (counts.select(label_col, "__bucket", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
-               .join(quotas, label_col))
+    cw = (counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_off), F.lit(0)))
+          .withColumn("n_class", F.sum("__n").over(Window.partitionBy(label_col)))
+          .withColumn("__first", F.col("__off") == 0))
+    offsets = quota_fn(cw).drop("__n", "n_class", "__first")
     w = Window.partitionBy(label_col, "__bucket").orderBy("__key", id_col)
     ranked = keyed.withColumn("__rn_local", F.row_number().over(w))
     return (ranked.join(offsets, [label_col, "__bucket"])
@@ -100,8 +126,8 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: floa
                      seed: int = 42, names=("train", "test"), out: str = "split",
                      bucket_digits: int = 4) -> DataFrame:
     """Exact per-class quotas, seeded membership; adds column ``out``."""
-    def quotas(cc):
-        return _quota_stage(cc, label_col, "n_class", test_size, "train", "q_train").drop("n_class")
+    def quotas(cw):
+        return _quota_on_buckets(cw, label_col, "n_class", test_size, "train", "q_train")
     r = _ranked(df, label_col, id_col, seed, bucket_digits, quotas)
     return (r.withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit(names[0]))
                          .otherwise(F.lit(names[1])))
@@ -120,12 +146,10 @@ def three_way_split(df: DataFrame, label_col: str, id_col: str, ratio_train: flo
     t1 = 1.0 - ratio_train
     t2 = ratio_test / (ratio_test + ratio_valid)
 
-    def quotas(cc):
-        q1 = _quota_stage(cc, label_col, "n_class", t1, "train", "q_train")
-        rest = q1.select(label_col, "q_train", (F.col("n_class") - F.col("q_train")).alias("n_rest"))
-        q2 = _quota_stage(rest.select(label_col, "n_rest"), label_col, "n_rest", t2, "valid", "q_valid",
-                          " in the rest")
-        return rest.select(label_col, "q_train").join(q2.select(label_col, "q_valid"), label_col)
+    def quotas(cw):
+        q1 = _quota_on_buckets(cw, label_col, "n_class", t1, "train", "q_train")
+        rest = q1.withColumn("n_rest", F.col("n_class") - F.col("q_train"))
+        return _quota_on_buckets(rest, label_col, "n_rest", t2, "valid", "q_valid", " in the rest").drop("n_rest")
 
     r = _ranked(df, label_col, id_col, seed, bucket_digits, quotas)
     return (r.withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit("train"))
