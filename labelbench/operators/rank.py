@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 def two_phase_row_number(df: DataFrame, partition_cols: list[str], order_col: str,
                          bucket: Column, out: str = "rn",
-                         tie_cols: list[str] | None = None) -> DataFrame:
+                         tie_cols: list[str] | None = None, total: str | None = None) -> DataFrame:
     """Add ``out`` = 1-based row number of each row inside ``partition_cols``
-    ordered by ``order_col`` (then ``tie_cols``).
+    ordered by ``order_col`` (then ``tie_cols``); with ``total``, also the
+    group's row count (from the same small table, no extra pass).
 
     ``bucket`` must be order-preserving: ``bucket(a) < bucket(b)`` implies
     ``a < b`` for the sort key (e.g. a fixed-length prefix of a hex hash).
@@ -30,8 +31,9 @@ def two_phase_row_number(df: DataFrame, partition_cols: list[str], order_col: st
     counts = keyed.groupBy(*partition_cols, b).agg(F.count(F.lit(1)).alias("__n"))
     w_off = Window.partitionBy(*partition_cols).orderBy(b).rowsBetween(
         Window.unboundedPreceding, -1)
+    extra = [F.sum("__n").over(Window.partitionBy(*partition_cols)).alias(total)] if total else []
     offsets = counts.select(*partition_cols, b,
-                            F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
+                            F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"), *extra)
     w = Window.partitionBy(*partition_cols, b).orderBy(order_col, *tie_cols)
     ranked = keyed.withColumn("__rn_local", F.row_number().over(w))
     return (ranked.join(offsets, [*partition_cols, b], "inner")

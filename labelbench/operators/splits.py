@@ -231,18 +231,12 @@ def shuffle_into_batches(df: DataFrame, id_col: str, batch_size: int = 64, seed:
     if not group_cols:
         keyed = keyed.withColumn("__g", F.lit(0))
     ranked = two_phase_row_number(keyed, parts, "__key", hex_bucket("__key", bucket_digits),
-                                  out="__rn", tie_cols=[id_col])
+                                  out="__rn", tie_cols=[id_col], total="__n")
     out = ranked.withColumn("batch", F.floor((F.col("__rn") - 1) / F.lit(batch_size)).cast("long")) \
                 .withColumn("pos_in_batch", ((F.col("__rn") - 1) % F.lit(batch_size)).cast("int"))
-    if drop_last:
-        if group_cols:
-            sizes = keyed.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
-            out = (out.join(sizes, parts)
-                   .where(F.col("__rn") <= F.floor(F.col("__n") / F.lit(batch_size)) * F.lit(batch_size))
-                   .drop("__n"))
-        else:  # one group: its size is one number
-            full = (df.count() // batch_size) * batch_size
-            out = out.where(F.col("__rn") <= F.lit(full))
+    if drop_last:  # the group size comes with the rank: no extra pass, no join
+        out = out.where(F.col("__rn") <= F.floor(F.col("__n") / F.lit(batch_size)) * F.lit(batch_size))
+    out = out.drop("__n")
     drop = ["__key", "__rn"] + ([] if group_cols else ["__g"])
     return out.drop(*drop)
 
