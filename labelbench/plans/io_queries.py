@@ -76,9 +76,9 @@ QUERIES["S4_read_jsonl_shards"] = (_s4, with_views(
 def _s5(spark, sf):
     path = scratch(spark, "s5")
     lab = table(spark, sf, "labels").where(F.col("quality") == 1)
-    # padded lines and repeated values, as real index files have
-    lines = lab.select(F.concat(F.lit(" \t"), F.col("doc_id").cast("string"), F.lit("  ")).alias("value"))
-    lines.unionByName(lines.where(F.col("value").endswith("7  "))).write.text(path)
+    # padded lines and repeated values (toxic ones twice), as real index files have
+    lines = lab.select(F.concat(F.lit(" \t"), F.col("doc_id").cast("string"), F.lit("  ")).alias("value"), "toxic")
+    lines.unionByName(lines.where(F.col("toxic") == 1)).select("value").write.text(path)
     return RD.read_index_list(spark, path, "train")
 
 
@@ -143,7 +143,7 @@ QUERIES["K3_write_prediction_files"] = (_k3, _k3_sql())
 def _k4(spark, sf):
     path = scratch(spark, "k4")
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    SK.append_distinct(conv.where(F.col("turn") % 2 == 0), path)
+    SK.append_distinct(conv.where(F.col("role") == "user"), path)  # a first batch, then everything
     return SK.append_distinct(conv, path)
 
 
@@ -154,12 +154,13 @@ def _k5(spark, sf):
     path = scratch(spark, "k5")
     lab = table(spark, sf, "labels")
     SK.upsert_by_key(lab.select("doc_id", "quality"), path, "doc_id")
-    new = lab.where(F.col("doc_id") % 3 == 0).select(
-        "doc_id", F.when(F.col("toxic") == 1, F.lit(1)).alias("quality"))  # NULL must win too
+    # the update: toxic documents get quality 1 kept and quality 0 replaced by NULL (a new NULL must win)
+    new = lab.where(F.col("toxic") == 1).select(
+        "doc_id", F.when(F.col("quality") == 1, F.lit(1)).alias("quality"))
     return SK.upsert_by_key(new, path, "doc_id")
 
 
-QUERIES["K5_upsert_by_key"] = (_k5, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (CASE WHEN toxic = 1 THEN 1 END) "
+QUERIES["K5_upsert_by_key"] = (_k5, "SELECT doc_id, CASE WHEN toxic = 1 THEN (CASE WHEN quality = 1 THEN 1 END) "
                                     "ELSE quality END AS quality FROM labels")
 
 
