@@ -246,7 +246,36 @@ def _x8(spark, sf):
     return c.select("conv_id", "turn", X.layout_tokens(marked).alias("out"))
 
 
-_reg("X8_layout_tokens", (_x8, None))
+def _x8_sql():
+    """The same rule, set-based: depth = running sum of INDENT/DEDENT; a
+    NEW_LINE ends up with the depth at the end of its segment (later markers
+    rewrite the last newline); index 0 is the last-newline slot before the
+    first NEW_LINE (a marker there leaves '' when it is the last one)."""
+    cls = S.sql_lit(X.PY_SPACE + "+")
+    sp = "CASE WHEN dend > 0 THEN repeat(' ' || chr(9) || ' ', CAST(dend AS INTEGER)) ELSE '' END"
+    nl = f"(' ' || chr(10) || ' ' || {sp})"
+    return (
+        "WITH src AS (SELECT conv_id, turn, concat_ws(' NEW_LINE ', role, 'INDENT ' || text || ' DEDENT') AS s "
+        "FROM conversations),\n"
+        f"arr AS (SELECT conv_id, turn, {S.strip('s')} AS st FROM src),\n"
+        f"toks AS (SELECT conv_id, turn, unnest(a) AS t, generate_subscripts(a, 1) - 1 AS p FROM "
+        f"(SELECT conv_id, turn, regexp_split_to_array(st, {cls}) AS a FROM arr WHERE st <> '')),\n"
+        "k AS (SELECT *, CASE lower(t) WHEN 'new_line' THEN 1 WHEN 'indent' THEN 2 WHEN 'dedent' THEN 3 ELSE 0 END AS k "
+        "FROM toks),\n"
+        "d AS (SELECT *, sum(CASE k WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END) OVER w AS depth, "
+        "sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER w AS seg FROM k "
+        "WINDOW w AS (PARTITION BY conv_id, turn ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),\n"
+        "e AS (SELECT *, last_value(depth) OVER (PARTITION BY conv_id, turn, seg ORDER BY p ROWS BETWEEN UNBOUNDED "
+        "PRECEDING AND UNBOUNDED FOLLOWING) AS dend, max(CASE WHEN seg = 0 AND k IN (2, 3) THEN p END) OVER "
+        "(PARTITION BY conv_id, turn) AS l0 FROM d),\n"
+        f"o AS (SELECT conv_id, turn, p, CASE WHEN k = 1 THEN {nl} WHEN p = 0 THEN (CASE WHEN l0 IS NULL THEN t "
+        f"WHEN l0 = 0 THEN '' ELSE {nl} END) WHEN k IN (2, 3) THEN '' ELSE t END AS o FROM e)\n"
+        "SELECT a.conv_id, a.turn, regexp_replace(coalesce(j.s, ''), ' +', ' ', 'g') AS out FROM arr a LEFT JOIN "
+        "(SELECT conv_id, turn, string_agg(o, ' ' ORDER BY p) AS s FROM o GROUP BY conv_id, turn) j "
+        "USING (conv_id, turn)")
+
+
+_reg("X8_layout_tokens", (_x8, _x8_sql()))
 
 
 def _x19(spark, sf):
