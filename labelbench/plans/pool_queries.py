@@ -13,7 +13,7 @@ from ..operators import pooling as PO
 from ..operators import scoring as SC
 from ..session import table
 from . import sqlparts as S
-from .fixtures import hidden_states, labelled_text, with_views
+from .fixtures import SQL_VIEWS, hidden_states, labelled_text, with_views
 
 QUERIES = {}
 
@@ -286,15 +286,21 @@ def _x19(spark, sf):
 _reg("X19_json_fields", (_x19, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"))
 
 
-def _stub_encoder(n_layers: int = 3, hidden: int = 8, seed: int = 7):
-    """Seeded numpy stand-in for a pretrained encoder: an embedding lookup
-    followed by fixed tanh layers."""
-    rng = np.random.default_rng(seed)
-    emb = rng.standard_normal((4096, hidden))
-    mats = [rng.standard_normal((hidden, hidden)) / np.sqrt(hidden) for _ in range(n_layers)]
+# Stand-in encoder for V16: a formula instead of a pretrained model, so that the
+# SQL twin can recompute it.  Embedding of token id i, dimension k:
+# sin((i + 1)(k + 1) * 0.37); layer l: tanh(x @ M_l) with
+# M_l[a][b] = cos((a + 1)(b + 2)(l + 1) * 0.11) / sqrt(H).
+ENC_HIDDEN, ENC_LAYERS, ENC_LEN = 8, 3, 32
+ENC_M = [[[float(np.cos((a + 1) * (b + 2) * (layer + 1) * 0.11) / np.sqrt(ENC_HIDDEN)) for b in range(ENC_HIDDEN)]
+          for a in range(ENC_HIDDEN)] for layer in range(ENC_LAYERS)]
+
+
+def _stub_encoder():
+    mats = [np.array(m) for m in ENC_M]
+    k = np.arange(ENC_HIDDEN)
 
     def enc(ids, mask):
-        x = emb[ids % emb.shape[0]] * mask[..., None]
+        x = np.sin((ids[..., None] + 1) * (k + 1) * 0.37) * mask[..., None]
         out = [x]
         for m in mats:
             x = np.tanh(x @ m)
@@ -306,10 +312,41 @@ def _stub_encoder(n_layers: int = 3, hidden: int = 8, seed: int = 7):
 def _v16(spark, sf):
     lt = labelled_text(spark, sf)
     vocab = L.vocabulary(lt, first_id=4)
-    enc = L.encode_fixed_length(lt, vocab, "ord", max_length=32)
-    states = PO.encode_states(enc, _stub_encoder(), n_layers=3, hidden=8, id_col="ord")
+    enc = L.encode_fixed_length(lt, vocab, "ord", max_length=ENC_LEN)
+    states = PO.encode_states(enc, _stub_encoder(), n_layers=ENC_LAYERS, hidden=ENC_HIDDEN, id_col="ord")
     pooled = PO.max_pool_layers_max_pool_tokens(states, special_tokens_to_zero=True)
     return pooled.select(PO.KEY, F.round(vsum("vec"), 9).alias("vec_sum"))
 
 
-_reg("V16_encode_states", (_v16, None))
+def _v16_sql():
+    pat = S.sql_lit(X.TOKEN_PATTERN)
+    keep = ENC_LEN - 2
+    x = "x0"
+    layers = []
+    for layer in range(ENC_LAYERS):
+        cols = "[" + ", ".join(_lst([ENC_M[layer][a][b] for a in range(ENC_HIDDEN)]) for b in range(ENC_HIDDEN)) + "]"
+        layers.append(f"list_transform(range({ENC_HIDDEN}), lambda b: tanh(list_dot_product({x}, {cols}[b + 1]))) AS x{layer + 1}")
+        x = f"x{layer + 1}"
+    return (
+        "WITH vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT DISTINCT "
+        f"unnest(regexp_extract_all(src, {pat})) AS token FROM labelled_text)),\n"
+        "tp AS (SELECT t.ord, list(CAST(v.id AS BIGINT) ORDER BY t.p) AS ids FROM (SELECT ord, unnest(toks) AS token, "
+        f"generate_subscripts(toks, 1) - 1 AS p FROM (SELECT ord, regexp_extract_all(src, {pat}) AS toks FROM labelled_text)) t "
+        f"JOIN vocab v USING (token) WHERE t.p < {keep} GROUP BY t.ord),\n"
+        "enc AS (SELECT l.ord, [0] || coalesce(tp.ids, []) || [2] AS body FROM labelled_text l LEFT JOIN tp USING (ord)),\n"
+        f"pos AS (SELECT ord, p, CASE WHEN p < len(body) THEN body[p + 1] ELSE 1 END AS id, "
+        f"CASE WHEN p < len(body) THEN 1 ELSE 0 END AS m, len(body) AS n_real "
+        f"FROM enc, (SELECT unnest(range({ENC_LEN})) AS p)),\n"
+        f"x0 AS (SELECT *, list_transform(range({ENC_HIDDEN}), lambda k: sin(CAST((id + 1) * (k + 1) AS DOUBLE) * CAST(0.37 AS DOUBLE)) * m) AS x0 FROM pos),\n"
+        f"xs AS (SELECT ord, p, m, n_real, {', '.join(layers)} FROM (SELECT * FROM x0)),\n"
+        "eff AS (SELECT *, CASE WHEN p = 0 OR p = (CASE WHEN n_real - 2 < 0 THEN " + str(ENC_LEN) +
+        " + n_real - 2 ELSE n_real - 2 END) THEN 0 ELSE m END AS e FROM xs),\n"
+        "flat AS (SELECT ord, e, unnest([" + ", ".join(f"x{i + 1}" for i in range(ENC_LAYERS)) + "]) AS v FROM eff),\n"
+        "vals AS (SELECT ord, CASE WHEN e = 0 THEN 0.0 ELSE x END AS x, dim FROM "
+        "(SELECT ord, e, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM flat))\n"
+        "SELECT ord AS example_id, round(sum(mx), 9) AS vec_sum FROM "
+        "(SELECT ord, dim, max(x) AS mx FROM vals GROUP BY ord, dim) GROUP BY ord")
+
+
+_reg("V16_encode_states", (_v16, "WITH " + SQL_VIEWS["labelled_text"] + ",\n" + _v16_sql().replace("WITH ", "", 1)))
+

@@ -78,7 +78,7 @@ def quota_ctes(prefix: str, src: str, label: str, test_size: float,
     g = group_src or f"SELECT {label} AS label, {count_expr} AS n_class FROM {src} GROUP BY {label}"
     return [
         f"{prefix}_c AS ({g})",
-        f"""{prefix}_t AS (SELECT *, CAST(ceil({float(test_size)!r} * n_all) AS BIGINT) AS n_test
+        f"""{prefix}_t AS (SELECT *, CAST(ceil(CAST({float(test_size)!r} AS DOUBLE) * n_all) AS BIGINT) AS n_test
   FROM (SELECT *, sum(n_class) OVER () AS n_all FROM {prefix}_c))""",
         f"""{prefix}_f AS (SELECT *, CAST((CAST(n_class AS HUGEINT) * (n_all - n_test)) // n_all AS BIGINT) AS fl,
   (CAST(n_class AS HUGEINT) * (n_all - n_test)) % n_all AS rem, n_all - n_test AS n_train FROM {prefix}_t)""",
