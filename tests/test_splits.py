@@ -109,3 +109,17 @@ def test_describe_numeric_label(spark):
     got = {(r.split, r.column): (r["count"], r["mean"]) for r in describe_columns(df, ["n_tokens", "label"]).collect()}
     assert got[("train", "n_tokens")] == (2, 4.0) and got[("train", "label")] == (2, 0.0)
     assert got[("test", "label")] == (1, 1.0)
+
+
+def test_hot_label_is_spread_over_buckets(spark):
+    # one label holds 90% of the rows: its ranking must not sit in one window partition
+    n = 60000
+    df = spark.range(n).select(F.col("id").alias("ord"),
+                               F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("label"))
+    out = SP.three_way_split(df, "label", "ord", 0.8, 0.1, 0.1, seed=3)
+    got = {(r.label, r.split): r.n for r in out.groupBy("label", "split").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == n
+    assert got[("hot", "train")] == 43200 and got[("rare", "train")] == 4800
+    keyed = df.withColumn("k", SP.seeded_key(3, "ord")).withColumn("b", hex_bucket("k", 4))
+    per_bucket = keyed.where("label = 'hot'").groupBy("b").count()
+    assert per_bucket.count() > 20000 and per_bucket.agg(F.max("count")).first()[0] < 20
