@@ -108,6 +108,19 @@ def describe_tokens_by_class(df: DataFrame, value_col: str = "n_tokens", split_c
     return _describe_finish(agg, [split_col, label_col], rounded)
 
 
+STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def describe_tokens_by_class_wide(df: DataFrame, value_col: str = "n_tokens", split_col: str = "split",
+                                  label_col: str = "label", splits=SPLITS, rounded: bool = True) -> DataFrame:
+    """A5 in the original's shape: one row per label, the splits' statistics
+    side by side (``train_count``, ``train_mean``, ...), ordered by the train
+    count descending.  One pivot over the long result (J7), no repeated joins."""
+    long = describe_tokens_by_class(df, value_col, split_col, label_col, rounded)
+    wide = long.groupBy(label_col).pivot(split_col, list(splits)).agg(*[F.first(c).alias(c) for c in STATS])
+    return wide.orderBy(F.desc_nulls_last(f"{splits[0]}_count"), label_col)
+
+
 def dataset_stats(df: DataFrame, value_col: str = "n_tokens", split_col: str = "split") -> DataFrame:
     """Rows, mean, max, min and **population** std of the token count per split."""
     v = F.col(value_col)

@@ -427,3 +427,13 @@ QUERIES["A4_describe_tokens_and_label"] = (_a4_label, with_views(
     ctes=[f"lq AS (SELECT ord, {S.shrink_text('src')} AS src, label FROM labelled_quality)",
           *S.three_way_ctes("w5", "lq", "label", "ord"),
           f"tokq AS (SELECT split, label, {S.token_count('src')} AS n_tokens FROM w5)"]))
+
+
+def _a5_wide(spark, sf):
+    return PR.describe_tokens_by_class_wide(_tok(spark, sf))
+
+
+_WIDE_SQL = ", ".join(f"max(CASE WHEN split = '{sp}' THEN {st} END) AS {sp}_{st}"
+                      for sp in ("train", "valid", "test") for st in PR.STATS)
+QUERIES["A5_describe_tokens_by_class_wide"] = (_a5_wide, _with_shrunk_tok(
+    f"SELECT label, {_WIDE_SQL} FROM (SELECT split, label, {_DESC_SQL} FROM tok GROUP BY split, label) GROUP BY label"))
