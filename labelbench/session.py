@@ -88,11 +88,14 @@ def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = 1
     file sizes) is the table redistributed round robin.  On large inputs the
     scan already has thousands of splits and nothing is added - no shuffle of
     the full data."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= want:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no RDD / JVM access (e.g. a Connect session): leave the scan as it is
         return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < min_bytes:
+    if size < min_bytes:
         return df
     return df.repartition(want)
 
