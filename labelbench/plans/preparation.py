@@ -48,12 +48,19 @@ def prepare(df: DataFrame, out_dir: str | None = None, split: str = "three_way",
         table = x.sparkSession.read.parquet(os.path.join(out_dir, "table"))
     else:
         table = cut_lineage(x)
-    return {
+    out = {
         "table": table,
         "class_distribution": PR.class_distribution(table),
         "token_count": PR.describe_tokens(table),
-        "token_count_per_class": PR.describe_tokens_by_class(table),
+        "token_count_per_class": PR.describe_tokens_by_class_wide(table),
         "overlap": PR.split_overlap(table),
         "label_check": PR.label_set_check(table),
         "first_examples": PR.first_examples(table),
     }
+    if out_dir:
+        # K2: the three profile tables, with the parameters as columns
+        params = {"split": split, "keep_formatting": keep_formatting, "shrink": shrink, "seed": seed,
+                  "ratio_train": ratio_train, "ratio_valid": ratio_valid, "ratio_test": ratio_test}
+        SK.write_tables({k: out[k] for k in ("class_distribution", "token_count", "token_count_per_class")},
+                        os.path.join(out_dir, "stats"), params)
+    return out

@@ -16,3 +16,5 @@ def test_prepare_writes_and_profiles(spark, tmp_dir):
     assert out["label_check"].count() == 0
     assert {r.split for r in out["token_count"].collect()} == {"train", "valid", "test"}
     assert os.path.isdir(os.path.join(tmp_dir, "prep", "jsonl", "split=train"))
+    stats = spark.read.parquet(os.path.join(tmp_dir, "prep", "stats", "token_count_per_class"))
+    assert "train_count" in stats.columns and stats.select("seed").first()[0] == 42
