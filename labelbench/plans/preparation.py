@@ -43,9 +43,10 @@ def prepare(df: DataFrame, out_dir: str | None = None, split: str = "three_way",
               .unionByName(rest)
     x = PR.with_token_count(x, tokenizer=tokenizer)
     if out_dir:
-        SK.write_split_jsonl(x, os.path.join(out_dir, "jsonl"))
+        # written once; the JSON lines and every profile read the written table
         x.write.mode("overwrite").partitionBy("split").parquet(os.path.join(out_dir, "table"))
         table = x.sparkSession.read.parquet(os.path.join(out_dir, "table"))
+        SK.write_split_jsonl(table, os.path.join(out_dir, "jsonl"))
     else:
         table = cut_lineage(x)
     out = {
@@ -59,7 +60,7 @@ def prepare(df: DataFrame, out_dir: str | None = None, split: str = "three_way",
     }
     if out_dir:
         # K2: the three profile tables, with the parameters as columns
-        params = {"split": split, "keep_formatting": keep_formatting, "shrink": shrink, "seed": seed,
+        params = {"split_method": split, "keep_formatting": keep_formatting, "shrink": shrink, "seed": seed,
                   "ratio_train": ratio_train, "ratio_valid": ratio_valid, "ratio_test": ratio_test}
         SK.write_tables({k: out[k] for k in ("class_distribution", "token_count", "token_count_per_class")},
                         os.path.join(out_dir, "stats"), params)

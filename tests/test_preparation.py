@@ -18,3 +18,5 @@ def test_prepare_writes_and_profiles(spark, tmp_dir):
     assert os.path.isdir(os.path.join(tmp_dir, "prep", "jsonl", "split=train"))
     stats = spark.read.parquet(os.path.join(tmp_dir, "prep", "stats", "token_count_per_class"))
     assert "train_count" in stats.columns and stats.select("seed").first()[0] == 42
+    tc = spark.read.parquet(os.path.join(tmp_dir, "prep", "stats", "token_count"))
+    assert {r.split for r in tc.collect()} == {"train", "valid", "test"}
