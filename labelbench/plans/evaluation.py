@@ -37,17 +37,19 @@ def metric_log(preds: DataFrame, losses: DataFrame | None = None, weight_col: st
 def evaluate(preds: DataFrame, losses: DataFrame | None = None, benchmark: str = "acc",
              out_dir: str | None = None, weight_col: str | None = None) -> dict:
     """Metrics, running best and best epoch on the validation mode, and the
-    prediction files (last epoch, last improvement) of every run."""
+    prediction files (last epoch, last improvement) of every run.  With
+    ``out_dir`` the metric log is written first and everything after it reads
+    the written log (computed once, survives lost executors)."""
     log = metric_log(preds, losses, weight_col)
+    if out_dir:
+        path = os.path.join(out_dir, "metrics")
+        SK.log_metrics(log.withColumn("step", F.col("epoch").cast("long")), path)
+        log = SK.read_metric_log(log.sparkSession, path, ("run_id", "mode", "epoch", "metric")).drop("step")
     valid = log.where((F.col("mode") == "valid") & (F.col("metric") == benchmark)) \
                .select("run_id", "epoch", F.col("epoch").cast("long").alias("step"), "value")
     flags = M.running_best(valid)
     best = M.best_epoch(valid)
     files = M.prediction_files(preds.where(F.col("mode") == "valid").drop("mode"), flags, "valid", benchmark)
-    out = {"metrics": log, "running_best": flags, "best_epoch": best, "prediction_files": files}
     if out_dir:
-        SK.log_metrics(log.withColumn("step", F.col("epoch").cast("long")), os.path.join(out_dir, "metrics"))
         SK.write_predictions(files, os.path.join(out_dir, "predictions"), value_col="y_pred")
-        out["metrics"] = SK.read_metric_log(log.sparkSession, os.path.join(out_dir, "metrics"),
-                                            ("run_id", "mode", "epoch", "metric"))
-    return out
+    return {"metrics": log, "running_best": flags, "best_epoch": best, "prediction_files": files}
