@@ -275,6 +275,16 @@ def delta_matrix(clean: DataFrame, metric: str, epochs: int = EPOCHS, long: bool
         F.first("delta"))
 
 
+def pvalue_matrix(clean: DataFrame, metric: str, epochs: int = EPOCHS) -> DataFrame:
+    """A10 companion: the Wilcoxon p-value of every one-layer, non-cutoff cell
+    against the baseline, in the same variant x layer (l1..l12) shape."""
+    t = cell_tests(clean, metric, epochs)
+    t = t.where(F.col(COMB).contains("one_layer") & ~F.col(COMB).contains("cutoff"))
+    t = t.select("dataset", variant_key().alias("variant"),
+                 F.concat(F.lit("l"), F.col(LAYER).cast("string")).alias("__l"), "p_value")
+    return t.groupBy("dataset", "variant").pivot("__l", [f"l{i}" for i in range(1, 13)]).agg(F.first("p_value"))
+
+
 def best_cell(delta_long: DataFrame, part=("dataset", "stat")) -> DataFrame:
     """Greatest delta with every (variant, layer) that reaches it (rank keeps ties)."""
     w = Window.partitionBy(*part).orderBy(F.desc("delta"))

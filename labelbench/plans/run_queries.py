@@ -345,6 +345,21 @@ QUERIES["A10_delta_matrix"] = (_a10, with_views(
     "runs", ctes=SQL_DELTA))
 
 
+def _a10p(spark, sf):
+    return round_doubles(R.pvalue_matrix(_clean(spark, sf), METRIC))
+
+
+QUERIES["A10_pvalue_matrix"] = (_a10p, with_views(
+    r6("SELECT dataset, CASE WHEN NOT not_special_tokens_to_zero AND NOT contains(combination_type, 'cls') "
+       "THEN combination_type || '_zero_out_sp_tokens' ELSE combination_type END AS variant, " + ", ".join(
+           f"max(CASE WHEN hidden_layer_to_use = {i} THEN p_value END) AS l{i}" for i in range(1, 13)) +
+       " FROM (SELECT DISTINCT " + CELL_SQL + " FROM cellv) c LEFT JOIN wx USING (" + CELL_SQL + ") "
+       "WHERE contains(combination_type, 'one_layer') AND NOT contains(combination_type, 'cutoff') "
+       "GROUP BY ALL", [f"l{i}" for i in range(1, 13)]),
+    "runs", ctes=[SQL_CLEAN, cellv(), base(), SQL_PAIRS, *SQL_CDF, *wilcoxon_ctes("wx", "pairs", CELL_SQL)],
+    recursive=True))
+
+
 def _t3(spark, sf):
     return round_doubles(R.best_cell(R.delta_matrix(_clean(spark, sf), METRIC, long=True)))
 
