@@ -337,9 +337,11 @@ def duration_table(clean: DataFrame, combination: str = CUTOFF, epochs: int = EP
         F.avg(F.col("time_train_min") * 60.0).alias("epoch_seconds"))
 
 
-def speedup(clean: DataFrame, combination: str = CUTOFF, epochs: int = EPOCHS, flag: bool = False) -> DataFrame:
-    """Baseline mean train time / cell mean train time, 1 decimal."""
-    d = duration_table(clean, combination, epochs, flag)
+def speedup(clean: DataFrame, combination: str = CUTOFF, epochs: int = EPOCHS, flag: bool = False,
+            durations: DataFrame | None = None) -> DataFrame:
+    """Baseline mean train time / cell mean train time, 1 decimal
+    (``durations``: an A14 table already computed)."""
+    d = durations if durations is not None else duration_table(clean, combination, epochs, flag)
     b = d.where(F.col(LAYER) == 12).select("dataset", F.col("epoch_seconds").alias("__b"))
     return d.join(b, "dataset").select("dataset", LAYER, F.round(stable(F.try_divide(F.col("__b"), F.col("epoch_seconds"))), 1)
                                        .alias("speedup"))
@@ -360,8 +362,9 @@ def pruned_table(clean: DataFrame, metrics=("acc_test", "balanced_acc_test", "f1
     base_par = baseline_stats(clean, "num_trainable_parameters", epochs).select(
         "dataset", F.lit(12).alias(LAYER), F.col("base_mean").alias("params_pct"))
     out = par.unionByName(base_par)
-    out = out.join(duration_table(clean, combination, epochs, flag), ["dataset", LAYER], "full_outer")
-    out = out.join(speedup(clean, combination, epochs, flag), ["dataset", LAYER], "left")
+    dur = duration_table(clean, combination, epochs, flag)
+    out = out.join(dur, ["dataset", LAYER], "full_outer")
+    out = out.join(speedup(clean, combination, epochs, flag, dur), ["dataset", LAYER], "left")
 
     comb, blayer, bflag = BASELINE
     rows = clean.where((F.col("epochs") == epochs)

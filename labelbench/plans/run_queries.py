@@ -11,6 +11,7 @@ from ..functions import timefmt as TF
 from ..operators import runs as R
 from ..operators import stats as ST
 from ..operators.profile import align_columns
+from ..session import cut_lineage
 from .fixtures import runs, with_views
 
 QUERIES = {}
@@ -479,7 +480,8 @@ _A15_METRICS = ["acc_test", "balanced_acc_test", "f1_micro_test", "f1_weighted_t
 
 
 def _a15(spark, sf):
-    return round_doubles(R.pruned_table(_clean(spark, sf), _A15_METRICS))
+    # the cleaned run table feeds about ten branches: write it once (lineage cut)
+    return round_doubles(R.pruned_table(cut_lineage(_clean(spark, sf)), _A15_METRICS))
 
 
 def _a15_sql():
@@ -576,7 +578,7 @@ QUERIES["X13_hms"] = (_x13, with_views(
 
 
 def _x14(spark, sf):
-    c = _clean(spark, sf)
+    c = cut_lineage(_clean(spark, sf))  # tests and effects both read it
     cmp = R.compare_cells(c, METRIC)
     eff = R.cell_effects(c, METRIC).select(*R.CELL, "band")
     j = cmp.join(eff, R.CELL, "left").withColumn("delta", (F.col("mean") - F.col("base_mean")) * 100)
