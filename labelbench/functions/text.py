@@ -79,19 +79,23 @@ def split_join(col) -> Column:
     return F.regexp_replace(py_strip(col), f"{PY_SPACE}+", " ")
 
 
-def token_count(col, tokenizer=None) -> Column:
+def token_count(col, tokenizer=None, tokenizer_loader=None) -> Column:
     """Tokens per text.
 
     ``tokenizer=None`` uses the built-in word pattern, counted by
     ``regexp_count`` without building the token array.  A callable tokenizer
-    (``str -> list``) runs as an Arrow UDF, loaded once per Python worker.
+    (``str -> list``) runs as an Arrow UDF; ``tokenizer_loader`` (a zero-argument
+    function returning such a callable, e.g. reading a tokenizer from a path) is
+    called once per Python worker process.
     """
-    if tokenizer is None:
+    if tokenizer is None and tokenizer_loader is None:
         return F.regexp_count(_c(col), F.lit(TOKEN_PATTERN)).cast("int")
 
     @F.pandas_udf(T.IntegerType())
     def _count(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else len(tokenizer(x))).astype("Int32")
+        from .workers import cached
+        tok = tokenizer if tokenizer_loader is None else cached(tokenizer_loader)
+        return s.map(lambda x: None if x is None else len(tok(x))).astype("Int32")
 
     return _count(_c(col))
 

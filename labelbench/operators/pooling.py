@@ -237,26 +237,29 @@ POOLINGS = {
 }
 
 
-def encode_states(encoded: DataFrame, encoder, n_layers: int, hidden: int,
-                  id_col: str = "ex_id") -> DataFrame:
+def encode_states(encoded: DataFrame, encoder=None, n_layers: int = 12, hidden: int = 768,
+                  id_col: str = "ex_id", encoder_loader=None) -> DataFrame:
     """Run a supplied encoder over (input_ids, attention_mask) and emit one
     hidden-state row per (example, layer, position).
 
     ``encoder(ids: np.ndarray[B,S], mask: np.ndarray[B,S]) -> np.ndarray[L+1,B,S,H]``
-    is called once per Arrow batch inside the task (load the model in the
-    closure, once per Python worker).  ``n_real`` / ``n_pos`` are written with
-    every row so V1 needs no join.
+    is called once per Arrow batch inside the task.  ``encoder_loader`` (a
+    zero-argument function returning such an encoder, e.g. loading a model from
+    a path) is called once per Python worker process instead.  ``n_real`` /
+    ``n_pos`` are written with every row so V1 needs no join.
     """
     schema = (f"example_id long, layer int, pos int, mask int, n_real int, n_pos int, "
               f"vec array<double>")
 
     def run(batches):
+        from ..functions.workers import cached
+        enc = encoder if encoder_loader is None else cached(encoder_loader)
         for pdf in batches:
             if pdf.empty:
                 continue
             ids = np.stack(pdf["input_ids"].to_numpy())
             msk = np.stack(pdf["attention_mask"].to_numpy())
-            states = np.asarray(encoder(ids, msk), dtype=np.float64)
+            states = np.asarray(enc(ids, msk), dtype=np.float64)
             n_layers1, b, s, _ = states.shape
             ex = np.repeat(pdf[id_col].to_numpy(), s)
             rows = []

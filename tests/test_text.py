@@ -111,3 +111,10 @@ def test_pluggable_tokenizer_runs_as_arrow_udf(spark):
     texts = ["a b  c", "", "x"]
     got = _run(spark, texts, lambda c: X.token_count(c, tokenizer=str.split))
     assert got == [3, 0, 1]
+
+
+def test_tokenizer_loader_once_per_worker(spark):
+    def load():  # e.g. read a tokenizer from a path; runs once per Python worker
+        return lambda s: s.split()
+    got = _run(spark, ["a b", "c d e"], lambda c: X.token_count(c, tokenizer_loader=load))
+    assert got == [2, 3]
