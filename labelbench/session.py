@@ -100,11 +100,25 @@ def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = 1
     return df.repartition(want)
 
 
+# (session, path) -> DataFrame.  Reading a path lists files and reads parquet
+# footers (~0.1 s), and the spread decision plans the scan; a DataFrame is an
+# immutable plan (no data is held), so the provided tables are read once per
+# session.
+_TABLE_CACHE: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
     """Read one provided table; Catalyst prunes columns and pushes filters into the scan.
 
     A coarse scan of a non-tiny table is spread over the cores (see ``spread``)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if spread_rows else df
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path, spread_rows)
+    df = _TABLE_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        if spread_rows:
+            df = spread(df)
+        _TABLE_CACHE[key] = df
+    return df
