@@ -33,15 +33,17 @@ def class_report(conf: DataFrame, group_cols=("task",), y_true: str = "y_true",
     """Per class of the union of true and predicted labels: tp, fp, fn,
     support, precision, recall, f1 (0 where undefined)."""
     g = list(group_cols)
-    sup = conf.groupBy(*g, F.col(y_true).alias("cls")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(*g, F.col(y_pred).alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = (conf.where(F.col(y_true) == F.col(y_pred))
-          .groupBy(*g, F.col(y_true).alias("cls")).agg(F.sum("n").alias("tp")))
-    r = (sup.join(prd, [*g, "cls"], "full_outer").join(tp, [*g, "cls"], "left")
-         .select(*g, "cls",
-                 F.coalesce("tp", F.lit(0)).cast("long").alias("tp"),
-                 F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted"),
-                 F.coalesce("support", F.lit(0)).cast("long").alias("support")))
+    n = F.col("n").cast("long")
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col(y_true) == F.col(y_pred), n).otherwise(zero)
+    # every confusion cell counts once for its true class and once for its
+    # predicted class: one aggregation over the union of both label sets
+    parts = conf.select(*g, F.explode(F.array(
+        F.struct(F.col(y_true).alias("cls"), n.alias("s"), zero.alias("p"), hit.alias("t")),
+        F.struct(F.col(y_pred).alias("cls"), zero.alias("s"), n.alias("p"), zero.alias("t")))).alias("r"))
+    r = parts.groupBy(*g, F.col("r.cls").alias("cls")).agg(
+        F.sum("r.t").cast("long").alias("tp"), F.sum("r.p").cast("long").alias("predicted"),
+        F.sum("r.s").cast("long").alias("support"))
     r = (r.withColumn("fp", F.col("predicted") - F.col("tp"))
          .withColumn("fn", F.col("support") - F.col("tp"))
          .withColumn("precision", _div0(F.col("tp"), F.col("predicted")))
