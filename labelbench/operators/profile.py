@@ -176,10 +176,17 @@ def split_overlap(df: DataFrame, src_col: str = "src", split_col: str = "split",
 
 def intersect_texts(df: DataFrame, a: str, b: str, src_col: str = "src",
                     split_col: str = "split") -> DataFrame:
-    """O3: distinct texts present in both splits."""
-    left = df.where(F.col(split_col) == a).select(src_col)
-    right = df.where(F.col(split_col) == b).select(src_col)
-    return left.intersect(right)
+    """O3: distinct texts present in both splits.
+
+    Grouped by a sha2-256 key with one flag per side: each distinct text is
+    shuffled once, after map-side de-duplication (a plain ``intersect`` shuffles
+    the texts of both sides in full)."""
+    g = (df.where(F.col(split_col).isin(a, b))
+         .groupBy(F.sha2(F.col(src_col), 256).alias("__h"))
+         .agg(F.first(src_col).alias(src_col),
+              F.max(F.when(F.col(split_col) == a, 1).otherwise(0)).alias("__a"),
+              F.max(F.when(F.col(split_col) == b, 1).otherwise(0)).alias("__b")))
+    return g.where((F.col("__a") == 1) & (F.col("__b") == 1)).select(src_col)
 
 
 def union_labels(df: DataFrame, label_col: str = "label", split_col: str = "split",
