@@ -87,7 +87,7 @@ def _lines(spark, paths, keep_empty_last: bool = False) -> DataFrame:
 def read_json_array(spark: SparkSession, paths, schema: str | T.StructType) -> DataFrame:
     """Whole-file JSON array; ``ord`` = array position (dense across files)."""
     ddl = schema if isinstance(schema, str) else schema.simpleString()
-    arr = f"array<{ddl}>" if not ddl.startswith("struct<") else f"array<{ddl}>"
+    arr = f"array<{ddl}>"
     d = _whole_files(spark, paths)
     rows = d.select("file_idx", F.posexplode(F.from_json("value", arr, {"mode": "FAILFAST"})).alias("pos", "r"))
     return _dense_ord(rows.select("file_idx", "pos", "r.*"))
