@@ -269,8 +269,8 @@ def _a17(spark, sf):
 SQL_A12 = ("a12t AS (SELECT " + CELL_SQL + ", CAST(n1 AS INTEGER) AS n1, CAST(n2 AS INTEGER) AS n2, greatest(s, 1 - s) AS a12 FROM "
            "(SELECT " + CELL_SQL + ", sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN side <> 1 THEN 1 ELSE 0 END) AS n2, "
            "(sum(CASE WHEN side = 1 THEN r ELSE 0.0 END) - sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) * "
-           "(sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) + 1) / 2.0) / (sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) * "
-           "sum(CASE WHEN side <> 1 THEN 1 ELSE 0 END)) AS s FROM (" + avg_rank_sql("samples", CELL_SQL, "value") +
+           "(sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) + 1) / 2.0) / nullif(sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) * "
+           "sum(CASE WHEN side <> 1 THEN 1 ELSE 0 END), 0) AS s FROM (" + avg_rank_sql("samples", CELL_SQL, "value") +
            ") GROUP BY " + CELL_SQL + "))")
 SQL_BAND = ("CASE WHEN a12 IS NULL THEN NULL WHEN a12 >= 0.71 THEN 'large' WHEN a12 >= 0.64 THEN 'medium' "
             "WHEN a12 >= 0.56 THEN 'small' ELSE 'none' END")
@@ -290,12 +290,15 @@ def _j8(spark, sf):
 
 
 QUERIES["J8_all_pairs"] = (_j8, with_views(
+    "SELECT c.*, CAST(coalesce(p.more, 0) AS BIGINT) AS more, CAST(coalesce(p.same, 0) AS BIGINT) AS same, "
+    "CAST(coalesce(p.pairs, 0) AS BIGINT) AS pairs FROM (SELECT DISTINCT " + CELL_SQL + " FROM samples) c LEFT JOIN ("
     "SELECT x.dataset, x.combination_type, x.hidden_layer_to_use, x.not_special_tokens_to_zero, "
-    "CAST(sum(CASE WHEN x.value > y.value THEN 1 ELSE 0 END) AS BIGINT) AS more, "
-    "CAST(sum(CASE WHEN x.value = y.value THEN 1 ELSE 0 END) AS BIGINT) AS same, CAST(count(*) AS BIGINT) AS pairs "
+    "sum(CASE WHEN x.value > y.value THEN 1 ELSE 0 END) AS more, "
+    "sum(CASE WHEN x.value = y.value THEN 1 ELSE 0 END) AS same, count(*) AS pairs "
     "FROM samples x JOIN samples y ON x.dataset = y.dataset AND x.combination_type = y.combination_type AND "
     "x.hidden_layer_to_use = y.hidden_layer_to_use AND x.not_special_tokens_to_zero = y.not_special_tokens_to_zero "
-    "AND x.side = 1 AND y.side = 2 GROUP BY ALL", "runs", ctes=[SQL_CLEAN, cellv(), base(), SQL_SAMPLES]))
+    "AND x.side = 1 AND y.side = 2 GROUP BY ALL) p USING (" + CELL_SQL + ")", "runs",
+    ctes=[SQL_CLEAN, cellv(), base(), SQL_SAMPLES]))
 
 SQL_COMPARE = [
     SQL_CLEAN, cellv(), base(), bstats(), SQL_PAIRS, *SQL_CDF, *wilcoxon_ctes("wx", "pairs", CELL_SQL),
