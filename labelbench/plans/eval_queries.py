@@ -8,13 +8,15 @@ from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import profile as PR
 from ..session import table
+from ..functions.timefmt import stable
 from .fixtures import epoch_metrics, logits, predictions, with_views
+from .sqlparts import sround
 
 QUERIES = {}
 
 
 def _r6(df, cols):
-    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[F.round(stable(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def _x17(spark, sf):
@@ -30,10 +32,10 @@ SQL_LOSS = ("loss AS (SELECT ex_id, y, batch, ln(list_sum(list_transform(logits,
 
 
 def _x18(spark, sf):
-    return M.row_losses(logits(spark, sf)).select("ex_id", F.round("loss", 6).alias("loss"))
+    return M.row_losses(logits(spark, sf)).select("ex_id", F.round(stable("loss"), 6).alias("loss"))
 
 
-QUERIES["X18_cross_entropy"] = (_x18, with_views("SELECT ex_id, round(loss, 6) AS loss FROM loss", "logits",
+QUERIES["X18_cross_entropy"] = (_x18, with_views(f"SELECT ex_id, {sround('loss', 6)} AS loss FROM loss", "logits",
                                                  ctes=[SQL_LOSS]))
 
 
@@ -67,8 +69,8 @@ def _a23(spark, sf):
 
 
 QUERIES["A23_class_report"] = (_a23, with_views(
-    "SELECT task, cls, tp, fp, fn, support, round(precision, 6) AS precision, round(recall, 6) AS recall, "
-    "round(f1, 6) AS f1 FROM rep", "predictions", ctes=SQL_REPORT))
+    f"SELECT task, cls, tp, fp, fn, support, {sround('precision', 6)} AS precision, {sround('recall', 6)} AS recall, "
+    f"{sround('f1', 6)} AS f1 FROM rep", "predictions", ctes=SQL_REPORT))
 
 
 def _metrics(spark, sf):
@@ -88,7 +90,7 @@ def _a21(spark, sf):
 
 
 QUERIES["A21_accuracy_balanced"] = (_a21, with_views(
-    "SELECT task, round(acc, 6) AS acc, round(balanced_acc, 6) AS balanced_acc FROM met", "predictions",
+    f"SELECT task, {sround('acc', 6)} AS acc, {sround('balanced_acc', 6)} AS balanced_acc FROM met", "predictions",
     ctes=SQL_METRICS))
 
 _A22 = ["precision_micro", "recall_micro", "f1_micro", "precision_macro", "recall_macro", "f1_macro",
@@ -100,8 +102,9 @@ def _a22(spark, sf):
 
 
 QUERIES["A22_precision_recall_f1"] = (_a22, with_views(
-    "SELECT task, round(acc, 6) AS precision_micro, round(acc, 6) AS recall_micro, round(acc, 6) AS f1_micro, "
-    + ", ".join(f"round({c}, 6) AS {c}" for c in _A22[3:]) + " FROM met", "predictions", ctes=SQL_METRICS))
+    f"SELECT task, {sround('acc', 6)} AS precision_micro, {sround('acc', 6)} AS recall_micro, "
+    f"{sround('acc', 6)} AS f1_micro, " + ", ".join(f"{sround(c, 6)} AS {c}" for c in _A22[3:]) + " FROM met",
+    "predictions", ctes=SQL_METRICS))
 
 
 def _a24(spark, sf):
@@ -114,8 +117,8 @@ def _a24(spark, sf):
 
 
 QUERIES["A24_mean_of_batch_loss"] = (_a24, with_views(
-    "SELECT CAST(count(*) AS BIGINT) AS n_batches, round(avg(bl), 6) AS avg_loss,\n"
-    "  round(sum(bl * rows) / sum(rows), 6) AS row_weighted_loss FROM (\n"
+    f"SELECT CAST(count(*) AS BIGINT) AS n_batches, {sround('avg(bl)', 6)} AS avg_loss,\n"
+    f"  {sround('sum(bl * rows) / sum(rows)', 6)} AS row_weighted_loss FROM (\n"
     "  SELECT batch, sum(w * loss) / sum(w) AS bl, count(*) AS rows FROM loss JOIN\n"
     "    (SELECT y, count(*) / sum(count(*)) OVER () AS w FROM logits GROUP BY y) USING (y) GROUP BY batch)",
     "logits", ctes=[SQL_LOSS]))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timefmt import hms
+from ..functions.timefmt import hms, stable
 from ..session import table
 
 # Event types of the `events` table mapped to five pooling
@@ -74,7 +74,7 @@ def epoch_metrics(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     g = (e.groupBy((F.col("user_id") % 10).cast("int").alias("run_id"),
                    F.dayofmonth("ts").cast("int").alias("epoch"))
-         .agg(F.round(F.avg("value"), 6).alias("value"), F.count(F.lit(1)).alias("n")))
+         .agg(F.round(stable(F.avg("value")), 6).alias("value"), F.count(F.lit(1)).alias("n")))
     from pyspark.sql import Window
     w = Window.partitionBy("run_id").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
     return g.select("run_id", F.lit("valid").alias("mode"), "epoch",
@@ -158,7 +158,8 @@ SQL_VIEWS = {
          CAST(sum(n) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS step,
          'acc_valid' AS metric, value
   FROM (SELECT CAST(user_id % 10 AS INTEGER) AS run_id, CAST(day(ts) AS INTEGER) AS epoch,
-               round(avg(value), 6) AS value, count(*) AS n
+               CAST(round(CAST(CAST(round(avg(value), 9) AS VARCHAR) AS DECIMAL(38, 12)), 6) AS DOUBLE) AS value,
+               count(*) AS n
         FROM events GROUP BY 1, 2))""",
     "runs": """runs AS (
   SELECT 'd' || CAST(CAST(floor((event_id % 40) / 10) AS BIGINT) AS VARCHAR) AS dataset,

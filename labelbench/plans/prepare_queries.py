@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.timefmt import stable
 from ..operators import profile as PR
 from ..operators import splits as SP
 from . import sqlparts as S
@@ -208,12 +209,12 @@ SQL_A2 = with_views("SELECT label, count(*) AS n FROM labelled_text WHERE split
 
 def _a3(spark, sf):
     return PR.class_weights(labelled_text(spark, sf).where(F.col("split") == "train")) \
-        .withColumn("weight", F.round("weight", 6))
+        .withColumn("weight", F.round(stable("weight"), 6))
 
 
 SQL_A3 = with_views(
     "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code, n,\n"
-    "  round(n / sum(n) OVER (), 6) AS weight\n"
+    "  " + S.sround("n / sum(n) OVER ()", 6) + " AS weight\n"
     "FROM (SELECT label, count(*) AS n FROM labelled_text WHERE split = 'train' GROUP BY label)", "labelled_text")
 
 
@@ -243,13 +244,14 @@ SQL_A5 = _with_shrunk_tok(f"SELECT split, label, {_DESC_SQL} FROM tok GROUP BY s
 
 def _a6(spark, sf):
     out = PR.dataset_stats(_tok(spark, sf))
-    return out.select("split", "num_samples", F.round("num_tokens_avg", 6).alias("num_tokens_avg"),
-                      "num_tokens_max", "num_tokens_min", F.round("num_tokens_std", 6).alias("num_tokens_std"))
+    return out.select("split", "num_samples", F.round(stable("num_tokens_avg"), 6).alias("num_tokens_avg"),
+                      "num_tokens_max", "num_tokens_min", F.round(stable("num_tokens_std"), 6).alias("num_tokens_std"))
 
 
 SQL_A6 = _with_shrunk_tok(
-    "SELECT split, count(*) AS num_samples, round(avg(n_tokens), 6) AS num_tokens_avg, max(n_tokens) AS num_tokens_max,\n"
-    "  min(n_tokens) AS num_tokens_min, round(stddev_pop(n_tokens), 6) AS num_tokens_std FROM tok GROUP BY split")
+    "SELECT split, count(*) AS num_samples, " + S.sround("avg(n_tokens)", 6) + " AS num_tokens_avg, "
+    "max(n_tokens) AS num_tokens_max,\n"
+    "  min(n_tokens) AS num_tokens_min, " + S.sround("stddev_pop(n_tokens)", 6) + " AS num_tokens_std FROM tok GROUP BY split")
 
 
 def _a7(spark, sf):

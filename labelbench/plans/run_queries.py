@@ -13,6 +13,7 @@ from ..operators import stats as ST
 from ..operators.profile import align_columns
 from ..session import cut_lineage
 from .fixtures import runs, with_views
+from .sqlparts import sround
 
 QUERIES = {}
 CELL_SQL = "dataset, combination_type, hidden_layer_to_use, not_special_tokens_to_zero"
@@ -32,11 +33,6 @@ def r6(body: str, doubles: list[str]) -> str:
     return f"SELECT * REPLACE ({rep}) FROM ({body})"
 
 
-def sround(x: str, k: int) -> str:
-    """SQL twin of ``round(stable(x), k)`` in Spark: half-up on the decimal form."""
-    return f"CAST(round(CAST(CAST(round({x}, 9) AS VARCHAR) AS DECIMAL(38, 12)), {k}) AS DOUBLE)"
-
-
 def _clean(spark, sf):
     return R.clean_runs(runs(spark, sf))
 

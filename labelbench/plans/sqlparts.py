@@ -10,6 +10,12 @@ from __future__ import annotations
 from ..functions.text import PY_SPACE, TOKEN_PATTERN
 
 
+def sround(x: str, k: int) -> str:
+    """SQL twin of Spark's ``round(round(x, 9), k)``: stabilise float noise at
+    9 decimals, then round half-up on the decimal form (as Spark does)."""
+    return f"CAST(round(CAST(CAST(round({x}, 9) AS VARCHAR) AS DECIMAL(38, 12)), {k}) AS DOUBLE)"
+
+
 def sql_lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
