@@ -244,7 +244,8 @@ SQL_PAIRS = "pairs AS (SELECT v.*, b.base, v.value - b.base AS d FROM cellv v JO
 
 
 def _a16(spark, sf):
-    return round_doubles(R.cell_tests(_clean(spark, sf), METRIC))
+    # cells, baseline and tests all read the cleaned runs: written once
+    return round_doubles(R.cell_tests(cut_lineage(_clean(spark, sf)), METRIC))
 
 
 QUERIES["A16_wilcoxon_signed_rank"] = (_a16, with_views(
@@ -305,7 +306,7 @@ SQL_COMPARE = [
 
 
 def _p7(spark, sf):
-    return round_doubles(R.better_than_baseline(_clean(spark, sf), METRIC))
+    return round_doubles(R.better_than_baseline(cut_lineage(_clean(spark, sf)), METRIC))
 
 
 QUERIES["P7_better_than_baseline"] = (_p7, with_views(
@@ -314,7 +315,7 @@ QUERIES["P7_better_than_baseline"] = (_p7, with_views(
 
 
 def _p8(spark, sf):
-    return round_doubles(R.all_cells_with_p(_clean(spark, sf), METRIC))
+    return round_doubles(R.all_cells_with_p(cut_lineage(_clean(spark, sf)), METRIC))
 
 
 QUERIES["P8_all_cells_with_p"] = (_p8, with_views(
