@@ -348,51 +348,63 @@ def speedup(clean: DataFrame, combination: str = CUTOFF, epochs: int = EPOCHS, f
 
 
 def pruned_table(clean: DataFrame, metrics=("acc_test", "balanced_acc_test", "f1_micro_test", "f1_weighted_test"),
-                 combination: str = CUTOFF, epochs: int = EPOCHS, flag: bool = False) -> DataFrame:
+                 combination: str = CUTOFF, epochs: int = EPOCHS, flag: bool = False,
+                 expected: int = 10) -> DataFrame:
     """Per dataset and layer 12..1 - parameter %, times, speed-up and per
     metric the difference to the baseline in points (round(mean*100, 1) -
     round(base*100, 2), rounded to 1) with the Wilcoxon p-value; layer 12 holds
     the baseline values.  Numbers only; text is X14's job.
 
-    All metrics go through one long table (metric as a column), so there is one
-    aggregate, one pairing join and one Wilcoxon for all of them, then a pivot."""
-    # the reduced models have layers 1..11; layer 12 is the baseline row
-    par = percent_of_baseline(clean, "num_trainable_parameters", combination, epochs, flag=flag) \
-        .where(F.col(LAYER) < 12).select("dataset", LAYER, F.round(stable("pct"), 0).alias("params_pct"))
-    base_par = baseline_stats(clean, "num_trainable_parameters", epochs).select(
-        "dataset", F.lit(12).alias(LAYER), F.col("base_mean").alias("params_pct"))
-    out = par.unionByName(base_par)
-    dur = duration_table(clean, combination, epochs, flag)
-    out = out.join(dur, ["dataset", LAYER], "full_outer")
-    out = out.join(speedup(clean, combination, epochs, flag, dur), ["dataset", LAYER], "left")
-
+    Every quantity is a "metric" of one long table (the reduced models at
+    layers 1..11 and the baseline at layer 12): one aggregate per (dataset,
+    layer, metric), one per (dataset, metric) for the baseline, one pairing
+    join and one Wilcoxon for the test metrics, then a single pivot."""
     comb, blayer, bflag = BASELINE
+    is_base = (F.col(COMB) == comb) & (F.col(LAYER) == blayer) & (F.col(FLAG) == bflag)
     rows = clean.where((F.col("epochs") == epochs)
-                       & (((F.col(COMB) == combination) & (F.col(FLAG) == flag))
-                          | ((F.col(COMB) == comb) & (F.col(LAYER) == blayer) & (F.col(FLAG) == bflag))))
-    long = rows.select("dataset", COMB, LAYER, "seed", F.explode(F.array(*[
-        F.struct(F.lit(m.replace("_test", "")).alias("metric"), F.col(m).cast("double").alias("value"))
-        for m in metrics])).alias("r")).select("dataset", COMB, LAYER, "seed", "r.metric", "r.value")
-    is_base = (F.col(COMB) == comb) & (F.col(LAYER) == blayer)
-    cell = long.where(~is_base & (F.col(COMB) == combination) & (F.col(LAYER) < 12))
-    base = long.where(is_base).select("dataset", "seed", "metric", F.col("value").alias("base"))
-    means = cell.groupBy("dataset", LAYER, "metric").agg(F.avg("value").alias("__mean"))
-    bmeans = base.groupBy("dataset", "metric").agg(F.avg("base").alias("__bmean"))
-    diff = means.join(bmeans, ["dataset", "metric"]).select(
-        "dataset", LAYER, "metric",
-        F.round(stable(F.round(stable(F.col("__mean") * 100), 1) - F.round(stable(F.col("__bmean") * 100), 2)), 1)
-        .alias("diff"))
-    diff = diff.unionByName(bmeans.select("dataset", F.lit(12).alias(LAYER), "metric",
-                                          F.round(stable(F.col("__bmean") * 100), 2).alias("diff")))
-    pairs = cell.join(base, ["dataset", "seed", "metric"]).withColumn("d", F.col("value") - F.col("base"))
+                       & (((F.col(COMB) == combination) & (F.col(FLAG) == flag) & (F.col(LAYER) < 12)) | is_base))
+    shorts = [m.replace("_test", "") for m in metrics]
+    items = [F.struct(F.lit(sh).alias("metric"), F.col(m).cast("double").alias("value")) for sh, m in zip(shorts, metrics)]
+    items += [F.struct(F.lit("params").alias("metric"), F.col("num_trainable_parameters").cast("double").alias("value")),
+              F.struct(F.lit("epoch_seconds").alias("metric"), (F.col("time_train_min") * 60.0).alias("value")),
+              F.struct(F.lit("total_seconds").alias("metric"),
+                       duration_seconds("start_time", "end_time").cast("double").alias("value"))]
+    long = rows.select("dataset", LAYER, "seed", is_base.alias("__base"), F.explode(F.array(*items)).alias("r")) \
+               .select("dataset", LAYER, "seed", "__base", "r.metric", "r.value")
+    cell = long.where(~F.col("__base"))
+    base = long.where(F.col("__base"))
+    means = cell.groupBy("dataset", LAYER, "metric").agg(F.avg("value").alias("m"), F.count("value").alias("n"))
+    bmeans = base.groupBy("dataset", "metric").agg(F.avg("value").alias("b"))
+    pairs = cell.where(F.col("metric").isin(shorts)).join(
+        base.select("dataset", "seed", "metric", F.col("value").alias("base")), ["dataset", "seed", "metric"]) \
+        .withColumn("d", F.col("value") - F.col("base"))
     tests = wilcoxon_signed_rank(pairs, ["dataset", LAYER, "metric"], "d").select(
         "dataset", LAYER, "metric", "p_value")
-    per_metric = diff.join(tests, ["dataset", LAYER, "metric"], "left")
-    names = [m.replace("_test", "") for m in metrics]
-    wide = per_metric.groupBy("dataset", LAYER).pivot("metric", names).agg(
-        F.first("diff").alias("diff"), F.first("p_value").alias("p"))
-    wide = wide.select("dataset", LAYER, *[F.col(f"{n}_{k}").alias(f"{k}_{n}") for n in names for k in ("diff", "p")])
-    return out.join(wide, ["dataset", LAYER], "left")
+    # reduced models: layers 1..11
+    j = means.join(bmeans, ["dataset", "metric"], "left").join(tests, ["dataset", LAYER, "metric"], "left")
+    met = F.col("metric")
+    val = (F.when(met == "params", F.when(F.col("n") == expected,
+                                          F.round(stable(F.try_divide(F.col("m"), F.col("b")) * 100), 0)))
+           .when(met.isin("epoch_seconds", "total_seconds"), F.col("m"))
+           .otherwise(F.round(stable(F.round(stable(F.col("m") * 100), 1) - F.round(stable(F.col("b") * 100), 2)), 1)))
+    reduced = j.select("dataset", LAYER, "metric", val.alias("v"), "p_value",
+                       F.when(met == "epoch_seconds", F.round(stable(F.try_divide(F.col("b"), F.col("m"))), 1))
+                       .alias("speed"))
+    # the baseline row: layer 12
+    bval = (F.when(met == "params", F.col("b")).when(met.isin("epoch_seconds", "total_seconds"), F.col("b"))
+            .otherwise(F.round(stable(F.col("b") * 100), 2)))
+    baseline = bmeans.select("dataset", F.lit(blayer).alias(LAYER), "metric", bval.alias("v"),
+                             F.lit(None).cast("double").alias("p_value"),
+                             F.when(met == "epoch_seconds", F.lit(1.0)).alias("speed"))
+    allrows = reduced.unionByName(baseline)
+    names = ["params", "total_seconds", "epoch_seconds", *shorts]
+    wide = allrows.groupBy("dataset", LAYER).pivot("metric", names).agg(
+        F.first("v").alias("v"), F.first("p_value").alias("p"), F.first("speed").alias("s"))
+    cols = [F.col("params_v").alias("params_pct"), F.col("total_seconds_v").alias("total_seconds"),
+            F.col("epoch_seconds_v").alias("epoch_seconds"), F.col("epoch_seconds_s").alias("speedup")]
+    for sh in shorts:
+        cols += [F.col(f"{sh}_v").alias(f"diff_{sh}"), F.col(f"{sh}_p").alias(f"p_{sh}")]
+    return wide.select("dataset", LAYER, *cols)
 
 
 def series_means(clean: DataFrame, metric: str = "acc_test", epochs: int = EPOCHS, flag: bool = False) -> DataFrame:
