@@ -75,12 +75,13 @@ def label_decode(df: DataFrame, codes: DataFrame, code_col: str = "code", out: s
     return df.join(c, df[code_col] == c["__c"], "left").drop("__c")
 
 
-def vocabulary(texts: DataFrame, src_col: str = "src", first_id: int = 0) -> DataFrame:
+def vocabulary(texts: DataFrame, src_col: str = "src", first_id: int = 0, tokens_col: str | None = None) -> DataFrame:
     """Distinct tokens with dense ids in sorted token order.
 
     Ids come from the two-phase rank (bucket = first two characters, which
     keep the sort order), so the sort is spread over thousands of tasks."""
-    words = texts.select(F.explode(tokens(src_col)).alias("token")).distinct()
+    toks = F.col(tokens_col) if tokens_col else tokens(src_col)
+    words = texts.select(F.explode(toks).alias("token")).distinct()
     ranked = two_phase_row_number(words.withColumn("__g", F.lit(0)), ["__g"], "token",
                                   F.substring("token", 1, 2), out="__rn")
     return ranked.select("token", (F.col("__rn") - 1 + first_id).cast("int").alias("id"))
@@ -88,17 +89,19 @@ def vocabulary(texts: DataFrame, src_col: str = "src", first_id: int = 0) -> Dat
 
 def encode_fixed_length(df: DataFrame, vocab: DataFrame, id_col: str, src_col: str = "src",
                         max_length: int = 512, bos_id: int = 0, eos_id: int = 2,
-                        pad_id: int | None = 1, unk_id: int = 3) -> DataFrame:
+                        pad_id: int | None = 1, unk_id: int = 3, tokens_col: str | None = None) -> DataFrame:
     """X11: start token, token ids truncated to ``max_length - 2``, end token,
     right padding to ``max_length`` and the attention mask.  A missing pad id
     falls back to the end id.
 
     Tokens are numbered on the whole text; only positions that fit the fixed
-    length are looked up (that cut is the operator's definition)."""
+    length are looked up (that cut is the operator's definition).  ``tokens_col``
+    takes an already tokenized array column instead of ``src_col``."""
     pad = eos_id if pad_id is None else pad_id
     keep = max_length - 2
     # posexplode_outer keeps a text without tokens as one row with a NULL position
-    toks = (df.select(id_col, F.posexplode_outer(tokens(src_col)).alias("p", "token"))
+    arr = F.col(tokens_col) if tokens_col else tokens(src_col)
+    toks = (df.select(id_col, F.posexplode_outer(arr).alias("p", "token"))
             .where(F.col("p").isNull() | (F.col("p") < keep)))
     ids = (toks.join(vocab, "token", "left")
            .select(id_col, "p", F.when(F.col("p").isNotNull(), F.coalesce(F.col("id"), F.lit(unk_id))).alias("tid")))
