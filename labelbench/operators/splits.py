@@ -176,6 +176,20 @@ def zip_by_position(a: DataFrame, b: DataFrame, pos_col: str = "ord") -> DataFra
     return a.join(b, pos_col, "inner")
 
 
+def cluster_split(df: DataFrame, label_col: str, id_col: str, ord_col: str = "ord", ratio_train: float = 0.9,
+                  seed: int = 42, n: int | None = None, out: str = "split") -> DataFrame:
+    """W3 + W2 + J2: positional clusters 0-2 form the pool, split stratified into
+    train / valid (test_size = 1 - ratio_train) and assigned by id; clusters
+    3-4 are the test split."""
+    c = positional_clusters(df, ord_col, n)
+    pool = c.where(F.col("part") == "pool").drop("part", "cluster")
+    chosen = stratified_split(pool, label_col, id_col, 1.0 - ratio_train, seed)
+    train_ids = chosen.where(F.col("split") == "train").select(id_col)
+    labelled = split_by_id(pool, train_ids, id_col, out)
+    test = c.where(F.col("part") == "test").drop("part", "cluster").withColumn(out, F.lit("test"))
+    return labelled.unionByName(test)
+
+
 def split_by_index(examples: DataFrame, index: DataFrame, ord_col: str = "ord") -> DataFrame:
     """An example goes to every split whose index list holds its position.
 

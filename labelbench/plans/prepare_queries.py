@@ -94,13 +94,11 @@ SQL_W3 = with_views(
 
 
 def _bifi(spark, sf):
-    """W3 then W2 on the pool (ratio_train 0.9) then J2 by id."""
-    lt = labelled_text(spark, sf).drop("split")
-    pool = SP.positional_clusters(lt).where(F.col("part") == "pool").withColumn(
+    """W3 then W2 on the pool (ratio_train 0.9) then J2 by id: the pool rows."""
+    lt = labelled_text(spark, sf).drop("split").withColumn(
         "ex_id", F.concat(F.lit("id"), F.col("ord").cast("string")))
-    chosen = SP.stratified_split(pool, "label", "ex_id", 1.0 - 0.9, seed=42)
-    train_ids = chosen.where(F.col("split") == "train").select("ex_id")
-    return SP.split_by_id(pool, train_ids, "ex_id").select("ex_id", "ord", "label", "split")
+    out = SP.cluster_split(lt, "label", "ex_id", ratio_train=0.9, seed=42)
+    return out.where(F.col("split") != "test").select("ex_id", "ord", "label", "split")
 
 
 SQL_J2 = with_views("SELECT ex_id, ord, label, CASE WHEN tid IS NOT NULL THEN 'train' ELSE 'valid' END AS split\n"

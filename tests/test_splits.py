@@ -123,3 +123,15 @@ def test_hot_label_is_spread_over_buckets(spark):
     keyed = df.withColumn("k", SP.seeded_key(3, "ord")).withColumn("b", hex_bucket("k", 4))
     per_bucket = keyed.where("label = 'hot'").groupBy("b").count()
     assert per_bucket.count() > 20000 and per_bucket.agg(F.max("count")).first()[0] < 20
+
+
+def test_cluster_split(spark):
+    import math
+    df = spark.range(103).select(F.col("id").alias("ord"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("ex_id"),
+                                 (F.col("id") % 3).cast("string").alias("label"))
+    out = SP.cluster_split(df, "label", "ex_id", ratio_train=0.9, seed=1)
+    got = {r.split: r.n for r in out.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    size = 103 // 5 + 1                        # 21 per cluster
+    pool = 3 * size                            # 63
+    assert got["test"] == 103 - pool
+    assert got["valid"] == math.ceil(0.1 * pool) and got["train"] == pool - got["valid"]
