@@ -26,8 +26,9 @@ def prepare(df: DataFrame, out_dir: str | None = None, split: str = "three_way",
             ratio_test: float = 0.1, seed: int = 42, id_col: str = "ord", tokenizer=None) -> dict:
     """Run the preparation on ``df(ord, src, label[, split])``.
 
-    ``split``: ``'three_way'`` (W5), ``'given'`` (keep the ``split`` column) or
-    ``'train_valid'`` (W2 on the rows without a split, the rest is test).
+    ``split``: ``'three_way'`` (W5), ``'given'`` (keep the ``split`` column),
+    ``'train_valid'`` (W2 on the rows without a split, the rest is test) or
+    ``'cluster'`` (W3 + W2 + J2; ``ord`` must be a dense position).
     Returns the written split table and the profile tables (lazy frames on
     the written data)."""
     x = df
@@ -36,6 +37,9 @@ def prepare(df: DataFrame, out_dir: str | None = None, split: str = "three_way",
     if split == "three_way":
         x = SP.three_way_split(x.drop("split") if "split" in x.columns else x, "label", id_col,
                                ratio_train, ratio_valid, ratio_test, seed)
+    elif split == "cluster":  # positional clusters, stratified train/valid by id, last clusters test
+        x = SP.cluster_split(x.drop("split") if "split" in x.columns else x, "label", id_col,
+                             ratio_train=ratio_train, seed=seed)
     elif split == "train_valid":
         pool = x.where(F.col("split").isNull()).drop("split")
         rest = x.where(F.col("split").isNotNull())

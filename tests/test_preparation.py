@@ -20,3 +20,11 @@ def test_prepare_writes_and_profiles(spark, tmp_dir):
     assert "train_count" in stats.columns and stats.select("seed").first()[0] == 42
     tc = spark.read.parquet(os.path.join(tmp_dir, "prep", "stats", "token_count"))
     assert {r.split for r in tc.collect()} == {"train", "valid", "test"}
+
+
+def test_prepare_cluster_split(spark):
+
+    from labelbench.plans.fixtures import labelled_text
+    out = prepare(labelled_text(spark, SF001).drop("split"), None, split="cluster", ratio_train=0.9)
+    got = {r.split for r in out["table"].select("split").distinct().collect()}
+    assert got == {"train", "valid", "test"}
