@@ -9,14 +9,22 @@ only on n (at most ~22,000 rows for n <= 50); it is built once and broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXACT_MAX_N = 50
 
-# Coefficients of the Chebyshev-fitted erfc (Numerical Recipes).
-ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-               0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+# erfc(x) without erf in either engine: 1 - erf from the Taylor series of erf
+# (Horner form in x^2) below x = 2, the Laplace continued fraction above.
+# Relative error below 2e-13 against math.erfc on [0, 10].
+ERF_TERMS = 45
+ERF_COEFFS = [(-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(ERF_TERMS + 1)]
+CF_TERMS = 60
+SERIES_BELOW = 2.0
+TWO_OVER_SQRT_PI = 2.0 / math.sqrt(math.pi)
+SQRT_PI = math.sqrt(math.pi)
 
 # A12 effect-size bands.
 EFFECT_BANDS = [(0.71, "large"), (0.64, "medium"), (0.56, "small")]
@@ -42,19 +50,23 @@ def signed_rank_table(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFram
                        (F.sum("c").over(w) / F.pow(F.lit(2.0), F.col("n"))).alias("cdf"))
 
 
+def erfc(x: Column) -> Column:
+    """Complementary error function for x >= 0 as a column expression."""
+    y = x * x
+    acc = F.lit(ERF_COEFFS[-1])
+    for c in reversed(ERF_COEFFS[:-1]):
+        acc = acc * y + F.lit(c)
+    series = F.lit(1.0) - F.lit(TWO_OVER_SQRT_PI) * x * acc
+    f = x
+    for k in range(CF_TERMS, 0, -1):
+        f = x + F.lit(k / 2.0) / f
+    cf = F.exp(-y) / (F.lit(SQRT_PI) * f)
+    return F.when(x < SERIES_BELOW, series).otherwise(cf)
+
+
 def normal_sf2(z: Column) -> Column:
-    """Two-sided normal tail 2*(1 - Phi(|z|)) = erfc(|z|/sqrt(2)).
-
-    Neither Spark nor DuckDB has erf, so this is the Chebyshev-fitted erfc of
-    Numerical Recipes (fractional error below 1.2e-7), written once as a
-    column expression."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * x)
-    coeffs = ERFC_COEFFS
-    poly = F.lit(coeffs[-1])
-    for c in reversed(coeffs[:-1]):
-        poly = F.lit(c) + t * poly
-    return t * F.exp(-x * x + poly)
+    """Two-sided normal tail 2*(1 - Phi(|z|)) = erfc(|z| / sqrt(2))."""
+    return erfc(F.abs(z) / F.sqrt(F.lit(2.0)))
 
 
 def average_ranks(df: DataFrame, group_cols: list[str], value: Column, out: str = "rank") -> DataFrame:

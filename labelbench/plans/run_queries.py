@@ -57,13 +57,18 @@ def bstats(name="bstats", src="base"):
 
 
 def _erfc_sql(z: str) -> str:
+    """SQL twin of ``stats.normal_sf2``: the same series / continued fraction."""
     x = f"(abs({z}) / sqrt(2.0))"
-    t = f"(1.0 / (1.0 + 0.5 * {x}))"
-    c = ST.ERFC_COEFFS
-    poly = repr(c[-1])
-    for k in reversed(c[:-1]):
-        poly = f"({k!r} + {t} * {poly})"
-    return f"({t} * exp(-{x} * {x} + {poly}))"
+    y = f"({x} * {x})"
+    acc = repr(ST.ERF_COEFFS[-1])
+    for c in reversed(ST.ERF_COEFFS[:-1]):
+        acc = f"(({acc}) * {y} + {c!r})"
+    series = f"(1.0 - {ST.TWO_OVER_SQRT_PI!r} * {x} * {acc})"
+    f = x
+    for k in range(ST.CF_TERMS, 0, -1):
+        f = f"({x} + {k / 2.0!r} / {f})"
+    cf = f"(exp(-{y}) / ({ST.SQRT_PI!r} * {f}))"
+    return f"(CASE WHEN {x} < {ST.SERIES_BELOW!r} THEN {series} ELSE {cf} END)"
 
 
 SQL_CDF = [
