@@ -32,15 +32,17 @@ def duration_seconds(start, end, compat: bool = False) -> Column:
 
 
 def hms(seconds) -> Column:
-    """Whole seconds -> ``h:mm:ss`` (hours unpadded); from 24 h on, Python's
-    ``N day[s], h:mm:ss``."""
+    """Whole seconds -> ``h:mm:ss`` (hours unpadded); from 24 h on, and for
+    negative durations, Python's ``N day[s], h:mm:ss``."""
     s = _c(seconds).cast("long")
     days = F.floor(s / 86400)
     rest = s - days * 86400
     core = F.format_string("%d:%02d:%02d", F.floor(rest / 3600).cast("long"),
                            F.floor((rest % 3600) / 60).cast("long"), (rest % 60).cast("long"))
-    prefix = F.when(days == 1, F.lit("1 day, ")).when(
-        days > 1, F.concat(days.cast("string"), F.lit(" days, "))).otherwise(F.lit(""))
+    # as Python's timedelta: "1 day, ", "2 days, ", "-1 day, " (negative durations borrow a day)
+    prefix = (F.when(days == 0, F.lit(""))
+              .when(F.abs(days) == 1, F.concat(days.cast("long").cast("string"), F.lit(" day, ")))
+              .otherwise(F.concat(days.cast("long").cast("string"), F.lit(" days, "))))
     return F.concat(prefix, core)
 
 
