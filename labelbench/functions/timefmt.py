@@ -47,9 +47,12 @@ def hms(seconds) -> Column:
 
 
 def hms_to_seconds(col) -> Column:
-    """X13 back: ``h:mm:ss`` -> seconds."""
-    parts = F.split(_c(col), ":")
-    return (F.get(parts, 0).cast("long") * 3600 + F.get(parts, 1).cast("long") * 60
+    """X13 back: ``h:mm:ss`` (optionally after ``N day[s], ``) -> seconds."""
+    c = _c(col)
+    day_re = r"^(-?\d+) days?, "
+    days = F.when(c.rlike(day_re), F.regexp_extract(c, day_re, 1).cast("long")).otherwise(F.lit(0).cast("long"))
+    parts = F.split(F.regexp_replace(c, day_re, ""), ":")
+    return (days * 86400 + F.get(parts, 0).cast("long") * 3600 + F.get(parts, 1).cast("long") * 60
             + F.get(parts, 2).cast("long"))
 
 

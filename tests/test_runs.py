@@ -43,6 +43,8 @@ def test_duration_and_hms(spark):
     secs = spark.createDataFrame([(v,) for v in values], "s long")
     got = [x.h for x in secs.select(TF.hms("s").alias("h")).collect()]
     assert got == [str(datetime.timedelta(seconds=v)) for v in values]
+    back = secs.select(TF.hms_to_seconds(TF.hms("s")).alias("b")).collect()
+    assert [r.b for r in back] == values
     back = spark.createDataFrame([("1:01:01",)], "t string").select(TF.hms_to_seconds("t")).first()[0]
     assert back == 3661
 
