@@ -197,12 +197,20 @@ def union_labels(df: DataFrame, label_col: str = "label", split_col: str = "spli
 
 
 def first_examples(df: DataFrame, k: int = 3, src_col: str = "src", split_col: str = "split",
-                   ord_col: str = "ord") -> DataFrame:
-    """The first ``k`` examples of each split with their tokens and count."""
+                   ord_col: str = "ord", strict: bool = False) -> DataFrame:
+    """The first ``k`` examples of each split with their tokens and count.
+    ``strict=True`` raises when a split has fewer than ``k`` rows (the original
+    indexes the first three and fails)."""
     head = first_rows_per_split(df, k, split_col, ord_col)
-    return head.select(split_col, ord_col, src_col,
-                       F.array_join(tokens(src_col), " ").alias("tokens"),
-                       token_count(src_col).alias("n_tokens"))
+    out = head.select(split_col, ord_col, src_col,
+                      F.array_join(tokens(src_col), " ").alias("tokens"),
+                      token_count(src_col).alias("n_tokens"))
+    if strict:  # at most k rows per split here, so the window is tiny
+        n = F.count(F.lit(1)).over(Window.partitionBy(split_col))
+        out = out.withColumn("n_tokens", F.when(n < k, F.raise_error(
+            F.concat(F.lit(f"fewer than {k} examples in split "), F.col(split_col))))
+            .otherwise(F.col("n_tokens")).cast("int"))
+    return out
 
 
 def align_columns(long_df: DataFrame, key_cols: list[str], column_col: str, values: list,

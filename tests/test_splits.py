@@ -135,3 +135,13 @@ def test_cluster_split(spark):
     pool = 3 * size                            # 63
     assert got["test"] == 103 - pool
     assert got["valid"] == math.ceil(0.1 * pool) and got["train"] == pool - got["valid"]
+
+
+def test_first_examples_strict(spark):
+    import pytest as _pytest
+    from labelbench.operators.profile import first_examples
+    df = spark.createDataFrame([(0, "a b", "train"), (1, "c", "train"), (2, "d", "test")],
+                               "ord long, src string, split string")
+    assert first_examples(df, 3).count() == 3
+    with _pytest.raises(Exception, match="fewer than 3 examples"):
+        first_examples(df, 3, strict=True).collect()
