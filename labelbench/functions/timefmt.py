@@ -61,6 +61,20 @@ def half_even(col, scale: int = 0) -> Column:
     return F.bround(_c(col), scale)
 
 
+def python_round(col, ndigits: int = 0) -> Column:
+    """Python's built-in ``round`` (nearest to the exact binary value, ties to
+    even) for a double column - an Arrow helper for reproducing the original's
+    printed tables; Spark's ``round``/``bround`` work on the shortest decimal."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.DoubleType())
+    def _round(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None or v != v else round(float(v), ndigits))
+
+    return _round(_c(col))
+
+
 def stable(col, digits: int = 9) -> Column:
     """Round away float noise from summation order before comparing or rounding
     to few decimals (two engines summing in different orders then agree)."""

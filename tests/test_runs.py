@@ -72,3 +72,11 @@ def test_hms_round_trip(spark):
     secs = spark.range(0, 86400, 997).select(F.col("id").alias("s"))
     back = secs.select("s", TF.hms_to_seconds(TF.hms("s")).alias("b"))
     assert back.where("s <> b").count() == 0
+
+
+def test_python_round_matches_builtin(spark):
+    xs = [2.675, 0.125, 0.375, -2.5, 1.005, 54.35, 1e-7, 123456.789]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for d in (0, 1, 2):
+        got = [r.r for r in df.select(TF.python_round("x", d).alias("r")).collect()]
+        assert got == [round(x, d) for x in xs]
