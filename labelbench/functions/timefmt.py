@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(col) -> Column:
@@ -65,9 +67,6 @@ def python_round(col, ndigits: int = 0) -> Column:
     """Python's built-in ``round`` (nearest to the exact binary value, ties to
     even) for a double column - an Arrow helper for reproducing the original's
     printed tables; Spark's ``round``/``bround`` work on the shortest decimal."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.DoubleType())
     def _round(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None or v != v else round(float(v), ndigits))
