@@ -49,7 +49,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPS", "3"))
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", int(cpus) * 2)))
     qs = registry.queries()
     names = [n for n in HEADLINE if n in qs]
     if len(sys.argv) > 1:
