@@ -44,7 +44,9 @@ def write_predictions(files: DataFrame, path: str, key_cols=("run_id", "file"),
      .write.mode("overwrite").partitionBy(*key_cols).text(path))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
+    """Version numbers under ``path``; ``complete`` keeps only folders whose
+    write finished (``_SUCCESS``)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -54,7 +56,7 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     out = []
     for st in fs.listStatus(p):
         m = re.fullmatch(r"v=(\d+)", st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if m and (not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
             out.append(int(m.group(1)))
     return sorted(out)
 
@@ -65,7 +67,8 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _write_next(df: DataFrame, path: str) -> str:
-    v = _versions(df.sparkSession, path)
+    # numbered past every folder, also one left by a job that died half way
+    v = _versions(df.sparkSession, path, complete=False)
     nxt = f"{path}/v={(v[-1] + 1 if v else 1):06d}"
     df.write.mode("errorifexists").parquet(nxt)
     return nxt

@@ -113,3 +113,15 @@ def test_split_jsonl_and_metric_log(spark, tmp_dir):
     hist = spark.createDataFrame([(-1, [0.1, 0.2]), (0, [0.3, 0.4]), (0, [0.3, 0.4])], "epoch int, weights array<double>")
     wide = SK.write_weight_history(hist, os.path.join(tmp_dir, "w"), 2)
     assert sorted(wide.columns) == ["0", "1", "epoch"] and wide.count() == 2
+
+
+def test_incomplete_version_is_ignored(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "tbl2")
+    SK.append_distinct(spark.createDataFrame([(1, "x")], "k int, v string"), path)
+    # a job that died half way: a version folder without _SUCCESS
+    os.makedirs(os.path.join(path, "v=000002"))
+    with open(os.path.join(path, "v=000002", "part-0.parquet"), "wb") as f:
+        f.write(b"garbage")
+    assert sorted(tuple(r) for r in SK.read_latest(spark, path).collect()) == [(1, "x")]
+    out = SK.append_distinct(spark.createDataFrame([(2, "y")], "k int, v string"), path)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "x"), (2, "y")]
