@@ -64,7 +64,7 @@ def label_codes(df: DataFrame, label_col: str = "label", fit_split: str | None =
 def label_encode(df: DataFrame, codes: DataFrame, label_col: str = "label", out: str = "code") -> DataFrame:
     """X10 transform: label -> code; a label unseen at fit time raises."""
     c = codes.select(F.col(label_col).alias("__l"), F.col("code").alias("__c"))
-    j = df.join(c, df[label_col] == c["__l"], "left")
+    j = df.join(c, df[label_col].eqNullSafe(c["__l"]), "left")  # a NULL label is a label too
     return j.withColumn(out, F.coalesce(F.col("__c"), F.raise_error(
         F.concat(F.lit("unknown label: "), F.col(label_col).cast("string"))))).drop("__l", "__c")
 

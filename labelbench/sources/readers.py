@@ -118,6 +118,10 @@ def read_json_object(spark: SparkSession, path: str, value_schema: str = BIFI_VA
     d = _whole_files(spark, path)
     m = F.from_json("value", f"map<string,{value_schema}>", {"mode": "FAILFAST"})
     rows = d.select("file_idx", F.posexplode(m).alias("pos", "id", "r"))
+    # a repeated key keeps its first position and takes its last value (an ordered
+    # dict load); positions are renumbered inside the file (one file = one task)
+    rows = rows.groupBy("file_idx", "id").agg(F.min("pos").alias("pos"), F.max_by("r", "pos").alias("r"))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("file_idx").orderBy("pos")) - 1)
     return _dense_ord(rows.select("file_idx", "pos", "id", "r.*"))
 
 

@@ -56,3 +56,25 @@ def test_empty_json_array_file(spark, tmp_dir):
     df = RD.read_json_array(spark, [p, q], "struct<func:string,target:int>")
     assert [(r.ord, r.func) for r in df.collect()] == [(0, "x")]
 
+
+
+def test_null_labels_are_a_class(spark):
+    df = spark.createDataFrame([(i, None if i < 4 else ("a" if i % 2 else "b")) for i in range(40)],
+                               "ord long, label string")
+    out = SP.three_way_split(df, "label", "ord")
+    assert out.count() == 40
+    assert out.where("label IS NULL").count() == 4
+
+
+def test_repeated_key_keeps_first_position_last_value(spark, tmp_dir):
+    import json
+    from collections import OrderedDict
+    text = ('{"k1": {"code_string": "a", "err_obj": {"msg": "invalid syntax"}}, '
+            '"k2": {"code_string": "b", "err_obj": {"msg": "invalid syntax"}}, '
+            '"k1": {"code_string": "c", "err_obj": {"msg": "unexpected indent"}}}')
+    p = os.path.join(tmp_dir, "o.json")
+    with open(p, "w") as f:
+        f.write(text)
+    want = [(i, k, v["code_string"]) for i, (k, v) in enumerate(json.loads(text, object_pairs_hook=OrderedDict).items())]
+    got = [(r.ord, r.id, r.code_string) for r in RD.read_json_object(spark, p).orderBy("ord").collect()]
+    assert got == want

@@ -37,3 +37,9 @@ def test_maps_raise_on_unknown(spark):
     sp = spark.createDataFrame([("dev",), ("eval",), ("train",)], "s string")
     assert [r[0] for r in sp.select(L.map_split_names("s")).collect()] == ["valid", "test", "train"]
 
+
+
+def test_null_label_encodes(spark):
+    df = spark.createDataFrame([(None, "train"), ("a", "train")], "label string, split string")
+    out = sorted((r.label or "", r.code) for r in L.label_encode(df, L.label_codes(df)).collect())
+    assert out == [("", 0), ("a", 1)]
