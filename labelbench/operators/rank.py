@@ -34,11 +34,34 @@ def two_phase_row_number(df: DataFrame, partition_cols: list[str], order_col: st
     extra = [F.sum("__n").over(Window.partitionBy(*partition_cols)).alias(total)] if total else []
     offsets = counts.select(*partition_cols, b,
                             F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"), *extra)
-    w = Window.partitionBy(*partition_cols, b).orderBy(order_col, *tie_cols)
-    ranked = keyed.withColumn("__rn_local", F.row_number().over(w))
-    return (ranked.join(offsets, [*partition_cols, b], "inner")
+    # a NULL group is a group: window and join keys are (is-null, value) pairs,
+    # so the equi-join keeps its rows and the rows are shuffled only once
+    keys = null_safe_keys(df, partition_cols)
+    ranked = with_keys(keyed, keys)
+    w = Window.partitionBy(*[k for k, _ in keys], b).orderBy(order_col, *tie_cols)
+    ranked = ranked.withColumn("__rn_local", F.row_number().over(w))
+    offs = with_keys(offsets, keys).drop(*partition_cols)
+    names = [k for k, _ in keys]
+    return (ranked.join(offs, [*names, b], "inner")
             .withColumn(out, (F.col("__off") + F.col("__rn_local")).cast("long"))
-            .drop(b, "__off", "__rn_local"))
+            .drop(b, "__off", "__rn_local", *names))
+
+
+def null_safe_keys(df: DataFrame, cols: list[str]) -> list[tuple[str, Column]]:
+    """(name, expression) pairs that stand for ``cols`` in equi-joins with NULL
+    matching NULL: an is-null flag and the value with NULL replaced."""
+    out = []
+    for i, c in enumerate(cols):
+        t = df.schema[c].dataType
+        out.append((f"__kn{i}", F.col(c).isNull()))
+        out.append((f"__kv{i}", F.coalesce(F.col(c), F.lit(0).cast(t))))
+    return out
+
+
+def with_keys(df: DataFrame, keys: list[tuple[str, Column]]) -> DataFrame:
+    for name, expr in keys:
+        df = df.withColumn(name, expr)
+    return df
 
 
 def hex_bucket(key_col: str, digits: int = 4) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import hex_bucket, two_phase_row_number  # noqa: F401
+from .rank import hex_bucket, null_safe_keys, two_phase_row_number, with_keys
 
 
 def seeded_key(seed, id_col: str, *salt) -> Column:
@@ -109,24 +109,21 @@ def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int
     """
     # NULL is a class of its own: join and window keys are (is-null, value), so
     # an equi-join never drops such rows and the rows are still shuffled once
-    ltype = df.schema[label_col].dataType
-
-    def null_key(frame):
-        return (frame.withColumn("__ln", F.col(label_col).isNull())
-                .withColumn("__lv", F.coalesce(F.col(label_col), F.lit(0).cast(ltype))))
-    keyed = null_key(df.withColumn("__key", seeded_key(seed, id_col))
-                     .withColumn("__bucket", hex_bucket("__key", bucket_digits)))
+    keys = null_safe_keys(df, [label_col])
+    names = [k for k, _ in keys]
+    keyed = with_keys(df.withColumn("__key", seeded_key(seed, id_col))
+                      .withColumn("__bucket", hex_bucket("__key", bucket_digits)), keys)
     counts = keyed.groupBy(label_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     w_off = Window.partitionBy(label_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     cw = (counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_off), F.lit(0)))
           .withColumn("n_class", F.sum("__n").over(Window.partitionBy(label_col)))
           .withColumn("__first", F.col("__off") == 0))
-    offsets = null_key(quota_fn(cw).drop("__n", "n_class", "__first")).drop(label_col)
-    w = Window.partitionBy("__ln", "__lv", "__bucket").orderBy("__key", id_col)
+    offsets = with_keys(quota_fn(cw).drop("__n", "n_class", "__first"), keys).drop(label_col)
+    w = Window.partitionBy(*names, "__bucket").orderBy("__key", id_col)
     ranked = keyed.withColumn("__rn_local", F.row_number().over(w))
-    return (ranked.join(offsets, ["__ln", "__lv", "__bucket"])
+    return (ranked.join(offsets, [*names, "__bucket"])
             .withColumn("__rn", F.col("__off") + F.col("__rn_local"))
-            .drop("__key", "__bucket", "__off", "__rn_local", "__ln", "__lv"))
+            .drop("__key", "__bucket", "__off", "__rn_local", *names))
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float,

@@ -2,6 +2,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 
 from labelbench.operators import metrics as M
@@ -78,3 +79,14 @@ def test_repeated_key_keeps_first_position_last_value(spark, tmp_dir):
     want = [(i, k, v["code_string"]) for i, (k, v) in enumerate(json.loads(text, object_pairs_hook=OrderedDict).items())]
     got = [(r.ord, r.id, r.code_string) for r in RD.read_json_object(spark, p).orderBy("ord").collect()]
     assert got == want
+
+
+def test_two_phase_rank_keeps_null_groups(spark):
+    from labelbench.operators.rank import two_phase_row_number
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "g") for i in range(30)], "k long, g string")
+    out = two_phase_row_number(df, ["g"], "k", F.floor(F.col("k") / 4), out="rn", total="n")
+    rows = {(r.g, r.k): (r.rn, r.n) for r in out.collect()}
+    assert len(rows) == 30
+    nulls = sorted(k for g, k in rows if g is None)
+    assert [rows[(None, k)][0] for k in nulls] == list(range(1, len(nulls) + 1))
+    assert all(rows[(None, k)][1] == 10 for k in nulls)

@@ -27,7 +27,7 @@ def test_split_windows_are_partitioned(spark):
     for line in text.splitlines():
         if "row_number()" in line and "__rn_local" in line:
             seen += 1
-            assert "__ln" in line and "__lv" in line and "__bucket" in line
+            assert "__kn0" in line and "__kv0" in line and "__bucket" in line
     assert seen >= 1
 
 
