@@ -28,3 +28,18 @@ def test_prepare_cluster_split(spark):
     out = prepare(labelled_text(spark, SF001).drop("split"), None, split="cluster", ratio_train=0.9)
     got = {r.split for r in out["table"].select("split").distinct().collect()}
     assert got == {"train", "valid", "test"}
+
+
+def test_prepare_given_and_train_valid(spark):
+    from pyspark.sql import functions as F
+    from labelbench.plans.fixtures import labelled_text
+    lt = labelled_text(spark, SF001)
+    given = prepare(lt, None, split="given")
+    assert given["table"].count() == lt.count()
+    # rows without a split are cut into train / valid; rows with one keep it
+    partial = lt.withColumn("split", F.when(F.col("split") == "test", F.lit("test")))
+    tv = prepare(partial, None, split="train_valid", ratio_train=0.9)
+    got = {r.split: r.n for r in tv["table"].groupBy("split").agg(F.count("*").alias("n")).collect()}
+    n_test = lt.where("split = 'test'").count()
+    assert got["test"] == n_test and got["train"] + got["valid"] == lt.count() - n_test
+    assert got["valid"] > 0
