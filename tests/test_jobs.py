@@ -35,3 +35,11 @@ def test_analyse(spark, tmp_dir):
         out["pruned_table"].count()
     assert out["global_range"].count() == 2
     assert out["tests"].count() == out["cell_stats"].count()
+
+
+def test_evaluate_without_validation_rows(spark):
+    preds = spark.createDataFrame([(1, "train", e, i, i % 2, (i + e) % 2) for e in range(3) for i in range(10)],
+                                  "run_id int, mode string, epoch int, ex_id long, y_true int, y_pred int")
+    out = evaluate(preds)
+    assert out["metrics"].count() == 3 * 11
+    assert out["best_epoch"].count() == 0 and out["prediction_files"].count() == 0
