@@ -404,7 +404,8 @@ def pruned_table(clean: DataFrame, metrics=("acc_test", "balanced_acc_test", "f1
             F.col("epoch_seconds_v").alias("epoch_seconds"), F.col("epoch_seconds_s").alias("speedup")]
     for sh in shorts:
         cols += [F.col(f"{sh}_v").alias(f"diff_{sh}"), F.col(f"{sh}_p").alias(f"p_{sh}")]
-    return wide.select("dataset", LAYER, *cols)
+    # the original's row order: per dataset, layer 12 (baseline) down to 1
+    return wide.select("dataset", LAYER, *cols).orderBy("dataset", F.desc(LAYER))
 
 
 def series_means(clean: DataFrame, metric: str = "acc_test", epochs: int = EPOCHS, flag: bool = False) -> DataFrame:
