@@ -13,3 +13,8 @@ def test_every_oracle_has_a_query():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 100
+
+
+def test_bench_headline_queries_are_registered():
+    from bench import HEADLINE
+    assert set(HEADLINE) <= set(E.queries())
