@@ -90,3 +90,19 @@ def test_two_phase_rank_keeps_null_groups(spark):
     nulls = sorted(k for g, k in rows if g is None)
     assert [rows[(None, k)][0] for k in nulls] == list(range(1, len(nulls) + 1))
     assert all(rows[(None, k)][1] == 10 for k in nulls)
+
+
+def test_describe_matches_pandas(spark):
+    import pandas as pd
+    vals = {"train": [1, 2, 2, 5, 9, 10, 10, 11], "test": [3, 7, 8], "valid": [4]}
+    rows = [(s, v) for s, vs in vals.items() for v in vs]
+    df = spark.createDataFrame(rows, "split string, n_tokens int")
+    got = {r.split: r for r in PR.describe_tokens(df).collect()}
+    for s, vs in vals.items():
+        want = pd.Series(vs, dtype=float).describe().round()
+        r = got[s]
+        assert r["count"] == int(want["count"])
+        for ours, theirs in (("mean", "mean"), ("min", "min"), ("p25", "25%"), ("p50", "50%"),
+                             ("p75", "75%"), ("max", "max")):
+            assert r[ours] == want[theirs], (s, ours)
+        assert (r["std"] is None and pd.isna(want["std"])) or r["std"] == want["std"]
