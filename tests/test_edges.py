@@ -106,3 +106,12 @@ def test_describe_matches_pandas(spark):
                              ("p75", "75%"), ("max", "max")):
             assert r[ours] == want[theirs], (s, ours)
         assert (r["std"] is None and pd.isna(want["std"])) or r["std"] == want["std"]
+
+
+def test_dataset_stats_population_std(spark):
+    import numpy as np
+    vs = [3, 7, 8, 20]
+    df = spark.createDataFrame([("train", v) for v in vs], "split string, n_tokens int")
+    r = PR.dataset_stats(df).first()
+    assert (r.num_samples, r.num_tokens_max, r.num_tokens_min) == (4, 20, 3)
+    assert r.num_tokens_avg == pytest.approx(np.mean(vs)) and r.num_tokens_std == pytest.approx(np.std(vs))
