@@ -145,3 +145,23 @@ def test_first_examples_strict(spark):
     assert first_examples(df, 3).count() == 3
     with _pytest.raises(Exception, match="fewer than 3 examples"):
         first_examples(df, 3, strict=True).collect()
+
+
+def test_quotas_random_class_sizes(spark):
+    import random
+    rng = random.Random(7)
+    for _ in range(12):
+        k = rng.randint(2, 5)
+        counts = {f"c{i}": rng.randint(2, 60) for i in range(k)}
+        if rng.random() < 0.3:  # equal class sizes give equal remainders: ties by label order
+            counts = {c: 20 for c in counts}
+        t = rng.choice([0.1, 0.2, 0.25, 0.5])
+        rows = [(j * 10 + i, c) for i, (c, n) in enumerate(counts.items()) for j in range(n)]
+        df = spark.createDataFrame(rows, "ord long, label string")
+        total = sum(counts.values())
+        n_test = math.ceil(t * total)
+        if total - n_test < k or n_test < k:
+            continue
+        got = {r.label: r.n for r in SP.stratified_split(df, "label", "ord", t, seed=3)
+               .where("split = 'train'").groupBy("label").agg(F.count("*").alias("n")).collect()}
+        assert got == _quota_py(counts, total - n_test), (counts, t)
