@@ -123,3 +123,24 @@ def test_erfc_against_math(spark):
     got = [r.e for r in df.select(ST.erfc(df.x).alias("e")).collect()]
     for x, e in zip(xs, got):
         assert e == pytest.approx(math.erfc(x), rel=1e-12, abs=1e-300)
+
+
+def test_wilcoxon_random_samples(spark):
+    import random
+    rng = random.Random(11)
+    groups = {}
+    for g in range(25):
+        n = rng.randint(1, 12)
+        if g % 2:  # distinct magnitudes, no zeros: the exact branch
+            mags = rng.sample(range(1, 40), n)
+            groups[f"g{g}"] = [m / 10 * rng.choice([-1, 1]) for m in mags]
+        else:      # small integers: ties and zeros, the normal branch
+            groups[f"g{g}"] = [float(rng.randint(-3, 3)) for _ in range(n)]
+    rows = [(g, x) for g, ds in groups.items() for x in ds]
+    got = {r.g: r.p_value for r in ST.wilcoxon_signed_rank(spark.createDataFrame(rows, "g string, d double"), ["g"], "d").collect()}
+    for g, ds in groups.items():
+        want = py_wilcoxon(ds)
+        if want is None:
+            assert got[g] is None
+        else:
+            assert got[g] == pytest.approx(want, rel=1e-11, abs=1e-15), (g, ds)
