@@ -86,3 +86,19 @@ def test_fit_head_separates_classes(spark):
         pred.select(F.lit("t").alias("task"), F.col("label").cast("int").alias("y_true"),
                     F.col("prediction").cast("int").alias("y_pred")))).first()
     assert m.acc == 1.0
+
+
+def test_metrics_random_labels(spark):
+    import random
+    rng = random.Random(5)
+    cases = {}
+    for g in range(15):
+        n = rng.randint(1, 40)
+        kt, kp = rng.randint(1, 6), rng.randint(1, 6)
+        cases[f"t{g}"] = ([rng.randrange(kt) for _ in range(n)], [rng.randrange(kp) for _ in range(n)])
+    rows = [(g, a, b) for g, (yt, yp) in cases.items() for a, b in zip(yt, yp)]
+    df = spark.createDataFrame(rows, "task string, y_true int, y_pred int")
+    got = {r.task: r.asDict() for r in M.classification_metrics(M.confusion_counts(df)).collect()}
+    for g, (yt, yp) in cases.items():
+        for k, v in py_metrics(yt, yp).items():
+            assert got[g][k] == pytest.approx(v, abs=1e-12), (g, k)
