@@ -115,3 +115,16 @@ def test_dataset_stats_population_std(spark):
     r = PR.dataset_stats(df).first()
     assert (r.num_samples, r.num_tokens_max, r.num_tokens_min) == (4, 20, 3)
     assert r.num_tokens_avg == pytest.approx(np.mean(vs)) and r.num_tokens_std == pytest.approx(np.std(vs))
+
+
+def test_overlap_and_intersection_against_sets(spark):
+    import random
+    rng = random.Random(3)
+    pool = [f"text {i}" for i in range(30)] + [None]
+    rows = [(rng.choice(pool), rng.choice(["train", "train", "valid", "test"])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "src string, split string")
+    sets = {s: {t for t, sp in rows if sp == s} for s in ("train", "valid", "test")}
+    got = {r.split: r.overlap for r in PR.split_overlap(df).collect()}
+    assert got == {o: len(sets["train"] & sets[o]) for o in ("valid", "test")}
+    inter = {r.src for r in PR.intersect_texts(df, "train", "test").collect()}
+    assert inter == sets["train"] & sets["test"]
