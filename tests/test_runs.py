@@ -80,3 +80,19 @@ def test_python_round_matches_builtin(spark):
     for d in (0, 1, 2):
         got = [r.r for r in df.select(TF.python_round("x", d).alias("r")).collect()]
         assert got == [round(x, d) for x in xs]
+
+
+def test_keep_last_run_equals_pandas_drop_duplicates(spark):
+    import random
+    import pandas as pd
+    rng = random.Random(2)
+    rows = [("d", i, rng.choice(["c1", "c2"]), rng.choice([1, 2, None]), rng.choice([1, 2]), 10,
+             rng.choice([True, False, None]), round(rng.random(), 3)) for i in range(200)]
+    cols = ["dataset", "ord", "combination_type", "hidden_layer_to_use", "seed", "epochs",
+            "not_special_tokens_to_zero", "acc_test"]
+    df = spark.createDataFrame(rows, "dataset string, ord long, combination_type string, hidden_layer_to_use int, "
+                                     "seed int, epochs int, not_special_tokens_to_zero boolean, acc_test double")
+    got = sorted(r.ord for r in R.keep_last_run(df).collect())
+    pdf = pd.DataFrame(rows, columns=cols)
+    want = sorted(pdf.drop_duplicates(subset=R.RUN_KEY, keep="last")["ord"].tolist())
+    assert got == want
