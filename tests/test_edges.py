@@ -128,3 +128,23 @@ def test_overlap_and_intersection_against_sets(spark):
     assert got == {o: len(sets["train"] & sets[o]) for o in ("valid", "test")}
     inter = {r.src for r in PR.intersect_texts(df, "train", "test").collect()}
     assert inter == sets["train"] & sets["test"]
+
+
+def test_class_distribution_against_pandas(spark):
+    import collections
+    import random
+    import pandas as pd
+    rng = random.Random(4)
+    data = {s: [rng.choice("abcdef"[: 3 + i]) for _ in range(rng.randint(5, 40))]
+            for i, s in enumerate(("train", "valid", "test"))}
+    labels = sorted(set().union(*data.values()))
+    table = pd.DataFrame(index=labels, columns=list(data), dtype=float)
+    for s, ls in data.items():
+        for k, v in collections.Counter(ls).items():
+            table.loc[k, s] = v
+    table = table.sort_values(by=["train", "valid", "test"], ascending=False)
+    table.loc["Total"] = table.sum(axis=0)
+    want = [(i, *[None if pd.isna(v) else int(v) for v in row]) for i, row in zip(table.index, table.values)]
+    df = spark.createDataFrame([(lab, s) for s, ls in data.items() for lab in ls], "label string, split string")
+    got = [tuple(r) for r in PR.class_distribution(df).collect()]
+    assert got == want  # same rows in the same order
