@@ -148,3 +148,21 @@ def test_class_distribution_against_pandas(spark):
     df = spark.createDataFrame([(lab, s) for s, ls in data.items() for lab in ls], "label string, split string")
     got = [tuple(r) for r in PR.class_distribution(df).collect()]
     assert got == want  # same rows in the same order
+
+
+def test_class_token_stats_against_pandas(spark):
+    import random
+    import pandas as pd
+    rng = random.Random(9)
+    rows = [(rng.choice(["train", "valid", "test"]), rng.choice("xyz"), rng.randint(1, 60)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "split string, label string, n_tokens int")
+    got = {(r.split, r.label): r for r in PR.describe_tokens_by_class(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["split", "label", "n"])
+    for s in ("train", "valid", "test"):
+        want = pdf[pdf.split == s].groupby("label")["n"].describe().round()
+        for lab, w in want.iterrows():
+            r = got[(s, lab)]
+            assert r["count"] == int(w["count"])
+            assert (r.mean, r["min"], r.p25, r.p50, r.p75, r["max"]) == \
+                (w["mean"], w["min"], w["25%"], w["50%"], w["75%"], w["max"])
+            assert (r.std is None and pd.isna(w["std"])) or r.std == w["std"]
