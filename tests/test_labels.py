@@ -43,3 +43,26 @@ def test_null_label_encodes(spark):
     df = spark.createDataFrame([(None, "train"), ("a", "train")], "label string, split string")
     out = sorted((r.label or "", r.code) for r in L.label_encode(df, L.label_codes(df)).collect())
     assert out == [("", 0), ("a", 1)]
+
+
+def test_encoding_against_python(spark):
+    import random
+    import regex
+    from labelbench.functions.text import TOKEN_PATTERN
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "délta", "x_1", "42", ",", "!", "zeta"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    df = spark.createDataFrame(texts, "ord long, src string")
+    max_len = 8
+    import re
+    py_pattern = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: "\\u%04x" % int(m.group(1), 16), TOKEN_PATTERN)
+    pat = regex.compile(py_pattern)
+    toks = {i: pat.findall(t) for i, t in texts}
+    vocab = {w: j + 4 for j, w in enumerate(sorted({w for ts in toks.values() for w in ts},
+                                                    key=lambda w: w.encode("utf-8")))}
+    got = {r.ord: (r.input_ids, r.attention_mask)
+           for r in L.encode_fixed_length(df, L.vocabulary(df, first_id=4), "ord", max_length=max_len).collect()}
+    for i, ts in toks.items():
+        ids = [0] + [vocab[w] for w in ts[: max_len - 2]] + [2]
+        want = (ids + [1] * (max_len - len(ids)), [1] * len(ids) + [0] * (max_len - len(ids)))
+        assert got[i] == want, (i, ts)
