@@ -165,3 +165,23 @@ def test_quotas_random_class_sizes(spark):
         got = {r.label: r.n for r in SP.stratified_split(df, "label", "ord", t, seed=3)
                .where("split = 'train'").groupBy("label").agg(F.count("*").alias("n")).collect()}
         assert got == _quota_py(counts, total - n_test), (counts, t)
+
+
+def test_three_way_random_against_rule(spark):
+    import random
+    rng = random.Random(12)
+    for _ in range(8):
+        counts = {f"c{i}": rng.randint(10, 80) for i in range(rng.randint(2, 4))}
+        n = sum(counts.values())
+        n_rest = math.ceil((1 - 0.8) * n)
+        train = _quota_py(counts, n - n_rest)
+        rest = {c: counts[c] - train[c] for c in counts}
+        if min(rest.values()) < 2:
+            continue
+        valid = _quota_py(rest, n_rest - math.ceil(0.5 * n_rest))
+        rows = [(j * 10 + i, c) for i, (c, k) in enumerate(counts.items()) for j in range(k)]
+        out = SP.three_way_split(spark.createDataFrame(rows, "ord long, label string"), "label", "ord", seed=5)
+        got = {(r.label, r.split): r.n for r in out.groupBy("label", "split").agg(F.count("*").alias("n")).collect()}
+        for c in counts:
+            assert got[(c, "train")] == train[c] and got[(c, "valid")] == valid[c]
+            assert got[(c, "test")] == counts[c] - train[c] - valid[c]
