@@ -144,3 +144,18 @@ def test_wilcoxon_random_samples(spark):
             assert got[g] is None
         else:
             assert got[g] == pytest.approx(want, rel=1e-11, abs=1e-15), (g, ds)
+
+
+def test_a12_random_against_pairs(spark):
+    import random
+    rng = random.Random(13)
+    samples = {f"g{i}": ([rng.randint(0, 6) / 2 for _ in range(rng.randint(1, 12))],
+                         [rng.randint(0, 6) / 2 for _ in range(rng.randint(1, 12))]) for i in range(20)}
+    rows = [(g, side, float(v)) for g, (a, b) in samples.items() for side, vs in ((1, a), (2, b)) for v in vs]
+    df = spark.createDataFrame(rows, "g string, side int, value double")
+    eff = {r.g: r.a12 for r in ST.a12_effect_size(df, ["g"]).collect()}
+    pairs = {r.g: (r.more, r.same) for r in ST.pair_counts(df, ["g"]).collect()}
+    for g, (a, b) in samples.items():
+        want, more, same = py_a12(a, b)
+        assert eff[g] == pytest.approx(want, abs=1e-12)
+        assert pairs[g] == (more, same)
