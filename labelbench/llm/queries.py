@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, simhash
 from .tables import read
 
 
@@ -10,11 +10,16 @@ def _docs(spark, sf_dir):
     return read(spark, sf_dir, "documents")
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_docs(spark, sf_dir), shingle=3, distance=3)
+
+
 def op9_pack(spark, sf_dir):
     return packing.pack(_docs(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_simhash_near_dedup": (op1_simhash, None),
     "op9_best_fit_packing": (op9_pack, None),
 }
 
