@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import compression, langid, packing, simhash
 from .tables import read
 
 
@@ -14,12 +14,22 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(_docs(spark, sf_dir), shingle=3, distance=3)
 
 
+def op2_language(spark, sf_dir):
+    return langid.identify(_docs(spark, sf_dir))
+
+
+def op8_quality(spark, sf_dir):
+    return compression.quality(_docs(spark, sf_dir))
+
+
 def op9_pack(spark, sf_dir):
     return packing.pack(_docs(spark, sf_dir))
 
 
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash, None),
+    "op2_language_id": (op2_language, None),
+    "op8_compression_quality": (op8_quality, None),
     "op9_best_fit_packing": (op9_pack, None),
 }
 
