@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression, langid, packing, simhash
+from . import compression, langid, packing, simhash, toxicity
 from .tables import read
 
 
@@ -18,6 +18,10 @@ def op2_language(spark, sf_dir):
     return langid.identify(_docs(spark, sf_dir))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.classify(_docs(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_quality(spark, sf_dir):
     return compression.quality(_docs(spark, sf_dir))
 
@@ -29,6 +33,7 @@ def op9_pack(spark, sf_dir):
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash, None),
     "op2_language_id": (op2_language, None),
+    "op5_toxicity": (op5_toxicity, None),
     "op8_compression_quality": (op8_quality, None),
     "op9_best_fit_packing": (op9_pack, None),
 }
