@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression, langid, packing, simhash, toxicity
+from . import compression, langid, packing, rans, simhash, toxicity
 from .tables import read
 
 
@@ -22,6 +22,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.classify(_docs(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op6_token_files(spark, sf_dir):
+    return rans.round_trip(_docs(spark, sf_dir), end_id=0)
+
+
 def op8_quality(spark, sf_dir):
     return compression.quality(_docs(spark, sf_dir))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash, None),
     "op2_language_id": (op2_language, None),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_rans_token_files": (op6_token_files, None),
     "op8_compression_quality": (op8_quality, None),
     "op9_best_fit_packing": (op9_pack, None),
 }
