@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression, langid, packing, rans, simhash, toxicity
+from . import compression, langid, packing, rans, simhash, substrings, toxicity
 from .tables import read
 
 
@@ -26,6 +26,10 @@ def op6_token_files(spark, sf_dir):
     return rans.round_trip(_docs(spark, sf_dir), end_id=0)
 
 
+def op7_substrings(spark, sf_dir):
+    return substrings.report(_docs(spark, sf_dir), size=20)
+
+
 def op8_quality(spark, sf_dir):
     return compression.quality(_docs(spark, sf_dir))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op2_language_id": (op2_language, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_rans_token_files": (op6_token_files, None),
+    "op7_substring_dedup": (op7_substrings, None),
     "op8_compression_quality": (op8_quality, None),
     "op9_best_fit_packing": (op9_pack, None),
 }
