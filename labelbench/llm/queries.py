@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression, langid, packing, rans, simhash, substrings, toxicity
+import corpus_pipeline
+
+from . import compression, langid, mixing, packing, rans, simhash, substrings, toxicity
 from .tables import read
 
 
@@ -18,6 +20,10 @@ def op2_language(spark, sf_dir):
     return langid.identify(_docs(spark, sf_dir))
 
 
+def op3_mix(spark, sf_dir):
+    return mixing.place(_docs(spark, sf_dir).select("doc_id", "source"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.classify(_docs(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -39,8 +45,10 @@ def op9_pack(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_simhash_near_dedup": (op1_simhash, None),
     "op2_language_id": (op2_language, None),
+    "op3_pfair_mix": (op3_mix, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_rans_token_files": (op6_token_files, None),
     "op7_substring_dedup": (op7_substrings, None),
