@@ -25,8 +25,8 @@ MEMO_WORDS = 400_000
 _WS = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _RUN = re.compile(_WS + _WS)
 _ADDED = "<|endoftext|>"
-# Letters whose class no Unicode version disputes, then at most one mark.
-_PLAIN = re.compile(r"(\n?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]?)\Z")
+# Letters whose class no Unicode version disputes, then marks.
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)\Z")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -35,6 +35,24 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memo(dict):
+    """ids of words as bytes; a missing word is looked up in the older generation, or encoded."""
+
+    def __init__(self, encode, limit: int):
+        super().__init__()
+        self.encode, self.limit, self.older = encode, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(word)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Encoder:
     """``ids(text)``: equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
@@ -43,75 +61,46 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.feed = self._plain("\n")
-        self.cuts = len(self.feed) == 1
-        self.model = self.tokenizer.model
+        self.feed = self._plain("\n").tobytes()
         # how the vocabulary shows bytes: printable Latin-1 as it is, the others from U+0100 on
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self.shown = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.space = self.shown[32]
-        self.marks = {m: self._plain(m).tobytes() for m in ".,;:!?"}
-        # by word: ids of the word with its space in front, as bytes; "\n" + word: without it
-        self.limit, self.memo, self.older = memo_words, {}, {}
+        self.marks = _Memo(lambda run: self._plain(run).tobytes(), 10_000)
+        # words with the space in front of them, and words at a line's start, which have none
+        self.inside = _Memo(lambda w: self._word(w, self.inside, " "), memo_words)
+        self.leading = _Memo(lambda w: self._word(w, self.leading, ""), memo_words // 8)
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _word(self, w: str) -> bytes | None:
-        """Ids of a plain word: letters, which are one pre-token, and at most one mark, which is another."""
-        m = _PLAIN.match(w)
-        if not m:
-            return None
-        feed, letters, mark = m.groups()
-        if mark:
-            stem = self.memo.get(feed + letters) or self.older.get(feed + letters) or self._word(feed + letters)
-            return stem + self.marks[mark]
-        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.shown)
-        return array(self.code, [t.id for t in self.model.tokenize(shown if feed else self.space + shown)]).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of the words that the memo lacks: plain ones by the model, the others in one call
-        of the tokenizer, joined by line feeds and cut at their id."""
-        if len(self.memo) + len(words) > self.limit:
-            self.older, self.memo = self.memo, {}
-        older, memo, rest = self.older, self.memo, []
-        for w in words:
-            if (b := older.get(w)) is None and (b := self._word(w)) is None:
-                if w.strip("\n"):
-                    rest.append(w)
-                    continue
-                b = b"" if w else self._plain(" ").tobytes()  # nothing, or a lone space
-            memo[w] = b
-        if rest:
-            text = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in rest])
-            found = self._plain(text)
-            ends = np.append(np.flatnonzero(found == self.feed[0]), len(found)) * found.itemsize
-            data, start, step = found.tobytes(), 0, found.itemsize
-            for w, end in zip(rest, ends.tolist()):
-                memo[w] = data[start:end]
-                start = end + step
+    def _word(self, w: str, memo: _Memo, space: str) -> bytes:
+        """Plain words are letters, which are one pre-token and go to the model, and maybe a run of marks
+        behind them, which is another; the tokenizer takes all others."""
+        if not (w.isascii() and w.isalpha()):
+            m = _PLAIN.match(w)
+            if not m:
+                return self._plain(space + w).tobytes() if space + w else b""
+            letters, marks = m.groups()
+            if marks:
+                return memo[letters] + self.marks[marks]
+            w = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(self.space + w if space else w)]).tobytes()
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian bytes of ``self.dtype``."""
         if not text:
             return b""
-        if not self.cuts or _ADDED in text or _RUN.search(text):
+        if _ADDED in text or _RUN.search(text):
             return self._plain(text).tobytes()
-        feed, out = self.feed.tobytes(), []
-        lines = [line.split(" ") for line in text.split("\n")]
-        for words in lines:
-            words[0] = "\n" + words[0]
-        memo = self.memo
-        if missing := {w for words in lines for w in words if w not in memo}:
-            self._learn(missing)
-            if self.memo is not memo:  # a new generation lacks the words found above
-                self._learn({w for words in lines for w in words if w not in self.memo})
-        get = self.memo.__getitem__
-        for words in lines:
-            out.append(b"".join(map(get, words)))
-        return feed.join(out)
+        inside, leading, out = self.inside.__getitem__, self.leading, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(leading[words[0]] + b"".join(map(inside, words[1:])))
+        return self.feed.join(out)
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.packed(text or ""), dtype=self.dtype)

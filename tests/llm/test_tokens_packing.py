@@ -13,7 +13,7 @@ PATH = vocabulary_path()
 ENC = Encoder(PATH, memo_words=50)
 TEXTS = ["", " ", "\n", "a", " a", "a ", "a  b", "a\nb", "\na", "a\n", "a \n b", "a\n\nb", "don't, I'm it's.", "x y 　z",
          "naïve café: Übergröße! ñandú?", "tab\tb c", "a<|endoftext|>b c", "日本語 テキスト 12 3,4", "a  b", "ok. \x1c b", "é f", "ªº µ",
-         "one two\nthree four\nfive", ". , !", "a,b c.. d?! e"]
+         "one two\nthree four\nfive", ". , !", "a,b c.. d?! e", "it' it'' 's don't'", "end!! $$$ x%%% y&& (z) [q]_ `a` it's' a'll"]
 
 
 def _doc_rows(spark, texts):
