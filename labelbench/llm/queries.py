@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import compression, langid, mixing, packing, rans, simhash, substrings, toxicity
+from . import compression, langid, mixing, packing, pivots, rans, simhash, substrings, toxicity
 from .tables import read
 
 
@@ -24,6 +24,10 @@ def op3_mix(spark, sf_dir):
     return mixing.place(_docs(spark, sf_dir).select("doc_id", "source"))
 
 
+def op4_pivots(spark, sf_dir):
+    return pivots.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.classify(_docs(spark, sf_dir), read(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash, None),
     "op2_language_id": (op2_language, None),
     "op3_pfair_mix": (op3_mix, None),
+    "op4_pivot_embedding_dedup": (op4_pivots, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_rans_token_files": (op6_token_files, None),
     "op7_substring_dedup": (op7_substrings, None),
