@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import compression, langid, mixing, packing, pivots, rans, simhash, substrings, toxicity
+from . import compression, langid, licenses, mixing, packing, pivots, rans, simhash, substrings, toxicity
 from .tables import read
 
 
@@ -48,6 +48,10 @@ def op9_pack(spark, sf_dir):
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op10_licenses(spark, sf_dir):
+    return licenses.scan(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_simhash_near_dedup": (op1_simhash, None),
@@ -59,6 +63,7 @@ QUERIES = {
     "op7_substring_dedup": (op7_substrings, None),
     "op8_compression_quality": (op8_quality, None),
     "op9_best_fit_packing": (op9_pack, None),
+    "op10_license_scan": (op10_licenses, None),
 }
 
 
