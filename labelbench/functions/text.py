@@ -1,14 +1,11 @@
 """Text normalisation as column expressions.
 
-Everything except the layout-token rebuild (X8) is a built-in JVM expression
-(``regexp_replace``, ``trim`` with a character set, ``regexp_count``), so it
-stays inside whole-stage codegen and also runs unchanged on a streaming frame.
+Everything is a built-in JVM expression (``regexp_replace``, ``trim`` with a
+character set, ``regexp_count``), so it also runs unchanged on a streaming frame.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +32,10 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The patterns of X2, X4 and X5.
+NEWLINES, SEPARATORS, SPACES = r"\n+", r"\n+|\r\n|\t|\r", " +"
+
+
 def py_strip(col) -> Column:
     """Python ``str.strip()``.  Plain ``trim`` removes only U+0020; with the
     29-character set it works from both ends without scanning the text."""
@@ -43,7 +44,7 @@ def py_strip(col) -> Column:
 
 def collapse_newlines(col) -> Column:
     """``\\n+`` -> ``\\n`` then strip."""
-    return py_strip(F.regexp_replace(_c(col), r"\n+", "\n"))
+    return py_strip(F.regexp_replace(_c(col), NEWLINES, "\n"))
 
 
 def spaces_to_tab(col, n: int = 4) -> Column:
@@ -55,12 +56,12 @@ def spaces_to_tab(col, n: int = 4) -> Column:
 
 def separators_to_space(col) -> Column:
     """``\\n+``, ``\\r\\n``, ``\\t`` or ``\\r`` -> one space each, then strip."""
-    return py_strip(F.regexp_replace(_c(col), r"\n+|\r\n|\t|\r", " "))
+    return py_strip(F.regexp_replace(_c(col), SEPARATORS, " "))
 
 
 def collapse_spaces(col) -> Column:
     """Runs of U+0020 -> one space, then strip."""
-    return py_strip(F.regexp_replace(_c(col), " +", " "))
+    return py_strip(F.regexp_replace(_c(col), SPACES, " "))
 
 
 def shrink_text(col, keep_formatting: bool = False, spaces_in_tab: int = 4) -> Column:
@@ -111,36 +112,55 @@ def json_field(col, path: str, cast: str | None = None) -> Column:
     return out.cast(cast) if cast else out
 
 
-# ---------------------------------------------------------------------------
-# Layout tokens.  Per-row state machine over the token list; a small
-# Arrow-batched helper (it is never on the hot path of the other operators).
-# ---------------------------------------------------------------------------
-
-def layout_tokens_py(line: str) -> str:
-    """Plain-Python form of X8 for one string (also the test oracle's helper)."""
-    toks = line.split()
-    out = list(toks)
-    depth = 0
-    spacing = ""
-    last_nl = 0
-    for i, t in enumerate(toks):
-        low = t.lower()
-        if low == "new_line":
-            out[i] = " \n " + spacing
-            last_nl = i
-        elif low in ("indent", "dedent"):
-            depth += 1 if low == "indent" else -1
-            spacing = " \t " * depth
-            out[last_nl] = " \n " + spacing
-            out[i] = ""
-    return re.sub(" +", " ", " ".join(out))
-
-
-@F.pandas_udf(T.StringType())
-def _layout_tokens_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else layout_tokens_py(x))
-
-
 def layout_tokens(col) -> Column:
-    """Rebuild line breaks and tabs from NEW_LINE / INDENT / DEDENT markers."""
-    return _layout_tokens_udf(_c(col))
+    """Rebuild line breaks and tabs from NEW_LINE / INDENT / DEDENT markers.
+
+    A NEW_LINE opens a line.  A line is a break, one tab for each level of depth after the
+    markers in it, and its words; INDENT and DEDENT raise and lower the depth and leave no
+    word.  Before the first NEW_LINE there is no break to carry the tabs: there the first word
+    gives its place to it if a marker follows, and a single marker in front carries none.
+    Runs of spaces become one.
+
+    The markers become characters that no token can hold (they count as white space), the text
+    is cut at the line marker, and a fold over the lines keeps the running depth."""
+    line_mark, up, down = "\x1c", "\x1d", "\x1e"
+    text = F.concat(F.lit(" "), split_join(col), F.lit(" "))
+    for word, mark in (("new_line", line_mark), ("indent", up), ("dedent", down)):
+        text = F.regexp_replace(text, f"(?i)(?<= ){word}(?= )", mark)
+    # a lambda over one element names the marked text, so that it is made once
+    return F.get(F.transform(F.array(text), lambda t: _laid_out(t, line_mark, up, down)), 0)
+
+
+def _laid_out(text: Column, line_mark: str, up: str, down: str) -> Column:
+    """The text of marked lines; the rule of ``layout_tokens``."""
+    lines = F.split(text, line_mark)
+
+    def count(part, mark):
+        return F.length(part) - F.length(F.replace(part, F.lit(mark), F.lit("")))
+
+    def depth(part):
+        return count(part, up) - count(part, down)
+
+    def words(part):
+        return F.translate(part, up + down, "")
+
+    def line_break(d):
+        return F.concat(F.lit(" \n "), F.repeat(F.lit(" \t "), F.greatest(d, F.lit(0))))
+
+    first = F.element_at(lines, 1)
+    here, marked_first = count(first, up) + count(first, down), F.substring(first, 2, 1).isin(up, down)
+    head = (F.when(here == 0, first)
+            .when(marked_first & (here == 1), words(first))
+            .when(marked_first, F.concat(line_break(depth(first)), words(first)))
+            .otherwise(F.concat(line_break(depth(first)), words(F.regexp_replace(first, "^ [^ ]+", "")))))
+    rest = F.aggregate(
+        F.slice(lines, 2, F.size(lines)), F.struct(depth(first).alias("d"), F.lit("").alias("out")),
+        lambda s, part: F.struct((s["d"] + depth(part)).alias("d"),
+                                 F.concat(s["out"], line_break(s["d"] + depth(part)), words(part)).alias("out")),
+        lambda s: s["out"])
+    inner = F.trim(F.regexp_replace(F.concat(head, rest), " +", " "))
+    # what stands for a marker at either end is joined by a space
+    lead = F.substring(text, 2, 1).isin(line_mark, up, down) | (here > 0)
+    tail = F.substring(text, -2, 1).isin(line_mark, up, down)
+    return (F.when(text.isin("  ", f" {up} ", f" {down} "), F.lit(""))
+            .otherwise(F.concat(F.when(lead, " ").otherwise(""), inner, F.when(tail, " ").otherwise(""))))

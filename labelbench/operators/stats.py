@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Largest n with an exact null distribution under method="auto" (SciPy's default for this test).
 EXACT_MAX_N = 50
 
 # erfc(x) without erf in either engine: 1 - erf from the Taylor series of erf
@@ -81,19 +82,23 @@ def average_ranks(df: DataFrame, group_cols: list[str], value: Column, out: str
             .drop("__rmin", v))
 
 
-def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "d",
-                         spark: SparkSession | None = None) -> DataFrame:
+def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "d", spark: SparkSession | None = None,
+                         method: str = "auto", exact_max_n: int = EXACT_MAX_N) -> DataFrame:
     """Two-sided Wilcoxon signed-rank test per group on differences ``d``.
 
-    Zero differences are dropped.  Exact p = min(1, 2 P(W+ <= T)) when there
-    are no zeros and no ties and n <= 50; otherwise the normal approximation
-    with tie correction and no continuity correction.  All-zero -> NULL p.
+    Zero differences are dropped.  ``method="auto"``: exact p = min(1, 2 P(W+ <= T)) when
+    there are no zeros and no ties and n <= ``exact_max_n``, otherwise the normal approximation
+    with tie correction and no continuity correction.  ``"approx"`` approximates every group;
+    ``"exact"`` raises for a group that has zeros, ties or more than ``exact_max_n`` pairs (the
+    null distribution is a table of about exact_max_n^3 / 6 rows).  All-zero -> NULL p.
 
     One shuffle by group: every window shares the group partitioning and the
     final ``groupBy`` reuses it.  Zeros sort first by |d|, so the rank among
     non-zero differences is ``rank - zeros``; each row of a tie group of size
     t adds t*t - 1, which sums to the t(t^2 - 1) of the tie correction.
     """
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method {method!r}")
     spark = spark or pairs.sparkSession
     g = list(group_cols)
     d = F.col("__d")
@@ -113,14 +118,19 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
         F.max(F.when(nz, F.col("__t"))).alias("max_tie"))
     s = s.withColumn("t_stat", F.least("w_plus", "w_minus"))
     exact = (F.col("n_zero") == 0) & (F.coalesce(F.col("max_tie"), F.lit(1)) <= 1) & \
-            (F.col("n") <= EXACT_MAX_N) & (F.col("n") > 0)
+            (F.col("n") <= exact_max_n) & (F.col("n") > 0)
+    if method == "approx":
+        exact = F.lit(False)
+    elif method == "exact":
+        exact = F.when(exact | (F.col("n") == 0), exact).otherwise(
+            F.raise_error(F.lit("no exact null distribution: zeros, ties or too many pairs")).cast("boolean"))
     s = s.withColumn("method", F.when(F.col("n") == 0, F.lit(None).cast("string"))
                      .when(exact, F.lit("exact")).otherwise(F.lit("approx")))
     n = F.col("n").cast("double")
     mn = n * (n + 1) / 4.0
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * F.col("tie_term")) / 24.0)
     s = s.withColumn("z", F.when(F.col("method") == "approx", F.try_divide(F.col("t_stat") - mn, se)))
-    table = F.broadcast(signed_rank_table(spark).withColumnRenamed("n", "__n"))
+    table = F.broadcast(signed_rank_table(spark, exact_max_n).withColumnRenamed("n", "__n"))
     s = s.withColumn("__w", F.floor("t_stat").cast("int"))
     s = s.join(table, (F.col("__n") == F.col("n")) & (F.col("w") == F.col("__w")) &
                (F.col("method") == "exact"), "left")

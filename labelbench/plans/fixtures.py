@@ -45,25 +45,32 @@ def labelled_quality(spark: SparkSession, sf: str) -> DataFrame:
                                         F.col("quality").alias("label"))
 
 
+def ten_logits(col: str):
+    """Logit c = sum of the values at positions c, c + 10, c + 20, ..., added in that order."""
+    v = F.transform(F.col(col), lambda x: x.cast("double"))
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.aggregate(
+        F.sequence(c, F.size(v) - 1, F.lit(10)), F.lit(0.0), lambda s, i: s + F.get(v, i)))
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Two prediction tables in one: ``quality`` (y_true=quality, y_pred=toxic)
-    and ``embed`` (y_true=label, y_pred=argmax of the first 10 values)."""
+    and ``embed`` (y_true=label, y_pred=argmax of the ten logits)."""
     lab = table(spark, sf, "labels").select(
         F.lit("quality").alias("task"), F.col("doc_id").alias("ex_id"),
         F.col("quality").alias("y_true"), F.col("toxic").alias("y_pred"))
-    first10 = F.slice(F.col("embedding"), 1, 10)
+    ten = ten_logits("embedding")
     emb = table(spark, sf, "embeddings").select(
         F.lit("embed").alias("task"), F.col("vec_id").alias("ex_id"),
         F.col("label").alias("y_true"),
-        (F.array_position(first10, F.array_max(first10)) - 1).cast("int").alias("y_pred"))
+        (F.array_position(ten, F.array_max(ten)) - 1).cast("int").alias("y_pred"))
     return lab.unionByName(emb)
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
-    """Logits of the ``embed`` task: the first 10 values as doubles, batch of 64."""
+    """Logits of the ``embed`` task: all values folded into ten, batch of 64."""
     e = table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("ex_id"),
-                    F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"),
+                    ten_logits("embedding").alias("logits"),
                     F.col("label").alias("y"),
                     F.floor(F.col("vec_id") / 64).cast("long").alias("batch"))
 
@@ -148,10 +155,10 @@ SQL_VIEWS = {
   SELECT 'quality' AS task, doc_id AS ex_id, quality AS y_true, toxic AS y_pred FROM labels
   UNION ALL
   SELECT 'embed' AS task, vec_id AS ex_id, label AS y_true,
-         CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS y_pred
-  FROM embeddings)""",
+         CAST(list_position(ten, list_max(ten)) - 1 AS INTEGER) AS y_pred
+  FROM (SELECT *, list_transform(range(10), lambda c: list_reduce([CAST(0.0 AS DOUBLE)] || list_transform(range(c, len(embedding), 10), lambda i: CAST(embedding[i + 1] AS DOUBLE)), lambda a, b: a + b)) AS ten FROM embeddings))""",
     "logits": """logits AS (
-  SELECT vec_id AS ex_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits,
+  SELECT vec_id AS ex_id, list_transform(range(10), lambda c: list_reduce([CAST(0.0 AS DOUBLE)] || list_transform(range(c, len(embedding), 10), lambda i: CAST(embedding[i + 1] AS DOUBLE)), lambda a, b: a + b)) AS logits,
          label AS y, CAST(floor(vec_id / 64) AS BIGINT) AS batch FROM embeddings)""",
     "epoch_metrics": """epoch_metrics AS (
   SELECT run_id, 'valid' AS mode, epoch,

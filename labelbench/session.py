@@ -48,14 +48,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to a shared file system; only when it is unset (local
-    tests) do we pick a scratch folder of our own.
+    A cluster sets it to a shared file system.  Where it is unset, a local session takes a
+    scratch folder of this machine; on a cluster that would not be shared, so it is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="labelbench-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)
@@ -79,46 +81,21 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, min_bytes: int = 1 << 20) -> DataFrame:
-    """Give per-row work at least one task per core.
-
-    A scan yields one task per file split; a file written as a single row
-    group is one task however many cores there are.  Only when the scan is
-    that coarse and the input is not tiny (Catalyst's size estimate, from
-    file sizes) is the table redistributed round robin.  On large inputs the
-    scan already has thousands of splits and nothing is added - no shuffle of
-    the full data."""
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= want:
-            return df
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no RDD / JVM access (e.g. a Connect session): leave the scan as it is
-        return df
-    if size < min_bytes:
-        return df
-    return df.repartition(want)
-
-
 # (session, path) -> DataFrame.  Reading a path lists files and reads parquet
-# footers (~0.1 s), and the spread decision plans the scan; a DataFrame is an
-# immutable plan (no data is held), so the provided tables are read once per
-# session.
+# footers (~0.1 s); a DataFrame is an immutable plan (no data is held), so the
+# provided tables are read once per session.
 _TABLE_CACHE: dict = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    """Read one provided table; Catalyst prunes columns and pushes filters into the scan.
-
-    A coarse scan of a non-tiny table is spread over the cores (see ``spread``)."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one provided table; Catalyst prunes columns and pushes filters into the scan, whose
+    tasks follow the row groups and ``spark.sql.files.maxPartitionBytes``."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark), path, spread_rows)
+    key = (id(spark), path)
     df = _TABLE_CACHE.get(key)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)
-        if spread_rows:
-            df = spread(df)
         _TABLE_CACHE[key] = df
     return df
