@@ -43,34 +43,34 @@ QUERIES["K1_write_split_jsonl"] = (_k1, SQL_SPLIT_ROWS)
 
 
 def _s6(spark, sf):
+    """All three splits; the lines are written in order, so that a line's number tells its document."""
     path = scratch(spark, "s6")
-    SK.write_split_jsonl(labelled_text(spark, sf), path)
-    df = RD.read_jsonl(spark, f"{path}/split=valid")
-    return df.select("ord", "src", "label")
-
-
-def _s6_check(spark, sf):
-    # positions are dense 0..n-1 over the part files of the split
-    df = _s6(spark, sf)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("min_ord"), F.max("ord").alias("max_ord"),
-                  F.count_distinct("ord").alias("n_ord"))
+    lt = labelled_text(spark, sf)
+    lt.repartitionByRange("split", "ord").sortWithinPartitions("split", "ord").select("split", "src", "label") \
+      .write.partitionBy("split").json(path)
+    parts = [RD.read_jsonl(spark, f"{path}/split={s}").select("ord", "src", "label", F.lit(s).alias("split"))
+             for s in ("train", "valid", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUERIES["S6_read_jsonl"] = (_s6_check, with_views(
-    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS min_ord, count(*) - 1 AS max_ord, count(*) AS n_ord "
-    "FROM labelled_text WHERE split = 'valid'", "labelled_text"))
+QUERIES["S6_read_jsonl"] = (_s6, with_views(
+    "SELECT row_number() OVER (PARTITION BY split ORDER BY ord) - 1 AS ord, src, label, split FROM labelled_text", "labelled_text"))
 
 
 def _s4(spark, sf):
+    """All splits as shard folders, concatenated in shard order."""
     path = scratch(spark, "s4")
-    lt = labelled_text(spark, sf).where(F.col("split") == "train")
-    lt.select(F.col("src").alias("function"), F.col("label")).repartition(4).write.json(path)
-    shards = RD.list_files(spark, path)
-    return RD.read_jsonl_shards(spark, shards, "train").select("split", "src", "label")
+    shard = (F.floor(F.col("ord") / 500)).cast("string")
+    lt = labelled_text(spark, sf).select("split", F.lpad(shard, 6, "0").alias("shard"), "ord", F.col("src").alias("function"), "label")
+    (lt.repartitionByRange("split", "shard", "ord").sortWithinPartitions("split", "shard", "ord").drop("ord")
+     .write.partitionBy("split", "shard").json(path))
+    names = {"train": "train", "dev": "valid", "eval": "test"}  # as the shards' split is called
+    parts = [RD.read_jsonl_shards(spark, [f"{path}/split={folder}"], s) for s, folder in names.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("ord", "split", "src", "label")
 
 
 QUERIES["S4_read_jsonl_shards"] = (_s4, with_views(
-    "SELECT split, src, label FROM labelled_text WHERE split = 'train'", "labelled_text"))
+    "SELECT row_number() OVER (PARTITION BY split ORDER BY ord) - 1 AS ord, split, src, label FROM labelled_text", "labelled_text"))
 
 
 def _s5(spark, sf):
@@ -82,7 +82,7 @@ def _s5(spark, sf):
     return RD.read_index_list(spark, path, "train")
 
 
-QUERIES["S5_read_index_list"] = (_s5, "SELECT DISTINCT CAST(doc_id AS INTEGER) AS ord, 'train' AS split FROM labels "
+QUERIES["S5_read_index_list"] = (_s5, "SELECT DISTINCT doc_id AS ord, 'train' AS split FROM labels "
                                       "WHERE quality = 1")
 
 _RUN_COLS = ["combination_type", "hidden_layer_to_use", "seed", "epochs", "not_special_tokens_to_zero",
@@ -101,17 +101,17 @@ def _dotted(c):
 def _s9(spark, sf):
     base = scratch(spark, "s9")
     r = runs(spark, sf)
-    names = sorted(x[0] for x in r.select("dataset").distinct().collect())  # a handful of dataset names
-    paths = []
-    for d in names:
-        p = f"{base}/mlflow_{d}.csv"
-        r.where(F.col("dataset") == d).select(*[F.col(c).alias(_dotted(c)) for c in _RUN_COLS]) \
-         .write.option("header", True).csv(p)
-        paths.append(p)
-    return RD.read_runs_csv(spark, paths).select("dataset", *_RUN_COLS)
+    cols = [F.col(c).alias(_dotted(c)) for c in _RUN_COLS]
+    # one job writes a folder for each dataset, the rows in their order
+    (r.repartitionByRange("dataset", "ord").sortWithinPartitions("dataset", "ord")
+     .select(F.concat(F.lit("mlflow_"), "dataset", F.lit(".csv")).alias("file"), *cols)
+     .write.partitionBy("file").option("header", True).csv(base))
+    paths = [f"{base}/file=mlflow_d{k}.csv" for k in range(4)]  # the datasets' names come from a formula
+    return RD.read_runs_csv(spark, paths).select("dataset", "ord", *_RUN_COLS)
 
 
-QUERIES["S9_read_runs_csv"] = (_s9, with_views("SELECT dataset, " + ", ".join(_RUN_COLS) + " FROM runs", "runs"))
+QUERIES["S9_read_runs_csv"] = (_s9, with_views(
+    "SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY ord) - 1 AS ord, " + ", ".join(_RUN_COLS) + " FROM runs", "runs"))
 
 
 def _k2(spark, sf):
@@ -175,30 +175,33 @@ def _k7(spark, sf):
 QUERIES["K7_log_metrics"] = (_k7, with_views("SELECT run_id, metric, value, step FROM epoch_metrics", "epoch_metrics"))
 
 
+HIDDEN = 64
+
+
 def _k8(spark, sf):
+    """Every token's weights over the layers as epochs, all 64 values, appended twice."""
     path = scratch(spark, "k8")
-    hs = hidden_states(spark, sf).where((F.col("example_id") == 0) & (F.col("pos") == 0))
-    hist = hs.select((F.col("layer") - 2).alias("epoch"), F.slice("vec", 1, 4).alias("weights"))
-    SK.write_weight_history(hist, path, 4)
-    out = SK.write_weight_history(hist, path, 4)
-    return out.select("epoch", *[F.round(F.col(str(i)), 9).alias(str(i)) for i in range(4)])
+    hs = hidden_states(spark, sf)
+    epoch = (F.col("example_id") * 1_000_000 + F.col("pos") * 1000 + F.col("layer")).alias("epoch")
+    hist = hs.select(epoch, F.col("vec").alias("weights"))
+    SK.write_weight_history(hist, path, HIDDEN)
+    out = SK.write_weight_history(hist, path, HIDDEN)
+    return out.select("epoch", *[F.round(F.col(str(i)), 9).alias(str(i)) for i in range(HIDDEN)])
 
 
 QUERIES["K8_write_weight_history"] = (_k8, with_views(
-    "SELECT layer - 2 AS epoch, " + ", ".join(f'round(vec[{i + 1}], 9) AS "{i}"' for i in range(4)) +
-    " FROM hidden_states WHERE example_id = 0 AND pos = 0", "hidden_states"))
+    "SELECT DISTINCT example_id * 1000000 + pos * 1000 + layer AS epoch, " + ", ".join(f'round(vec[{i + 1}], 9) AS "{i}"' for i in range(HIDDEN)) +
+    " FROM hidden_states", "hidden_states"))
 
 
 # -- single-document layouts, one document per bounded group of rows ----------
-# A JSON array / object file is written per group of GROUP rows (ord div GROUP,
-# zero-padded folder names keep the file order), so no task ever holds more
-# than GROUP rows, however large the table.
-
-GROUP = 100
+# A JSON array / object file cannot be split, so a table is written as many of them.
+# Document k holds the rows with k*k <= ord < (k+1)*(k+1): their size grows with the
+# data, like their number (zero-padded folder names keep the file order).
 
 
 def _group(col="ord"):
-    return F.lpad(F.floor(F.col(col) / GROUP).cast("string"), 9, "0")
+    return F.lpad(F.floor(F.sqrt(F.col(col))).cast("string"), 9, "0")
 
 
 def _write_docs(df, path, doc_col):

@@ -3,17 +3,22 @@
 Row order carries meaning in several layouts (array position is a join key,
 positional clusters, "first k rows").  Spark rows have no order, so every
 reader returns an explicit ``ord`` column: the position inside its file, made
-dense across files in path order.  Single-document layouts (a JSON array or
-object per file) are read with ``wholetext`` - one task per file, since such a
-file cannot be split anyway - and should be converted to parquet once.
-Line-oriented layouts keep the line number the same way.
+dense across files in the order of the given paths, then of the file names.
+
+Line-oriented layouts are read with the splittable text and CSV sources.  A row's
+position inside its split comes from the order in which the scan brings it, the
+rows of the splits before it from one small count table per (file, split).
+Single-document layouts (a JSON array or object per file) are read with
+``wholetext`` - one task per file, since such a file cannot be split anyway -
+and should be converted to parquet once.
 """
 
 from __future__ import annotations
 
+import csv
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +32,7 @@ def list_files(spark: SparkSession, paths) -> list[str]:
     paths = [paths] if isinstance(paths, str) else list(paths)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
+    out: dict[str, None] = {}
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         fs = hp.getFileSystem(conf)
@@ -39,58 +44,73 @@ def list_files(spark: SparkSession, paths) -> list[str]:
                     found.append(it.next().getPath())
             else:
                 found.append(st.getPath())
-        names = sorted(str(x) for x in found
-                       if not x.getName().startswith(("_", ".")))
-        out.extend(n for n in names if n not in out)
+        out.update(dict.fromkeys(sorted(str(x) for x in found if not x.getName().startswith(("_", ".")))))
+    return list(out)
+
+
+_PLACE = ["file_src", "file_path", "file_start"]
+
+
+def _placed(df: DataFrame, src: int, *cols) -> DataFrame:
+    """``cols`` of a file scan with where they stand: number of the path, file, split, and the
+    order in which the task reads them."""
+    return df.select(*cols, F.lit(src).alias("file_src"), F.col("_metadata.file_path").alias("file_path"),
+                     F.col("_metadata.file_block_start").alias("file_start"),
+                     F.monotonically_increasing_id().alias("__at"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
-def _norm_path(c):
-    return F.regexp_replace(c, "^file:/*", "/")
+def _lines(spark: SparkSession, paths, keep_blank: bool = True) -> DataFrame:
+    """(line, place) for every line of text files; a carriage return before the line feed goes."""
+    parts = []
+    for i, p in enumerate([paths] if isinstance(paths, str) else paths):
+        text = spark.read.text(p, lineSep="\n").withColumn("line", F.regexp_replace("value", "\r$", ""))
+        parts.append(_placed(text if keep_blank else text.where(F.col("line") != ""), i, "line"))
+    return _union(parts)
+
+
+def _numbered(rows: DataFrame, per_path: bool = False) -> DataFrame:
+    """``ord`` = 0-based position over all files, or over those of one path.  The rows of one split are consecutive in one
+    task, so a row's position in it is its number less the split's smallest."""
+    splits = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    of = Window.partitionBy("file_src") if per_path else Window.partitionBy()
+    before = of.orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    start = splits.select(*_PLACE, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return rows.join(start, _PLACE).withColumn("ord", (F.col("__off") + F.col("__at") - F.col("__first")).cast("long")) \
+               .drop(*_PLACE, "__at", "__first", "__off")
 
 
-def _whole_files(spark: SparkSession, paths) -> DataFrame:
-    """(value, file_idx): each file as one row, with its index in path order."""
-    files = list_files(spark, paths)
-    if not files:
-        raise FileNotFoundError(f"no input files in {paths}")
-    order = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "p string, file_idx int") \
-                 .select(_norm_path(F.col("p")).alias("p"), "file_idx")
-    df = spark.read.text(files, wholetext=True).select(
-        "value", _norm_path(F.col("_metadata.file_path")).alias("p"))
-    # the file list is metadata (one row per file): a broadcast of proven size
-    return df.join(F.broadcast(order), "p").drop("p")
+def _documents(spark: SparkSession, paths, src: int = 0) -> DataFrame:
+    """(value, file_src, file_path): each file as one row."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return _union([spark.read.text(p, wholetext=True).select(
+        "value", F.lit(src + i).alias("file_src"), F.col("_metadata.file_path").alias("file_path")) for i, p in enumerate(paths)])
+
+
+_FILE = ["file_src", "file_path"]
 
 
-def _dense_ord(df: DataFrame, file_col: str = "file_idx", pos_col: str = "pos") -> DataFrame:
-    """ord = rows in earlier files + position; offsets come from one small count table."""
-    counts = df.groupBy(file_col).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(file_col).rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+def _dense_ord(df: DataFrame) -> DataFrame:
+    """ord = rows in earlier files + ``pos``; offsets come from one small count table."""
+    counts = df.groupBy(*_FILE).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy(*_FILE).rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     off = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    return df.join(off, file_col).withColumn("ord", (F.col("__off") + F.col(pos_col)).cast("long")) \
-             .drop("__off")
-
-
-def _lines(spark, paths, keep_empty_last: bool = False) -> DataFrame:
-    """(file_idx, pos, line) for every line of text files, in file order."""
-    d = _whole_files(spark, paths)
-    lines = F.split(F.col("value"), "\r?\n")
-    out = d.select("file_idx", F.posexplode(lines).alias("pos", "line"))
-    if not keep_empty_last:
-        # a trailing newline leaves one empty last element
-        last = F.max("pos").over(Window.partitionBy("file_idx"))
-        out = out.withColumn("__last", last).where(~((F.col("pos") == F.col("__last")) & (F.col("line") == ""))) \
-                 .drop("__last")
-    return out
+    return df.join(off, _FILE).withColumn("ord", (F.col("__off") + F.col("pos")).cast("long")).drop("__off", "pos", *_FILE)
 
 
 def read_json_array(spark: SparkSession, paths, schema: str | T.StructType) -> DataFrame:
     """Whole-file JSON array; ``ord`` = array position (dense across files)."""
     ddl = schema if isinstance(schema, str) else schema.simpleString()
     arr = f"array<{ddl}>"
-    d = _whole_files(spark, paths)
-    rows = d.select("file_idx", F.posexplode(F.from_json("value", arr, {"mode": "FAILFAST"})).alias("pos", "r"))
-    return _dense_ord(rows.select("file_idx", "pos", "r.*"))
+    d = _documents(spark, paths)
+    rows = d.select(*_FILE, F.posexplode(F.from_json("value", arr, {"mode": "FAILFAST"})).alias("pos", "r"))
+    return _dense_ord(rows.select(*_FILE, "pos", "r.*"))
 
 
 def read_labelled_sources(spark: SparkSession, sources: list[tuple[str, str]], field: str = "code") -> DataFrame:
@@ -99,14 +119,10 @@ def read_labelled_sources(spark: SparkSession, sources: list[tuple[str, str]], f
     schema = f"struct<{field}:string>"
     parts = []
     for i, (path, label) in enumerate(sources):
-        d = _whole_files(spark, path).select(
-            (F.lit(i).cast("long") * 1_000_000_000 + F.col("file_idx")).alias("file_idx"),
-            F.posexplode(F.from_json("value", f"array<{schema}>", {"mode": "FAILFAST"})).alias("pos", "r"))
-        parts.append(d.select("file_idx", "pos", F.col(f"r.{field}").alias("src"), F.lit(label).alias("label")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _dense_ord(out).drop("file_idx", "pos")
+        d = _documents(spark, path, i).select(
+            *_FILE, F.posexplode(F.from_json("value", f"array<{schema}>", {"mode": "FAILFAST"})).alias("pos", "r"))
+        parts.append(d.select(*_FILE, "pos", F.col(f"r.{field}").alias("src"), F.lit(label).alias("label")))
+    return _dense_ord(_union(parts))
 
 
 BIFI_VALUE = "struct<code_string:string,err_obj:struct<msg:string>>"
@@ -115,14 +131,14 @@ BIFI_VALUE = "struct<code_string:string,err_obj:struct<msg:string>>"
 def read_json_object(spark: SparkSession, path: str, value_schema: str = BIFI_VALUE) -> DataFrame:
     """S3: JSON object ``id -> record`` with file order kept; a repeated key
     resolves to its last value."""
-    d = _whole_files(spark, path)
+    d = _documents(spark, path)
     m = F.from_json("value", f"map<string,{value_schema}>", {"mode": "FAILFAST"})
-    rows = d.select("file_idx", F.posexplode(m).alias("pos", "id", "r"))
+    rows = d.select(*_FILE, F.posexplode(m).alias("pos", "id", "r"))
     # a repeated key keeps its first position and takes its last value (an ordered
     # dict load); positions are renumbered inside the file (one file = one task)
-    rows = rows.groupBy("file_idx", "id").agg(F.min("pos").alias("pos"), F.max_by("r", "pos").alias("r"))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("file_idx").orderBy("pos")) - 1)
-    return _dense_ord(rows.select("file_idx", "pos", "id", "r.*"))
+    rows = rows.groupBy(*_FILE, "id").agg(F.min("pos").alias("pos"), F.max_by("r", "pos").alias("r"))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy(*_FILE).orderBy("pos")) - 1)
+    return _dense_ord(rows.select(*_FILE, "pos", "id", "r.*"))
 
 
 def shard_paths(folder: str, dataset: str, split_in: str, n: int) -> list[str]:
@@ -136,13 +152,12 @@ def read_json_lines(spark: SparkSession, paths, schema: str, ordered: bool = Tru
     ``ord`` = line position across the files in path order."""
     if not ordered:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
-    lines = _lines(spark, paths).where(F.col("line") != "")
-    rows = lines.select("file_idx", "pos", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
+    rows = _numbered(_lines(spark, paths, keep_blank=False)).select(
+        "ord", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
     # the check sits inside the struct column that is read, so it cannot be pruned
     rows = rows.withColumn("r", F.when(F.col("r").isNull(), F.raise_error(F.lit("malformed JSON line")))
                            .otherwise(F.col("r")))
-    return _dense_ord(rows.select("file_idx", (F.row_number().over(
-        Window.partitionBy("file_idx").orderBy("pos")) - 1).alias("pos"), "r.*"))
+    return rows.select("r.*", "ord")
 
 
 def read_jsonl_shards(spark: SparkSession, paths: list[str], split: str,
@@ -166,7 +181,7 @@ def read_index_list(spark: SparkSession, path: str, split: str | None = None) ->
     t = spark.read.text(path)
     v = py_strip(F.col("value"))
     out = t.select(F.when(v == "", F.raise_error(F.lit("blank line in index list"))).otherwise(v)
-                   .cast("int").alias("ord")).distinct()
+                   .cast("long").alias("ord")).distinct()
     return out.withColumn("split", F.lit(split)) if split else out
 
 
@@ -178,8 +193,8 @@ def read_jsonl(spark: SparkSession, path, label_type: str = "string") -> DataFra
 def read_paired_text(spark: SparkSession, corpus: str, labels: str) -> DataFrame:
     """Corpus and label files zipped by line, each line stripped; files of
     different length are an error."""
-    a = _dense_ord(_lines(spark, corpus)).select("ord", py_strip("line").alias("src"))
-    b = _dense_ord(_lines(spark, labels)).select("ord", py_strip("line").alias("label"))
+    a = _numbered(_lines(spark, corpus)).select("ord", py_strip("line").alias("src"))
+    b = _numbered(_lines(spark, labels)).select("ord", py_strip("line").alias("label"))
     j = a.join(b, "ord", "full_outer")
     label = F.when(F.col("src").isNull() | F.col("label").isNull(),
                    F.raise_error(F.lit("corpus and label files differ in length"))).otherwise(F.col("label"))
@@ -199,24 +214,38 @@ def _plain(name: str) -> str:
     return re.sub(r"^(params|metrics)\.", "", name).replace(".", "_")
 
 
-def read_runs_csv(spark: SparkSession, paths: list[str], dataset_pattern: str = r"mlflow_(.+)\.csv$") -> DataFrame:
-    """Run tables, one CSV per dataset; dotted headers become plain names,
-    ``dataset`` comes from the file name, ``ord`` is the row position in its file."""
+def _typed(col: Column, kind: str) -> Column:
+    """The value in its type; a value that does not parse is an error."""
+    value = col.try_cast(kind)
+    return F.when(col.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"not a {kind}: "), col)).cast(kind)).otherwise(value)
+
+
+def read_runs_csv(spark: SparkSession, paths: list[str], dataset_pattern: str = r"mlflow_([^/]+)\.csv",
+                  multi_line: bool = False) -> DataFrame:
+    """Run tables, one CSV file or folder of part files per dataset; dotted headers become plain
+    names, every column is kept, ``dataset`` comes from the path, ``ord`` is the row's position
+    over the files of its path.
+
+    A dataset's header is the first line of its first file; other part files may repeat it or
+    not, since only lines equal to it are dropped.  Broken lines and values that do not parse are errors.  ``multi_line`` reads quoted
+    fields with line breaks, at the price of one task per file."""
+    heads = _lines(spark, paths).groupBy("file_src").agg(F.min_by("line", F.struct("file_path", "file_start", "__at")).alias("head"))
+    heads = heads.orderBy("file_src").collect()  # one line for each path
     parts = []
-    for p in paths:
-        header = spark.read.option("header", True).csv(p).columns
-        ddl = ", ".join(f"`{h}` {RUNS_CSV_SCHEMA.get(h, 'string')}" for h in header)
-        # every part file starts with its own header line
-        lines = _lines(spark, p).where(F.col("pos") > 0).where(F.col("line") != "")
-        rows = _dense_ord(lines.select("file_idx", (F.col("pos") - 1).alias("pos"),
-                                       F.from_csv("line", ddl).alias("r")))
-        name = re.search(dataset_pattern, p.rstrip("/").rsplit("/", 1)[-1])
-        parts.append(rows.select(F.lit(name.group(1) if name else p).alias("dataset"), "ord",
-                                 *[F.col(f"r.`{h}`").alias(_plain(h)) for h in header if h in RUNS_CSV_SCHEMA]))
+    for r in heads:
+        names, i = next(csv.reader([r.head])), r.file_src
+        rows = (spark.read.schema(", ".join(f"`{h}` string" for h in names)).option("mode", "FAILFAST")
+                .option("multiLine", multi_line).option("escape", '"').csv(paths[i]))
+        is_head = F.lit(True)
+        for h in names:
+            is_head = is_head & F.col(f"`{h}`").eqNullSafe(F.lit(h or None))
+        dataset = F.regexp_extract("_metadata.file_path", dataset_pattern, 1)
+        parts.append(_placed(rows.where(~is_head), i, F.when(dataset == "", F.lit(paths[i])).otherwise(dataset).alias("dataset"),
+                             *[_typed(F.col(f"`{h}`"), RUNS_CSV_SCHEMA.get(h, "string")).alias(_plain(h)) for h in names]))
     out = parts[0]
     for q in parts[1:]:
         out = out.unionByName(q, allowMissingColumns=True)
-    return out
+    return _numbered(out, per_path=True)
 
 
 def bifi_labels(df: DataFrame) -> DataFrame:

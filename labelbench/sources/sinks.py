@@ -1,9 +1,9 @@
 """Writers (K1-K9).
 
-Stored tables are never overwritten in place while they are being read:
-appends and upserts write a new version folder (``v=000001`` ...) and readers
-take the latest complete version, so a lost executor or a failed job leaves the
-previous version intact.
+Stored tables are never rewritten: an append, an upsert or a metric log adds a version
+folder (``v=000001`` ...) that holds only what is new, and readers take all complete
+versions, so a lost executor or a failed job leaves the stored rows intact.
+``compact`` writes the table that readers see as one version elsewhere.
 """
 
 from __future__ import annotations
@@ -61,9 +61,35 @@ def _versions(spark: SparkSession, path: str, complete: bool = True) -> list[int
     return sorted(out)
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    v = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v={v[-1]:06d}") if v else None
+def read_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of all complete versions with their number ``__version``; None if there is none."""
+    found = _versions(spark, path)
+    if not found:
+        return None
+    rows = spark.read.option("mergeSchema", True).parquet(*[f"{path}/v={v:06d}" for v in found])
+    number = F.regexp_extract("_metadata.file_path", r"/v=(\d+)/[^/]*$", 1).cast("int")
+    return rows.select("*", number.alias("__version"))
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored rows of ``append_distinct``."""
+    rows = read_versions(spark, path)
+    return None if rows is None else rows.drop("__version")
+
+
+def read_upserted(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The stored rows of ``upsert_by_key``: each key with the values of its last version."""
+    rows = read_versions(spark, path)
+    if rows is None:
+        return None
+    values = [c for c in rows.columns if c not in (key, "__version")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*values), "__version").alias("__r"))
+    return last.select(key, "__r.*")
+
+
+def compact(table: DataFrame, path: str) -> None:
+    """``table`` (what a reader of versions returned) as the first version of a new path."""
+    _write_next(table, path)
 
 
 def _write_next(df: DataFrame, path: str) -> str:
@@ -75,37 +101,48 @@ def _write_next(df: DataFrame, path: str) -> str:
 
 
 def append_distinct(new: DataFrame, path: str) -> DataFrame:
-    """K4: stored rows plus new rows, rows equal in all columns dropped; the
-    table is created when missing.  Returns the new version."""
-    old = read_latest(new.sparkSession, path)
-    combined = new if old is None else old.unionByName(new, allowMissingColumns=True)
-    out = _write_next(combined.dropDuplicates(), path)
-    return new.sparkSession.read.parquet(out)
+    """K4: adds the rows of ``new`` that the table does not hold yet (equal in all columns, NULL
+    equal to NULL); the table is created when missing.  Returns the stored rows."""
+    spark, rows = new.sparkSession, new.dropDuplicates()
+    old = read_appended(spark, path)
+    if old is not None:
+        for c in old.columns:
+            if c not in rows.columns:
+                rows = rows.withColumn(c, F.lit(None).cast(old.schema[c].dataType))
+        for c in rows.columns:
+            if c not in old.columns:
+                old = old.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+        o, n = old.alias("o"), rows.alias("n")
+        same = F.lit(True)
+        for c in rows.columns:
+            same = same & F.col(f"n.`{c}`").eqNullSafe(F.col(f"o.`{c}`"))
+        rows = n.join(o, same, "left_anti")
+    _write_next(rows, path)
+    return read_appended(spark, path)
 
 
 def upsert_by_key(new: DataFrame, path: str, key: str) -> DataFrame:
-    """K5: dictionary update: a key present in ``new`` takes its value (even a
-    NULL), other stored keys stay."""
-    old = read_latest(new.sparkSession, path)
-    if old is None:
-        out = new
-    else:
-        flagged = new.withColumn("__new", F.lit(True))
-        j = old.alias("o").join(flagged.alias("n"), key, "full_outer")
-        vals = [c for c in new.columns if c != key]
-        out = j.select(key, *[F.when(F.col("n.__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-                              for c in vals])
-    return new.sparkSession.read.parquet(_write_next(out, path))
+    """K5: dictionary update: a key present in ``new`` takes its value (even a NULL), other stored
+    keys stay.  Only the rows of ``new`` are written.  Returns the stored rows."""
+    _write_next(new, path)
+    return read_upserted(new.sparkSession, path, key)
 
 
 def log_metrics(rows: DataFrame, path: str) -> None:
-    """K7: append-only metric log ``(run_id, metric, value, step)``."""
-    rows.write.mode("append").parquet(path)
+    """K7: append-only metric log ``(run_id, metric, value, step)``; each call is one version."""
+    _write_next(rows, path)
 
 
 def read_metric_log(spark: SparkSession, path: str, keys=("run_id", "metric", "step")) -> DataFrame:
-    """Reader side of K7: a metric logged twice for the same step counts once."""
-    return spark.read.parquet(path).dropDuplicates(list(keys))
+    """Reader side of K7: a metric logged again for the same step counts once, with the value that
+    was logged last; two values in one call are an error."""
+    rows = read_versions(spark, path)
+    values = [c for c in rows.columns if c not in (*keys, "__version")]
+    per_call = rows.groupBy(*keys, "__version").agg(F.min(F.struct(*values)).alias("__lo"), F.max(F.struct(*values)).alias("__hi"))
+    last = per_call.groupBy(*keys).agg(F.max_by(F.struct("__lo", "__hi"), "__version").alias("__r"))
+    one = F.when(F.col("__r.__lo").eqNullSafe(F.col("__r.__hi")), F.col("__r.__lo")).otherwise(
+        F.raise_error(F.lit("a metric has two values for one step in one call")).cast(last.schema["__r"].dataType["__lo"].dataType))
+    return last.select(*keys, one.alias("__v")).select(*keys, "__v.*")
 
 
 def weight_history_wide(hist: DataFrame, n: int, epoch_col: str = "epoch", weights_col: str = "weights") -> DataFrame:

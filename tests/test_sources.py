@@ -122,6 +122,71 @@ def test_incomplete_version_is_ignored(spark, tmp_dir):
     os.makedirs(os.path.join(path, "v=000002"))
     with open(os.path.join(path, "v=000002", "part-0.parquet"), "wb") as f:
         f.write(b"garbage")
-    assert sorted(tuple(r) for r in SK.read_latest(spark, path).collect()) == [(1, "x")]
+    assert sorted(tuple(r) for r in SK.read_appended(spark, path).collect()) == [(1, "x")]
     out = SK.append_distinct(spark.createDataFrame([(2, "y")], "k int, v string"), path)
     assert sorted(tuple(r) for r in out.collect()) == [(1, "x"), (2, "y")]
+
+
+def _put(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w", newline="") as f:
+        f.write(text)
+
+
+def test_runs_csv_keeps_all_rows_and_columns(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "mlflow_x.csv")
+    head = "params.seed,metrics.acc_test,tags.note\n"
+    _put(p, "part-0.csv", head + '1,0.5,plain\n2,0.25,"a, ""b"""\n')
+    _put(p, "part-1.csv", "3,0.75,headless part\n4,,\n")
+    _put(p, "part-2.csv", head + "5,1.0,last\n")
+    got = RD.read_runs_csv(spark, [p]).orderBy("ord").collect()
+    assert [(r.dataset, r.ord, r.seed, r.acc_test, r.tags_note) for r in got] == [
+        ("x", 0, 1, 0.5, "plain"), ("x", 1, 2, 0.25, 'a, "b"'), ("x", 2, 3, 0.75, "headless part"), ("x", 3, 4, None, None),
+        ("x", 4, 5, 1.0, "last")]
+    q = os.path.join(tmp_dir, "mlflow_y.csv")
+    _put(q, "a.csv", 'params.seed,tags.note\n7,"two\nlines"\n8,one\n')
+    two = RD.read_runs_csv(spark, [p, q], multi_line=True).where("dataset = 'y'").orderBy("ord").collect()
+    assert [(r.ord, r.seed, r.tags_note, r.acc_test) for r in two] == [(0, 7, "two\nlines", None), (1, 8, "one", None)]
+
+
+def test_runs_csv_raises_on_bad_values(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "mlflow_z.csv")
+    _put(p, "a.csv", "params.seed,metrics.acc_test\nnotanint,0.5\n")
+    with pytest.raises(Exception, match="not a int"):
+        RD.read_runs_csv(spark, [p]).collect()
+
+
+def test_one_large_file_is_read_in_splits(spark, tmp_dir):
+    n = 40_000
+    _put(tmp_dir, "big.jsonl", "".join('{"src": "line %d", "label": "l"}\n%s' % (i, "\n" if i % 1000 == 0 else "") for i in range(n)))
+    _put(tmp_dir, "corpus.txt", "".join(f" t{i} \r\n" for i in range(n)))
+    _put(tmp_dir, "labels.txt", "".join(f"{i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        lines = RD._lines(spark, os.path.join(tmp_dir, "big.jsonl"))
+        assert lines.rdd.getNumPartitions() > 3
+        got = RD.read_jsonl(spark, os.path.join(tmp_dir, "big.jsonl")).selectExpr("count(*)", "sum(int(src = concat('line ', ord)))").first()
+        assert tuple(got) == (n, n)
+        pair = RD.read_paired_text(spark, os.path.join(tmp_dir, "corpus.txt"), os.path.join(tmp_dir, "labels.txt"))
+        assert tuple(pair.selectExpr("count(*)", "sum(int(src = concat('t', ord) and label = string(ord)))").first()) == (n, n)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_metric_log_takes_the_last_call(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "log")
+    ddl = "run_id int, metric string, value double, step long"
+    SK.log_metrics(spark.createDataFrame([(1, "acc", 0.5, 1), (1, "acc", 0.6, 2)], ddl), path)
+    SK.log_metrics(spark.createDataFrame([(1, "acc", 0.7, 1)], ddl), path)
+    assert {(r.step, r.value) for r in SK.read_metric_log(spark, path).collect()} == {(1, 0.7), (2, 0.6)}
+    SK.log_metrics(spark.createDataFrame([(1, "acc", 0.1, 3), (1, "acc", 0.2, 3)], ddl), path)
+    with pytest.raises(Exception, match="two values"):
+        SK.read_metric_log(spark, path).collect()
+
+
+def test_appends_write_only_new_rows(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "app")
+    SK.append_distinct(spark.createDataFrame([(1, None), (2, "y")], "k int, v string"), path)
+    SK.append_distinct(spark.createDataFrame([(1, None), (3, "z")], "k int, v string"), path)
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/v=000002").collect()] == [(3, "z")]
