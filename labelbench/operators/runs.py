@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefmt import duration_seconds, hms_to_seconds, stable
-from .stats import a12_effect_size, wilcoxon_signed_rank
+from ..functions.timefmt import duration_seconds, hms_to_seconds, mark_result, round_text, stable
+from .stats import wilcoxon_signed_rank, with_band
 
 COMB = "combination_type"
 LAYER = "hidden_layer_to_use"
@@ -61,6 +61,37 @@ PLOT_NAMES = {
     "max_pool_tokens_w_sum_layers_zero_out_sp_tokens": "(viii) max pool tokens, w sum layers,\nspecial tokens = 0",
     "max_pool_layers_max_pool_tokens_zero_out_sp_tokens": "(vi) max pool layers, max pool tokens,\nspecial tokens = 0",
 }
+# Row names of the heat maps.
+HEATMAP_NAMES = {
+    "cutoff_layers_one_layer_cls": "(xii) model with l<L layers,\n last layer CLS token",
+    "one_layer_w_sum_tokens": "(ix) w sum all tokens",
+    "one_layer_max_pool_tokens": "(v) max pool all tokens",
+    "one_layer_w_sum_tokens_zero_out_sp_tokens": "(ix) w sum code tokens",
+    "one_layer_max_pool_tokens_zero_out_sp_tokens": "(v) max pool code tokens",
+    "one_layer_cls": "(ii) CLS token layer $l$",
+    "w_sum_tokens_w_sum_layers": "(x) w sum all tokens, w sum layers",
+    "max_pool_layers_w_sum_tokens": "(vii) max pool layers, w sum all tokens",
+    "w_sum_layers_w_sum_tokens": "(xi) w sum layers, w sum all tokens",
+    "max_pool_tokens_w_sum_layers": "(viii) max pool all tokens, w sum layers",
+    "max_pool_layers_max_pool_tokens": "(vi) max pool layers, max pool all tokens",
+    "w_sum_tokens_w_sum_layers_zero_out_sp_tokens": "(x) w sum code tokens, w sum layers",
+    "max_pool_layers_w_sum_tokens_zero_out_sp_tokens": "(vii) max pool layers, w sum code tokens",
+    "w_sum_layers_w_sum_tokens_zero_out_sp_tokens": "(xi) w sum layers, w sum code tokens",
+    "max_pool_tokens_w_sum_layers_zero_out_sp_tokens": "(viii) max pool code tokens, w sum layers",
+    "max_pool_layers_max_pool_tokens_zero_out_sp_tokens": "(vi) max pool layers, max pool code tokens",
+    "w_sum_cls": "(iv) w sum CLS tokens",
+    "max_pool_cls": "(iii) max pool CLS tokens",
+    "baseline": "(i) baseline,\nCLS, layer 12",
+}
+# Row order of the all-layer matrix.
+MATRIX_ORDER = [
+    "max_pool_cls", "w_sum_cls",
+    "max_pool_layers_max_pool_tokens", "max_pool_layers_max_pool_tokens_zero_out_sp_tokens",
+    "max_pool_layers_w_sum_tokens", "max_pool_layers_w_sum_tokens_zero_out_sp_tokens",
+    "max_pool_tokens_w_sum_layers", "max_pool_tokens_w_sum_layers_zero_out_sp_tokens",
+    "w_sum_layers_w_sum_tokens", "w_sum_layers_w_sum_tokens_zero_out_sp_tokens",
+    "w_sum_tokens_w_sum_layers", "w_sum_tokens_w_sum_layers_zero_out_sp_tokens",
+]
 # Dataset and metric display names.
 DATASET_NAMES = {"devign": "Devign", "bifi": "BIFI", "exception": "Exception Type", "reveal": "ReVeal"}
 METRIC_NAMES = {"acc_test": "accuracy", "balanced_acc_test": "balanced accuracy",
@@ -113,14 +144,14 @@ def scale_100(col) -> Column:
     return c * 100.0
 
 
-def names_table(spark) -> DataFrame:
+def names_table(spark, names: dict = PLOT_NAMES) -> DataFrame:
     """Fixed display-name dimension (19 rows), broadcast by construction."""
-    return spark.createDataFrame(list(PLOT_NAMES.items()), "variant string, template string")
+    return spark.createDataFrame(list(names.items()), "variant string, template string")
 
 
-def display_names(df: DataFrame, variant_col: str = "variant", layer_col: str = LAYER) -> DataFrame:
-    """Readable name of each (variant, layer)."""
-    t = F.broadcast(names_table(df.sparkSession))
+def display_names(df: DataFrame, variant_col: str = "variant", layer_col: str = LAYER, names: dict = PLOT_NAMES) -> DataFrame:
+    """Readable name of each (variant, layer), from the plots' or the heat maps' names."""
+    t = F.broadcast(names_table(df.sparkSession, names))
     return (df.join(t, df[variant_col] == t["variant"], "left").drop(t["variant"])
             .withColumn("display_name", F.replace(F.col("template"), F.lit("{l}"),
                                                   F.col(layer_col).cast("string")))
@@ -228,13 +259,64 @@ def cell_tests(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BAS
             .withColumn("n_zero", F.coalesce("n_zero", F.lit(0).cast("long"))))
 
 
-def cell_effects(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
-    """A17 per cell: cell values (side 1) against the baseline values (side 2)."""
-    v = cell_values(clean, metric, epochs).select(*CELL, F.lit(1).alias("side"), "value")
-    b = baseline_values(clean, metric, epochs, baseline)
-    cells = v.select(*CELL).distinct()
-    bs = cells.join(b, "dataset").select(*CELL, F.lit(2).alias("side"), F.col("base").alias("value"))
-    return a12_effect_size(v.unionByName(bs), CELL, "side", "value")
+def _against_baseline(clean: DataFrame, value: Column, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
+    """Every pair of (cell, value), with its count, and where the value stands among the baseline's
+    values of the dataset: ``below`` and ``same`` baseline values, ``of`` baseline values in all.
+
+    Cells and baseline are value counts of one pass over the runs, and a running sum over a
+    dataset's distinct values places all cells at once; no baseline row is copied to a cell."""
+    comb, layer, flag = baseline
+    is_base = (F.col(COMB) == comb) & (F.col(LAYER) == layer) & F.col(FLAG).eqNullSafe(F.lit(flag))
+    counts = clean.where(F.col("epochs") == epochs).select(*CELL, value.alias("value")).where("value is not null") \
+                  .groupBy(*CELL, "value").agg(F.count(F.lit(1)).alias("n"))
+    at_value = Window.partitionBy("dataset").orderBy("value")
+    base = F.when(is_base, F.col("n")).otherwise(0)
+    ranked = (counts.withColumn("__upto", F.sum(base).over(at_value.rangeBetween(Window.unboundedPreceding, 0)))
+              .withColumn("same", F.sum(base).over(Window.partitionBy("dataset", "value")))
+              .withColumn("of", F.sum(base).over(Window.partitionBy("dataset"))))
+    return ranked.select(*CELL, "value", "n", (F.col("__upto") - F.col("same")).alias("below"), "same", "of")
+
+
+def cell_effects(clean: DataFrame, metric: str | Column, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
+    """A17 per cell: cell values against the baseline values of the dataset, undirected A12 =
+    max(s, 1 - s) with s = P(x > y) + P(x = y) / 2.  ``metric`` is a column name or an
+    expression, such as the duration in seconds between start and end."""
+    value = metric_value(metric) if isinstance(metric, str) else metric
+    placed = _against_baseline(clean, value, epochs, baseline)
+    sums = placed.groupBy(*CELL).agg(F.sum("n").alias("n1"), F.max("of").alias("n2"),
+                                     F.sum(F.col("n") * (2 * F.col("below") + F.col("same"))).alias("halves"))
+    s = F.try_divide(F.col("halves").cast("double"), 2.0 * F.col("n1") * F.col("n2"))
+    return with_band(sums.withColumn("a12", F.greatest(s, 1 - s))).select(
+        *CELL, F.col("n1").cast("int").alias("n1"), F.col("n2").cast("int").alias("n2"), "a12", "band")
+
+
+def run_seconds() -> Column:
+    """Seconds from a run's start to its end, as a metric of A17."""
+    return duration_seconds("start_time", "end_time").cast("double")
+
+
+def cell_pair_counts(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
+    """Per cell the pairs (cell value, baseline value) with the first larger, equal ones, and all."""
+    placed = _against_baseline(clean, metric_value(metric), epochs, baseline)
+    return placed.groupBy(*CELL).agg(F.sum(F.col("n") * F.col("below")).alias("more"), F.sum(F.col("n") * F.col("same")).alias("same"),
+                                     F.sum(F.col("n") * F.col("of")).alias("pairs"))
+
+
+def reduced_models(clean: DataFrame, epochs: int = EPOCHS) -> DataFrame:
+    """The combined table of the reduced models over all datasets: per (dataset, layer) the mean
+    training time of an epoch and its effect band, the speed-up, and accuracy and weighted F1 as marked
+    differences to the baseline (X14) wrapped in their effect bands; layer 12 is the baseline."""
+    table = pruned_table(clean, ("acc_test", "f1_weighted_test"), epochs=epochs)
+    mine = (F.col(COMB) == CUTOFF) & ~F.col(FLAG)
+    out = table.select("dataset", LAYER, "epoch_seconds", "speedup", "diff_acc", "p_acc", "diff_f1_weighted", "p_f1_weighted")
+    for name, metric in (("time", run_seconds()), ("acc", "acc_test"), ("f1_weighted", "f1_weighted_test")):
+        band = cell_effects(clean, metric, epochs).where(mine).select("dataset", LAYER, F.col("band").alias(f"band_{name}"))
+        out = out.join(band, ["dataset", LAYER], "left")
+    for name in ("acc", "f1_weighted"):
+        better = F.col(f"diff_{name}") > 0
+        mark = mark_result(f"diff_{name}", f"p_{name}", better, f"band_{name}")
+        out = out.withColumn(name, F.when(F.col(LAYER) < 12, mark).otherwise(round_text(f"diff_{name}", 1)))
+    return out.select("dataset", LAYER, "epoch_seconds", "speedup", "acc", "f1_weighted", "band_time")
 
 
 def compare_cells(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
@@ -257,11 +339,22 @@ def all_cells_with_p(clean: DataFrame, metric: str, epochs: int = EPOCHS) -> Dat
     return c.select(*CELL, "mean", "base_mean", F.when(F.col("better"), F.col("p_value")).alias("p_value"))
 
 
-def delta_matrix(clean: DataFrame, metric: str, epochs: int = EPOCHS, long: bool = False) -> DataFrame:
-    """A10: (cell stat - baseline stat) x 100 for stat in {max, mean} on the
-    one-layer, non-cutoff combinations; pivoted variant x layer (l1..l12)."""
-    st = cell_stats(clean, metric, epochs)
-    st = st.where(F.col(COMB).contains("one_layer") & ~F.col(COMB).contains("cutoff"))
+def _half(half: str) -> tuple[Column, list[int]]:
+    """Which cells belong to a half of the result matrices, and its layers."""
+    one = F.col(COMB).contains("one_layer")
+    if half == "one_layer":
+        return one & ~F.col(COMB).contains("cutoff"), list(range(1, 13))
+    if half == "all_layers":
+        return ~one & (F.col(LAYER) == 12), [12]
+    raise ValueError(f"unknown half {half!r}")
+
+
+def delta_matrix(clean: DataFrame, metric: str, epochs: int = EPOCHS, long: bool = False, half: str = "one_layer") -> DataFrame:
+    """A10: (cell stat - baseline stat) x 100 for stat in {max, mean}, pivoted variant x
+    layer.  ``half``: the one-layer, non-cutoff combinations (l1..l12), or the combinations
+    over all layers, which stand at layer 12 (l12)."""
+    mine, layers = _half(half)
+    st = cell_stats(clean.where(mine), metric, epochs)
     bs = baseline_stats(clean, metric, epochs)
     j = st.join(bs, "dataset").withColumn("variant", variant_key())
     lg = j.select("dataset", "variant", LAYER, F.explode(F.array(
@@ -271,18 +364,18 @@ def delta_matrix(clean: DataFrame, metric: str, epochs: int = EPOCHS, long: bool
     if long:
         return lg
     lg = lg.withColumn("__l", F.concat(F.lit("l"), F.col(LAYER).cast("string")))
-    return lg.groupBy("dataset", "stat", "variant").pivot("__l", [f"l{i}" for i in range(1, 13)]).agg(
+    return lg.groupBy("dataset", "stat", "variant").pivot("__l", [f"l{i}" for i in layers]).agg(
         F.first("delta"))
 
 
-def pvalue_matrix(clean: DataFrame, metric: str, epochs: int = EPOCHS) -> DataFrame:
-    """A10 companion: the Wilcoxon p-value of every one-layer, non-cutoff cell
-    against the baseline, in the same variant x layer (l1..l12) shape."""
-    t = cell_tests(clean, metric, epochs)
-    t = t.where(F.col(COMB).contains("one_layer") & ~F.col(COMB).contains("cutoff"))
+def pvalue_matrix(clean: DataFrame, metric: str, epochs: int = EPOCHS, half: str = "one_layer") -> DataFrame:
+    """A10 companion: the Wilcoxon p-value of every cell of a half against the baseline,
+    in the same variant x layer shape."""
+    mine, layers = _half(half)
+    t = cell_tests(clean, metric, epochs).where(mine)
     t = t.select("dataset", variant_key().alias("variant"),
                  F.concat(F.lit("l"), F.col(LAYER).cast("string")).alias("__l"), "p_value")
-    return t.groupBy("dataset", "variant").pivot("__l", [f"l{i}" for i in range(1, 13)]).agg(F.first("p_value"))
+    return t.groupBy("dataset", "variant").pivot("__l", [f"l{i}" for i in layers]).agg(F.first("p_value"))
 
 
 def best_cell(delta_long: DataFrame, part=("dataset", "stat")) -> DataFrame:
@@ -420,11 +513,14 @@ def series_means(clean: DataFrame, metric: str = "acc_test", epochs: int = EPOCH
     return s.unionByName(b)
 
 
-def global_range(delta_long: DataFrame, series: DataFrame) -> DataFrame:
-    """Min and max over all matrix cells of all datasets (colour scale) and
-    over the one-layer / cutoff series."""
-    a = delta_long.agg(F.lit("delta_matrix").alias("scope"), F.min("delta").alias("min_value"),
-                       F.max("delta").alias("max_value"))
+def global_range(delta_long: DataFrame, series: DataFrame, all_layers_long: DataFrame | None = None) -> DataFrame:
+    """Min and max over all matrix cells of all datasets (colour scale), of the one-layer
+    half and of the all-layer half, and over the one-layer / cutoff series."""
+    def fold(long, scope):
+        return long.agg(F.lit(scope).alias("scope"), F.min("delta").alias("min_value"), F.max("delta").alias("max_value"))
+    a = fold(delta_long, "delta_matrix")
+    if all_layers_long is not None:
+        a = a.unionByName(fold(all_layers_long, "delta_matrix_all_layers"))
     b = series.where(F.col("series") != "baseline").agg(
         F.lit("series").alias("scope"), F.min("mean_pct").alias("min_value"), F.max("mean_pct").alias("max_value"))
     return a.unionByName(b)

@@ -139,6 +139,14 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
     return s.select(*g, "n", "n_zero", "w_plus", "w_minus", "t_stat", "method", "z", p.alias("p_value"))
 
 
+def with_band(df: DataFrame) -> DataFrame:
+    """Adds ``band``, the effect-size band of column ``a12``."""
+    band = F.lit("none")
+    for cut, name in reversed(EFFECT_BANDS):
+        band = F.when(F.col("a12") >= cut, F.lit(name)).otherwise(band)
+    return df.withColumn("band", F.when(F.col("a12").isNull(), None).otherwise(band))
+
+
 def a12_effect_size(samples: DataFrame, group_cols: list[str], side_col: str = "side",
                     value_col: str = "value", first=1) -> DataFrame:
     """Vargha-Delaney A12 per group, undirected: max(s, 1 - s) with
@@ -151,12 +159,8 @@ def a12_effect_size(samples: DataFrame, group_cols: list[str], side_col: str = "
         F.sum(F.when(F.col(side_col) == first, 1).otherwise(0)).alias("n1"),
         F.sum(F.when(F.col(side_col) != first, 1).otherwise(0)).alias("n2"))
     s = F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n2"))
-    out = agg.withColumn("s", s).withColumn("a12", F.greatest(F.col("s"), 1 - F.col("s")))
-    band = F.lit("none")
-    for cut, name in reversed(EFFECT_BANDS):
-        band = F.when(F.col("a12") >= cut, F.lit(name)).otherwise(band)
-    return out.withColumn("band", F.when(F.col("a12").isNull(), None).otherwise(band)) \
-              .select(*g, F.col("n1").cast("int").alias("n1"), F.col("n2").cast("int").alias("n2"), "a12", "band")
+    out = with_band(agg.withColumn("s", s).withColumn("a12", F.greatest(F.col("s"), 1 - F.col("s"))))
+    return out.select(*g, F.col("n1").cast("int").alias("n1"), F.col("n2").cast("int").alias("n2"), "a12", "band")
 
 
 def pair_counts(samples: DataFrame, group_cols: list[str], side_col: str = "side",

@@ -3,6 +3,9 @@ run table): W1, O1, J4, J5, J8, P5-P12, A9-A19, A26, T3, T4, X12-X15, K9."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,8 +13,8 @@ from pyspark.sql import types as T
 from ..functions import timefmt as TF
 from ..operators import runs as R
 from ..operators import stats as ST
-from ..operators.profile import align_columns
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources import sinks as SK
 from .fixtures import runs, with_views
 from .sqlparts import sround
 
@@ -42,6 +45,10 @@ SQL_CLEAN = ("clean AS (SELECT * EXCLUDE (__rn) FROM (SELECT *, row_number() OVE
              "WHERE acc_test IS NOT NULL AND NOT isnan(acc_test)) WHERE __rn = 1)")
 
 
+def _dur_sql(ts):
+    return f"strptime(split_part(split_part({ts}, '+', 1), '.', 1), '%Y-%m-%d %H:%M:%S')"
+
+
 def cellv(metric=METRIC, name="cellv"):
     return f"{name} AS (SELECT {CELL_SQL}, seed, ord, {metric} AS value FROM clean WHERE epochs = 10)"
 
@@ -210,21 +217,24 @@ QUERIES["P11_scale_100"] = (_p11, with_views(r6("SELECT ord, acc_test * 100.0 AS
 
 def _p9(spark, sf):
     r = runs(spark, sf).select(R.variant_key().alias("variant"), R.LAYER).distinct()
-    return R.display_names(r)
+    plot = R.display_names(r).withColumnRenamed("display_name", "plot_name")
+    return R.display_names(plot, names=R.HEATMAP_NAMES).withColumnRenamed("display_name", "heatmap_name")
 
 
-def _names_values_sql():
+def _names_values_sql(name, names):
     def q(s):
         return "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({q(k)}, {q(v)})" for k, v in R.PLOT_NAMES.items())
-    return f"names(variant, template) AS (VALUES {rows})"
+    rows = ", ".join(f"({q(k)}, {q(v)})" for k, v in names.items())
+    return f"{name}(variant, template) AS (VALUES {rows})"
 
 
 QUERIES["P9_display_names"] = (_p9, with_views(
-    "SELECT v.variant, v.hidden_layer_to_use, replace(n.template, '{l}', CAST(v.hidden_layer_to_use AS VARCHAR)) AS display_name "
+    "SELECT v.variant, v.hidden_layer_to_use, replace(n.template, '{l}', CAST(v.hidden_layer_to_use AS VARCHAR)) AS plot_name, "
+    "h.template AS heatmap_name "
     "FROM (SELECT DISTINCT CASE WHEN NOT not_special_tokens_to_zero AND NOT contains(combination_type, 'cls') "
     "THEN combination_type || '_zero_out_sp_tokens' ELSE combination_type END AS variant, hidden_layer_to_use FROM runs) v "
-    "LEFT JOIN names n ON v.variant = n.variant", "runs", ctes=[_names_values_sql()]))
+    "LEFT JOIN names n ON v.variant = n.variant LEFT JOIN heats h ON v.variant = h.variant", "runs",
+    ctes=[_names_values_sql("names", R.PLOT_NAMES), _names_values_sql("heats", R.HEATMAP_NAMES)]))
 
 
 # -- cell statistics --------------------------------------------------------
@@ -274,6 +284,11 @@ SQL_A12 = ("a12t AS (SELECT " + CELL_SQL + ", CAST(n1 AS INTEGER) AS n1, CAST(n2
            "(sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) + 1) / 2.0) / nullif(sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) * "
            "sum(CASE WHEN side <> 1 THEN 1 ELSE 0 END), 0) AS s FROM (" + avg_rank_sql("samples", CELL_SQL, "value") +
            ") GROUP BY " + CELL_SQL + "))")
+
+def _a17d(spark, sf):
+    return round_doubles(R.cell_effects(_clean(spark, sf), R.run_seconds()))
+
+
 SQL_BAND = ("CASE WHEN a12 IS NULL THEN NULL WHEN a12 >= 0.71 THEN 'large' WHEN a12 >= 0.64 THEN 'medium' "
             "WHEN a12 >= 0.56 THEN 'small' ELSE 'none' END")
 
@@ -282,13 +297,17 @@ QUERIES["A17_a12_effect_size"] = (_a17, with_views(
     ctes=[SQL_CLEAN, cellv(), base(), SQL_SAMPLES, SQL_A12]))
 
 
+def _seconds_sql():
+    return f"CAST(epoch({_dur_sql('end_time')}) - epoch({_dur_sql('start_time')}) AS DOUBLE)"
+
+
+QUERIES["A17_a12_effect_size_durations"] = (_a17d, with_views(
+    r6(f"SELECT *, {SQL_BAND} AS band FROM a12t", ["a12"]), "runs",
+    ctes=[SQL_CLEAN, cellv(_seconds_sql()), base(_seconds_sql()), SQL_SAMPLES, SQL_A12]))
+
+
 def _j8(spark, sf):
-    c = _clean(spark, sf)
-    v = R.cell_values(c, METRIC).select(*R.CELL, F.lit(1).alias("side"), "value")
-    b = R.baseline_values(c, METRIC)
-    bs = v.select(*R.CELL).distinct().join(b, "dataset").select(*R.CELL, F.lit(2).alias("side"),
-                                                                 F.col("base").alias("value"))
-    return ST.pair_counts(v.unionByName(bs), R.CELL)
+    return R.cell_pair_counts(_clean(spark, sf), METRIC)
 
 
 QUERIES["J8_all_pairs"] = (_j8, with_views(
@@ -366,6 +385,42 @@ QUERIES["A10_pvalue_matrix"] = (_a10p, with_views(
     recursive=True))
 
 
+SQL_DELTA_ALL = f"""dall AS (SELECT dataset, stat, variant, delta FROM (
+  SELECT c.dataset, CASE WHEN NOT c.not_special_tokens_to_zero AND NOT contains(c.combination_type, 'cls')
+         THEN c.combination_type || '_zero_out_sp_tokens' ELSE c.combination_type END AS variant,
+         (c.mx - b.base_max) * 100 AS dmax, (c.mean - b.base_mean) * 100 AS dmean
+  FROM (SELECT {CELL_SQL}, max(value) AS mx, avg(value) AS mean FROM cellv
+        WHERE NOT contains(combination_type, 'one_layer') AND hidden_layer_to_use = 12 GROUP BY {CELL_SQL}) c
+  JOIN bstats b USING (dataset))
+  UNPIVOT (delta FOR stat IN (dmax AS 'max', dmean AS 'mean')))"""
+
+
+def _a10_all(metric):
+    def run(spark, sf):
+        return round_doubles(R.delta_matrix(_clean(spark, sf), metric, half="all_layers"))
+    return run
+
+
+def _a10_all_p(metric):
+    def run(spark, sf):
+        return round_doubles(R.pvalue_matrix(_clean(spark, sf), metric, half="all_layers"))
+    return run
+
+
+for _m in (METRIC, "f1_weighted_test"):
+    _s = _m.replace("_test", "")
+    QUERIES[f"A10_delta_matrix_all_layers_{_s}"] = (_a10_all(_m), with_views(
+        r6("SELECT dataset, stat, variant, delta AS l12 FROM dall", ["l12"]), "runs",
+        ctes=[SQL_CLEAN, cellv(_m), base(_m), bstats(), SQL_DELTA_ALL]))
+    QUERIES[f"A10_pvalue_matrix_all_layers_{_s}"] = (_a10_all_p(_m), with_views(
+        r6("SELECT dataset, CASE WHEN NOT not_special_tokens_to_zero AND NOT contains(combination_type, 'cls') "
+           "THEN combination_type || '_zero_out_sp_tokens' ELSE combination_type END AS variant, p_value AS l12 "
+           "FROM (SELECT DISTINCT " + CELL_SQL + " FROM cellv) c LEFT JOIN wx USING (" + CELL_SQL + ") "
+           "WHERE NOT contains(combination_type, 'one_layer') AND hidden_layer_to_use = 12", ["l12"]),
+        "runs", ctes=[SQL_CLEAN, cellv(_m), base(_m), SQL_PAIRS, *SQL_CDF, *wilcoxon_ctes("wx", "pairs", CELL_SQL)],
+        recursive=True))
+
+
 def _t3(spark, sf):
     return round_doubles(R.best_cell(R.delta_matrix(_clean(spark, sf), METRIC, long=True)))
 
@@ -375,38 +430,16 @@ QUERIES["T3_best_cell"] = (_t3, with_views(
        "ORDER BY delta DESC) AS rk FROM dlong WHERE delta IS NOT NULL) WHERE rk = 1", ["delta"]),
     "runs", ctes=SQL_DELTA))
 
-# Row order of the all-combination matrix.
-MATRIX_ORDER = [
-    "one_layer_cls", "one_layer_max_pool_tokens", "one_layer_max_pool_tokens_zero_out_sp_tokens",
-    "one_layer_w_sum_tokens", "one_layer_w_sum_tokens_zero_out_sp_tokens", "max_pool_cls", "w_sum_cls",
-    "max_pool_layers_max_pool_tokens", "max_pool_layers_max_pool_tokens_zero_out_sp_tokens",
-    "max_pool_layers_w_sum_tokens", "max_pool_tokens_w_sum_layers", "w_sum_tokens_w_sum_layers",
-]
-
-
 def _t4(spark, sf):
-    d = R.delta_matrix(_clean(spark, sf), METRIC)
-    return round_doubles(R.ordered_output(d, MATRIX_ORDER))
+    """The all-layer matrix in the order of its twelve rows."""
+    d = R.delta_matrix(_clean(spark, sf), METRIC, half="all_layers").where(F.col("variant").isin(R.MATRIX_ORDER))
+    return round_doubles(R.ordered_output(d, R.MATRIX_ORDER))
 
 
 QUERIES["T4_ordered_output"] = (_t4, with_views(
-    r6("SELECT m.*, o.row_rank FROM (SELECT dataset, stat, variant, " + ", ".join(
-        f"max(CASE WHEN hidden_layer_to_use = {i} THEN delta END) AS l{i}" for i in range(1, 13)) +
-       " FROM dlong GROUP BY dataset, stat, variant) m LEFT JOIN (VALUES " +
-       ", ".join(f"('{v}', {i})" for i, v in enumerate(MATRIX_ORDER)) + ") o(variant, row_rank) USING (variant)", [f"l{i}" for i in range(1, 13)]),
-    "runs", ctes=SQL_DELTA))
-
-
-def _k9(spark, sf):
-    lg = R.delta_matrix(_clean(spark, sf), METRIC, long=True)
-    datasets = sorted(r[0] for r in runs(spark, sf).select("dataset").distinct().collect())
-    return round_doubles(align_columns(lg, ["stat", "variant", R.LAYER], "dataset", datasets, "delta"))
-
-
-QUERIES["K9_write_result_tables"] = (_k9, with_views(
-    r6("SELECT stat, variant, hidden_layer_to_use, " + ", ".join(
-        f"max(CASE WHEN dataset = 'd{i}' THEN delta END) AS d{i}" for i in range(4)) +
-       " FROM dlong GROUP BY ALL", [f"d{i}" for i in range(4)]), "runs", ctes=SQL_DELTA))
+    r6("SELECT m.dataset, m.stat, m.variant, m.delta AS l12, o.row_rank FROM dall m JOIN (VALUES " +
+       ", ".join(f"('{v}', {i})" for i, v in enumerate(R.MATRIX_ORDER)) + ") o(variant, row_rank) USING (variant)", ["l12"]),
+    "runs", ctes=[SQL_CLEAN, cellv(), base(), bstats(), SQL_DELTA_ALL]))
 
 
 # -- pruned-model table pieces ----------------------------------------------
@@ -455,10 +488,6 @@ QUERIES["A12_param_overhead"] = (_a12, with_views(r6(
     ["mean_params", "baseline_params", "diff_pct"]), "runs", ctes=_pct_sql("num_trainable_parameters")))
 
 
-def _dur_sql(ts):
-    return f"strptime(split_part(split_part({ts}, '+', 1), '.', 1), '%Y-%m-%d %H:%M:%S')"
-
-
 SQL_DUR = ("dur AS (SELECT dataset, hidden_layer_to_use, avg(epoch(" + _dur_sql("end_time") + ") - epoch(" +
            _dur_sql("start_time") + ")) AS total_seconds, avg(time_train_min * 60.0) AS epoch_seconds FROM clean "
            "WHERE epochs = 10 AND NOT not_special_tokens_to_zero AND ((combination_type = 'cutoff_layers_one_layer_cls' "
@@ -489,7 +518,7 @@ def _a15(spark, sf):
     return round_doubles(R.pruned_table(cut_lineage(_clean(spark, sf)), _A15_METRICS))
 
 
-def _a15_sql():
+def _a15_parts(metrics):
     ctes = [SQL_CLEAN, *SQL_CDF, SQL_DUR, SQL_SPEED, cellv("num_trainable_parameters", "cv_par"),
             base("num_trainable_parameters", "b_par"), bstats("bs_par", "b_par")]
     ctes.append("par AS (SELECT s.dataset, s.hidden_layer_to_use, " + sround("CASE WHEN s.n = 10 THEN s.mean / b.base_mean * 100 END", 0) + " "
@@ -499,7 +528,7 @@ def _a15_sql():
     sel = ["coalesce(p.dataset, u.dataset) AS dataset", "coalesce(p.hidden_layer_to_use, u.hidden_layer_to_use) AS hidden_layer_to_use",
            "p.params_pct", "u.total_seconds", "u.epoch_seconds"]
     joins = ""
-    for m in _A15_METRICS:
+    for m in metrics:
         s = m.replace("_test", "")
         ctes += [cellv(m, f"cv_{s}"), base(m, f"b_{s}"), bstats(f"bs_{s}", f"b_{s}"),
                  f"pr_{s} AS (SELECT v.dataset, v.hidden_layer_to_use, v.value - b.base AS d FROM cv_{s} v JOIN b_{s} b "
@@ -518,6 +547,11 @@ def _a15_sql():
             + ", ".join(sel[5:]) + " FROM (SELECT " + ", ".join(sel[:5]) +
             " FROM par p FULL OUTER JOIN dur u ON p.dataset = u.dataset AND p.hidden_layer_to_use = u.hidden_layer_to_use) k "
             "LEFT JOIN speed s ON s.dataset = k.dataset AND s.hidden_layer_to_use = k.hidden_layer_to_use" + joins)
+    return ctes, body
+
+
+def _a15_sql():
+    ctes, body = _a15_parts(_A15_METRICS)
     doubles = ["params_pct", "total_seconds", "epoch_seconds", "speedup"] + \
         [f"{p}_{m.replace('_test', '')}" for m in _A15_METRICS for p in ("diff", "p")]
     return with_views(r6(body, doubles), "runs", ctes=ctes, recursive=True)
@@ -526,6 +560,42 @@ def _a15_sql():
 QUERIES["A15_pruned_table"] = (_a15, _a15_sql())
 
 
+def _k9(spark, sf):
+    """The reduced-model table of all datasets, written and read back."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"k9-{uuid.uuid4().hex[:12]}")
+    SK.write_result_tables(round_doubles(R.reduced_models(cut_lineage(_clean(spark, sf)))), path)
+    return spark.read.parquet(path)
+
+
+def _mark_sql(delta, p, band):
+    r = sround(delta, 1)
+    txt = (f"(CASE WHEN {r} > 0 THEN '+' ELSE '' END || CASE WHEN {r} = 0 AND round({delta}, 9) < 0 THEN '-' ELSE '' END "
+           f"|| printf('%.1f', {r}))")
+    mark = (f"(CASE WHEN {p} < 0.05 AND {delta} > 0 THEN '\\bf{{' || {txt} || '}}' WHEN {p} > 0.05 AND NOT {delta} > 0 "
+            f"THEN {txt} || '*' ELSE {txt} END)")
+    return (f"(CASE {band} WHEN 'large' THEN '\\lef{{' || {mark} || '}}' WHEN 'medium' THEN '\\mef{{' || {mark} || '}}' "
+            f"WHEN 'small' THEN '\\sef{{' || {mark} || '}}' ELSE {mark} END)")
+
+
+def _k9_sql():
+    ctes, body = _a15_parts(["acc_test", "f1_weighted_test"])
+    ctes += [f"pt AS ({body})", cellv(_seconds_sql(), "cv_time"), base(_seconds_sql(), "b_time")]
+    joins = ""
+    for s in ("time", "acc", "f1_weighted"):
+        ctes += [SQL_SAMPLES.replace("samples AS", f"samples_{s} AS").replace("cellv", f"cv_{s}").replace("JOIN base b", f"JOIN b_{s} b"),
+                 SQL_A12.replace("a12t AS", f"a12_{s} AS").replace(avg_rank_sql("samples", CELL_SQL, "value"), avg_rank_sql(f"samples_{s}", CELL_SQL, "value")),
+                 f"e_{s} AS (SELECT dataset, hidden_layer_to_use, {SQL_BAND} AS band FROM a12_{s} WHERE combination_type = "
+                 "'cutoff_layers_one_layer_cls' AND NOT not_special_tokens_to_zero)"]
+        joins += f" LEFT JOIN e_{s} ON e_{s}.dataset = pt.dataset AND e_{s}.hidden_layer_to_use = pt.hidden_layer_to_use"
+    cells = ", ".join(f"CASE WHEN pt.hidden_layer_to_use < 12 THEN {_mark_sql(f'pt.diff_{s}', f'pt.p_{s}', f'e_{s}.band')} "
+                      f"ELSE printf('%.1f', {sround(f'pt.diff_{s}', 1)}) END AS {s}" for s in ("acc", "f1_weighted"))
+    return with_views(r6("SELECT pt.dataset, pt.hidden_layer_to_use, pt.epoch_seconds, pt.speedup, " + cells + ", e_time.band AS band_time "
+                         "FROM pt" + joins, ["epoch_seconds", "speedup"]), "runs", ctes=ctes, recursive=True)
+
+
+QUERIES["K9_write_result_tables"] = (_k9, _k9_sql())
+
+
 def _a26(spark, sf):
     return round_doubles(R.series_means(_clean(spark, sf), METRIC))
 
@@ -540,13 +610,15 @@ QUERIES["A26_series_means"] = (_a26, with_views(r6("SELECT * FROM series", ["mea
 
 def _a18(spark, sf):
     c = _clean(spark, sf)
-    return round_doubles(R.global_range(R.delta_matrix(c, METRIC, long=True), R.series_means(c, METRIC)))
+    return round_doubles(R.global_range(R.delta_matrix(c, METRIC, long=True), R.series_means(c, METRIC),
+                                        R.delta_matrix(c, METRIC, long=True, half="all_layers")))
 
 
 QUERIES["A18_global_range"] = (_a18, with_views(r6(
     "SELECT 'delta_matrix' AS scope, min(delta) AS min_value, max(delta) AS max_value FROM dlong UNION ALL "
+    "SELECT 'delta_matrix_all_layers', min(delta), max(delta) FROM dall UNION ALL "
     "SELECT 'series', min(mean_pct), max(mean_pct) FROM series WHERE series <> 'baseline'", ["min_value", "max_value"]),
-    "runs", ctes=[*SQL_DELTA, SQL_SERIES]))
+    "runs", ctes=[*SQL_DELTA, SQL_DELTA_ALL, SQL_SERIES]))
 
 
 # -- time and text ----------------------------------------------------------
