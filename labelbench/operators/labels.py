@@ -78,12 +78,12 @@ def label_decode(df: DataFrame, codes: DataFrame, code_col: str = "code", out: s
 def vocabulary(texts: DataFrame, src_col: str = "src", first_id: int = 0, tokens_col: str | None = None) -> DataFrame:
     """Distinct tokens with dense ids in sorted token order.
 
-    Ids come from the two-phase rank (bucket = first two characters, which
-    keep the sort order), so the sort is spread over thousands of tasks."""
+    Ids come from the two-phase rank (bucket = first four characters, which keep the sort
+    order), so the sort of the distinct tokens is spread over many tasks."""
     toks = F.col(tokens_col) if tokens_col else tokens(src_col)
     words = texts.select(F.explode(toks).alias("token")).distinct()
     ranked = two_phase_row_number(words.withColumn("__g", F.lit(0)), ["__g"], "token",
-                                  F.substring("token", 1, 2), out="__rn")
+                                  F.substring("token", 1, 4), out="__rn")
     return ranked.select("token", (F.col("__rn") - 1 + first_id).cast("int").alias("id"))
 
 
@@ -94,15 +94,14 @@ def encode_fixed_length(df: DataFrame, vocab: DataFrame, id_col: str, src_col: s
     right padding to ``max_length`` and the attention mask.  A missing pad id
     falls back to the end id.
 
-    Tokens are numbered on the whole text; only positions that fit the fixed
-    length are looked up (that cut is the operator's definition).  ``tokens_col``
-    takes an already tokenized array column instead of ``src_col``."""
+    Only the positions that fit the fixed length leave the token array (that cut is the
+    operator's definition).  ``tokens_col`` takes an already tokenized array column
+    instead of ``src_col``."""
     pad = eos_id if pad_id is None else pad_id
     keep = max_length - 2
     # posexplode_outer keeps a text without tokens as one row with a NULL position
     arr = F.col(tokens_col) if tokens_col else tokens(src_col)
-    toks = (df.select(id_col, F.posexplode_outer(arr).alias("p", "token"))
-            .where(F.col("p").isNull() | (F.col("p") < keep)))
+    toks = df.select(id_col, F.posexplode_outer(F.slice(arr, 1, keep)).alias("p", "token"))
     ids = (toks.join(vocab, "token", "left")
            .select(id_col, "p", F.when(F.col("p").isNotNull(), F.coalesce(F.col("id"), F.lit(unk_id))).alias("tid")))
     item = F.when(F.col("p").isNotNull(), F.struct("p", "tid"))  # NULL items are not collected

@@ -102,9 +102,12 @@ def _per_position(hs: DataFrame, how: str, w_layers=None, norm: bool = False,
     the layers are reduced with map-side combine, and only then are the special
     positions cleared - joining the small per-position table instead of
     shuffling every state row to its example first."""
-    x = _encoder_layers(hs)
-    x = x.withColumn("vec", F.when(F.col("mask") == 0, zeros_like("vec")).otherwise(F.col("vec")))
-    x = _norm(x, norm)
+    x = _norm(_padding_cleared(hs), norm)
+    # a cleared vector is the shift after a norm with one, once for each layer's weight
+    cleared = zeros_like("vec")
+    if norm and norm is not True and norm[1] is not None:
+        total = sum(w_layers) if w_layers is not None else 1.0
+        cleared = F.array(*[F.lit(float(v) * total) for v in norm[1]])
     if w_layers is not None:
         x = x.withColumn("vec", scale("vec", _w_at(w_layers, F.col("layer") - 1)))
     carry = [c for c in ("n_real", "n_pos") if c in hs.columns]
@@ -117,7 +120,7 @@ def _per_position(hs: DataFrame, how: str, w_layers=None, norm: bool = False,
     else:
         m = per_pos.join(_special_drop(hs, special), [KEY, "pos"], "left")
         drop = F.coalesce(F.col("__drop"), F.lit(False))
-    out = m.withColumn("vec", F.when(drop, zeros_like("vec")).otherwise(F.col("vec")))
+    out = m.withColumn("vec", F.when(drop, cleared).otherwise(F.col("vec")))
     return out.select(KEY, "pos", "vec")
 
 
@@ -127,8 +130,17 @@ def mask_states(hs: DataFrame, special_tokens_to_zero: bool = False, special: st
     return m.withColumn("vec", F.when(F.col("eff_mask") == 0, zeros_like("vec")).otherwise(F.col("vec")))
 
 
-def _norm(df: DataFrame, on: bool) -> DataFrame:
-    return df.withColumn("vec", layer_norm("vec")) if on else df
+def _norm(df: DataFrame, on) -> DataFrame:
+    """``on``: False, True for a plain norm, or (scale, shift) with the learned values."""
+    if not on:
+        return df
+    gamma, beta = (None, None) if on is True else on
+    return df.withColumn("vec", layer_norm("vec", gamma=gamma, beta=beta))
+
+
+def _padding_cleared(hs: DataFrame) -> DataFrame:
+    """Encoder layers with the vectors of padding set to zero, row by row."""
+    return _encoder_layers(hs).withColumn("vec", F.when(F.col("mask") == 0, zeros_like("vec")).otherwise(F.col("vec")))
 
 
 def _encoder_layers(df: DataFrame) -> DataFrame:
@@ -155,7 +167,12 @@ def one_layer_max_pool_tokens(hs, layer, norm=False, special_tokens_to_zero=Fals
 
 def w_sum_tokens_w_sum_layers(hs, w_tokens, w_layers, norm=False, special_tokens_to_zero=False,
                               special="reference"):
-    """V6 (= V8 without norm): sum over layers and positions of wt[pos] wl[layer] vec."""
+    """V6 (= V8 without norm): sum over layers and positions of wt[pos] wl[layer] vec.  Without
+    clearing of special tokens the mask is a matter of the row, and one aggregate does."""
+    if not special_tokens_to_zero:
+        x = _norm(_padding_cleared(hs), norm)
+        w = _w_at(w_layers, F.col("layer") - 1) * _w_at(w_tokens, F.col("pos"))
+        return _norm(vsum(x.withColumn("vec", scale("vec", w)), [KEY]), norm)
     per_pos = _per_position(hs, "sum", w_layers, norm, special_tokens_to_zero, special)
     per_pos = per_pos.withColumn("vec", scale("vec", _w_at(w_tokens, F.col("pos"))))
     return _norm(vsum(per_pos, [KEY]), norm)
@@ -191,6 +208,8 @@ def max_pool_tokens_w_sum_layers(hs, w_layers, norm=False, special_tokens_to_zer
 
 def max_pool_layers_max_pool_tokens(hs, norm=False, special_tokens_to_zero=False, special="reference"):
     """One element-wise max over layers 1..L and positions."""
+    if not special_tokens_to_zero:
+        return _norm(vmax(_padding_cleared(hs), [KEY]), norm)
     per_pos = _per_position(hs, "max", None, False, special_tokens_to_zero, special)
     return _norm(vmax(per_pos, [KEY]), norm)
 

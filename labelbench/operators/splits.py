@@ -62,7 +62,8 @@ def _quota_stage(class_counts: DataFrame, label_col: str, n_col: str, test_size:
          .withColumn("n_second", F.ceil(F.lit(float(test_size)) * F.col("n_all")).cast("long"))
          .withColumn(f"n_{first}", F.col("n_all") - F.col("n_second")))
     q = _largest_remainder(c, label_col, n_col, F.col(f"n_{first}"), F.col("n_all"), out)
-    return q.select(label_col, n_col, _guard(q, label_col, n_col, f"n_{first}", "n_second", out, what).alias(out))
+    q = q.withColumn(out, _guard(q, label_col, n_col, f"n_{first}", "n_second", out, what))
+    return q.drop("n_all", "n_classes", "n_second", f"n_{first}")
 
 
 def class_quotas(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
@@ -71,38 +72,13 @@ def class_quotas(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
     return _quota_stage(counts, label_col, "n_class", test_size, "train", "q_train")
 
 
-def _quota_on_buckets(t: DataFrame, label_col: str, n_col: str, test_size: float, first: str,
-                      out: str, what: str = "") -> DataFrame:
-    """``_quota_stage`` computed on the (label, bucket) count table itself.
-
-    Every row of a label carries the label's total ``n_col``; label-level sums
-    count each label once through its first-bucket row (``__first``).  The
-    global windows see at most labels x buckets rows, a bound that does not
-    grow with the data."""
-    every = Window.partitionBy()
-    once = F.col("__first")
-    t = (t.withColumn("n_all", F.sum(F.when(once, F.col(n_col)).otherwise(0)).over(every))
-         .withColumn("n_classes", F.sum(F.when(once, 1).otherwise(0)).over(every))
-         .withColumn("n_second", F.ceil(F.lit(float(test_size)) * F.col("n_all")).cast("long"))
-         .withColumn(f"n_{first}", F.col("n_all") - F.col("n_second"))
-         .withColumn("__num", F.col(n_col).cast("decimal(38,0)") * F.col(f"n_{first}").cast("decimal(38,0)"))
-         .withColumn("__tot", F.col("n_all").cast("decimal(38,0)"))
-         .withColumn("__fl", F.expr("__num div __tot").cast("long"))
-         .withColumn("__rem", F.expr("__num % __tot")))
-    t = (t.withColumn("__need", F.col(f"n_{first}") - F.sum(F.when(once, F.col("__fl")).otherwise(0)).over(every))
-         .withColumn("__r", F.dense_rank().over(Window.orderBy(F.desc("__rem"), F.asc(label_col))))
-         .withColumn(out, (F.col("__fl") + F.when(F.col("__r") <= F.col("__need"), 1).otherwise(0)).cast("long")))
-    t = t.withColumn(out, _guard(t, label_col, n_col, f"n_{first}", "n_second", out, what))
-    return t.drop("n_all", "n_classes", "n_second", f"n_{first}", "__num", "__tot", "__fl", "__rem", "__need", "__r")
-
-
 def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int, quota_fn):
     """Rows with their 1-based rank ``__rn`` inside the class (md5 order) and the
     class quotas, in one plan:
 
     * counts per (label, bucket) - one partial aggregation over the input;
-    * bucket offsets, class totals and quotas computed on that count table by
-      windows (one chain, one consumer, so the input is counted once);
+    * bucket offsets by a window inside each label; quotas on the class table, whose
+      windows see one row per label;
     * ``row_number`` per (label, bucket), then ONE join with the small
       (label, bucket) table on the keys the rows are already partitioned by,
       so the rows themselves are shuffled exactly once.
@@ -115,10 +91,9 @@ def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int
                       .withColumn("__bucket", hex_bucket("__key", bucket_digits)), keys)
     counts = keyed.groupBy(label_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     w_off = Window.partitionBy(label_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cw = (counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_off), F.lit(0)))
-          .withColumn("n_class", F.sum("__n").over(Window.partitionBy(label_col)))
-          .withColumn("__first", F.col("__off") == 0))
-    offsets = with_keys(quota_fn(cw).drop("__n", "n_class", "__first"), keys).drop(label_col)
+    offsets = with_keys(counts.withColumn("__off", F.coalesce(F.sum("__n").over(w_off), F.lit(0))).drop("__n"), keys).drop(label_col)
+    quotas = quota_fn(counts.groupBy(label_col).agg(F.sum("__n").alias("n_class")))
+    offsets = offsets.join(with_keys(quotas, keys).drop(label_col, "n_class"), names)
     w = Window.partitionBy(*names, "__bucket").orderBy("__key", id_col)
     ranked = keyed.withColumn("__rn_local", F.row_number().over(w))
     return (ranked.join(offsets, [*names, "__bucket"])
@@ -131,7 +106,7 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: floa
                      bucket_digits: int = 4) -> DataFrame:
     """Exact per-class quotas, seeded membership; adds column ``out``."""
     def quotas(cw):
-        return _quota_on_buckets(cw, label_col, "n_class", test_size, "train", "q_train")
+        return _quota_stage(cw, label_col, "n_class", test_size, "train", "q_train")
     r = _ranked(df, label_col, id_col, seed, bucket_digits, quotas)
     return (r.withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit(names[0]))
                          .otherwise(F.lit(names[1])))
@@ -151,9 +126,9 @@ def three_way_split(df: DataFrame, label_col: str, id_col: str, ratio_train: flo
     t2 = ratio_test / (ratio_test + ratio_valid)
 
     def quotas(cw):
-        q1 = _quota_on_buckets(cw, label_col, "n_class", t1, "train", "q_train")
+        q1 = _quota_stage(cw, label_col, "n_class", t1, "train", "q_train")
         rest = q1.withColumn("n_rest", F.col("n_class") - F.col("q_train"))
-        return _quota_on_buckets(rest, label_col, "n_rest", t2, "valid", "q_valid", " in the rest").drop("n_rest")
+        return _quota_stage(rest, label_col, "n_rest", t2, "valid", "q_valid", " in the rest").drop("n_rest")
 
     r = _ranked(df, label_col, id_col, seed, bucket_digits, quotas)
     return (r.withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit("train"))
@@ -166,11 +141,11 @@ def positional_clusters(df: DataFrame, ord_col: str = "ord", n: int | None = Non
                         n_clusters: int = 5) -> DataFrame:
     """Cluster size c = n // 5 + 1 over the stored dense position ``ord``;
     clusters 0-2 form the train pool, 3-4 the test split (the last may be short
-    or empty).  ``n`` is one count; no global sort is needed."""
-    if n is None:
-        n = df.count()
-    size = n // n_clusters + 1
-    cl = F.floor(F.col(ord_col) / F.lit(size)).cast("int")
+    or empty).  Without ``n`` the rows are counted by a scalar subquery of the plan; no
+    global sort is needed."""
+    total = df.agg(F.count(F.lit(1))).scalar() if n is None else F.lit(n)
+    size = F.floor(total / F.lit(n_clusters)) + 1
+    cl = F.floor(F.col(ord_col) / size).cast("int")
     return (df.withColumn("cluster", cl)
             .withColumn("part", F.when(F.col("cluster") <= 2, F.lit("pool")).otherwise(F.lit("test"))))
 
@@ -259,6 +234,20 @@ def shuffle_into_batches(df: DataFrame, id_col: str, batch_size: int = 64, seed:
     return out.drop(*drop)
 
 
+def epoch_steps(df: DataFrame, id_col: str, epochs: int, batch_size: int = 64, seed: int = 42,
+                bucket_digits: int = 4) -> DataFrame:
+    """W7 over W6: the batches of ``epochs`` seeded shuffles, last short batches dropped, with the
+    running batch number over the epochs.  One ranking by epoch gives the batches and, with the
+    same small table, the number of rows; one row per batch comes back."""
+    each = df.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    keyed = each.withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(id_col).cast("string"))))
+    ranked = two_phase_row_number(keyed, ["epoch"], "__key", hex_bucket("__key", bucket_digits), out="__rn", tie_cols=[id_col], total="__n")
+    per_epoch = F.floor(F.col("__n") / batch_size)
+    first = ranked.where(((F.col("__rn") - 1) % batch_size == 0) & (F.col("__rn") <= per_epoch * batch_size))
+    batch = F.floor((F.col("__rn") - 1) / batch_size).cast("long")
+    return first.select("epoch", batch.alias("batch"), global_step(F.col("epoch"), batch, per_epoch).alias("global_step"))
+
+
 def global_step(epoch: Column, batch: Column, batches_per_epoch: Column) -> Column:
     """Running batch number across epochs (1-based)."""
     return (epoch * batches_per_epoch + batch + F.lit(1)).cast("long")

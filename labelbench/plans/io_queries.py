@@ -20,6 +20,7 @@ from ..session import ensure_checkpoint_dir, table
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from .fixtures import epoch_metrics, hidden_states, labelled_text, runs, with_views
+from .prepare_queries import QUERIES as PREPARE
 from .prepare_queries import SQL_A1
 
 QUERIES = {}
@@ -125,6 +126,20 @@ QUERIES["K2_write_class_table"] = (_k2, "SELECT *, 'documents' AS dataset_name,
                                         + SQL_A1 + ")")
 
 
+def _k2_tokens(make, name):
+    """A token table written with its parameters as columns, and read back."""
+    def run(spark, sf):
+        path = scratch(spark, "k2t")
+        SK.write_tables({name: make(spark, sf)}, path, {"dataset_name": "documents", "keep_formatting": False})
+        return spark.read.parquet(f"{path}/{name}")
+    return run
+
+
+for _source, _name in (("A4_describe_tokens", "token_count"), ("A5_describe_tokens_by_class_wide", "token_count_per_class")):
+    QUERIES[f"K2_write_{_name}_table"] = (_k2_tokens(PREPARE[_source][0], _name),
+                                          f"SELECT *, 'documents' AS dataset_name, false AS keep_formatting FROM ({PREPARE[_source][1]})")
+
+
 def _k3(spark, sf):
     from .eval_queries import _k3 as k3_rows
     path = scratch(spark, "k3")

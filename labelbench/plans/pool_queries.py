@@ -154,17 +154,48 @@ _reg("V18_score_dense_tanh", (_v18, with_views(
     "hidden_states", ctes=[*SQL_MASK_PLAIN, SQL_HSX, SQL_POOLED])))
 
 
-def _v19(spark, sf):
-    emb = table(spark, sf, "embeddings").select(
+STEPS, RATE = 3, 0.5
+
+
+def _labelled_vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("example_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
-        F.col("label").cast("double").alias("label"))
+        F.col("label").cast("int").alias("label"))
+
+
+def _v19(spark, sf):
+    w, b = SC.fit_head_steps(_labelled_vectors(spark, sf), N_CLASSES, HIDDEN, steps=STEPS, rate=RATE)
+    rows = [(c, j, float(v)) for c in range(N_CLASSES) for j, v in enumerate([*w[c], b[c]])]
+    return spark.createDataFrame(rows, "cls int, dim int, weight double").withColumn("weight", F.round("weight", 8))
+
+
+def _v19_sql():
+    """Position 64 is the constant, so its weight is the bias."""
+    ctes = ["WITH ex AS (SELECT vec_id, label, CAST(unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || [1.0]) AS DOUBLE) AS x, "
+            "generate_subscripts(embedding || [1.0], 1) - 1 AS dim FROM embeddings)",
+            f"w0 AS (SELECT c.range AS cls, d.range AS dim, CAST(0 AS DOUBLE) AS weight FROM range({N_CLASSES}) c, range({HIDDEN + 1}) d)"]
+    for k in range(STEPS):
+        ctes += [
+            f"z{k} AS (SELECT vec_id, label, cls, sum(x * weight) AS z FROM ex JOIN w{k} USING (dim) GROUP BY ALL)",
+            f"p{k} AS (SELECT vec_id, cls, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY vec_id) - CASE WHEN label = cls THEN 1 ELSE 0 END AS r "
+            f"FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM z{k}))",
+            f"g{k} AS (SELECT cls, dim, sum(r * x) / (SELECT count(*) FROM embeddings) AS g FROM p{k} JOIN ex USING (vec_id) GROUP BY ALL)",
+            f"w{k + 1} AS (SELECT cls, dim, weight - {RATE!r} * g AS weight FROM w{k} JOIN g{k} USING (cls, dim))"]
+    return ",\n".join(ctes) + f"\nSELECT CAST(cls AS INTEGER) AS cls, CAST(dim AS INTEGER) AS dim, round(weight, 8) AS weight FROM w{STEPS}"
+
+
+_reg("V19_fit_head", (_v19, _v19_sql()))
+
+
+def _v19_predictions(spark, sf):
+    emb = _labelled_vectors(spark, sf).withColumn("label", F.col("label").cast("double"))
     model = SC.fit_head(emb, "vec", "label", max_iter=50)
     pred = SC.predict_head(model, emb)
     return pred.select("example_id", F.col("label").cast("int").alias("y_true"),
                        F.col("prediction").cast("int").alias("y_pred"))
 
 
-_reg("V19_fit_head", (_v19, None))
+_reg("V19_fit_head_predictions", (_v19_predictions, None))
 
 
 # -- labels -----------------------------------------------------------------
@@ -220,9 +251,22 @@ _reg("X10_label_encode", (_x10, with_views(
     "labelled_text")))
 
 
+def _x10_decode(spark, sf):
+    lt = labelled_text(spark, sf)
+    codes = L.label_codes(lt)
+    coded = L.label_encode(lt, codes).select("ord", "code")
+    return L.label_decode(coded, codes).select("ord", "code", "label")
+
+
+_reg("X10_label_decode", (_x10_decode, with_views(
+    "SELECT t.ord, CAST(c.code AS INTEGER) AS code, c.label FROM labelled_text t JOIN (SELECT label, row_number() OVER "
+    "(ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM labelled_text WHERE split = 'train')) c USING (label)",
+    "labelled_text")))
+
+
 def _x11(spark, sf):
     lt = labelled_text(spark, sf)
-    vocab = L.vocabulary(lt, first_id=4)
+    vocab = L.vocabulary(lt.where(F.col("split") == "train"), first_id=4)  # other words are unknown
     enc = L.encode_fixed_length(lt, vocab, "ord", max_length=512)
     return enc.select("ord", F.array_join("input_ids", " ").alias("ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"))
@@ -231,12 +275,12 @@ def _x11(spark, sf):
 _reg("X11_encode_fixed_length", (_x11, with_views(
     "SELECT t.ord, array_to_string([0] || coalesce(s.ids, []) || [2] || list_transform(range(510 - coalesce(len(s.ids), 0)), "
     "lambda i: 1), ' ') AS ids, CAST(coalesce(len(s.ids), 0) + 2 AS INTEGER) AS n_attended FROM labelled_text t LEFT JOIN "
-    "(SELECT ord, list(id ORDER BY p) AS ids FROM (SELECT e.ord, e.p, CAST(v.id AS INTEGER) AS id FROM "
+    "(SELECT ord, list(id ORDER BY p) AS ids FROM (SELECT e.ord, e.p, CAST(coalesce(v.id, 3) AS INTEGER) AS id FROM "
     "(SELECT ord, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS p FROM "
     f"(SELECT ord, regexp_extract_all(src, {S.sql_lit(X.TOKEN_PATTERN)}) AS toks FROM labelled_text)) e "
-    "JOIN vocab v USING (token) WHERE e.p < 510) GROUP BY ord) s USING (ord)", "labelled_text",
+    "LEFT JOIN vocab v USING (token) WHERE e.p < 510) GROUP BY ord) s USING (ord)", "labelled_text",
     ctes=["vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT DISTINCT unnest("
-          f"regexp_extract_all(src, {S.sql_lit(X.TOKEN_PATTERN)})) AS token FROM labelled_text))"])))
+          f"regexp_extract_all(src, {S.sql_lit(X.TOKEN_PATTERN)})) AS token FROM labelled_text WHERE split = 'train'))"])))
 
 
 def _x8(spark, sf):

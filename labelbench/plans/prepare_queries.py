@@ -155,23 +155,14 @@ SQL_W6 = with_views(
 
 def _q_w7(spark, sf):
     lt = labelled_text(spark, sf).where(F.col("split") == "train")
-    parts = []
-    for ep in range(3):
-        b = SP.shuffle_into_batches(lt, "ord", 64, seed=42, epoch=ep, drop_last=True)
-        parts.append(b.withColumn("epoch", F.lit(ep)))
-    allb = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    nb = lt.count() // 64  # batches per epoch: one number
-    return (allb.where(F.col("pos_in_batch") == 0)
-            .select("epoch", "batch", SP.global_step(F.col("epoch"), F.col("batch"), F.lit(nb).cast("long"))
-                    .alias("global_step")))
+    return SP.epoch_steps(lt, "ord", epochs=3, batch_size=64, seed=42)
 
 
 SQL_W7 = with_views(
     "SELECT CAST(e.epoch AS INTEGER) AS epoch, b.batch, CAST(e.epoch * nb + b.batch + 1 AS BIGINT) AS global_step\n"
     "FROM (SELECT range AS epoch FROM range(3)) e,\n"
     "     (SELECT CAST(count(*) // 64 AS BIGINT) AS nb FROM labelled_text WHERE split = 'train') n,\n"
-    "     (SELECT CAST(range AS BIGINT) AS batch FROM range(1000000)) b\n"
-    "WHERE b.batch < nb", "labelled_text")
+    "     (SELECT CAST(unnest(range(count(*) // 64)) AS BIGINT) AS batch FROM labelled_text WHERE split = 'train') b", "labelled_text")
 
 
 # -- profiles ---------------------------------------------------------------

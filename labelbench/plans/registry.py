@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-from . import prepare_queries
+from . import eval_queries, io_queries, pool_queries, prepare_queries, run_queries
 
-_MODULES = [prepare_queries]
-
-
-def _load():
-    for mod_name in ("eval_queries", "run_queries", "pool_queries", "io_queries"):
-        try:
-            mod = __import__(f"{__package__}.{mod_name}", fromlist=["QUERIES"])
-        except ModuleNotFoundError:
-            continue
-        if mod not in _MODULES:
-            _MODULES.append(mod)
+_MODULES = [prepare_queries, eval_queries, run_queries, pool_queries, io_queries]
 
 
 def all_queries() -> dict:
-    _load()
     out = {}
     for m in _MODULES:
         for k, v in m.QUERIES.items():

@@ -126,3 +126,24 @@ def test_encoder_states_carry_token_counts(spark):
         a = _collect(fn(states, special_tokens_to_zero=True))
         b = _collect(fn(states.drop("n_real", "n_pos"), special_tokens_to_zero=True))
         _check(a, b)
+
+
+def _layer_norm(x, gamma, beta):
+    m, v = x.mean(-1, keepdims=True), x.var(-1, keepdims=True)
+    return (x - m) / np.sqrt(v + 1e-5) * gamma + beta
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_learned_norm(spark, special):
+    """Scale and shift apply to every vector, cleared ones included."""
+    hs = _df(spark)
+    gamma, beta = [0.5, 2.0, -1.0, 1.5], [0.1, -0.2, 0.3, 1.0]
+    norm = lambda x: _layer_norm(x, np.array(gamma), np.array(beta))
+    more = dict(norm=(gamma, beta), special_tokens_to_zero=special)
+    wt, wl = np.array(WT), np.array(WL)
+    _check(_collect(PO.one_layer_w_sum_tokens(hs, 2, WT, **more)),
+           {e: norm(np.einsum("sh,s->h", norm(_masked(e, special)[2]), wt)) for e in STATES})
+    _check(_collect(PO.w_sum_tokens_w_sum_layers(hs, WT, WL, **more)),
+           {e: norm(np.einsum("lsh,s,l->h", norm(_masked(e, special)[1:]), wt, wl)) for e in STATES})
+    _check(_collect(PO.max_pool_layers_max_pool_tokens(hs, **more)),
+           {e: norm(_masked(e, special)[1:].max((0, 1))) for e in STATES})
