@@ -19,9 +19,11 @@ SPLITS = ("train", "valid", "test")
 def class_distribution(df: DataFrame, label_col: str = "label", split_col: str = "split",
                        splits=SPLITS, total_label: str = "Total") -> DataFrame:
     """A1: label x split counts; an empty cell is NULL; a ``Total`` row sums the
-    columns ignoring NULL.  Sorted by the split counts descending, NULL last."""
-    cells = (df.where(F.col(split_col).isin(list(splits)))
-             .groupBy(F.col(label_col).cast("string").alias("label"), split_col)
+    columns ignoring NULL.  Sorted by the split counts descending, NULL last.  A row
+    whose split is NULL or not one of ``splits`` is an error."""
+    known = F.when(F.col(split_col).isin(list(splits)), F.col(split_col)).otherwise(F.raise_error(
+        F.concat(F.lit("unknown split: "), F.coalesce(F.col(split_col), F.lit("NULL")))))
+    cells = (df.groupBy(F.col(label_col).cast("string").alias("label"), known.alias(split_col))
              .agg(F.count(F.lit(1)).alias("n")))
     wide = cells.groupBy("label").pivot(split_col, list(splits)).agg(F.first("n"))
     total = wide.agg(*[F.coalesce(F.sum(s), F.lit(0)).cast("long").alias(s) for s in splits]) \

@@ -18,6 +18,13 @@ def test_class_distribution_with_an_empty_split(spark):
     assert rows == {"a": (1, None, 1), "b": (1, None, None), "Total": (2, 0, 1)}
 
 
+def test_class_distribution_raises_on_an_unknown_split(spark):
+    for odd in ("dev", None):
+        df = spark.createDataFrame([("a", "train"), ("b", odd)], "label string, split string")
+        with pytest.raises(Exception, match="unknown split"):
+            PR.class_distribution(df).collect()
+
+
 def test_three_way_split_rest_needs_two_rows_per_class(spark):
     # 10 rows of 'a', 3 of 'b': the rest keeps 1 'b' row -> the second cut cannot stratify
     df = spark.createDataFrame([(i, "a") for i in range(10)] + [(100 + i, "b") for i in range(3)],
