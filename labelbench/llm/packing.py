@@ -2,8 +2,9 @@
 
 Each task packs its own rows.  A document's ids (plus the end id) stay whole if they fit into a
 sequence; a longer document is cut into full pieces, of which only the first may be shorter, so a
-document brings at most one piece that does not fill a sequence by itself.  Such pieces go, in
-the order they come, to the open bin with the least free space that still holds them.  The
+document brings at most one piece that does not fill a sequence by itself.  Such pieces go, batch by
+batch as they come and the longest of a batch first, to the open bin with the least free space
+that still holds them.  The
 open bins are a bitset keyed by free space, so the search is a shift and a lowest set bit.  A task
 keeps a fixed number of bins open; when a new one is needed beyond that, the fullest closes first.
 
@@ -86,12 +87,19 @@ def pack(docs: DataFrame, capacity: int = 1024, open_bins: int = 4096, end_id: i
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 36)
         for rows in batches:
             out: list[tuple] = []
+            short: list[int] = []  # pieces that leave room in a sequence
             for doc_id, text in rows_of(rows, "doc_id", "text"):
                 ids = np.append(encode.ids(text).astype("<u4"), np.array([end_id], "<u4"))
                 data = memoryview(ids.tobytes())
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     crc = zlib.crc32(data[4 * start:4 * (start + length)])
-                    out.append((doc_id, k, start, length, crc, *bins.place(length)))
+                    if length < capacity:
+                        short.append(len(out))
+                        out.append((doc_id, k, start, length, crc))
+                    else:
+                        out.append((doc_id, k, start, length, crc, *bins.place(length)))
+            for i in sorted(short, key=lambda i: -out[i][3]):
+                out[i] += bins.place(out[i][3])
             if out:
                 yield batch(SCHEMA, list(zip(*out)))
 
