@@ -85,7 +85,7 @@ def round_text(value, decimals: int) -> Column:
     negative value that rounds to zero keeps its sign (``-0.0``) as in Python."""
     raw = stable(value)
     v = F.round(raw, decimals)
-    txt = F.format_string(f"%.{decimals}f", v)
+    txt = F.when(v.isNotNull(), F.format_string(f"%.{decimals}f", v))  # Java prints a NULL as text
     return F.when((v == 0) & (raw < 0), F.concat(F.lit("-"), txt)).otherwise(txt)
 
 

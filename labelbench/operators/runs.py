@@ -240,23 +240,37 @@ def baseline_stats(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline
                                     F.count("base").alias("base_n"))
 
 
+def _is_baseline(baseline=BASELINE) -> Column:
+    comb, layer, flag = baseline
+    return (F.col(COMB) == comb) & (F.col(LAYER) == layer) & F.col(FLAG).eqNullSafe(F.lit(flag))
+
+
+def cells_with_baseline(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
+    """A9 with J5: cell statistics and those of the dataset's baseline cell, from one pass over the
+    runs; datasets without baseline runs drop out.  The window sees the cells of a dataset."""
+    of = Window.partitionBy("dataset")
+    mine = _is_baseline(baseline)
+    out = cell_stats(clean, metric, epochs).withColumn("__has", F.max(F.when(mine, 1)).over(of))
+    for name, src in (("base_mean", "mean"), ("base_max", "max"), ("base_n", "n")):
+        out = out.withColumn(name, F.max(F.when(mine, F.col(src))).over(of))
+    return out.where("__has = 1").drop("__has")
+
+
 def paired_with_baseline(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
-    """Cell values joined to the baseline value of the same (dataset, seed)."""
+    """Cell values with the baseline value of the same (dataset, seed) and their difference, NULL
+    where there is none.  The window sees one row per cell."""
     v = cell_values(clean, metric, epochs)
-    b = baseline_values(clean, metric, epochs, baseline)
-    return v.join(b, ["dataset", "seed"]).withColumn("d", F.col("value") - F.col("base"))
+    base = F.max(F.when(_is_baseline(baseline), F.col("value"))).over(Window.partitionBy("dataset", "seed"))
+    return v.withColumn("base", base).withColumn("d", F.col("value") - F.col("base"))
 
 
 def cell_tests(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
     """A16 per cell against the baseline, paired by seed.  Every cell gets a
     row; a cell sharing no seed with the baseline has n = 0 and no p-value
     (the original's "n/a")."""
-    pairs = paired_with_baseline(clean, metric, epochs, baseline)
-    tests = wilcoxon_signed_rank(pairs, CELL, "d")
-    cells = cell_values(clean, metric, epochs).select(*CELL).distinct()
-    return (cells.join(tests, CELL, "left")
-            .withColumn("n", F.coalesce("n", F.lit(0)))
-            .withColumn("n_zero", F.coalesce("n_zero", F.lit(0).cast("long"))))
+    t = wilcoxon_signed_rank(paired_with_baseline(clean, metric, epochs, baseline), CELL, "d")
+    some = F.col("n") + F.col("n_zero") > 0
+    return t.withColumns({c: F.when(some, F.col(c)) for c in ("w_plus", "w_minus", "t_stat")})
 
 
 def _against_baseline(clean: DataFrame, value: Column, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
@@ -265,8 +279,7 @@ def _against_baseline(clean: DataFrame, value: Column, epochs: int = EPOCHS, bas
 
     Cells and baseline are value counts of one pass over the runs, and a running sum over a
     dataset's distinct values places all cells at once; no baseline row is copied to a cell."""
-    comb, layer, flag = baseline
-    is_base = (F.col(COMB) == comb) & (F.col(LAYER) == layer) & F.col(FLAG).eqNullSafe(F.lit(flag))
+    is_base = _is_baseline(baseline)
     counts = clean.where(F.col("epochs") == epochs).select(*CELL, value.alias("value")).where("value is not null") \
                   .groupBy(*CELL, "value").agg(F.count(F.lit(1)).alias("n"))
     at_value = Window.partitionBy("dataset").orderBy("value")
@@ -321,11 +334,9 @@ def reduced_models(clean: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 
 def compare_cells(clean: DataFrame, metric: str, epochs: int = EPOCHS, baseline=BASELINE) -> DataFrame:
     """P7/P8 base: cell mean vs baseline mean with the Wilcoxon p-value."""
-    st = cell_stats(clean, metric, epochs)
-    bs = baseline_stats(clean, metric, epochs, baseline)
+    st = cells_with_baseline(clean, metric, epochs, baseline)
     t = cell_tests(clean, metric, epochs, baseline).select(*CELL, "p_value")
-    return (st.join(bs, "dataset").join(t, CELL, "left")
-            .withColumn("better", stable("mean") > stable("base_mean")))
+    return st.join(t, CELL, "left").withColumn("better", stable("mean") > stable("base_mean"))
 
 
 def better_than_baseline(clean: DataFrame, metric: str, epochs: int = EPOCHS) -> DataFrame:
@@ -354,9 +365,7 @@ def delta_matrix(clean: DataFrame, metric: str, epochs: int = EPOCHS, long: bool
     layer.  ``half``: the one-layer, non-cutoff combinations (l1..l12), or the combinations
     over all layers, which stand at layer 12 (l12)."""
     mine, layers = _half(half)
-    st = cell_stats(clean.where(mine), metric, epochs)
-    bs = baseline_stats(clean, metric, epochs)
-    j = st.join(bs, "dataset").withColumn("variant", variant_key())
+    j = cells_with_baseline(clean, metric, epochs).where(mine).withColumn("variant", variant_key())
     lg = j.select("dataset", "variant", LAYER, F.explode(F.array(
         F.struct(F.lit("max").alias("stat"), ((F.col("max") - F.col("base_max")) * 100).alias("delta")),
         F.struct(F.lit("mean").alias("stat"), ((F.col("mean") - F.col("base_mean")) * 100).alias("delta"))
@@ -396,10 +405,8 @@ def percent_of_baseline(clean: DataFrame, metric: str, combination: str = CUTOFF
                         epochs: int = EPOCHS, expected: int = 10, flag: bool = False) -> DataFrame:
     """mean(values) / mean(baseline) x 100 per (dataset, layer); NULL (n/a)
     unless the cell has exactly ``expected`` values."""
-    v = cell_values(clean, metric, epochs).where((F.col(COMB) == combination) & (F.col(FLAG) == flag))
-    st = v.groupBy("dataset", LAYER).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    bs = baseline_stats(clean, metric, epochs)
-    return st.join(bs, "dataset").select(
+    st = cells_with_baseline(clean, metric, epochs).where((F.col(COMB) == combination) & (F.col(FLAG) == flag))
+    return st.select(
         "dataset", LAYER, "n",
         F.when(F.col("n") == expected, F.try_divide(F.col("mean"), F.col("base_mean")) * 100).alias("pct"))
 
@@ -408,14 +415,11 @@ def param_overhead(clean: DataFrame, combinations=("w_sum_tokens_w_sum_layers",
                    layer: int = 12, flag: bool = False, epochs: int = EPOCHS) -> DataFrame:
     """(mean parameters - baseline mean) / baseline mean x 100 per combination;
     layer and flag are arguments (the original mixes them up)."""
-    m = "num_trainable_parameters"
-    v = cell_values(clean, m, epochs).where(F.col(COMB).isin(list(combinations))
-                                            & (F.col(LAYER) == layer) & (F.col(FLAG) == flag))
-    st = v.groupBy("dataset", COMB).agg(F.avg("value").alias("mean_params"))
-    bs = baseline_stats(clean, m, epochs)
-    return st.join(bs, "dataset").select(
-        "dataset", COMB, "mean_params", F.col("base_mean").alias("baseline_params"),
-        (F.try_divide(F.col("mean_params") - F.col("base_mean"), F.col("base_mean")) * 100).alias("diff_pct"))
+    st = cells_with_baseline(clean, "num_trainable_parameters", epochs).where(
+        F.col(COMB).isin(list(combinations)) & (F.col(LAYER) == layer) & (F.col(FLAG) == flag))
+    return st.select(
+        "dataset", COMB, F.col("mean").alias("mean_params"), F.col("base_mean").alias("baseline_params"),
+        (F.try_divide(F.col("mean") - F.col("base_mean"), F.col("base_mean")) * 100).alias("diff_pct"))
 
 
 def duration_table(clean: DataFrame, combination: str = CUTOFF, epochs: int = EPOCHS,

@@ -102,15 +102,15 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
     spark = spark or pairs.sparkSession
     g = list(group_cols)
     d = F.col("__d")
-    x = pairs.where(F.col(d_col).isNotNull()).select(*g, F.col(d_col).alias("__d")) \
-             .withColumn("__a", F.abs(d))
+    x = pairs.select(*g, F.col(d_col).alias("__d")).withColumn("__a", F.abs(d))
+    # a row without difference ranks last and counts nowhere, but keeps its group in the result
     x = (x.withColumn("__z", F.sum(F.when(d == 0, 1).otherwise(0)).over(Window.partitionBy(*g)))
-         .withColumn("__rk", F.rank().over(Window.partitionBy(*g).orderBy("__a")))
+         .withColumn("__rk", F.rank().over(Window.partitionBy(*g).orderBy(F.asc_nulls_last("__a"))))
          .withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*g, "__a")))
          .withColumn("__r", F.col("__rk") - F.col("__z") + (F.col("__t") - 1) / 2.0))
     nz = d != 0
     s = x.groupBy(*g).agg(
-        F.sum(F.when(nz, 0).otherwise(1)).cast("long").alias("n_zero"),
+        F.sum(F.when(d == 0, 1).otherwise(0)).cast("long").alias("n_zero"),
         F.sum(F.when(nz, 1).otherwise(0)).cast("int").alias("n"),
         F.sum(F.when(d > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"),
         F.sum(F.when(d < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"),
