@@ -453,9 +453,9 @@ def pruned_table(clean: DataFrame, metrics=("acc_test", "balanced_acc_test", "f1
     the baseline values.  Numbers only; text is X14's job.
 
     Every quantity is a "metric" of one long table (the reduced models at
-    layers 1..11 and the baseline at layer 12): one aggregate per (dataset,
-    layer, metric), one per (dataset, metric) for the baseline, one pairing
-    join and one Wilcoxon for the test metrics, then a single pivot."""
+    layers 1..11 and the baseline at layer 12), read once: a window pairs the values with
+    the baseline's of the same seed, one aggregate per (dataset, layer, metric) gives means and
+    tests, a window over its rows brings the baseline's mean, and one pivot the columns."""
     comb, blayer, bflag = BASELINE
     is_base = (F.col(COMB) == comb) & (F.col(LAYER) == blayer) & (F.col(FLAG) == bflag)
     rows = clean.where((F.col("epochs") == epochs)
@@ -468,32 +468,21 @@ def pruned_table(clean: DataFrame, metrics=("acc_test", "balanced_acc_test", "f1
                        duration_seconds("start_time", "end_time").cast("double").alias("value"))]
     long = rows.select("dataset", LAYER, "seed", is_base.alias("__base"), F.explode(F.array(*items)).alias("r")) \
                .select("dataset", LAYER, "seed", "__base", "r.metric", "r.value")
-    cell = long.where(~F.col("__base"))
-    base = long.where(F.col("__base"))
-    means = cell.groupBy("dataset", LAYER, "metric").agg(F.avg("value").alias("m"), F.count("value").alias("n"))
-    bmeans = base.groupBy("dataset", "metric").agg(F.avg("value").alias("b"))
-    pairs = cell.where(F.col("metric").isin(shorts)).join(
-        base.select("dataset", "seed", "metric", F.col("value").alias("base")), ["dataset", "seed", "metric"]) \
-        .withColumn("d", F.col("value") - F.col("base"))
-    tests = wilcoxon_signed_rank(pairs, ["dataset", LAYER, "metric"], "d").select(
-        "dataset", LAYER, "metric", "p_value")
-    # reduced models: layers 1..11
-    j = means.join(bmeans, ["dataset", "metric"], "left").join(tests, ["dataset", LAYER, "metric"], "left")
+    base_here = F.max(F.when(F.col("__base"), F.col("value"))).over(Window.partitionBy("dataset", "seed", "metric"))
+    pairs = long.withColumn("d", F.when(~F.col("__base"), F.col("value") - base_here))
+    # one row per (dataset, layer, metric): mean, count and test; layer 12 is the baseline itself
+    cells = wilcoxon_signed_rank(pairs, ["dataset", LAYER, "metric"], "d", value_col="value").select(
+        "dataset", LAYER, "metric", F.col("value_mean").alias("m"), F.col("value_n").alias("n"), "p_value")
+    own = F.col(LAYER) == blayer
+    cells = cells.withColumn("b", F.max(F.when(own, F.col("m"))).over(Window.partitionBy("dataset", "metric")))
     met = F.col("metric")
-    val = (F.when(met == "params", F.when(F.col("n") == expected,
-                                          F.round(stable(F.try_divide(F.col("m"), F.col("b")) * 100), 0)))
+    val = (F.when(met == "params", F.when(own, F.col("b")).when(
+               F.col("n") == expected, F.round(stable(F.try_divide(F.col("m"), F.col("b")) * 100), 0)))
            .when(met.isin("epoch_seconds", "total_seconds"), F.col("m"))
+           .when(own, F.round(stable(F.col("b") * 100), 2))
            .otherwise(F.round(stable(F.round(stable(F.col("m") * 100), 1) - F.round(stable(F.col("b") * 100), 2)), 1)))
-    reduced = j.select("dataset", LAYER, "metric", val.alias("v"), "p_value",
-                       F.when(met == "epoch_seconds", F.round(stable(F.try_divide(F.col("b"), F.col("m"))), 1))
-                       .alias("speed"))
-    # the baseline row: layer 12
-    bval = (F.when(met == "params", F.col("b")).when(met.isin("epoch_seconds", "total_seconds"), F.col("b"))
-            .otherwise(F.round(stable(F.col("b") * 100), 2)))
-    baseline = bmeans.select("dataset", F.lit(blayer).alias(LAYER), "metric", bval.alias("v"),
-                             F.lit(None).cast("double").alias("p_value"),
-                             F.when(met == "epoch_seconds", F.lit(1.0)).alias("speed"))
-    allrows = reduced.unionByName(baseline)
+    allrows = cells.select("dataset", LAYER, "metric", val.alias("v"), "p_value",
+                           F.when(met == "epoch_seconds", F.round(stable(F.try_divide(F.col("b"), F.col("m"))), 1)).alias("speed"))
     names = ["params", "total_seconds", "epoch_seconds", *shorts]
     wide = allrows.groupBy("dataset", LAYER).pivot("metric", names).agg(
         F.first("v").alias("v"), F.first("p_value").alias("p"), F.first("speed").alias("s"))

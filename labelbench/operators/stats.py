@@ -83,7 +83,7 @@ def average_ranks(df: DataFrame, group_cols: list[str], value: Column, out: str
 
 
 def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "d", spark: SparkSession | None = None,
-                         method: str = "auto", exact_max_n: int = EXACT_MAX_N) -> DataFrame:
+                         method: str = "auto", exact_max_n: int = EXACT_MAX_N, value_col: str | None = None) -> DataFrame:
     """Two-sided Wilcoxon signed-rank test per group on differences ``d``.
 
     Zero differences are dropped.  ``method="auto"``: exact p = min(1, 2 P(W+ <= T)) when
@@ -92,6 +92,8 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
     ``"exact"`` raises for a group that has zeros, ties or more than ``exact_max_n`` pairs (the
     null distribution is a table of about exact_max_n^3 / 6 rows).  All-zero -> NULL p.
 
+    With ``value_col`` the groups also carry the mean and count of that column.
+
     One shuffle by group: every window shares the group partitioning and the
     final ``groupBy`` reuses it.  Zeros sort first by |d|, so the rank among
     non-zero differences is ``rank - zeros``; each row of a tie group of size
@@ -102,7 +104,8 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
     spark = spark or pairs.sparkSession
     g = list(group_cols)
     d = F.col("__d")
-    x = pairs.select(*g, F.col(d_col).alias("__d")).withColumn("__a", F.abs(d))
+    own = [value_col] if value_col else []
+    x = pairs.select(*g, *own, F.col(d_col).alias("__d")).withColumn("__a", F.abs(d))
     # a row without difference ranks last and counts nowhere, but keeps its group in the result
     x = (x.withColumn("__z", F.sum(F.when(d == 0, 1).otherwise(0)).over(Window.partitionBy(*g)))
          .withColumn("__rk", F.rank().over(Window.partitionBy(*g).orderBy(F.asc_nulls_last("__a"))))
@@ -115,7 +118,8 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
         F.sum(F.when(d > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"),
         F.sum(F.when(d < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"),
         F.sum(F.when(nz, F.col("__t") * F.col("__t") - 1).otherwise(0)).alias("tie_term"),
-        F.max(F.when(nz, F.col("__t"))).alias("max_tie"))
+        F.max(F.when(nz, F.col("__t"))).alias("max_tie"),
+        *[a for c in own for a in (F.avg(c).alias("value_mean"), F.count(c).alias("value_n"))])
     s = s.withColumn("t_stat", F.least("w_plus", "w_minus"))
     exact = (F.col("n_zero") == 0) & (F.coalesce(F.col("max_tie"), F.lit(1)) <= 1) & \
             (F.col("n") <= exact_max_n) & (F.col("n") > 0)
@@ -136,7 +140,8 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
                (F.col("method") == "exact"), "left")
     p = (F.when(F.col("method") == "exact", F.least(F.lit(1.0), 2 * F.col("cdf")))
          .when(F.col("method") == "approx", normal_sf2(F.col("z"))))
-    return s.select(*g, "n", "n_zero", "w_plus", "w_minus", "t_stat", "method", "z", p.alias("p_value"))
+    return s.select(*g, "n", "n_zero", "w_plus", "w_minus", "t_stat", "method", "z", p.alias("p_value"),
+                    *(["value_mean", "value_n"] if value_col else []))
 
 
 def with_band(df: DataFrame) -> DataFrame:
