@@ -1,16 +1,17 @@
-"""Licence scan: base phrases, and a positional index of the licences' rare words.
+"""Licence scan: base phrases, and a positional index of the licences' words.
 
 All of it is DataFrame functions.  A text's words are those of its lower-cased form.
 
 *Base.*  Places where the words of a phrase stand one after the other.
 
 *Index.*  Every licence template is a list of words; its postings are (word, template, position).  The
-inverse document frequency of the templates' words is counted over all documents.  A word is
-rare if at most ``RARE`` of the documents have it (or none do).  Of a document's rare licence words the
-``LOOKED_UP`` rarest are looked up: a posting and a place in the document vote for the template at a
-relative position, and the votes that agree in (template, relative position) are intersected
-postings.  A template is found where the words that agree weigh (by IDF) at least ``SHARE`` of the
-template's own ``LOOKED_UP`` rarest words, and one of its mandatory key phrases stands in the document.
+inverse document frequency of the templates' words is counted over all documents.  Words are ranked
+by it and none is left out for being frequent, so a licence that stands in every document is found as
+well.  Of a document's licence words the ``LOOKED_UP`` rarest are looked up: a posting and a place in
+the document vote for the template at a relative position, and the votes that agree in (template,
+relative position) are intersected postings.  A template is found where the words that agree weigh (by
+IDF) at least ``SHARE`` of the template's own ``LOOKED_UP`` rarest words, and one of its mandatory key
+phrases stands in the document.
 
 Defined cases: null and empty texts have no words, labels are empty strings and the score 0;
 repeated rows get the same result each, null ids stay null; an empty table gives no rows; other
@@ -51,8 +52,10 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
 
-#: Largest share of documents that have a rare word; words looked up; least share of their weight.
-RARE, LOOKED_UP, SHARE = 0.05, 8, 0.6
+#: Words looked up; least share of their weight.
+LOOKED_UP, SHARE = 8, 0.6
+#: Share of documents above which a word is frequent; the scan does not use it, the plain-Python form in the tests does.
+RARE = 0.05
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,38 +84,36 @@ def places(found: Column, phrase: str) -> Column:
     return F.when(there, F.filter(F.sequence(F.lit(0), F.size(found) - len(parts)), at)).otherwise(none)
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[dict[str, float], set[str]]:
-    """IDF of every template word over all documents, and the rare ones; as many as the templates hold."""
+def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
+    """IDF of every template word over all documents; at least 1, however many documents have the word."""
     vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split(" ")})
     lit = F.array(*map(F.lit, vocabulary))
     there = docs.select(F.explode(F.array_append(F.array_intersect(words(F.col("text")), lit), F.lit(""))).alias("word"))
     counts = {r.word: r.n for r in there.groupBy("word").agg(F.count("*").alias("n")).collect()}
     n = counts.get("", 0)  # one empty word for each document
-    idf = {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}
-    return idf, {w for w in vocabulary if counts.get(w, 0) <= RARE * n}
+    return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
-def postings(idf: dict[str, float], rare: set[str]) -> tuple[list[tuple], list[float]]:
-    """(template, word, position, weight) of the rare words, and the weight that a template's
-    rarest words have together (0: no rare words, so the index cannot find it)."""
+def postings(idf: dict[str, float]) -> tuple[list[tuple], list[float]]:
+    """(template, word, position, weight) of the words, and the weight that a template's rarest words
+    have together."""
     rows, totals = [], []
     for t, (_, text, _) in enumerate(TEMPLATES):
         own = text.split(" ")
-        rows += [(t, w, p, idf[w]) for p, w in enumerate(own) if w in rare]
-        totals.append(sum(sorted((idf[w] for w in set(own) & rare), reverse=True)[:LOOKED_UP]))
+        rows += [(t, w, p, idf[w]) for p, w in enumerate(own)]
+        totals.append(sum(sorted((idf[w] for w in set(own)), reverse=True)[:LOOKED_UP]))
     return rows, totals
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row for each row of ``docs``."""
     spark = docs.sparkSession
-    idf, rare = inverse_frequencies(docs)
-    rows, totals = postings(idf, rare)
+    idf = inverse_frequencies(docs)
+    rows, totals = postings(idf)
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     split = docs.select(doc_id, F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     w = F.col("w")
-    by_rarity = sorted(rare, key=lambda x: (-idf[x], x))
-    order = F.array(*map(F.lit, by_rarity)) if rare else F.array().cast("array<string>")
+    order = F.array(*map(F.lit, sorted(idf, key=lambda x: (-idf[x], x))))
     # the literal goes first, so that the rarest words are the first of the intersection
     split = split.select("*", F.slice(F.array_intersect(order, w), 1, LOOKED_UP).alias("rarest"),
                          *[places(w, p).alias(f"b{k}") for k, p in enumerate(BASE)])
@@ -126,7 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(some, F.array_compact(F.array(*keys))).otherwise(F.array().cast("array<int>")).alias("keys"),
         F.when(some, looked_up).otherwise(empty).alias("places")))
 
-    # votes: one row for each rare word's place, template and relative position; a few per document
+    # votes: one row for each looked-up word's place, template and relative position; a few per document
     votes = table.where(F.size("keys") > 0).select("doc_id", "h", "keys", F.explode(F.array_distinct("places")).alias("p"))
     index = spark.createDataFrame(rows, "template int, word string, pos int, weight double")
     agreed = votes.select("doc_id", "h", "keys", "p.word", "p.at").join(F.broadcast(index), "word").where(F.array_contains("keys", F.col("template")))

@@ -89,3 +89,14 @@ def test_empty_table_and_no_python(spark):
     assert out.count() == 0
     plan = licenses.scan(read(spark, SF01, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_frequent_licence(spark):
+    """A notice that stands in a third of the documents, and one in all of them, are labelled there."""
+    notices = {label: text for label, text, _ in licenses.TEMPLATES if label in ("bsd", "cc0", "all-rights-reserved")}
+    for label, text in notices.items():
+        for every in (3, 1):
+            rows = [(i, f"file {i} {text} code" if i % every == 0 else f"plain text {i}") for i in range(60)]
+            out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert {x.doc_id: x.labels for x in out} == {i: label if i % every == 0 else "" for i in range(60)}
+            assert all(abs(x.score - (x.doc_id % every == 0)) < 1e-6 for x in out)
