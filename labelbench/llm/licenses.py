@@ -7,11 +7,11 @@ All of it is DataFrame functions.  A text's words are those of its lower-cased f
 *Index.*  Every licence template is a list of words; its postings are (word, template, position).  The
 inverse document frequency of the templates' words is counted over all documents.  Words are ranked
 by it and none is left out for being frequent, so a licence that stands in every document is found as
-well.  Of a document's licence words the ``LOOKED_UP`` rarest are looked up: a posting and a place in
-the document vote for the template at a relative position, and the votes that agree in (template,
-relative position) are intersected postings.  A template is found where the words that agree weigh (by
-IDF) at least ``SHARE`` of the template's own ``LOOKED_UP`` rarest words, and one of its mandatory key
-phrases stands in the document.
+well.  A template is looked up in a document where one of its mandatory key phrases stands, by the
+``LOOKED_UP`` rarest of its words that the document has, whatever other licences the text holds: a posting
+and a place in the document vote for the template at a relative position, and the votes that agree in
+(template, relative position) are intersected postings.  A template is found where the words that agree
+weigh (by IDF) at least ``SHARE`` of the template's own ``LOOKED_UP`` rarest words.
 
 Defined cases: null and empty texts have no words, labels are empty strings and the score 0;
 repeated rows get the same result each, null ids stay null; an empty table gives no rows; other
@@ -113,24 +113,30 @@ def scan(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     split = docs.select(doc_id, F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     w = F.col("w")
-    order = F.array(*map(F.lit, sorted(idf, key=lambda x: (-idf[x], x))))
-    # the literal goes first, so that the rarest words are the first of the intersection
-    split = split.select("*", F.slice(F.array_intersect(order, w), 1, LOOKED_UP).alias("rarest"),
-                         *[places(w, p).alias(f"b{k}") for k, p in enumerate(BASE)])
     line = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    keys = [F.when(F.greatest(F.lit(False), *[F.contains(line, F.lit(f" {p} ")) for p in phrases]), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES)]
-    looked_up = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(F.col("rarest"), x), F.struct(x.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
-    some = F.size("rarest") > 0
+
+    def looked_up(t):
+        _, text, phrases = TEMPLATES[t]
+        by_rarity = F.array(*map(F.lit, sorted(set(text.split(" ")), key=lambda x: (-idf[x], x))))
+        # the literal goes first, so that the rarest words are the first of the intersection
+        rarest = F.slice(F.array_intersect(by_rarity, w), 1, LOOKED_UP)
+        there = F.greatest(F.lit(False), *[F.contains(F.col("line"), F.lit(f" {p} ")) for p in phrases])
+        return F.when(there, F.struct(F.lit(t).alias("template"), rarest.alias("rarest")))
+
+    split = split.select("*", line.alias("line"), *[places(w, p).alias(f"b{k}") for k, p in enumerate(BASE)])
+    split = split.select("*", F.array_compact(F.array(*map(looked_up, range(len(TEMPLATES))))).alias("keys"))
+    split = split.select("*", F.array_distinct(F.flatten("keys.rarest")).alias("wanted"))
+    found_at = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(F.col("wanted"), x), F.struct(x.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
     empty = F.array().cast("array<struct<word:string,at:int>>")
     table = cut_lineage(split.select(
-        "doc_id", "h", F.size(w).cast("long").alias("n_words"), *[f"b{k}" for k in range(len(BASE))],
-        F.when(some, F.array_compact(F.array(*keys))).otherwise(F.array().cast("array<int>")).alias("keys"),
-        F.when(some, looked_up).otherwise(empty).alias("places")))
+        "doc_id", "h", F.size(w).cast("long").alias("n_words"), *[f"b{k}" for k in range(len(BASE))], "keys",
+        F.when(F.size("wanted") > 0, found_at).otherwise(empty).alias("places")))
 
-    # votes: one row for each looked-up word's place, template and relative position; a few per document
-    votes = table.where(F.size("keys") > 0).select("doc_id", "h", "keys", F.explode(F.array_distinct("places")).alias("p"))
+    # votes: one row for each looked-up word's place, template and relative position
+    votes = table.where(F.size("keys") > 0).select("doc_id", "h", "places", F.explode("keys").alias("k"))
+    votes = votes.select("doc_id", "h", "k.template", F.explode(F.filter("places", lambda p: F.array_contains(F.col("k.rarest"), p["word"]))).alias("p"))
     index = spark.createDataFrame(rows, "template int, word string, pos int, weight double")
-    agreed = votes.select("doc_id", "h", "keys", "p.word", "p.at").join(F.broadcast(index), "word").where(F.array_contains("keys", F.col("template")))
+    agreed = votes.select("doc_id", "h", "template", "p.word", "p.at").join(F.broadcast(index), ["template", "word"])
     agreed = agreed.select("doc_id", "h", "template", (F.col("at") - F.col("pos")).alias("shift"), "pos", "word", "weight").distinct()
     # a word that a template repeats counts once at one relative position
     once = agreed.groupBy("doc_id", "h", "template", "shift", "word").agg(F.first("weight").alias("weight"))

@@ -100,3 +100,17 @@ def test_frequent_licence(spark):
             out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
             assert {x.doc_id: x.labels for x in out} == {i: label if i % every == 0 else "" for i in range(60)}
             assert all(abs(x.score - (x.doc_id % every == 0)) < 1e-6 for x in out)
+
+
+def test_several_notices_in_one_text(spark):
+    """Any two notices, all of them, and all of them far apart in a long text: no label is lost."""
+    texts = [(a[1] + " filler " + b[1], {a[0], b[0]}) for a in licenses.TEMPLATES for b in licenses.TEMPLATES if a[0] != b[0]]
+    everything = {t[0] for t in licenses.TEMPLATES}
+    texts += [(" and so on ".join(t[1] for t in licenses.TEMPLATES), everything)]
+    texts += [((" the use of this code and of any other copy " * 500).join(t[1] for t in licenses.TEMPLATES), everything)]
+    texts += [("plain words %d" % i, set()) for i in range(2000)]
+    out = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(out) == len(texts)
+    for x in out:
+        assert texts[x.doc_id][1] <= set(x.labels.split(",") if x.labels else [])
+        assert texts[x.doc_id][1] or not x.labels
