@@ -2,11 +2,12 @@
 
 A source's documents form blocks of ``block`` documents.  With weight w, block j may start at
 slot floor(j / w) and must be placed before slot ceil((j + 1) / w); among the released blocks the one
-with the earliest deadline gets the slot.  The weights are whole numbers of slots in a period of Q
-slots that sum to Q, so the processor is fully used, every deadline is met, and each source is at
-every slot less than one block away from its share.  The schedule of a period repeats, so Q slots
-are simulated (Q depends on the number of sources alone), and a block's slot follows from its number:
-nothing goes through one task.
+with the earliest deadline gets the slot.  The slots come in periods of Q (by the number of sources
+alone).  In a period a source has a whole number of slots, within which every deadline is met and the
+source is less than one block away from its share of them; what rounding leaves of the exact weights is
+carried to the next period, so the deviation from the weights does not grow with the input.  The driver
+keeps one number for each source and period; a block's slot follows from its number, and a period is
+simulated by the tasks that hold its blocks: nothing goes through one task.
 
 A mix lasts until each source has been read through at least once; a source with more
 weight than documents starts again (its epoch counts up), so no document is lost and every
@@ -24,7 +25,11 @@ other; the last block of a source may be shorter; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -38,10 +43,12 @@ BLOCK, TEMPERATURE, SLOTS_PER_SOURCE = 64, 0.7, 64
 
 
 def quotas(weights: dict, period: int) -> dict:
-    """Whole slots of a period in proportion to the weights, at least one each, by largest remainders."""
+    """Whole slots of one period alone, in proportion to the weights, at least one each, by largest remainders."""
     total = sum(weights.values())
     if not weights or min(weights.values()) <= 0 or len(weights) > period:
         raise ValueError("weights must be positive, and no more than the period has slots")
+    if min(weights.values()) / total * period >= 1:
+        return dict(zip(weights, next(carried(weights, period))))
     spare = period - len(weights)
     exact = {k: w / total * spare for k, w in weights.items()}
     out = {k: 1 + int(x) for k, x in exact.items()}
@@ -51,6 +58,40 @@ def quotas(weights: dict, period: int) -> dict:
     return out
 
 
+def carried(weights: dict, period: int):
+    """Whole slots of each source (in the order of ``weights``) in one period after the other, without end.
+    Their sums over the periods follow the exact weights: what a source is short of is carried on."""
+    if not weights or min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    exact = [Fraction(w) for w in weights.values()]
+    total, names = sum(exact), [str(k) for k in weights]
+    step = [int(w / total * 2**64) for w in exact]  # in whole numbers of 2^-64 of all slots
+    step[max(range(len(step)), key=step.__getitem__)] += 2**64 - sum(step)
+    done, due = [0] * len(step), [0] * len(step)
+    while True:
+        due = [d + w * period for d, w in zip(due, step)]
+        out = [max((d >> 64) - n, 0) for d, n in zip(due, done)]
+        behind = sorted(range(len(step)), key=lambda i: (((done[i] + out[i]) << 64) - due[i], names[i]))
+        spare = period - sum(out)
+        for i in behind[:max(spare, 0)]:
+            out[i] += 1
+        # sources ahead of their share may leave too few slots: those least behind wait for the next period
+        for i in [i for i in reversed(behind) if out[i]][:max(-spare, 0)]:
+            out[i] -= 1
+        done = [n + k for n, k in zip(done, out)]
+        yield out
+
+
+def periods(weights: dict, period: int, blocks: dict) -> np.ndarray:
+    """Slots of each source before each period, up to the one after which all ``blocks`` were placed."""
+    sums = [np.zeros(len(weights), np.int64)]
+    need = np.array([blocks[s] for s in weights], np.int64)
+    for slots in carried(weights, period):
+        sums.append(sums[-1] + np.array(slots, np.int64))
+        if (sums[-1] >= need).all():
+            return np.array(sums)
+
+
 def period_of(n_sources: int) -> int:
     return 1 << max(6, (n_sources * SLOTS_PER_SOURCE - 1).bit_length())
 
@@ -61,7 +102,7 @@ def schedule(slots: dict) -> list[tuple]:
 
     period = sum(slots.values())
     names = sorted(slots, key=str)
-    waiting = [(0, i, 0) for i in range(len(names))]  # by release
+    waiting = [(0, i, 0) for i in range(len(names)) if slots[names[i]]]  # by release
     ready, out = [], []
     heapq.heapify(waiting)
     for slot in range(period):
@@ -75,6 +116,24 @@ def schedule(slots: dict) -> list[tuple]:
     return out
 
 
+def _slots(sums: np.ndarray, period: int):
+    """(source's place in the order, block) -> (slot, release, deadline); keeps the schedules that it has made."""
+    made: dict = {}
+
+    def find(i: int, b: int) -> tuple[int, int, int]:
+        k = int(np.searchsorted(sums[:, i], b, "right")) - 1
+        slots = tuple((sums[k + 1] - sums[k]).tolist())
+        if slots not in made:
+            if len(made) >= 256:
+                made.clear()
+            # zero-filled, so that the names sort as the places do
+            made[slots] = {(int(s), j): at for s, j, *at in schedule({f"{s:09d}": n for s, n in enumerate(slots)})}
+        t, release, deadline = made[slots][i, b - int(sums[k, i])]
+        return k * period + t, k * period + release, k * period + deadline
+
+    return find
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with the task's number and the row's position among those of its source in the task."""
     schema = docs.withColumn("__task", F.lit(0)).withColumn("__row", F.lit(0).cast("long")).schema
@@ -108,16 +167,16 @@ def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temp
     missing = [s for s in sizes if s not in weights]
     if missing:
         raise ValueError(f"no weight for source {missing[0]!r}")
-    chosen = {s: weights[s] for s in sizes}
-    slots = quotas(chosen, period_of(len(sizes)))
-    period = sum(slots.values())
+    # in the order of the names, as ties go by it
+    chosen = {s: weights[s] for s in sorted(sizes, key=str)}
+    order, blocks = list(chosen), {s: -(-n // block) for s, n in sizes.items()}
+    period = period_of(len(sizes))
+    sums = periods(chosen, period, blocks)  # one row for each period
+    slots_of = _slots(sums, period)
     # the slot at which the last source has been read once; later blocks of any source are not placed
-    table = schedule(slots)
-    at = {(s, j): t for s, j, t, _, _ in table}
-    end = max((-(-n // block) - 1) // slots[s] * period + at[s, (-(-n // block) - 1) % slots[s]] for s, n in sizes.items())
-    # Q rows, by the number of sources; and one row for each task and source
-    plan = spark.createDataFrame(table, f"s {docs.schema['source'].dataType.simpleString()}, j long, t long, r long, e long")
-    per_source = spark.createDataFrame([(s, n, slots[s], -(-n // block)) for s, n in sizes.items()], f"s {docs.schema['source'].dataType.simpleString()}, n long, quota long, blocks long")
+    end = max(slots_of(i, blocks[s] - 1)[0] for i, s in enumerate(order))
+    per_source = spark.createDataFrame([(s, i, blocks[s], int(sums[-1, i])) for i, s in enumerate(order)],
+                                       f"s {docs.schema['source'].dataType.simpleString()}, __id int, __blocks long, __last long")
     before = Window.partitionBy("source").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select(F.col("source").alias("s"), F.col("__task").alias("__of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))
     # written first, so that Spark knows its size when it chooses between broadcast and shuffle
@@ -125,14 +184,21 @@ def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temp
     rows = _numbered(docs).join(offsets, source.eqNullSafe(F.col("s")) & (F.col("__task") == F.col("__of"))).drop("s", "__of", "__task")
     rows = rows.join(F.broadcast(per_source), source.eqNullSafe(F.col("s"))).drop("s").withColumn("__i", F.col("__off") + F.col("__row"))
     # a source is read again while its blocks, counted on, still fall before the end
-    rounds = F.floor(F.lit(end) / period) * F.col("quota") / F.col("blocks") + 2 + F.col("quota") / F.col("blocks")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor(rounds).cast("int"))))
-    rows = rows.withColumn("__b", F.col("epoch") * F.col("blocks") + F.floor(F.col("__i") / block))
-    joined = rows.join(F.broadcast(plan), source.eqNullSafe(F.col("s")) & (F.col("__b") % F.col("quota") == F.col("j")))
-    whole = F.floor(F.col("__b") / F.col("quota")).cast("long") * period
-    out = joined.select(*[F.col(f"`{c}`") for c in names], "epoch", F.col("__b").cast("long").alias("block"),
-                        (F.col("__i") % block).cast("long").alias("position"), (whole + F.col("t")).alias("slot"),
-                        (whole + F.col("r")).alias("release"), (whole + F.col("e")).alias("deadline"))
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("__last") - 1) / F.col("__blocks")).cast("int"))))
+    rows = rows.withColumn("__b", F.col("epoch") * F.col("__blocks") + F.floor(F.col("__i") / block)).where(F.col("__b") < F.col("__last"))
+    shared = spark.sparkContext.broadcast(sums)
+
+    @F.pandas_udf("slot long, release long, deadline long")
+    def slot_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        find = _slots(shared.value, period)
+        for ids, b in batches:
+            pairs = list(zip(ids.tolist(), b.tolist()))
+            at = {p: find(*p) for p in sorted(set(pairs), key=lambda p: p[::-1])}
+            yield pd.DataFrame([at[p] for p in pairs], columns=["slot", "release", "deadline"], dtype="int64")
+
+    rows = rows.withColumn("__at", slot_of("__id", "__b"))
+    out = rows.select(*[F.col(f"`{c}`") for c in names], "epoch", F.col("__b").cast("long").alias("block"),
+                      (F.col("__i") % block).cast("long").alias("position"), "__at.slot", "__at.release", "__at.deadline")
     return out.where(F.col("slot") <= end)
 
 

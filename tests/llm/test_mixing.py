@@ -89,3 +89,28 @@ def test_mix(spark):
     with pytest.raises(ValueError):
         mixing.place(docs.select("source"), {"a": 1}).collect()
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.999, "b": 0.001}, {"hot": 0.9} | {f"s{i}": 0.005 for i in range(20)},
+                                     {"hot": 1 / 3} | {f"s{i}": 1 / 30 for i in range(20)}, {"a": 1.0, "b": 1e-5, "c": 1e-5, "d": 0.3}])
+def test_deviation_from_the_target_weights(weights):
+    """Less than three blocks at every slot of many periods, however long the mix lasts."""
+    period = mixing.period_of(len(weights))
+    names, total, got = list(weights), sum(weights.values()), Counter()
+    for k, slots in zip(range(100_000 // period), mixing.carried(weights, period)):
+        assert sum(slots) == period and min(slots) >= 0
+        if k % 20 == 0:
+            inside = Counter()
+            for s, _, t, _, _ in mixing.schedule(dict(zip(names, slots))):
+                inside[s] += 1
+                assert all(abs(got[x] + inside[x] - weights[x] / total * (k * period + t + 1)) < 3 for x in names)
+        got.update(dict(zip(names, slots)))
+        assert all(abs(got[x] - weights[x] / total * (k + 1) * period) < 2 for x in names)
+
+
+def test_shares_of_a_long_mix(spark):
+    docs = spark.range(4010).selectExpr("id doc_id", "if(id < 4000, 'a', 'b') source").repartition(3).cache()
+    out = mixing.place(docs, {"a": 0.999, "b": 0.001}, block=1).collect()
+    n, slots = Counter(x.source for x in out), max(x.slot for x in out) + 1
+    assert len(out) == slots and abs(n["b"] - slots * 0.001) < 3
+    assert len({x.doc_id for x in out if x.epoch == 0}) == 4010
