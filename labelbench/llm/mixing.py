@@ -15,8 +15,9 @@ prefix of the mix holds the weights.  Without given weights a source weighs its
 to the power of ``temperature``.
 
 A document's number within its source is its position in the task that reads it, plus the documents of
-that source in the tasks before.  So the input must bring the same rows in the same tasks whenever it is
-read (a table does), and no shuffle is needed to number it, however large one source is.
+that source in the tasks before.  The numbered rows are written once, and both the counts and the rows
+come from that table: an input that is read again in other tasks (after the loss of an executor, or at a
+later action) changes nothing.  No shuffle is needed to number a source, however large it is.
 
 Defined cases: a null source is a source of its own; sources without weight are an error where
 weights are given; repeated rows are separate documents; null text and null ids are mixed like any
@@ -157,7 +158,8 @@ def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temp
     release and deadline (in slots), one row for each time that a document is read."""
     spark, names = docs.sparkSession, docs.columns
     source = F.col("source")
-    per_task = cut_lineage(_numbered(docs.select("source")).groupBy("__task", "source").agg(F.count("*").alias("n")))
+    numbered = cut_lineage(_numbered(docs))
+    per_task = cut_lineage(numbered.groupBy("__task", "source").agg(F.count("*").alias("n")))
     sizes = {r.source: r.n for r in per_task.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     if not sizes:
         extra = "cast(null as int) epoch, 0L block, 0L position, 0L slot, 0L release, 0L deadline"
@@ -181,7 +183,7 @@ def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temp
     offsets = per_task.select(F.col("source").alias("s"), F.col("__task").alias("__of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))
     # written first, so that Spark knows its size when it chooses between broadcast and shuffle
     offsets = cut_lineage(offsets)
-    rows = _numbered(docs).join(offsets, source.eqNullSafe(F.col("s")) & (F.col("__task") == F.col("__of"))).drop("s", "__of", "__task")
+    rows = numbered.join(offsets, source.eqNullSafe(F.col("s")) & (F.col("__task") == F.col("__of"))).drop("s", "__of", "__task")
     rows = rows.join(F.broadcast(per_source), source.eqNullSafe(F.col("s"))).drop("s").withColumn("__i", F.col("__off") + F.col("__row"))
     # a source is read again while its blocks, counted on, still fall before the end
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("__last") - 1) / F.col("__blocks")).cast("int"))))
@@ -196,7 +198,8 @@ def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temp
             at = {p: find(*p) for p in sorted(set(pairs), key=lambda p: p[::-1])}
             yield pd.DataFrame([at[p] for p in pairs], columns=["slot", "release", "deadline"], dtype="int64")
 
-    rows = rows.withColumn("__at", slot_of("__id", "__b"))
+    # declared so, it is not run once more for the limit on the slot below
+    rows = rows.withColumn("__at", slot_of.asNondeterministic()("__id", "__b"))
     out = rows.select(*[F.col(f"`{c}`") for c in names], "epoch", F.col("__b").cast("long").alias("block"),
                       (F.col("__i") % block).cast("long").alias("position"), "__at.slot", "__at.release", "__at.deadline")
     return out.where(F.col("slot") <= end)

@@ -114,3 +114,19 @@ def test_shares_of_a_long_mix(spark):
     n, slots = Counter(x.source for x in out), max(x.slot for x in out) + 1
     assert len(out) == slots and abs(n["b"] - slots * 0.001) < 3
     assert len({x.doc_id for x in out if x.epoch == 0}) == 4010
+
+
+def test_input_read_again_in_other_tasks(spark, tmp_dir):
+    """The partitions of the input's scan change between the call and the action, as when executors are lost."""
+    spark.range(4000).selectExpr("id doc_id", "if(id % 3 = 0, 'a', 'b') source").repartition(8).write.parquet(f"{tmp_dir}/documents")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "2k")
+        out = mixing.place(spark.read.parquet(f"{tmp_dir}/documents"), {"a": 1, "b": 2}, block=8)
+        spark.conf.set(key, "128m")
+        got = out.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {x.doc_id for x in got if x.epoch == 0} == set(range(4000))
+    assert len({(x.slot, x.position) for x in got}) == len(got)
