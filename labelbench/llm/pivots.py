@@ -3,8 +3,10 @@
 *Index.*  Up to 64 pivots are picked from a bounded sample, each as far as possible from those before
 it.  A vector is described by its ``nearest`` pivots in order; every choice of ``shared`` of
 them is an inverted list, and the vectors of one list have at least that many pivots in common.  All
-vectors are indexed; only the pivots come from a sample.  Recall is measured against brute force in
-``tests/llm/test_pivots.py``.
+vectors are indexed; only the pivots come from a sample.  Recall depends on how the vectors lie (those
+that share a mean direction need more lists), so it is measured on the sample, against all its links and
+against planted pairs close above the threshold, and ``nearest`` grows until it reaches ``RECALL``; where
+``WIDEST`` falls short, the vectors of that length are all compared.
 
 *Verification.*  The members of a list meet in cells of at most about ``cell`` x ``cell`` vectors, so a
 list of any size is spread over tasks and no task holds more than two cell sides.  A pair that shares
@@ -32,6 +34,8 @@ from .tables import batch, cut_lineage
 
 #: Pivots, the sample they are picked from, nearest pivots of a vector, and those that a list stands for.
 PIVOTS, SAMPLE, NEAREST, SHARED = 64, 2048, 5, 3
+#: Recall that the index must reach on the sample, the most nearest pivots, and links of the sample that count as enough.
+RECALL, WIDEST, ENOUGH = 0.92, 12, 100
 CELL = 1024
 
 _KEYS = pa.schema([("rep", pa.int64()), ("label", pa.string()), ("mask", pa.int64()), ("key", pa.int64())])
@@ -74,6 +78,32 @@ def masks(x: np.ndarray, pivots: np.ndarray | None, nearest: int = NEAREST) -> n
     return np.bitwise_or.reduce(np.uint64(1) << near.astype(np.uint64), axis=1)
 
 
+def planted(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of ``x``, and for each one another with a cosine from ``least`` to half way to 1."""
+    r = np.random.default_rng(0)
+    x = np.tile(x, (-(-SAMPLE // len(x)), 1))[:max(SAMPLE, len(x))]
+    away = r.normal(size=x.shape)
+    away = _unit(away - (away * x).sum(axis=1, keepdims=True) * x)
+    cos = r.uniform(least, (least + 1) / 2, (len(x), 1))
+    return x, cos * x + np.sqrt(np.maximum(1 - cos * cos, 0)) * away
+
+
+def widen(x: np.ndarray, pivots: np.ndarray, least: float, nearest: int = NEAREST, shared: int = SHARED) -> int | None:
+    """The smallest number of nearest pivots, from ``nearest`` on, whose lists reach the recall on unit vectors ``x``."""
+    if x.shape[1] < 2 or len(pivots) <= nearest:
+        return nearest  # all vectors have the same pivots
+    a, b = planted(x, least)
+    linked = np.triu(x @ x.T >= least, 1)
+    for n in range(nearest, min(max(WIDEST, nearest), len(pivots)) + 1):
+        recall = (np.bitwise_count(masks(a, pivots, n) & masks(b, pivots, n)) >= shared).mean()
+        if recall >= RECALL and linked.sum() >= ENOUGH:
+            own = masks(x, pivots, n)
+            recall = (np.bitwise_count(own[:, None] & own) >= shared)[linked].mean()
+        if recall >= RECALL:
+            return n
+    return None
+
+
 def lists(mask: int, shared: int = SHARED) -> list[int]:
     """The inverted lists of a vector: every choice of ``shared`` of its pivots."""
     bits = [1 << k for k in range(64) if mask >> k & 1]
@@ -147,13 +177,19 @@ def _cells(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, links long")
 
 
-def _pivots(classes: DataFrame) -> dict:
-    """{length of the vectors: pivots}, from the vectors with the smallest hashes of their ids."""
+def _pivots(classes: DataFrame, least: float, nearest: int, shared: int) -> dict:
+    """{length of the vectors: (pivots, number of nearest ones)}, from the vectors with the smallest hashes of their ids."""
     sample = classes.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
     by: dict = {}
     for r in sample:
         by.setdefault(len(r.embedding), []).append(r.embedding)
-    return {n: farthest_first(_unit(np.array(v, np.float64)), PIVOTS) for n, v in by.items()}
+    out = {}
+    for n, v in by.items():
+        x = _unit(np.array(v, np.float64))
+        p = farthest_first(x, PIVOTS)
+        wide = widen(x, p, least, nearest, shared)
+        out[n] = (p, wide) if wide else (None, nearest)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, nearest: int = NEAREST, shared: int = SHARED, cell: int = CELL) -> DataFrame:
@@ -166,14 +202,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, nearest: int = NEAR
     members = cut_lineage(one.select("vec_id", "v.label", "v.embedding"))
     classes = members.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
     classes = cut_lineage(classes.withColumn("dim", F.size("embedding")))
-    pivots = classes.sparkSession.sparkContext.broadcast(_pivots(classes))  # 64 vectors for each length in the sample
+    pivots = classes.sparkSession.sparkContext.broadcast(_pivots(classes, least, nearest, shared))  # 64 vectors for each length in the sample
 
     def index(batches):
         for rows in batches:
             out = []
             reps, labels = rows.column("rep").to_pylist(), rows.column("label").to_pylist()
             for where, x in _by_length(rows.column("embedding")):
-                found = masks(_unit(x), pivots.value.get(x.shape[1]), nearest)
+                found = masks(_unit(x), *pivots.value.get(x.shape[1], (None, nearest)))
                 for i, m in zip(where.tolist(), found.tolist()):
                     signed = m - (1 << 64) if m >> 63 else m
                     out += [(reps[i], labels[i], signed, k - (1 << 64) if k >> 63 else k) for k in lists(m, shared)]

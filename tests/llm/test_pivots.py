@@ -84,3 +84,19 @@ def test_recall_close_to_the_threshold():
     p = pivots.farthest_first(x[:2048], pivots.PIVOTS)
     both = pivots.masks(x, p) & pivots.masks(y, p)
     assert (np.bitwise_count(both) >= pivots.SHARED).mean() >= 0.9
+
+
+def test_recall_on_planted_links_with_a_common_direction(spark, shared_cos=0.7):
+    """Unrelated vectors have a cosine of 0.7, planted links one from 0.93 to 0.96."""
+    r = np.random.default_rng(7)
+    mean = np.eye(64)[0]
+    x = pivots._unit(np.sqrt(shared_cos) * mean + np.sqrt(1 - shared_cos) * pivots._unit(r.normal(size=(1000, 64))))
+    away = r.normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    cos = r.uniform(0.93, 0.96, (len(x), 1))
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * pivots._unit(away)])
+    linked = np.triu(both @ both.T >= 0.93, 1)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    out = pivots.near_duplicates(df).collect()
+    assert linked.sum() >= 1000
+    assert 0.9 * 2 * linked.sum() <= sum(x.n_links for x in out) <= 2 * linked.sum()
