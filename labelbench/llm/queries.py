@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import compression, langid, licenses, mixing, packing, pivots, rans, simhash, substrings, toxicity
+from . import bytebpe, compression, gnat, langid, licenses, mixing, packing, pivots, rans, ranked, simhash, substrings, toxicity
 from .tables import read
 
 
@@ -52,6 +52,18 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(_docs(spark, sf_dir))
 
 
+def op11_search(spark, sf_dir):
+    return ranked.search(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_bytes(spark, sf_dir):
+    return bytebpe.report(_docs(spark, sf_dir))
+
+
+def op13_codes(spark, sf_dir):
+    return gnat.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_simhash_near_dedup": (op1_simhash, None),
@@ -64,6 +76,9 @@ QUERIES = {
     "op8_compression_quality": (op8_quality, None),
     "op9_best_fit_packing": (op9_pack, None),
     "op10_license_scan": (op10_licenses, None),
+    "op11_ranked_search": (op11_search, ranked.search_sql()),
+    "op12_byte_bpe": (op12_bytes, None),
+    "op13_gnat_codes": (op13_codes, gnat.compress_sql()),
 }
 
 
