@@ -6,7 +6,7 @@ way to build a token from two others is a merge, in the order of the token's ran
 
 *Encoding.*  Each Arrow batch is split by the pattern (the ``regex`` package, whose character classes are those
 of the rank file's own library; the ``tokenizers`` library's engine has an older Unicode), and its distinct
-pieces that are not in the bounded memo go to the library in one batch.  Merges of one token are of equal rank,
+pieces that are not in the bounded memo go, shown as characters, to the library's model.  Merges of one token are of equal rank,
 so the leftmost comes first; the library orders them by their place in the list.  That can differ only where a token of three
 bytes or more may stand twice in a piece, so the pieces that repeat three bytes are merged once more by rank.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import codecs
 import heapq
+import itertools
 import os
 
 import numpy as np
@@ -39,7 +40,7 @@ from .tables import id_and_text, rows_of
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of the texts that are split at a time, ids that are decoded at a time, characters of all pieces in the memo,
 #: and ids of a slice of one text.
-GROUP_CHARS, GROUP_IDS, MEMO_CHARS, SLICE = 2_000_000, 500_000, 8_000_000, 65_536
+GROUP_CHARS, GROUP_IDS, MEMO_CHARS, SLICE = 1_000_000, 500_000, 4_000_000, 65_536
 
 ENCODED = "doc_id long, ids array<int>, starts array<int>"
 
@@ -92,13 +93,24 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i:ends[i]]] for i in range(n) if alive[i]]
 
 
+def _repeats(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For pieces that stand in ``data`` one behind the other: does a sequence of three bytes come twice?"""
+    piece = np.repeat(np.arange(len(sizes)), sizes)
+    wide = data.astype(np.int64)
+    three = (piece[:-2] << 24 | wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:])[piece[:-2] == piece[2:]]
+    three.sort()
+    out = np.zeros(len(sizes), bool)
+    out[three[1:][np.diff(three) == 0] >> 24] = True
+    return out
+
+
 class Codec:
     """The library's tokenizer for a rank file, and the bytes of its tokens."""
 
     def __init__(self, path: str, pattern: str | None = None, memo_chars: int = MEMO_CHARS):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.ranks, shown = read_ranks(path), byte_table()
@@ -107,46 +119,59 @@ class Codec:
                   for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         vocabulary = {show(t): rank for t, rank in self.ranks.items()}
         self.library = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, ignore_merges=True))
-        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern or public_tokenizers.PATTERN).findall
         byte_of = {c: b for b, c in enumerate(shown)}
         self.bytes_of = {i: bytes(map(byte_of.__getitem__, token)) for token, i in self.library.get_vocab().items()}
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-        self.kept, self.most = 0, memo_chars
+        self.sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.sizes[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
+        self.show = {b: c for b, c in enumerate(shown) if chr(b) != c}
+        self.most = memo_chars
+        self._forget()
+
+    def _forget(self) -> None:
+        """The memo is empty: the number of each piece, and by it where its ids lie, how many, and its characters."""
+        self.memo: dict[str, int] = {}
+        self.begin, self.counts, self.chars, self.ids, self.starts = (np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.int32))
 
     def learn(self, pieces: set[str]) -> None:
-        """Ids and starts of new pieces, as int32 bytes, into the memo."""
-        if self.kept > self.most:
-            self.memo, self.kept = {}, 0
+        """Ids and starts of new pieces into the memo."""
+        if self.chars.sum() > self.most:
+            self._forget()
         new = [p for p in pieces if p not in self.memo]
-        for piece, found in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            ids, starts = found.ids, [s for s, _ in found.offsets]
-            data = piece.encode()
-            if len(data) > 3 and len({data[k:k + 3] for k in range(len(data) - 2)}) < len(data) - 2:
-                exact = merge_by_rank(data, self.ranks)
-                if exact != ids:
-                    ids, starts = exact, self._starts(data, exact)
-            self.memo[piece] = np.array(ids, "<i4").tobytes(), np.array(starts, "<i4").tobytes()
-            self.kept += len(piece)
-
-    def _starts(self, data: bytes, ids: list[int]) -> list[int]:
-        first = np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80) - 1
-        sizes = np.array([len(self.bytes_of[i]) for i in ids])
-        return first[np.cumsum(sizes) - sizes].tolist()
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, starts) of each text."""
+        if not new:
+            return
+        data = "".join(new).encode()
+        chars = np.fromiter(map(len, new), np.int64, len(new))
+        raw = np.frombuffer(data, np.uint8)
+        first = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # the byte at which each character begins
+        ends = first[np.cumsum(chars)]
+        begins = np.append(0, ends[:-1])
+        shown, tokenize = data.decode("latin-1").translate(self.show), self.library.model.tokenize
+        lists = [[t.id for t in tokenize(shown[a:b])] for a, b in zip(begins.tolist(), ends.tolist())]
+        for k in np.flatnonzero(_repeats(raw, ends - begins)).tolist():
+            lists[k] = merge_by_rank(data[begins[k]:ends[k]], self.ranks)
+        # a token begins where those before it end; places in bytes become places in characters
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.int32, counts.sum())
+        size, char = self.sizes[ids], np.cumsum(raw & 0xC0 != 0x80) - 1
+        starts = char[np.cumsum(size) - size] - np.repeat(char[begins], counts)
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+        self.begin = np.append(self.begin, np.cumsum(counts) - counts + len(self.ids))
+        self.counts, self.chars = np.append(self.counts, counts), np.append(self.chars, chars)
+        self.ids, self.starts = np.append(self.ids, ids), np.append(self.starts, starts.astype(np.int32))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and starts of the texts one behind the other, and where each text's begin and the last one's end."""
         split = [self.split(t) for t in texts]
-        self.learn(set().union(*split))
-        out = []
-        for pieces in split:
-            found = [self.memo[p] for p in pieces]
-            ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
-            starts = np.frombuffer(b"".join([f[1] for f in found]), "<i4")
-            counts = np.fromiter((len(f[0]) >> 2 for f in found), np.int64, len(found))
-            chars = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            out.append((ids, (starts + np.repeat(np.cumsum(chars) - chars, counts)).astype("<i4")))
-        return out
+        pieces = list(itertools.chain.from_iterable(split))
+        self.learn(set(pieces))
+        slots = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+        counts, chars = self.counts[slots], np.cumsum(np.append(0, self.chars[slots]))
+        upto = np.cumsum(np.append(0, counts))
+        at = np.arange(upto[-1]) + np.repeat(self.begin[slots] - upto[:-1], counts)
+        ends = np.cumsum([0, *map(len, split)])  # of the texts, in pieces
+        before = np.repeat(chars[ends[:-1]], np.diff(ends))  # characters of the texts before a piece's own
+        return self.ids[at], self.starts[at] + np.repeat(chars[:-1] - before, counts).astype(np.int32), upto[ends]
 
     def data(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -181,11 +206,6 @@ def _groups(pairs, most: int):
         yield group
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(np.int32), pa.int32()))
-
-
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids, starts: the ids of each whole text, and the character in which each begins."""
     path = ranks or ranks_path()
@@ -194,9 +214,10 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
         own = codec(path, pattern)
         for rows in batches:
             for group in _groups(rows_of(rows, "doc_id", "text"), GROUP_CHARS):
-                found = own.encode([t for _, t in group])
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), _lists([f[0] for f in found]),
-                                                  _lists([f[1] for f in found])], names=["doc_id", "ids", "starts"])
+                ids, starts, ends = own.encode([t for _, t in group])
+                ends = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in group], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(ids)),
+                                                  pa.ListArray.from_arrays(ends, pa.array(starts))], names=["doc_id", "ids", "starts"])
 
     return id_and_text(docs).mapInArrow(run, ENCODED)
 
@@ -217,7 +238,9 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str | None = None, patte
             start = 0
             while start < len(column):
                 end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + GROUP_IDS, "right")))
-                lists = [v or [] for v in column.slice(start, end - start).to_pylist()]
+                part = column.slice(start, end - start)
+                flat, at = part.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.fill_null(pc.list_value_length(part), 0).to_pylist()])
+                lists = [flat[a:b].tolist() for a, b in zip(at, at[1:])]
                 made = [pa.array(map(own.data, lists), pa.binary())] + ([pa.array(map(own.text, lists), pa.string())] if text else [])
                 yield pa.RecordBatch.from_arrays([c.slice(start, end - start) for c in others] + made, names=names)
                 start = end

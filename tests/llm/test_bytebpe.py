@@ -24,7 +24,8 @@ def sha(data):
 
 
 def check(text):
-    (ids, starts), = CODEC.encode([text])
+    ids, starts, ends = CODEC.encode([text])
+    assert ends.tolist() == [0, len(ids)]
     want = TRUTH.encode_ordinary(text)
     assert ids.tolist() == want, repr(text)
     first = [k for k, c in enumerate(text) for _ in c.encode()]
@@ -49,6 +50,13 @@ def test_random_texts(text):
     check(text)
 
 
+def test_several_texts():
+    ids, starts, ends = CODEC.encode(CASES)
+    for k, text in enumerate(CASES):
+        own = CODEC.encode([text])
+        assert ids[ends[k]:ends[k + 1]].tolist() == own[0].tolist() and starts[ends[k]:ends[k + 1]].tolist() == own[1].tolist()
+
+
 def test_merge_by_rank():
     r = random.Random(3)
     tokens = list(CODEC.ranks)
