@@ -1,19 +1,32 @@
 """Dataset splits.
 
 Seeded "shuffles" are md5 keys: ``md5(concat_ws('|', seed, id))`` orders the
-rows of a class the same way on any partitioning, in Spark and in SQL.  Ranks
-inside classes use the two-phase rank (operators.rank), so a class holding a
-third of all rows is still spread over thousands of tasks.
+rows of a class the same way on any partitioning, in Spark and in SQL.
+
+The stratified splits (W2, W5, J2) select instead of ranking: a class is cut at the row whose rank
+is its quota, so only that row's (key, id) is needed.  Counts per (class, first digits of the
+key) tell where it stands, digit by digit, the few rows that are left are ranked, and
+the rows themselves are compared with their class's border where they are: no row with its
+text is shuffled.  Batches (W6, W7) need every rank; those use the two-phase rank (operators.rank),
+so a class holding a third of all rows is still spread over thousands of tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rank import hex_bucket, null_safe_keys, two_phase_row_number, with_keys
 
 
+#: Classes up to which a split's counts come to the driver (256 for each) and its borders are broadcast; digits that a
+#: count looks at; rows with equal digits up to which they are ranked.
+MOST_CLASSES, DIGITS, RANKED_ROWS = 1000, 2, 1_000_000
+
+
 def seeded_key(seed, id_col: str, *salt) -> Column:
     """md5 hex of ``seed|[salt|]id``: the membership order of every seeded split."""
     parts = [F.lit(str(seed)), *[F.lit(str(s)) for s in salt], F.col(id_col).cast("string")]
@@ -40,36 +53,32 @@ def _largest_remainder(counts: DataFrame, label_col: str, cnt_col: str, n_draws:
             .drop("__fl", "__rem", "__need", "__r"))
 
 
-def _guard(q: DataFrame, label_col: str, n_col: str, side_a: str, side_b: str, out: str, what: str) -> Column:
-    """The split's error checks, folded into the quota column (so the plan can
-    never prune them): a class with fewer than 2 rows, or a side smaller than
-    the number of classes."""
-    return (F.when(F.col(n_col) < 2, F.raise_error(F.lit(f"stratified split: a class has fewer than 2 rows{what}")))
-            .when(F.col(side_a) < F.col("n_classes"),
-                  F.raise_error(F.lit(f"stratified split: {side_a[2:]} side smaller than the number of classes")))
-            .when(F.col(side_b) < F.col("n_classes"),
-                  F.raise_error(F.lit(f"stratified split: {side_b[2:]} side smaller than the number of classes")))
-            .otherwise(F.col(out)).cast("long"))
+def _problem(label_n: str, side_a: str, side_b: str, what: str) -> Column:
+    """What forbids the split, or NULL: a class with fewer than 2 rows, or a side smaller than the number of classes."""
+    few = F.lit(f"stratified split: a class has fewer than 2 rows{what}")
+    small = [F.lit(f"stratified split: {side[2:]} side smaller than the number of classes") for side in (side_a, side_b)]
+    return (F.when(F.col(label_n) < 2, few).when(F.col(side_a) < F.col("n_classes"), small[0])
+            .when(F.col(side_b) < F.col("n_classes"), small[1]))
 
 
 def _quota_stage(class_counts: DataFrame, label_col: str, n_col: str, test_size: float,
                  first: str, out: str, what: str = "") -> DataFrame:
     """Quota of the first side (``out``) per class for one stratified cut of
-    ``class_counts(label, n_col)`` (rule 2.12.2)."""
+    ``class_counts(label, n_col)`` (rule 2.12.2), and the first ``problem`` so far."""
     every = Window.partitionBy()  # class table only: one row per label
     c = (class_counts.withColumn("n_all", F.sum(n_col).over(every))
          .withColumn("n_classes", F.count(F.lit(1)).over(every))
          .withColumn("n_second", F.ceil(F.lit(float(test_size)) * F.col("n_all")).cast("long"))
          .withColumn(f"n_{first}", F.col("n_all") - F.col("n_second")))
     q = _largest_remainder(c, label_col, n_col, F.col(f"n_{first}"), F.col("n_all"), out)
-    q = q.withColumn(out, _guard(q, label_col, n_col, f"n_{first}", "n_second", out, what))
+    earlier = [F.col("problem")] if "problem" in class_counts.columns else []
+    q = q.withColumn("problem", F.coalesce(*earlier, _problem(n_col, f"n_{first}", "n_second", what)))
     return q.drop("n_all", "n_classes", "n_second", f"n_{first}")
 
 
-def class_quotas(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
-    """Per-class train quota of a stratified split of ``df``."""
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
-    return _quota_stage(counts, label_col, "n_class", test_size, "train", "q_train")
+def _checked(side: Column, problem: Column) -> Column:
+    """The side, or the problem as an error; it sits in the column that is read, so it cannot be pruned from it."""
+    return F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(side)
 
 
 def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int, quota_fn):
@@ -101,40 +110,139 @@ def _ranked(df: DataFrame, label_col: str, id_col: str, seed, bucket_digits: int
             .drop("__key", "__bucket", "__off", "__rn_local", *names))
 
 
+def quotas(counts: dict, test_size: float, first: str, what: str = "") -> tuple[dict, dict]:
+    """The rule of ``_quota_stage`` for class counts on the driver: ({class: quota}, {class: problem or None})."""
+    total = sum(counts.values())
+    second = math.ceil(float(test_size) * total)
+    draws = total - second
+    quota = {k: n * draws // total for k, n in counts.items()}
+    order = sorted(counts, key=lambda k: (-(counts[k] * draws % total), k is not None, k))
+    for k in order[:draws - sum(quota.values())]:
+        quota[k] += 1
+    side = next((f"stratified split: {name} side smaller than the number of classes" for name, n in ((first, draws), ("second", second)) if n < len(counts)), None)
+    return quota, {k: f"stratified split: a class has fewer than 2 rows{what}" if n < 2 else side for k, n in counts.items()}
+
+
+def _borders(df: DataFrame, label_col: str, id_col: str, seed, cuts_of, most: int, ranked_rows: int):
+    """The (key, id) of the last row before each cut of each class, as rows (label, problem, border of cut 0, of cut 1, ...); a
+    border is NULL where the cut is at 0.  None if there are more than ``most`` classes, or if rows that share
+    their id stand on both sides of a cut, which no comparison can tell apart.
+
+    Selection by digits, over the label and id columns alone: counts by the first digits of the key tell in which of them a cut
+    lies; those are counted by their next digits, until one holds at most ``ranked_rows`` rows.  These are
+    ranked, and the border and the row behind it come back."""
+    keys = null_safe_keys(df, [label_col])
+    names = [k for k, _ in keys]
+    keyed = df.select(label_col, id_col, seeded_key(seed, id_col).alias("__key"))
+    by = keyed.groupBy(label_col, hex_bucket("__key", DIGITS).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    found: dict = {}
+    for r in by.limit(most * 16 ** DIGITS + 1).collect():
+        found.setdefault(r[0], []).append((r["at"], r.n))
+    if len(found) > most:
+        return None
+    problems, cuts = cuts_of({label: sum(n for _, n in own) for label, own in found.items()})
+    border: dict = {(label, i): None for label, at in cuts.items() for i in range(len(at))}
+    open_ = {(label, i): (c, found[label]) for label, at in cuts.items() for i, c in enumerate(at) if c > 0}
+    length = 0
+    while open_:
+        length += DIGITS
+        inside = []  # (class, cut, digits, rows before the cut in them, their rows)
+        for (label, i), (need, own) in open_.items():
+            for digits, n in sorted(own):
+                if need <= n:
+                    break
+                need -= n
+            if need == n:
+                border[label, i] = digits + "~", None  # behind every key with these digits
+            else:
+                inside.append((label, i, digits, need, n))
+        if not inside:
+            break
+        if length + DIGITS > 32:
+            return None
+        schema = T.StructType([T.StructField(label_col, df.schema[label_col].dataType), T.StructField("cut", T.IntegerType()),
+                               T.StructField("at", T.StringType()), T.StructField("need", T.LongType()), T.StructField("n", T.LongType())])
+        wanted = with_keys(df.sparkSession.createDataFrame(inside, schema), keys).select(*names, "cut", "at", "need")
+        rows = with_keys(keyed, keys).withColumn("at", hex_bucket("__key", length)).join(F.broadcast(wanted), [*names, "at"])
+        if max(x[4] for x in inside) <= ranked_rows:
+            rank = F.row_number().over(Window.partitionBy(*names, "cut").orderBy("__key", id_col))
+            ends = rows.withColumn("rank", rank - F.col("need")).where("rank = 0 or rank = 1")
+            last: dict = {}
+            for r in ends.select(label_col, "cut", "rank", "__key", id_col).collect():
+                last.setdefault((r[0], r.cut), {})[r["rank"]] = r["__key"], r[4]
+            if any(v[0] == v[1] for v in last.values()):
+                return None
+            border |= {k: v[0] for k, v in last.items()}
+            break
+        deeper: dict = {}
+        for r in rows.groupBy(label_col, "cut", hex_bucket("__key", length + DIGITS).alias("next")).agg(F.count(F.lit(1)).alias("n")).collect():
+            deeper.setdefault((r[0], r.cut), []).append((r.next, r.n))
+        open_ = {(label, i): (need, deeper[label, i]) for label, i, _, need, _ in inside}
+    return [(label, problems[label], *[border[label, i] for i in range(len(at))]) for label, at in cuts.items()]
+
+
+def _divide(df: DataFrame, label_col: str, id_col: str, seed, cuts_of, quota_fn, ranked_cuts: list[Column], names, out: str, bucket_digits: int,
+            most: int, ranked_rows: int) -> DataFrame:
+    """Adds ``out``: ``names[i]`` for the rows before cut i of their class (and not before an earlier one), the last name behind all."""
+    borders = _borders(df, label_col, id_col, seed, cuts_of, most, ranked_rows)
+    if borders is None:
+        ranked = _ranked(df, label_col, id_col, seed, bucket_digits, quota_fn)
+        side = F.lit(names[-1])
+        for c, name in reversed(list(zip(ranked_cuts, names))):
+            side = F.when(F.col("__rn") <= c, F.lit(name)).otherwise(side)
+        return ranked.withColumn(out, _checked(side, F.col("problem"))).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
+    key = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", df.schema[id_col].dataType)])
+    schema = T.StructType([T.StructField(label_col, df.schema[label_col].dataType), T.StructField("__problem", T.StringType()), *[T.StructField(f"__t{i}", key) for i in range(len(names) - 1)]])
+    keys = null_safe_keys(df, [label_col])
+    table = with_keys(df.sparkSession.createDataFrame(borders, schema), keys).drop(label_col)
+    joined = with_keys(df, keys).join(F.broadcast(table), [k for k, _ in keys])  # one row for each class, at most ``most``
+    own, side = F.struct(seeded_key(seed, id_col).alias("key"), F.col(id_col).alias("id")), F.lit(names[-1])
+    for i, name in reversed(list(enumerate(names[:-1]))):
+        side = F.when(F.coalesce(own <= F.col(f"__t{i}"), F.lit(False)), F.lit(name)).otherwise(side)
+    return joined.withColumn(out, _checked(side, F.col("__problem"))).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
+
+
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float,
                      seed: int = 42, names=("train", "test"), out: str = "split",
-                     bucket_digits: int = 4) -> DataFrame:
-    """Exact per-class quotas, seeded membership; adds column ``out``."""
-    def quotas(cw):
+                     bucket_digits: int = 4, most_classes: int = MOST_CLASSES, ranked_rows: int = RANKED_ROWS) -> DataFrame:
+    """Exact per-class quotas, seeded membership; adds column ``out``.
+
+    The borders are found when this is called (a job or two over the label and id columns); a class that cannot
+    be split is an error when the sides are read.  With more than ``most_classes`` classes, too many to
+    broadcast, all rows are ranked, in buckets of ``bucket_digits`` digits."""
+    def cuts_of(counts):
+        quota, problems = quotas(counts, test_size, "train")
+        return problems, {k: [q] for k, q in quota.items()}
+
+    def by_table(cw):
         return _quota_stage(cw, label_col, "n_class", test_size, "train", "q_train")
-    r = _ranked(df, label_col, id_col, seed, bucket_digits, quotas)
-    return (r.withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit(names[0]))
-                         .otherwise(F.lit(names[1])))
-            .drop("__rn", "q_train"))
+
+    return _divide(df, label_col, id_col, seed, cuts_of, by_table, [F.col("q_train")], names, out, bucket_digits, most_classes, ranked_rows)
 
 
 def three_way_split(df: DataFrame, label_col: str, id_col: str, ratio_train: float = 0.8,
                     ratio_valid: float = 0.1, ratio_test: float = 0.1, seed: int = 42,
-                    out: str = "split", bucket_digits: int = 4) -> DataFrame:
+                    out: str = "split", bucket_digits: int = 4, most_classes: int = MOST_CLASSES, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Train vs rest (test_size = 1 - ratio_train), then rest into valid/test
     (test_size = ratio_test / (ratio_test + ratio_valid)), both stratified.
 
-    One class table and one ranking serve both stages: the rest of a class is
-    its rows ranked after the train quota, in the same key order.
-    """
+    One class table serves both stages: the rest of a class is its rows behind the train quota, in the
+    same key order, so a class has two borders."""
     t1 = 1.0 - ratio_train
     t2 = ratio_test / (ratio_test + ratio_valid)
 
-    def quotas(cw):
+    def cuts_of(counts):
+        train, problems = quotas(counts, t1, "train")
+        valid, later = quotas({k: n - train[k] for k, n in counts.items()}, t2, "valid", " in the rest")
+        return {k: problems[k] or later[k] for k in counts}, {k: [train[k], train[k] + valid[k]] for k in counts}
+
+    def by_table(cw):
         q1 = _quota_stage(cw, label_col, "n_class", t1, "train", "q_train")
         rest = q1.withColumn("n_rest", F.col("n_class") - F.col("q_train"))
         return _quota_stage(rest, label_col, "n_rest", t2, "valid", "q_valid", " in the rest").drop("n_rest")
 
-    r = _ranked(df, label_col, id_col, seed, bucket_digits, quotas)
-    return (r.withColumn(out, F.when(F.col("__rn") <= F.col("q_train"), F.lit("train"))
-                         .when(F.col("__rn") <= F.col("q_train") + F.col("q_valid"), F.lit("valid"))
-                         .otherwise(F.lit("test")))
-            .drop("__rn", "q_train", "q_valid"))
+    ranked_cuts = [F.col("q_train"), F.col("q_train") + F.col("q_valid")]
+    return _divide(df, label_col, id_col, seed, cuts_of, by_table, ranked_cuts, ("train", "valid", "test"), out, bucket_digits, most_classes, ranked_rows)
 
 
 def positional_clusters(df: DataFrame, ord_col: str = "ord", n: int | None = None,
@@ -157,14 +265,12 @@ def zip_by_position(a: DataFrame, b: DataFrame, pos_col: str = "ord") -> DataFra
 
 def cluster_split(df: DataFrame, label_col: str, id_col: str, ord_col: str = "ord", ratio_train: float = 0.9,
                   seed: int = 42, n: int | None = None, out: str = "split") -> DataFrame:
-    """W3 + W2 + J2: positional clusters 0-2 form the pool, split stratified into
-    train / valid (test_size = 1 - ratio_train) and assigned by id; clusters
-    3-4 are the test split."""
+    """W3 + W2 (J2): positional clusters 0-2 form the pool, split stratified into
+    train / valid (test_size = 1 - ratio_train); clusters 3-4 are the test split.  A row's side follows from its
+    own id, as if it were looked up in the train ids."""
     c = positional_clusters(df, ord_col, n)
     pool = c.where(F.col("part") == "pool").drop("part", "cluster")
-    chosen = stratified_split(pool, label_col, id_col, 1.0 - ratio_train, seed)
-    train_ids = chosen.where(F.col("split") == "train").select(id_col)
-    labelled = split_by_id(pool, train_ids, id_col, out)
+    labelled = stratified_split(pool, label_col, id_col, 1.0 - ratio_train, seed, ("train", "valid"), out)
     test = c.where(F.col("part") == "test").drop("part", "cluster").withColumn(out, F.lit("test"))
     return labelled.unionByName(test)
 

@@ -17,12 +17,20 @@ def test_text_functions_stay_in_the_jvm(spark):
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p
 
 
-def test_split_windows_are_partitioned(spark):
-    df = SP.three_way_split(labelled_quality(spark, SF01), "label", "ord")
-    plan = df._jdf.queryExecution().executedPlan()
-    text = plan.toString()
+def test_split_does_not_move_rows(spark):
+    """The rows of a split stay where they are: a scan, a broadcast of one row for each class, and a comparison."""
+    docs = labelled_text(spark, SF01).drop("split")
+    for df in (SP.three_way_split(docs, "label", "ord"), SP.stratified_split(docs, "label", "ord", 0.1)):
+        df.collect()
+        text = _plan(df)  # the final adaptive plan
+        assert "src" in text and "Window" not in text
+        assert [x for x in text.splitlines() if "Exchange" in x and "BroadcastExchange" not in x] == []
+
+
+def test_split_beyond_the_broadcast_bound_ranks_per_bucket(spark):
+    df = SP.three_way_split(labelled_quality(spark, SF01), "label", "ord", most_classes=1, ranked_rows=10)
+    text = _plan(df)
     # the example-level row_number runs per (label, bucket), never in one global partition
-    assert "__bucket" in text
     seen = 0
     for line in text.splitlines():
         if "row_number()" in line and "__rn_local" in line:

@@ -44,6 +44,41 @@ def test_split_stable_under_repartition(spark):
         assert got == ref
 
 
+def _ranked_reference(df, cuts, seed):
+    """Splits by a plain window rank; ``cuts``: label -> (rows of train, rows up to valid)."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(SP.seeded_key(seed, "id"), "id"))
+    return sorted(((r.id, "train" if r.rn <= cuts[r.label][0] else "valid" if r.rn <= cuts[r.label][1] else "test")
+                   for r in df.withColumn("rn", rank).collect()), key=repr)
+
+
+@pytest.mark.parametrize("ranked_rows", [0, 3, 10**6])
+def test_borders_equal_a_full_ranking(spark, ranked_rows):
+    """However deep the digits are counted before rows are ranked, NULL labels and ids included."""
+    rows = [(i, "a" if i % 3 else None if i % 2 else "b", "x") for i in range(700)] + [(None, "a", "x")]
+    df = spark.createDataFrame(rows, "id long, label string, src string").repartition(5)
+    counts = {r.label: r.n for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    order = lambda q: {k: q[k or ""] for k in counts}
+    train = order(_quota_py({k or "": v for k, v in counts.items()}, n - math.ceil((1.0 - 0.8) * n)))
+    rest = {k: counts[k] - train[k] for k in counts}
+    m = sum(rest.values())
+    valid = order(_quota_py({k or "": v for k, v in rest.items()}, m - math.ceil(0.5 * m)))
+    want = _ranked_reference(df, {k: (train[k], train[k] + valid[k]) for k in counts}, 9)
+    got = SP.three_way_split(df, "label", "id", seed=9, ranked_rows=ranked_rows)
+    full = SP.three_way_split(df, "label", "id", seed=9, most_classes=0)
+    assert got.columns == full.columns == ["id", "label", "src", "split"]
+    key = lambda r: (r.id is None, r.id or 0, r.split)
+    assert sorted(got.collect(), key=key) == sorted(full.collect(), key=key)
+    assert sorted(((r.id, r.split) for r in got.collect()), key=repr) == want
+
+
+def test_shared_ids_across_a_border_keep_the_quotas(spark):
+    df = spark.createDataFrame([(i // 40, "ab"[i % 2]) for i in range(400)], "id long, label string")
+    out = SP.stratified_split(df, "label", "id", 0.25)
+    got = {(r.label, r.split): r.n for r in out.groupBy("label", "split").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", "train"): 150, ("a", "test"): 50, ("b", "train"): 150, ("b", "test"): 50}
+
+
 def test_two_phase_rank_equals_single_window(spark):
     lt = labelled_text(spark, SF01).withColumn("k", SP.seeded_key(42, "ord"))
     a = two_phase_row_number(lt, ["label"], "k", hex_bucket("k", 2), out="rn")
