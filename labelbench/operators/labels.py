@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .rank import two_phase_row_number
+from ..session import cut_lineage
 
 # Error messages of the syntax-error dataset -> three classes.
 ERROR_LABELS = {
@@ -75,16 +75,27 @@ def label_decode(df: DataFrame, codes: DataFrame, code_col: str = "code", out: s
     return df.join(c, df[code_col] == c["__c"], "left").drop("__c")
 
 
-def vocabulary(texts: DataFrame, src_col: str = "src", first_id: int = 0, tokens_col: str | None = None) -> DataFrame:
-    """Distinct tokens with dense ids in sorted token order.
+def dense_ranks(values: DataFrame, col: str, out: str, first: int = 0) -> DataFrame:
+    """Distinct ``values`` with ``out`` = place in their sort order, counted from ``first``.
+
+    Range partitions come in the order of the values, so a value's place is its place in its
+    partition plus the rows of the partitions before, of which there is one count each.  Ranges are cut
+    by a sample of the values themselves, so long common beginnings make no partition larger.  The
+    sorted partitions are written once: counts and rows come from the same ones."""
+    place = F.monotonically_increasing_id()  # partition number, then row number, 33 bits
+    ranged = values.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    rows = cut_lineage(ranged.select(col, F.shiftright(place, 33).cast("int").alias("__part"), place.bitwiseAND((1 << 33) - 1).alias("__pos")))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return rows.join(offsets, "__part").select(col, (F.col("__off") + F.col("__pos") + first).alias(out))
 
-    Ids come from the two-phase rank (bucket = first four characters, which keep the sort
-    order), so the sort of the distinct tokens is spread over many tasks."""
+
+def vocabulary(texts: DataFrame, src_col: str = "src", first_id: int = 0, tokens_col: str | None = None) -> DataFrame:
+    """Distinct tokens with dense ids in sorted token order."""
     toks = F.col(tokens_col) if tokens_col else tokens(src_col)
-    words = texts.select(F.explode(toks).alias("token")).distinct()
-    ranked = two_phase_row_number(words.withColumn("__g", F.lit(0)), ["__g"], "token",
-                                  F.substring("token", 1, 4), out="__rn")
-    return ranked.select("token", (F.col("__rn") - 1 + first_id).cast("int").alias("id"))
+    words = texts.select(F.explode(toks).alias("token"))
+    return dense_ranks(words, "token", "id", first_id).select("token", F.col("id").cast("int").alias("id"))
 
 
 def encode_fixed_length(df: DataFrame, vocab: DataFrame, id_col: str, src_col: str = "src",

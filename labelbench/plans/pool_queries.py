@@ -10,7 +10,7 @@ from ..functions.vectors import layer_norm, vsum
 from ..operators import labels as L
 from ..operators import pooling as PO
 from ..operators import scoring as SC
-from ..session import table
+from ..session import cut_lineage, table
 from . import sqlparts as S
 from .fixtures import hidden_states, labelled_text, with_views
 
@@ -265,9 +265,10 @@ _reg("X10_label_decode", (_x10_decode, with_views(
 
 
 def _x11(spark, sf):
-    lt = labelled_text(spark, sf)
-    vocab = L.vocabulary(lt.where(F.col("split") == "train"), first_id=4)  # other words are unknown
-    enc = L.encode_fixed_length(lt, vocab, "ord", max_length=512)
+    # the words are written once: the vocabulary and the ids read them from there
+    lt = cut_lineage(labelled_text(spark, sf).select("ord", "split", X.tokens("src").alias("words")))
+    vocab = L.vocabulary(lt.where(F.col("split") == "train"), first_id=4, tokens_col="words")  # other words are unknown
+    enc = L.encode_fixed_length(lt, vocab, "ord", max_length=512, tokens_col="words")
     return enc.select("ord", F.array_join("input_ids", " ").alias("ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"))
 

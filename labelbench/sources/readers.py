@@ -5,8 +5,8 @@ positional clusters, "first k rows").  Spark rows have no order, so every
 reader returns an explicit ``ord`` column: the position inside its file, made
 dense across files in the order of the given paths, then of the file names.
 
-Line-oriented layouts are read with the splittable text and CSV sources.  A row's
-position inside its split comes from the order in which the scan brings it, the
+Line-oriented layouts are read with the splittable text and CSV sources, in one scan whose rows
+are written once.  A row's position inside its split comes from the order in which that scan brought it, the
 rows of the splits before it from one small count table per (file, split).
 Single-document layouts (a JSON array or object per file) are read with
 ``wholetext`` - one task per file, since such a file cannot be split anyway -
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import py_strip
 from ..operators.labels import map_labels, map_split_names
+from ..session import cut_lineage
 
 
 def list_files(spark: SparkSession, paths) -> list[str]:
@@ -48,14 +49,24 @@ def list_files(spark: SparkSession, paths) -> list[str]:
     return list(out)
 
 
-_PLACE = ["file_src", "file_path", "file_start"]
+def _files(spark: SparkSession, paths) -> tuple[list[str], DataFrame]:
+    """The files behind the paths, and (file_path, file_no, file_src): their order, and the number of the path that first names them."""
+    of: dict[str, int] = {}
+    for i, p in enumerate([paths] if isinstance(paths, str) else paths):
+        for f in list_files(spark, p):
+            of.setdefault(f, i)
+    names = [(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f).toUri().toString(), no, src) for no, (f, src) in enumerate(of.items())]
+    return list(of), spark.createDataFrame(names, "file_path string, file_no int, file_src int")
+
 
+def _uri(path: Column) -> Column:
+    """One form for the URIs of local files, with or without an empty host."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
 
-def _placed(df: DataFrame, src: int, *cols) -> DataFrame:
-    """``cols`` of a file scan with where they stand: number of the path, file, split, and the
-    order in which the task reads them."""
-    return df.select(*cols, F.lit(src).alias("file_src"), F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_block_start").alias("file_start"),
+
+def _placed(df: DataFrame, *cols) -> DataFrame:
+    """``cols`` of a file scan with where they stand: file, split, and the order in which the task reads them."""
+    return df.select(*cols, F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_start"),
                      F.monotonically_increasing_id().alias("__at"))
 
 
@@ -66,24 +77,34 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _lines(spark: SparkSession, paths, keep_blank: bool = True) -> DataFrame:
-    """(line, place) for every line of text files; a carriage return before the line feed goes."""
-    parts = []
-    for i, p in enumerate([paths] if isinstance(paths, str) else paths):
-        text = spark.read.text(p, lineSep="\n").withColumn("line", F.regexp_replace("value", "\r$", ""))
-        parts.append(_placed(text if keep_blank else text.where(F.col("line") != ""), i, "line"))
-    return _union(parts)
-
-
-def _numbered(rows: DataFrame, per_path: bool = False) -> DataFrame:
-    """``ord`` = 0-based position over all files, or over those of one path.  The rows of one split are consecutive in one
-    task, so a row's position in it is its number less the split's smallest."""
-    splits = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+def _lines(spark: SparkSession, paths, keep_blank: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(line, place) for every line of text files, in one scan over all paths, and the files; a carriage return before the line feed goes."""
+    names, files = _files(spark, paths)
+    if not names:
+        raise FileNotFoundError(f"no files behind {paths}")
+    text = spark.read.text(names, lineSep="\n").withColumn("line", F.regexp_replace("value", "\r$", ""))
+    return _placed(text if keep_blank else text.where(F.col("line") != ""), "line"), files
+
+
+def _numbered(rows: DataFrame, files: DataFrame, per_path: bool = False) -> DataFrame:
+    """``ord`` = 0-based position over all files in their order, or over those of one path.
+
+    Where a scan is split follows from the session's settings and cores at the time it is planned, so positions that are
+    counted in one scan say nothing about the rows of another: the rows are written once, and
+    the counts and the rows come from that table.  The rows of one split are consecutive in one task, so a row's position in
+    it is its number less the split's smallest."""
+    rows = cut_lineage(rows)
+    place = ["file_path", "file_start"]
+    splits = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    known = files.withColumn("__uri", _uri(F.col("file_path"))).drop("file_path")
+    splits = splits.withColumn("__uri", _uri(F.col("file_path"))).join(known, "__uri", "left")
+    splits = splits.withColumn("file_no", F.when(F.col("file_no").isNull(), F.raise_error(F.concat(F.lit("a file of no path: "), F.col("file_path"))).cast("int"))
+                               .otherwise(F.col("file_no")))
     of = Window.partitionBy("file_src") if per_path else Window.partitionBy()
-    before = of.orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
-    start = splits.select(*_PLACE, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return rows.join(start, _PLACE).withColumn("ord", (F.col("__off") + F.col("__at") - F.col("__first")).cast("long")) \
-               .drop(*_PLACE, "__at", "__first", "__off")
+    before = of.orderBy("file_no", "file_start").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    start = splits.select(*place, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return rows.join(start, place).withColumn("ord", (F.col("__off") + F.col("__at") - F.col("__first")).cast("long")) \
+               .drop(*place, "__at", "__first", "__off")
 
 
 def _documents(spark: SparkSession, paths, src: int = 0) -> DataFrame:
@@ -152,7 +173,7 @@ def read_json_lines(spark: SparkSession, paths, schema: str, ordered: bool = Tru
     ``ord`` = line position across the files in path order."""
     if not ordered:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
-    rows = _numbered(_lines(spark, paths, keep_blank=False)).select(
+    rows = _numbered(*_lines(spark, paths, keep_blank=False)).select(
         "ord", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
     # the check sits inside the struct column that is read, so it cannot be pruned
     rows = rows.withColumn("r", F.when(F.col("r").isNull(), F.raise_error(F.lit("malformed JSON line")))
@@ -193,8 +214,8 @@ def read_jsonl(spark: SparkSession, path, label_type: str = "string") -> DataFra
 def read_paired_text(spark: SparkSession, corpus: str, labels: str) -> DataFrame:
     """Corpus and label files zipped by line, each line stripped; files of
     different length are an error."""
-    a = _numbered(_lines(spark, corpus)).select("ord", py_strip("line").alias("src"))
-    b = _numbered(_lines(spark, labels)).select("ord", py_strip("line").alias("label"))
+    a = _numbered(*_lines(spark, corpus)).select("ord", py_strip("line").alias("src"))
+    b = _numbered(*_lines(spark, labels)).select("ord", py_strip("line").alias("label"))
     j = a.join(b, "ord", "full_outer")
     label = F.when(F.col("src").isNull() | F.col("label").isNull(),
                    F.raise_error(F.lit("corpus and label files differ in length"))).otherwise(F.col("label"))
@@ -229,23 +250,27 @@ def read_runs_csv(spark: SparkSession, paths: list[str], dataset_pattern: str =
     A dataset's header is the first line of its first file; other part files may repeat it or
     not, since only lines equal to it are dropped.  Broken lines and values that do not parse are errors.  ``multi_line`` reads quoted
     fields with line breaks, at the price of one task per file."""
-    heads = _lines(spark, paths).groupBy("file_src").agg(F.min_by("line", F.struct("file_path", "file_start", "__at")).alias("head"))
-    heads = heads.orderBy("file_src").collect()  # one line for each path
     parts = []
-    for r in heads:
-        names, i = next(csv.reader([r.head])), r.file_src
+    for path in paths:
+        files = list_files(spark, path)
+        if not files:
+            raise FileNotFoundError(f"no files behind {path}")
+        first = spark.read.text(files[0], lineSep="\n").where(F.col("_metadata.file_block_start") == 0).first()  # only its first split is read
+        if first is None:
+            continue
+        names = next(csv.reader([first.value.rstrip("\r")]))
         rows = (spark.read.schema(", ".join(f"`{h}` string" for h in names)).option("mode", "FAILFAST")
-                .option("multiLine", multi_line).option("escape", '"').csv(paths[i]))
+                .option("multiLine", multi_line).option("escape", '"').csv(path))
         is_head = F.lit(True)
         for h in names:
             is_head = is_head & F.col(f"`{h}`").eqNullSafe(F.lit(h or None))
         dataset = F.regexp_extract("_metadata.file_path", dataset_pattern, 1)
-        parts.append(_placed(rows.where(~is_head), i, F.when(dataset == "", F.lit(paths[i])).otherwise(dataset).alias("dataset"),
+        parts.append(_placed(rows.where(~is_head), F.when(dataset == "", F.lit(path)).otherwise(dataset).alias("dataset"),
                              *[_typed(F.col(f"`{h}`"), RUNS_CSV_SCHEMA.get(h, "string")).alias(_plain(h)) for h in names]))
     out = parts[0]
     for q in parts[1:]:
         out = out.unionByName(q, allowMissingColumns=True)
-    return _numbered(out, per_path=True)
+    return _numbered(out, _files(spark, paths)[1], per_path=True)
 
 
 def bifi_labels(df: DataFrame) -> DataFrame:

@@ -121,10 +121,21 @@ def append_distinct(new: DataFrame, path: str) -> DataFrame:
     return read_appended(spark, path)
 
 
-def upsert_by_key(new: DataFrame, path: str, key: str) -> DataFrame:
+def upsert_by_key(new: DataFrame, path: str, key: str, order_col: str | None = None) -> DataFrame:
     """K5: dictionary update: a key present in ``new`` takes its value (even a NULL), other stored
-    keys stay.  Only the rows of ``new`` are written.  Returns the stored rows."""
-    _write_next(new, path)
+    keys stay.  Rows have no order, so of a key given several times in one call the one with the largest ``order_col`` is
+    the last and counts; without ``order_col``, or where that ties, different values for one key are an error and equal
+    ones count once.  Only the rows of ``new`` are written.  Returns the stored rows."""
+    values = [c for c in new.columns if c != key]
+    row = F.struct(*values)
+    by = [key, order_col] if order_col else [key]
+    each = new.groupBy(*by).agg(F.min(row).alias("__lo"), F.max(row).alias("__hi"))
+    if order_col:
+        each = each.groupBy(key).agg(F.max_by(F.struct("__lo", "__hi"), F.struct(F.lit(1), order_col)).alias("__r")).select(key, "__r.*")
+    same = F.when(F.col("__lo").eqNullSafe(F.col("__hi")), F.col("__lo")).otherwise(
+        F.raise_error(F.concat(F.lit("several values for the key "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))).cast(each.schema["__lo"].dataType))
+    once = each.select(key, same.alias("__v")).select(key, *[F.col("__v")[c].alias(c) for c in values])
+    _write_next(once.select(*new.columns), path)
     return read_upserted(new.sparkSession, path, key)
 
 

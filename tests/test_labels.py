@@ -66,3 +66,20 @@ def test_encoding_against_python(spark):
         ids = [0] + [vocab[w] for w in ts[: max_len - 2]] + [2]
         want = (ids + [1] * (max_len - len(ids)), [1] * len(ids) + [0] * (max_len - len(ids)))
         assert got[i] == want, (i, ts)
+
+
+def test_vocabulary_of_words_with_one_beginning(spark):
+    """Ranges are cut by the words themselves: no partition holds much more than the others."""
+    words = [f"prefix__{i:05d}" for i in range(6000)] + ["", "z", "é", "Z"]
+    df = spark.createDataFrame([(w,) for w in words * 2], "w string").repartition(5)
+    out = L.dense_ranks(df, "w", "n", 7)
+    want = {w: i + 7 for i, w in enumerate(sorted(set(words), key=lambda w: w.encode()))}
+    assert {r.w: r.n for r in out.collect()} == want
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        parts = [len(p) for p in df.distinct().repartitionByRange("w").rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(parts) > 4 and max(parts) <= 2 * sorted(parts)[len(parts) // 2]
+    assert L.dense_ranks(df.limit(0), "w", "n").count() == 0

@@ -164,7 +164,7 @@ def test_one_large_file_is_read_in_splits(spark, tmp_dir):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
     try:
-        lines = RD._lines(spark, os.path.join(tmp_dir, "big.jsonl"))
+        lines, _ = RD._lines(spark, os.path.join(tmp_dir, "big.jsonl"))
         assert lines.rdd.getNumPartitions() > 3
         got = RD.read_jsonl(spark, os.path.join(tmp_dir, "big.jsonl")).selectExpr("count(*)", "sum(int(src = concat('line ', ord)))").first()
         assert tuple(got) == (n, n)
@@ -174,6 +174,41 @@ def test_one_large_file_is_read_in_splits(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_positions_hold_when_later_scans_split_otherwise(spark, tmp_dir):
+    """Settings (or cores) that change between planning and running leave every row and its position."""
+    n = 20_000
+    folder = os.path.join(tmp_dir, "a b")
+    os.mkdir(folder)
+    for k in range(3):
+        _put(folder, f"part-{k}.jsonl", "".join('{"src": "line %d", "label": "l"}\n' % i for i in range(k * n, (k + 1) * n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "70k")
+        rows = RD.read_jsonl(spark, [folder])
+        shards = RD.read_jsonl_shards(spark, [os.path.join(folder, f"part-{k}.jsonl") for k in (2, 0)], "dev", "src")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        assert tuple(rows.selectExpr("count(*)", "sum(int(src = concat('line ', ord)))", "count(distinct ord)").first()) == (3 * n,) * 3
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+        got = shards.selectExpr("count(*)", "sum(int(src = concat('line ', if(ord < 20000, ord + 40000, ord - 20000))))", "min(split)").first()
+        assert tuple(got) == (2 * n, 2 * n, "valid")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_upsert_of_a_key_given_twice(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "kv2")
+    ddl = "k string, v int, t int"
+    rows = spark.createDataFrame([("k", 1, 1), ("k", 2, 2), ("l", 3, 1), (None, 4, 1), ("n", None, 2), ("n", 9, 1)], ddl).repartition(4)
+    got = SK.upsert_by_key(rows, path, "k", order_col="t")
+    assert sorted(((r.k, r.v) for r in got.collect()), key=repr) == [("k", 2), ("l", 3), ("n", None), (None, 4)]
+    same = spark.createDataFrame([("k", 7, 5), ("k", 7, 5)], ddl)
+    assert {r.k: r.v for r in SK.upsert_by_key(same, path, "k").collect()}["k"] == 7
+    for order in (None, "t"):
+        with pytest.raises(Exception, match="several values for the key l"):
+            SK.upsert_by_key(spark.createDataFrame([("l", 1, 5), ("l", 2, 5)], ddl), path, "k", order_col=order).collect()
+    assert {r.k: r.v for r in SK.read_upserted(spark, path, "k").collect()} == {"k": 7, "l": 3, "n": None, None: 4}
+
+
 def test_metric_log_takes_the_last_call(spark, tmp_dir):
     path = os.path.join(tmp_dir, "log")
     ddl = "run_id int, metric string, value double, step long"
