@@ -77,13 +77,16 @@ def _steps(values: np.ndarray, n_blocks: int, fill: int) -> np.ndarray:
 
 def encode(ids: np.ndarray, directory: list[tuple]) -> bytes:
     """A segment's bytes; ``directory``: (doc_id or None, doc_no, n ids here, begins here, ends here)."""
-    symbols, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    freq = frequencies(counts)
+    counts = np.bincount(ids)  # as long as the vocabulary at most
+    symbols = np.flatnonzero(counts)
+    number = np.zeros(len(counts), np.int32)
+    number[symbols] = np.arange(len(symbols))
+    which, freq = number[ids], frequencies(counts[symbols])
     # a last, virtual symbol with all slots leaves a state as it is: it fills the last block
     freqs = np.append(freq, 1 << PROB).astype(np.uint64)
     starts = np.append(np.cumsum(freq) - freq, 0).astype(np.uint64)
     n_blocks = _blocks(len(ids))
-    at = _steps(which.astype(np.int32), n_blocks, len(symbols))
+    at = _steps(which, n_blocks, len(symbols))
     x = np.full((n_blocks, LANES), _LOW, np.uint64)
     words = np.zeros((STEPS, n_blocks, LANES), "<u4")
     emitted = np.zeros((STEPS, n_blocks, LANES), bool)
@@ -214,10 +217,10 @@ def write(docs: DataFrame, end_id: int = 0, vocabulary: str | None = None, segme
             return row
 
         for rows in batches:
-            for doc_id, text in rows_of(rows, "doc_id", "text"):
-                ids = np.append(encode_text.ids(text).astype("<u4"), np.array([end_id], "<u4"))
-                held.append(ids)
-                left, begins = len(ids), True
+            ids, ends = encode_text.batch(rows.column("text"))
+            held.append(np.insert(ids.astype("<u4"), ends[1:], end_id))
+            for doc_id, n in zip(rows.column("doc_id").to_pylist(), (np.diff(ends) + 1).tolist()):
+                left, begins = n, True
                 while left:
                     here = min(left, segment - size)
                     left, size = left - here, size + here

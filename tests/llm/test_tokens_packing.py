@@ -3,10 +3,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from labelbench.llm import packing
+from labelbench.llm import packing, tokens
 from labelbench.llm.tokens import Encoder, vocabulary_path
 
 PATH = vocabulary_path()
@@ -25,6 +26,28 @@ def test_ids_of_cases():
         assert ENC.ids(t).tolist() == ENC.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def _batch(texts, encoder=ENC):
+    ids, ends = encoder.batch(pa.array(texts, pa.string()))
+    assert len(ends) == len(texts) + 1 and ends[-1] == len(ids)
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
+def test_batches_of_cases(monkeypatch):
+    want = [ENC.tokenizer.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    assert _batch(TEXTS) == want and _batch([]) == [] and _batch([None, "a b", None]) == [[], ENC.ids("a b").tolist(), []]
+    monkeypatch.setattr(tokens, "SLICE", 20)
+    assert _batch([*TEXTS, *TEXTS], Encoder(PATH, memo_words=5)) == want * 2
+    assert _batch(pa.array([*TEXTS, "x"]).slice(3, 9).to_pylist()) == want[3:12]
+    ids, ends = ENC.batch(pa.array(TEXTS, pa.string()).slice(5, 6))  # an array with an offset
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want[5:11]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list(" \n\t.,'abcDé ñ1 <|>!?-ª")), max_size=40), max_size=8))
+def test_batches_of_random_texts(texts):
+    assert _batch(texts) == [ENC.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list(" \n\t.,'abcDé ñ1 <|>!?-ª")), max_size=40))
 def test_ids_of_random_texts(t):
