@@ -13,11 +13,13 @@ list of any size is spread over tasks and no task holds more than two cell sides
 several lists is counted in the one of its lowest common pivots.  Cosines are taken in double
 precision.  A cell returns sums and a spanning forest of its links, never the pairs.
 
-Equal vectors of one label are merged first and count with their number.
+Equal vectors of one label are merged first and count with their number; a merged vector has a number of its own, since
+rows that share a vec_id may hold different vectors.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link
 with nothing, nor do vectors without label or id, or of different lengths; rows that share a
-vec_id are one vector; an empty table gives no rows; other columns are ignored.
+vec_id are vectors of their own, linked only if they are alike, and repeated rows are one; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -179,7 +181,7 @@ def _cells(rows: DataFrame, least: float) -> DataFrame:
 
 def _pivots(classes: DataFrame, least: float, nearest: int, shared: int) -> dict:
     """{length of the vectors: (pivots, number of nearest ones)}, from the vectors with the smallest hashes of their ids."""
-    sample = classes.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    sample = classes.select("first", "label", "embedding").orderBy(F.xxhash64("first"), "first", "label", "embedding").limit(SAMPLE).collect()
     by: dict = {}
     for r in sample:
         by.setdefault(len(r.embedding), []).append(r.embedding)
@@ -198,10 +200,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, nearest: int = NEAR
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
     good = rows.where(F.coalesce(usable, F.lit(False)))
-    one = good.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
-    members = cut_lineage(one.select("vec_id", "v.label", "v.embedding"))
-    classes = members.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    classes = cut_lineage(classes.withColumn("dim", F.size("embedding")))
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("m"))
+    classes = cut_lineage(classes.withColumns({"dim": F.size("embedding"), "rep": F.monotonically_increasing_id()}))
     pivots = classes.sparkSession.sparkContext.broadcast(_pivots(classes, least, nearest, shared))  # 64 vectors for each length in the sample
 
     def index(batches):
@@ -227,9 +227,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, nearest: int = NEAR
 
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("more"))
     groups = components(found.where("a <> b").select("a", "b"))
+    smallest = groups.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    groups = groups.join(smallest, "component").select("node", "component_id")
     known = classes.join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select(
-        "label", "embedding", (F.col("m") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    found = members.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    return rows.select("vec_id").join(found, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        "label", "embedding", (F.col("m") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    linked = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

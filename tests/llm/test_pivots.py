@@ -60,7 +60,13 @@ def test_against_brute_force(spark, cell):
 def test_null_ids_and_versions(spark):
     out = _run(spark, [(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1)])
     assert sorted((x.vec_id or -1, x.n_links, x.component_id or -1, x.kept) for x in out)[0] == (-1, 0, -1, True)
-    assert len({(x.n_links, x.component_id) for x in out if x.vec_id == 1}) == 1
+    assert sorted(x.n_links for x in out if x.vec_id == 1) == [0, 1, 1]
+    # every version keeps its links, and no link leads from one version to another
+    out = _run(spark, [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.05, 0.0], 1), (3, [0.0, 1.0, 0.05], 1), (5, [0.0, 0.0, 1.0], 1),
+                       (4, [0.0, 0.0, 1.0], 1), (5, [0.0, 0.0, 1.0], 2), (4, [0.0, 0.05, 1.0], 1), (4, [0.0, 0.0, 1.0], 1)])
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in out)
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 2, 4, True), (4, 2, 4, True), (4, 2, 4, True),
+                   (5, 0, 5, True), (5, 2, 4, False)]
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
