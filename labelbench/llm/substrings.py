@@ -43,9 +43,9 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _NULL_ID = -(1 << 63)
 
-_ROWS = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("d", pa.int64()), ("v", pa.int32()), ("at", pa.int64()), ("dup", pa.bool_())])
-_OPEN = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("v", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("words", pa.binary())])
-_SPANS = pa.schema([("d", pa.int64()), ("v", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
+_ROWS = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("d", pa.int64()), ("v", pa.int64()), ("at", pa.int64()), ("dup", pa.bool_())])
+_OPEN = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("v", pa.int64()), ("pos", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("words", pa.binary())])
+_SPANS = pa.schema([("d", pa.int64()), ("v", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -155,7 +155,7 @@ class Automaton:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents under (d, v): id, and hash of the text, which keeps versions of one id apart."""
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("v", F.hash(F.coalesce("text", F.lit(""))))
+    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("v", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def _context_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _context_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
                     continue
                 anchor, ctx, pos, lo, hi = found
                 n = len(pos)
-                held.append((anchor, ctx, np.full(n, d), np.full(n, v, np.int32), pos << 16 | (pos - lo) << 8 | hi - lo))
+                held.append((anchor, ctx, np.full(n, d), np.full(n, v), pos << 16 | (pos - lo) << 8 | hi - lo))
                 size_held += n
                 if size_held >= _CHUNK:
                     yield chunk(held)
@@ -187,22 +187,23 @@ def _context_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
         if held:
             yield chunk(held)
 
-    return docs.select("d", "v", "text").mapInArrow(run, "anchor long, ctx long, d long, v int, at long, dup boolean")
+    return docs.select("d", "v", "text").mapInArrow(run, "anchor long, ctx long, d long, v long, at long, dup boolean")
 
 
-def _judged(rows: DataFrame, most: int) -> DataFrame:
-    """Rows that go (dup), and open ones: the first of every context of an anchor that has several."""
-    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "dup", "ctx", "d", "at")
-    same = Window.partitionBy("anchor", "dup", "ctx").orderBy("d", "at")
-    ranked = sorted_rows.withColumn("first", F.rank().over(same) == 1)
-    group = Window.partitionBy("anchor", "dup")
-    several = ranked.withColumn("several", F.min("ctx").over(group) != F.max("ctx").over(group)).withColumn(
-        "many", F.sum(F.col("first").cast("long")).over(group) > most)
-    dup = F.col("dup") | ~F.col("first")
-    return several.where(dup | F.col("several")).select("anchor", "d", "v", "at", dup.alias("gone"), "many")
+def _judged(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that go, open ones: the first of every context of an anchor that has several).
 
+    The rows of a context are ranked by themselves and an anchor's contexts are counted before they are brought
+    together, so an anchor with any number of contexts takes no task's memory."""
+    same = Window.partitionBy("anchor", "ctx", "dup").orderBy("d", "at")
+    ranked = rows.withColumns({"gone": F.col("dup") | (F.rank().over(same) > 1), "leads": ~F.col("dup") & (F.row_number().over(same) == 1)})
+    ranked = cut_lineage(ranked.select("anchor", "d", "v", "at", "gone", "leads"))
+    several = ranked.where("leads").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    open_ = ranked.where("not gone").join(several, "anchor").select("anchor", "d", "v", "at", (F.col("n") > most).alias("many"))
+    return ranked.where("gone").select("d", "v", "at"), open_
 
-def _open_contexts(docs: DataFrame, judged: DataFrame, size: int) -> DataFrame:
+
+def _open_contexts(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
     """The words of open contexts, under their anchor, or window by window under the window's hash."""
 
     def run(batches):
@@ -213,22 +214,22 @@ def _open_contexts(docs: DataFrame, judged: DataFrame, size: int) -> DataFrame:
                 words = words_of(text)
                 h = _hashes(words) if any(t["many"] for t in todo) else None
                 for t in todo:
-                    _, lo, hi = _split(t["at"])
+                    pos, lo, hi = _split(t["at"])
                     if not t["many"]:
-                        out.append((t["anchor"], d, v, lo, hi, b" ".join(words[lo:hi + size])))
+                        out.append((t["anchor"], d, v, pos, lo, hi, b" ".join(words[lo:hi + size])))
                         continue
                     starts = np.arange(lo, hi + 1)
                     for s, key in zip(starts.tolist(), _mixed(_spans_hash(h, starts, starts + size)).view(np.int64).tolist()):
                         place = seen.setdefault(key, (d, s))
                         gone = place < (d, s)  # known here: no words needed, and spread over the tasks
-                        out.append((hash((d, s)) if gone else key, d, v, s, s, None if gone else b" ".join(words[s:s + size])))
+                        out.append((hash((d, s)) if gone else key, d, v, s, s, s, None if gone else b" ".join(words[s:s + size])))
                 if len(seen) > 1 << 18:
                     seen.clear()
             if out:
                 yield batch(_OPEN, list(zip(*out)))
 
-    todo = judged.where("not gone").groupBy("d", "v").agg(F.collect_list(F.struct("at", "anchor", "many")).alias("todo"))
-    return docs.select("d", "v", "text").join(todo, ["d", "v"]).mapInArrow(run, "key long, d long, v int, lo long, hi long, words binary")
+    todo = open_.groupBy("d", "v").agg(F.collect_list(F.struct("at", "anchor", "many")).alias("todo"))
+    return docs.select("d", "v", "text").join(todo, ["d", "v"]).mapInArrow(run, "key long, d long, v long, pos long, lo long, hi long, words binary")
 
 
 def _matched(contexts_: DataFrame, size: int) -> DataFrame:
@@ -238,18 +239,19 @@ def _matched(contexts_: DataFrame, size: int) -> DataFrame:
         key = shard = None
         for rows in batches:
             out = []
-            for k, d, v, lo, hi, words in rows_of(rows, "key", "d", "v", "lo", "hi", "words"):
+            for k, d, v, pos, lo, hi, words in rows_of(rows, "key", "d", "v", "pos", "lo", "hi", "words"):
                 if words is None:
                     out.append((d, v, lo, hi))
                     continue
                 if k != key:
                     key, shard = k, {"automaton": Automaton(), "waiting": [], "at": None}
                 own = words.split(b" ")
-                # contexts at one place (versions of a document) do not see each other
-                if shard["at"] != (d, lo):
+                # Equal windows lie alike around their anchors, so those of an anchor that stands earlier start earlier.
+                # Contexts whose anchors stand at one place (versions of a document) do not see each other.
+                if shard["at"] != (d, pos):
                     for w in shard["waiting"]:
                         shard["automaton"].add(w)
-                    shard["waiting"], shard["at"] = [], (d, lo)
+                    shard["waiting"], shard["at"] = [], (d, pos)
                 begin = None
                 for e, length in enumerate(shard["automaton"].matches(own)):
                     if length >= size:
@@ -264,19 +266,19 @@ def _matched(contexts_: DataFrame, size: int) -> DataFrame:
             if out:
                 yield batch(_SPANS, list(zip(*out)))
 
-    ordered = contexts_.repartition("key").sortWithinPartitions("key", "d", "lo")
-    return ordered.mapInArrow(run, "d long, v int, lo long, hi long")
+    ordered = contexts_.repartition("key").sortWithinPartitions("key", "d", "pos")
+    return ordered.mapInArrow(run, "d long, v long, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """(d, v, spans) of documents that lose words: the first and last window of every span."""
     if not gram < size < 256:
         raise ValueError("a window has fewer than 256 words, and more than an anchor")
-    judged = cut_lineage(_judged(_context_rows(docs, size, gram), most))
+    gone, open_ = _judged(_context_rows(docs, size, gram), most)
     at = F.col("at")
     lo = F.shiftright(at, 16) - F.shiftright(at, 8).bitwiseAND(255)
-    gone = judged.where("gone").select("d", "v", lo.alias("lo"), (lo + at.bitwiseAND(255)).alias("hi"))
-    spans = gone.unionByName(_matched(_open_contexts(docs, judged, size), size))
+    gone = gone.select("d", "v", lo.alias("lo"), (lo + at.bitwiseAND(255)).alias("hi"))
+    spans = gone.unionByName(_matched(_open_contexts(docs, open_, size), size))
     return spans.groupBy("d", "v").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 

@@ -72,6 +72,18 @@ def test_report(spark, seed, size, gram, most):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [2048, 1])
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_that_share_an_id(spark, shared, most):
+    """Windows of rows with one doc_id, or none, go where the same words start earlier in any of them."""
+    run = [f"w{i}" for i in range(30)]
+    rows = [(shared, " ".join(["z"] + run)), (shared, " ".join(run)), (shared, " ".join(["a", "b"] + run + ["c"])), (shared, " ".join(run[3:] + ["t"])), (9, " ".join(run))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id or 0, x.n_words, x.n_removed) for x in substrings.report(docs, most=most).collect())
+    assert got == sorted((i or 0, n, gone) for (i, _), (n, gone, _) in zip(rows, brute(rows, 20)))
+    assert (shared or 0, 31, 30) in got and (shared or 0, 33, 30) in got
+
+
 def test_contexts_share_out_the_windows():
     rows = _corpus(5)
     got = [substrings.contexts(substrings.words_of(t)) for _, t in rows]
