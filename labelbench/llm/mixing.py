@@ -2,12 +2,12 @@
 
 A source's documents form blocks of ``block`` documents.  With weight w, block j may start at
 slot floor(j / w) and must be placed before slot ceil((j + 1) / w); among the released blocks the one
-with the earliest deadline gets the slot.  The slots come in periods of Q (by the number of sources
-alone).  In a period a source has a whole number of slots, within which every deadline is met and the
-source is less than one block away from its share of them; what rounding leaves of the exact weights is
-carried to the next period, so the deviation from the weights does not grow with the input.  The driver
-keeps one number for each source and period; a block's slot follows from its number, and a period is
-simulated by the tasks that hold its blocks: nothing goes through one task.
+with the earliest deadline gets the slot.  The weights are exact (in whole numbers of 2^-64 of all slots), the schedule
+runs over the whole mix, and every deadline is met, so at every slot each source is less than one block away from its weight.
+
+The schedule is a list of slots that the driver makes and the tasks look up.  Its length is bounded: where the mix would
+last more than ``MOST_SLOTS`` slots, the blocks are made larger instead, so the list does not grow with
+the input (a source with less than 1 / ``MOST_SLOTS`` of the weight takes one slot for itself, and may need more).
 
 A mix lasts until each source has been read through at least once; a source with more
 weight than documents starts again (its epoch counts up), so no document is lost and every
@@ -26,6 +26,7 @@ other; the last block of a source may be shorter; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -38,101 +39,48 @@ from pyspark.sql import functions as F
 
 from .tables import cut_lineage
 
-#: Documents in a block; exponent of a source's size where no weights are given; slots of a period for
-#: each source (a power of two times that, at least).
-BLOCK, TEMPERATURE, SLOTS_PER_SOURCE = 64, 0.7, 64
-
-
-def quotas(weights: dict, period: int) -> dict:
-    """Whole slots of one period alone, in proportion to the weights, at least one each, by largest remainders."""
-    total = sum(weights.values())
-    if not weights or min(weights.values()) <= 0 or len(weights) > period:
-        raise ValueError("weights must be positive, and no more than the period has slots")
-    if min(weights.values()) / total * period >= 1:
-        return dict(zip(weights, next(carried(weights, period))))
-    spare = period - len(weights)
-    exact = {k: w / total * spare for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    rest = sorted(weights, key=lambda k: (int(exact[k]) - exact[k], str(k)))
-    for k in rest[:period - sum(out.values())]:
-        out[k] += 1
-    return out
+#: Documents in a block at least; exponent of a source's size where no weights are given; slots of a mix, and sources, at most.
+BLOCK, TEMPERATURE, MOST_SLOTS, MOST_SOURCES = 64, 0.7, 1 << 20, 10_000
+#: Weights are whole numbers of 1 / UNIT of all slots.
+UNIT = 1 << 64
 
 
-def carried(weights: dict, period: int):
-    """Whole slots of each source (in the order of ``weights``) in one period after the other, without end.
-    Their sums over the periods follow the exact weights: what a source is short of is carried on."""
+def shares(weights: dict) -> list[int]:
+    """The weights in their order as whole numbers, positive and with sum UNIT."""
     if not weights or min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
     exact = [Fraction(w) for w in weights.values()]
-    total, names = sum(exact), [str(k) for k in weights]
-    step = [int(w / total * 2**64) for w in exact]  # in whole numbers of 2^-64 of all slots
-    step[max(range(len(step)), key=step.__getitem__)] += 2**64 - sum(step)
-    done, due = [0] * len(step), [0] * len(step)
-    while True:
-        due = [d + w * period for d, w in zip(due, step)]
-        out = [max((d >> 64) - n, 0) for d, n in zip(due, done)]
-        behind = sorted(range(len(step)), key=lambda i: (((done[i] + out[i]) << 64) - due[i], names[i]))
-        spare = period - sum(out)
-        for i in behind[:max(spare, 0)]:
-            out[i] += 1
-        # sources ahead of their share may leave too few slots: those least behind wait for the next period
-        for i in [i for i in reversed(behind) if out[i]][:max(-spare, 0)]:
-            out[i] -= 1
-        done = [n + k for n, k in zip(done, out)]
-        yield out
-
-
-def periods(weights: dict, period: int, blocks: dict) -> np.ndarray:
-    """Slots of each source before each period, up to the one after which all ``blocks`` were placed."""
-    sums = [np.zeros(len(weights), np.int64)]
-    need = np.array([blocks[s] for s in weights], np.int64)
-    for slots in carried(weights, period):
-        sums.append(sums[-1] + np.array(slots, np.int64))
-        if (sums[-1] >= need).all():
-            return np.array(sums)
-
-
-def period_of(n_sources: int) -> int:
-    return 1 << max(6, (n_sources * SLOTS_PER_SOURCE - 1).bit_length())
-
-
-def schedule(slots: dict) -> list[tuple]:
-    """(source, block in the period, slot, release, deadline) of one period, by earliest deadline first."""
-    import heapq
-
-    period = sum(slots.values())
-    names = sorted(slots, key=str)
-    waiting = [(0, i, 0) for i in range(len(names)) if slots[names[i]]]  # by release
-    ready, out = [], []
-    heapq.heapify(waiting)
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            release, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[names[i]]), i, j, release))
-        deadline, i, j, release = heapq.heappop(ready)
-        out.append((names[i], j, slot, release, deadline))
-        if j + 1 < slots[names[i]]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[names[i]], i, j + 1))
+    total = sum(exact)
+    out = [max(1, int(w / total * UNIT)) for w in exact]
+    out[max(range(len(out)), key=out.__getitem__)] += UNIT - sum(out)
     return out
 
 
-def _slots(sums: np.ndarray, period: int):
-    """(source's place in the order, block) -> (slot, release, deadline); keeps the schedules that it has made."""
-    made: dict = {}
+def window(share: int, block: int) -> tuple[int, int]:
+    """The slot from which a block may be placed, and the one before which it must be."""
+    return block * UNIT // share, -(-(block + 1) * UNIT // share)
+
 
-    def find(i: int, b: int) -> tuple[int, int, int]:
-        k = int(np.searchsorted(sums[:, i], b, "right")) - 1
-        slots = tuple((sums[k + 1] - sums[k]).tolist())
-        if slots not in made:
-            if len(made) >= 256:
-                made.clear()
-            # zero-filled, so that the names sort as the places do
-            made[slots] = {(int(s), j): at for s, j, *at in schedule({f"{s:09d}": n for s, n in enumerate(slots)})}
-        t, release, deadline = made[slots][i, b - int(sums[k, i])]
-        return k * period + t, k * period + release, k * period + deadline
+def block_size(sizes: list[int], share: list[int], block: int, most: int) -> int:
+    """The least block, from ``block`` documents on, with which all sources are read in about ``most`` slots."""
+    return max(block, *(-(-n * UNIT // (s * most)) for n, s in zip(sizes, share)))
 
-    return find
+
+def schedule(share: list[int], blocks: list[int]) -> list[int]:
+    """The source of every slot, by earliest deadline first, until each source has placed its blocks; ties go by place."""
+    waiting = [(0, i, 0) for i in range(len(share))]  # by release
+    ready: list[tuple] = []
+    out: list[int] = []
+    missing = sum(n > 0 for n in blocks)
+    while missing:
+        while waiting and waiting[0][0] <= len(out):
+            _, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (window(share[i], j)[1], i, j))
+        _, i, j = heapq.heappop(ready)
+        out.append(i)
+        missing -= j + 1 == blocks[i]
+        heapq.heappush(waiting, (window(share[i], j + 1)[0], i, j + 1))
+    return out
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -153,56 +101,59 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temperature: float = TEMPERATURE) -> DataFrame:
+def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, most_slots: int = MOST_SLOTS) -> DataFrame:
     """``docs`` with epoch, block (number within its source), position (within the block), slot,
-    release and deadline (in slots), one row for each time that a document is read."""
+    release and deadline (in slots), one row for each time that a document is read; columns of these names are replaced."""
     spark, names = docs.sparkSession, docs.columns
     source = F.col("source")
     numbered = cut_lineage(_numbered(docs))
     per_task = cut_lineage(numbered.groupBy("__task", "source").agg(F.count("*").alias("n")))
-    sizes = {r.source: r.n for r in per_task.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r.source: r.n for r in per_task.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix groups of them")
     if not sizes:
-        extra = "cast(null as int) epoch, 0L block, 0L position, 0L slot, 0L release, 0L deadline"
-        return docs.selectExpr("*", *extra.split(", ")).where(F.lit(False))
+        extra = {"epoch": "int", "block": "long", "position": "long", "slot": "long", "release": "long", "deadline": "long"}
+        return docs.select(*[F.col(f"`{c}`") for c in names if c not in extra], *[F.lit(None).cast(t).alias(c) for c, t in extra.items()]).where(F.lit(False))
     if weights is None:
         weights = {s: n ** temperature for s, n in sizes.items()}
     missing = [s for s in sizes if s not in weights]
     if missing:
         raise ValueError(f"no weight for source {missing[0]!r}")
     # in the order of the names, as ties go by it
-    chosen = {s: weights[s] for s in sorted(sizes, key=str)}
-    order, blocks = list(chosen), {s: -(-n // block) for s, n in sizes.items()}
-    period = period_of(len(sizes))
-    sums = periods(chosen, period, blocks)  # one row for each period
-    slots_of = _slots(sums, period)
-    # the slot at which the last source has been read once; later blocks of any source are not placed
-    end = max(slots_of(i, blocks[s] - 1)[0] for i, s in enumerate(order))
-    per_source = spark.createDataFrame([(s, i, blocks[s], int(sums[-1, i])) for i, s in enumerate(order)],
-                                       f"s {docs.schema['source'].dataType.simpleString()}, __id int, __blocks long, __last long")
+    order = sorted(sizes, key=str)
+    share = shares({s: weights[s] for s in order})
+    block = block_size([sizes[s] for s in order], share, block, most_slots)
+    blocks = [-(-sizes[s] // block) for s in order]
+    source_at = np.array(schedule(share, blocks), np.int32)
+    by_source = np.argsort(source_at, kind="stable")  # the slots of each source, one source behind the other
+    last = np.bincount(source_at, minlength=len(order))
+    begin = np.cumsum(last) - last
+    per_source = spark.createDataFrame([(s, i, n, k) for i, (s, n, k) in enumerate(zip(order, blocks, last.tolist()))],
+                                       f"__s {docs.schema['source'].dataType.simpleString()}, __id int, __blocks long, __last long")
     before = Window.partitionBy("source").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_task.select(F.col("source").alias("s"), F.col("__task").alias("__of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))
+    offsets = per_task.select(F.col("source").alias("__s"), F.col("__task").alias("__of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))
     # written first, so that Spark knows its size when it chooses between broadcast and shuffle
     offsets = cut_lineage(offsets)
-    rows = numbered.join(offsets, source.eqNullSafe(F.col("s")) & (F.col("__task") == F.col("__of"))).drop("s", "__of", "__task")
-    rows = rows.join(F.broadcast(per_source), source.eqNullSafe(F.col("s"))).drop("s").withColumn("__i", F.col("__off") + F.col("__row"))
-    # a source is read again while its blocks, counted on, still fall before the end
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("__last") - 1) / F.col("__blocks")).cast("int"))))
-    rows = rows.withColumn("__b", F.col("epoch") * F.col("__blocks") + F.floor(F.col("__i") / block)).where(F.col("__b") < F.col("__last"))
-    shared = spark.sparkContext.broadcast(sums)
+    rows = numbered.join(offsets, source.eqNullSafe(F.col("__s")) & (F.col("__task") == F.col("__of"))).drop("__s", "__of", "__task")
+    rows = rows.join(F.broadcast(per_source), source.eqNullSafe(F.col("__s"))).drop("__s").withColumn("__i", F.col("__off") + F.col("__row"))
+    # a source is read again while its blocks, counted on, still have slots
+    rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.floor((F.col("__last") - 1) / F.col("__blocks")).cast("int"))))
+    rows = rows.withColumn("__b", F.col("__epoch") * F.col("__blocks") + F.floor(F.col("__i") / block)).where(F.col("__b") < F.col("__last"))
+    shared = spark.sparkContext.broadcast((by_source, begin, share))  # a number for each slot
 
     @F.pandas_udf("slot long, release long, deadline long")
     def slot_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        find = _slots(shared.value, period)
+        slots, begin, share = shared.value
         for ids, b in batches:
-            pairs = list(zip(ids.tolist(), b.tolist()))
-            at = {p: find(*p) for p in sorted(set(pairs), key=lambda p: p[::-1])}
-            yield pd.DataFrame([at[p] for p in pairs], columns=["slot", "release", "deadline"], dtype="int64")
-
-    # declared so, it is not run once more for the limit on the slot below
-    rows = rows.withColumn("__at", slot_of.asNondeterministic()("__id", "__b"))
-    out = rows.select(*[F.col(f"`{c}`") for c in names], "epoch", F.col("__b").cast("long").alias("block"),
-                      (F.col("__i") % block).cast("long").alias("position"), "__at.slot", "__at.release", "__at.deadline")
-    return out.where(F.col("slot") <= end)
+            pairs = pd.DataFrame({"id": ids, "b": b}).drop_duplicates()
+            windows = {(i, j): window(share[i], j) for i, j in zip(pairs["id"].tolist(), pairs["b"].tolist())}
+            found = [windows[p] for p in zip(ids.tolist(), b.tolist())]
+            yield pd.DataFrame({"slot": slots[begin[ids.to_numpy()] + b.to_numpy()], "release": [w[0] for w in found], "deadline": [w[1] for w in found]}, dtype="int64")
+
+    rows = rows.withColumn("__at", slot_of("__id", "__b"))
+    own = {"epoch": F.col("__epoch"), "block": F.col("__b").cast("long"), "position": (F.col("__i") % block).cast("long"),
+           "slot": F.col("__at.slot"), "release": F.col("__at.release"), "deadline": F.col("__at.deadline")}
+    return rows.select(*[F.col(f"`{c}`") for c in names if c not in own], *[v.alias(c) for c, v in own.items()])
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temperature: float = TEMPERATURE) -> DataFrame:

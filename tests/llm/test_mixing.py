@@ -11,41 +11,55 @@ from hypothesis import strategies as st
 from labelbench.llm import mixing
 
 
-def brute(slots, horizon):
-    """source of every slot, by earliest deadline first over all blocks (ties: by name, then number)."""
-    period, done, out = sum(slots.values()), Counter(), []
+def brute(weights, horizon):
+    """source and block of every slot, by earliest deadline first over all blocks (ties: by name)."""
+    names = sorted(weights, key=str)
+    share = [Fraction(s, mixing.UNIT) for s in mixing.shares({s: weights[s] for s in names})]
+    done, out = [0] * len(names), []
     for t in range(horizon):
-        best = None
-        for s in sorted(slots, key=str):
-            w, j = Fraction(slots[s], period), done[s]
-            if floor(j / w) <= t:
-                key = (ceil((j + 1) / w), sorted(slots, key=str).index(s), j)
-                best = min(best or (key, s), (key, s), key=lambda x: x[0])
-        out.append((best[1], done[best[1]]))
-        done[best[1]] += 1
+        _, i = min((ceil((j + 1) / w), i) for i, (w, j) in enumerate(zip(share, done)) if floor(j / w) <= t)
+        out.append((names[i], done[i]))
+        done[i] += 1
     return out
 
 
+def worst(weights, slots):
+    """The largest deviation from the exact weights at any slot, in blocks."""
+    total, got, most = sum(map(Fraction, weights)), [0] * len(weights), 0
+    share = [Fraction(w) / total for w in weights]
+    for t, i in enumerate(slots):
+        got[i] += 1
+        most = max(most, max(abs(n - w * (t + 1)) for n, w in zip(got, share)))
+    return most
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 9), min_size=1, max_size=6))
-def test_schedule(quotas):
-    slots = {f"s{i}": q for i, q in enumerate(quotas)}
-    period = sum(quotas)
-    table = mixing.schedule(slots)
-    assert [t for _, _, t, _, _ in table] == list(range(period))
-    assert all(r <= t < d for _, _, t, r, d in table)
-    twice = [(s, j + k * slots[s]) for k in range(2) for s, j, *_ in table]
-    assert twice == brute(slots, 2 * period)
-    got = Counter()
-    for t, (s, _) in enumerate(twice):
-        got[s] += 1
-        assert all(abs(got[x] - Fraction(slots[x], period) * (t + 1)) < 1 for x in slots)
-
-
-@given(st.dictionaries(st.text(max_size=3), st.floats(0.01, 1e6), min_size=1, max_size=30))
-def test_quotas(weights):
-    q = mixing.quotas(weights, 64)
-    assert sum(q.values()) == 64 and min(q.values()) >= 1
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=6), st.integers(1, 30))
+def test_schedule(weights, n):
+    share = mixing.shares(dict(enumerate(weights)))
+    slots = mixing.schedule(share, [n] * len(weights))
+    assert [s for s, _ in brute(dict(enumerate(weights)), len(slots))] == slots
+    assert min(Counter(slots).values()) == n and Counter(slots[:-1])[slots[-1]] == n - 1
+    seen = Counter()
+    for t, i in enumerate(slots):
+        release, deadline = mixing.window(share[i], seen[i])
+        assert release <= t < deadline
+        seen[i] += 1
+    assert worst(weights, slots) < 1
+
+
+@given(st.dictionaries(st.text(max_size=3), st.floats(1e-6, 1e6), min_size=1, max_size=30))
+def test_shares(weights):
+    out = mixing.shares(weights)
+    assert sum(out) == mixing.UNIT and min(out) >= 1
+    assert all(abs(s / mixing.UNIT - w / sum(weights.values())) < 1e-9 for s, w in zip(out, weights.values()))
+
+
+def test_blocks_grow_where_the_mix_would_be_long():
+    share = mixing.shares({"a": 1, "b": 1})
+    assert mixing.block_size([1000, 10], share, 64, 1 << 20) == 64
+    block = mixing.block_size([10**12, 10], share, 64, 1 << 20)
+    assert len(mixing.schedule(share, [-(-10**12 // block), 1])) <= (1 << 20) + 2
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 1, "b": 1, None: 2, "c": 4}])
@@ -53,11 +67,10 @@ def test_place(spark, weights):
     r = random.Random(1)
     rows = [(i, r.choice("aaaaaaaabbc") if i % 17 else None, "t%d" % (i % 5), i) for i in range(400)] + [(7, "a", None, 7)] * 2 + [(None, "b", "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, slot int").repartition(4).cache()
-    out = mixing.place(docs.drop("slot"), weights, block=8).collect()
+    out = mixing.place(docs, weights, block=8).collect()  # the input's own column slot is replaced
     sizes = Counter(s for _, s, *_ in rows)
-    slots = mixing.quotas(weights or {s: n ** mixing.TEMPERATURE for s, n in sizes.items()}, mixing.period_of(len(sizes)))
     end = max(x.slot for x in out)
-    order = brute(slots, end + 1)
+    order = brute(weights or {s: n ** mixing.TEMPERATURE for s, n in sizes.items()}, end + 1)
     blocks = defaultdict(list)
     for x in out:
         assert order[x.slot] == (x.source, x.block)
@@ -91,28 +104,21 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.999, "b": 0.001}, {"hot": 0.9} | {f"s{i}": 0.005 for i in range(20)},
-                                     {"hot": 1 / 3} | {f"s{i}": 1 / 30 for i in range(20)}, {"a": 1.0, "b": 1e-5, "c": 1e-5, "d": 0.3}])
+@pytest.mark.parametrize("weights", [
+    {"a": 0.999, "b": 0.001}, {"hot": 0.9} | {f"s{i}": 0.005 for i in range(20)}, {"hot": 1 / 3} | {f"s{i}": 1 / 30 for i in range(20)},
+    {"a": 1.0, "b": 1e-5, "c": 1e-5, "d": 0.3}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{n}": n ** 0.7 for n in (5, 17, 90, 400, 1100, 7000, 31000, 120000)}])
 def test_deviation_from_the_target_weights(weights):
-    """Less than three blocks at every slot of many periods, however long the mix lasts."""
-    period = mixing.period_of(len(weights))
-    names, total, got = list(weights), sum(weights.values()), Counter()
-    for k, slots in zip(range(100_000 // period), mixing.carried(weights, period)):
-        assert sum(slots) == period and min(slots) >= 0
-        if k % 20 == 0:
-            inside = Counter()
-            for s, _, t, _, _ in mixing.schedule(dict(zip(names, slots))):
-                inside[s] += 1
-                assert all(abs(got[x] + inside[x] - weights[x] / total * (k * period + t + 1)) < 3 for x in names)
-        got.update(dict(zip(names, slots)))
-        assert all(abs(got[x] - weights[x] / total * (k + 1) * period) < 2 for x in names)
+    """Less than one block at every slot, however long the mix lasts."""
+    share = mixing.shares(weights)
+    slots = mixing.schedule(share, [max(1, 20_000 * s // mixing.UNIT) for s in share])
+    assert len(slots) >= 19_000 and worst(list(weights.values()), slots[:40_000]) < 1
 
 
 def test_shares_of_a_long_mix(spark):
     docs = spark.range(4010).selectExpr("id doc_id", "if(id < 4000, 'a', 'b') source").repartition(3).cache()
     out = mixing.place(docs, {"a": 0.999, "b": 0.001}, block=1).collect()
     n, slots = Counter(x.source for x in out), max(x.slot for x in out) + 1
-    assert len(out) == slots and abs(n["b"] - slots * 0.001) < 3
+    assert len(out) == slots and abs(n["b"] - slots * 0.001) < 1
     assert len({x.doc_id for x in out if x.epoch == 0}) == 4010
 
 
