@@ -2,12 +2,14 @@
 
 Training counts the n-grams of all labelled texts that are not held out; each task adds up one
 count vector per language, the vectors are added in two steps and come to the driver, where the
-log-probability matrix (languages x buckets) is made and broadcast.  Its size is bounded by
-``MAX_LANGUAGES`` x ``BUCKETS`` x 8 bytes, whatever the corpus.  Scoring sums the rows of a text's
-n-grams, through the non-zero buckets alone where a text is long.
+log-probability matrix (languages x buckets) is made and broadcast.  Every language of the training rows is
+learned; the matrix takes ``BUCKETS`` x 8 bytes for each, and more than ``MOST_LANGUAGES`` (262 MB) are an error.
+
+Texts are scored in batches: their n-grams make one sparse (text, bucket) matrix of counts in
+row order, which is multiplied with the log-probabilities in chunks of ``_CHUNK`` non-zero cells.
 
 Defined cases: null text and text without a letter get ``und`` and score 0, also when nothing can
-be learned; repeated rows get the same prediction each; an empty table gives no rows; labels,
+be learned (``keep_identified`` then keeps every text with a letter); repeated rows get the same prediction each; an empty table gives no rows; labels,
 source and doc_id are never inputs of a prediction.
 """
 
@@ -23,14 +25,16 @@ from .tables import batch, rows_of
 
 #: Buckets of the hashed n-grams, lengths of the n-grams, and additive smoothing of the counts.
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
-#: The languages with most documents that a model can hold.
-MAX_LANGUAGES = 256
+#: Languages that a model can hold.
+MOST_LANGUAGES = 1000
 #: A text's evidence counts as that of this many n-grams at most, so that long texts in two
 #: languages do not look certain.
 EVIDENCE = 50
 #: Partial sums of a language's counts that reach the driver.
 _PARTS = 8
 _STEP = 1 << 20
+#: Non-zero cells that are multiplied at a time; n-grams of a batch of texts.
+_CHUNK, _GRAMS = 1 << 14, 1 << 20
 
 _COUNTS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("counts", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -71,6 +75,10 @@ def _added(parts, keys, out_schema):
                                  [v[1].tobytes() for v in sums.values()]])
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 class Model:
     def __init__(self, languages: list[str], docs: np.ndarray, counts: np.ndarray):
         self.languages = languages
@@ -78,21 +86,42 @@ class Model:
         self.logp = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T)
         self.prior = np.log(docs / docs.sum())
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for idx in grams(text):
-            n += len(idx)
-            if len(idx) < BUCKETS // 4:
-                total += self.logp[idx].sum(axis=0)
-            else:
-                counts = np.bincount(idx, minlength=BUCKETS)
-                there = np.flatnonzero(counts)
-                total += counts[there] @ self.logp[there]
-        total = (total + self.prior) * min(1.0, EVIDENCE / n)
-        best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        out = [("und", 0.0)] * len(texts)
+        if not self.languages:
+            return out
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not has_letter(text):
+                continue
+            parts = list(grams(text))
+            held.append((i, parts))
+            size += sum(map(len, parts))
+            if size >= _GRAMS:
+                self._score(held, out)
+                held, size = [], 0
+        if held:
+            self._score(held, out)
+        return out
+
+    def _score(self, held: list, out: list) -> None:
+        sizes = np.array([sum(map(len, parts)) for _, parts in held])
+        cells = np.repeat(np.arange(len(held)), sizes) * BUCKETS + np.concatenate([p for _, parts in held for p in parts])
+        cells.sort()
+        first = np.flatnonzero(np.diff(cells, prepend=-1))
+        counts = np.diff(np.append(first, len(cells)))
+        text, bucket = np.divmod(cells[first], BUCKETS)
+        total = np.zeros((len(held), len(self.languages)))
+        for a in range(0, len(text), _CHUNK):
+            rows, part = text[a:a + _CHUNK], counts[a:a + _CHUNK, None] * self.logp[bucket[a:a + _CHUNK]]
+            begins = np.flatnonzero(np.diff(rows, prepend=-1))
+            total[rows[begins]] += np.add.reduceat(part, begins)  # a row that goes on in the next chunk is added to there
+        total = (total + self.prior) * np.minimum(1.0, EVIDENCE / sizes)[:, None]
+        best = total.argmax(axis=1)
+        score = 1 / np.exp(total - total[np.arange(len(held)), best][:, None]).sum(axis=1)
+        for (i, _), k, s in zip(held, best.tolist(), score.tolist()):
+            out[i] = self.languages[k], s
 
 
 def fit(docs: DataFrame) -> Model:
@@ -112,8 +141,9 @@ def fit(docs: DataFrame) -> Model:
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("lang").cast("string").alias("lang"), "text")
-    top = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    parts = known.where(F.col("lang").isin(top)).mapInArrow(count, "lang string, part int, docs long, counts binary")
+    if known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the matrix would take over {MOST_LANGUAGES * BUCKETS * 8 >> 20} MB in each worker")
+    parts = known.mapInArrow(count, "lang string, part int, docs long, counts binary")
     sums = parts.repartition("lang", "part").mapInArrow(lambda it: _added(it, ("lang", "part"), _COUNTS),
                                                         "lang string, part int, docs long, counts binary").collect()
     languages = sorted({r.lang for r in sums})
@@ -130,7 +160,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for rows in batches:
-            found = [shared.value.predict(t) for (t,) in rows_of(rows, "text")]
+            found = shared.value.predict(rows.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array([p for p, _ in found], pa.string()),
                                               pa.array([s for _, s in found], pa.float64())], schema=_OUT)
 
@@ -144,12 +174,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a letter whose language scores at least ``least``; the others go."""
+    """The rows of ``docs`` with a letter whose language scores at least ``least``; the others go.  Where no
+    language is known to learn from, nothing can be uncertain: all rows with a letter stay."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):
         for rows in batches:
-            keep = [shared.value.predict(t)[1] >= least for (t,) in rows_of(rows, "text")]
+            model, texts = shared.value, rows.column("text").to_pylist()
+            keep = [s >= least for _, s in model.predict(texts)] if model.languages else list(map(has_letter, texts))
             yield rows.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

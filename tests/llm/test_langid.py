@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from labelbench.llm import langid
 from labelbench.llm.tables import read
@@ -72,6 +73,35 @@ def test_nothing_to_learn(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_many_languages(spark, monkeypatch):
+    """No language is left out for being rare; beyond the bound of the matrix there is an error."""
+    rows = [(8 * i + k, chr(0x4E00 + i) * 20, f"l{i:03d}") for i in range(300) for k in range(3 if i < 10 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = langid.fit(docs)
+    train = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(model.languages) == train and len(train) > 200
+    assert sum(p == lang for (p, _), (_, _, lang) in zip(model.predict([t for _, t, _ in rows]), rows) if lang in train) >= 0.9 * len(train)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 100)
+    with pytest.raises(ValueError, match="more than 100 languages"):
+        langid.fit(docs)
+
+
+def test_batches_score_as_single_texts(monkeypatch):
+    r = random.Random(8)
+    model = langid.Model(["a", "b", "c"], np.array([3, 2, 1]), np.array([[r.randint(0, 9) for _ in range(langid.BUCKETS)] for _ in range(3)]))
+    texts = ["".join(r.choice("abc déf") for _ in range(r.choice([0, 3, 40, 5000]))) for _ in range(60)] + [None, "", "12"]
+    single = [model.predict([t])[0] for t in texts]
+    monkeypatch.setattr(langid, "_CHUNK", 100)
+    monkeypatch.setattr(langid, "_GRAMS", 3000)
+    for (l, s), (m, z) in zip(model.predict(texts), single):
+        assert l == m and abs(s - z) < 1e-9
+
+
+def test_without_known_languages_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "abc", None), (2, "ñ", None), (3, "12 !", None), (4, None, None), (5, "", None)], "doc_id long, text string, lang string")
+    assert sorted(x.doc_id for x in langid.keep_identified(docs).collect()) == [1, 2]
+
+
 def test_held_out_accuracy(spark):
     docs = read(spark, SF01, "documents")
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
