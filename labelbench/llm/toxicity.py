@@ -100,13 +100,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 def _dictionary_words(sample: DataFrame, n_toxic: int, n_ordinary: int) -> list[str]:
     """Over-represented words, strongest last; their number is bounded by the toxic content's size.
     A word's support is the number of different words in front of it, so copies of a document
-    count once."""
-    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: (w != "") & (F.length(w) <= 64))
+    count once.  A word longer than the toxic content cannot be part of it."""
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     pairs = F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, before: F.struct(w.alias("word"), before.alias("before")))
-    each = sample.select("toxic", F.explode(F.array_distinct(pairs)).alias("p")).select("toxic", "p.word", "p.before")
+    each = sample.select("toxic", F.explode(pairs).alias("p")).select("toxic", "p.word", "p.before")
     counts = each.where("word is not null").distinct().groupBy("word").agg(
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     least = max(LEAST_CONTEXTS, SUPPORT * n_toxic)
+    counts = counts.where(F.octet_length("word") <= TOXIC_BYTES)
     strong = counts.where((F.col("t") >= least) & (F.col("t") / n_toxic >= LIFT * (F.col("o") + 0.5) / n_ordinary))
     return [r.word for r in strong.orderBy(F.desc("t"), "word").limit(TOXIC_BYTES // 2).collect()][::-1]
 
@@ -115,8 +116,8 @@ def _ordinary_text(sample: DataFrame) -> bytes:
     """One stretch of a window's words from the middle of ordinary documents, until the content is full."""
     words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
     start = F.floor(F.size(words) / 2).cast("int") + 1
-    lines = sample.where("toxic = 0").select(F.xxhash64("doc_id").alias("h"), F.substring(F.concat_ws(" ", F.slice(words, start, WINDOW)), 1, 200).alias("line"))
-    lines = lines.where("line <> ''").orderBy("h", "line").limit(ORDINARY_BYTES // 20).collect()
+    lines = sample.where("toxic = 0").select(F.xxhash64("doc_id").alias("h"), F.concat_ws(" ", F.slice(words, start, WINDOW)).alias("line"))
+    lines = lines.where((F.col("line") != "") & (F.octet_length("line") <= ORDINARY_BYTES)).orderBy("h", "line").limit(ORDINARY_BYTES // 20).collect()
     return " ".join(r.line for r in lines).encode()[:ORDINARY_BYTES]
 
 
