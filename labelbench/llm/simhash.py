@@ -30,8 +30,9 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .tables import batch, cut_lineage, id_and_text, rows_of
@@ -219,6 +220,15 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, one row for each; rows with a
     null doc_id stay, since nothing says which group they belong to."""
     heads = near_duplicates(docs, shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    kept = docs.join(heads, "doc_id", "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    # the smallest version of an id, by an aggregate that is combined before the shuffle; columns without an order come along
+    def ordered(t):
+        if isinstance(t, T.ArrayType):
+            return ordered(t.elementType)
+        if isinstance(t, T.StructType):
+            return all(ordered(f.dataType) for f in t)
+        return not isinstance(t, (T.MapType, T.VariantType))
+
+    at = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema if f.name != "doc_id" and ordered(f.dataType)])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, at).alias("__row")).select("__row.*")
+    return one.unionByName(docs.where("doc_id is null"))

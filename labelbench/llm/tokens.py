@@ -27,7 +27,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words in one generation of the memo (two are kept, about 200 bytes a word).
 MEMO_WORDS = 400_000
 #: Bytes of the texts that ``batch`` cuts at a time.
-SLICE = 16_000_000
+SLICE = 8_000_000
 
 # White space as the tokenizer's pattern sees it (Unicode White_Space).
 _WS = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"

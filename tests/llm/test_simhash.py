@@ -96,3 +96,12 @@ def test_near_duplicates(spark):
     assert kept.columns == docs.columns
     assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == sorted({c for _, _, c in pairs})
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_with_columns_that_have_no_order(spark):
+    rows = [(1, "a b c d", {"k": 1}), (1, "a b c d", {"k": 1}), (1, "a b c c", {"k": 0}), (2, "a b c d", {"k": 2}), (3, "quite other words here", {}), (None, "a b c d", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>")
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted((x.doc_id or 0, x.text) for x in out.collect())
+    assert got == [(0, "a b c d"), (1, "a b c c"), (3, "quite other words here")]
