@@ -154,8 +154,15 @@ class Automaton:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents under (d, v): id, and hash of the text, which keeps versions of one id apart."""
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("v", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """The documents under (d, v): id, and for ids with several texts the hash of the text, which keeps them apart (else 0,
+    which takes no room in the shuffles)."""
+    keyed = docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = keyed.select("d", text.alias("h")).groupBy("d").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
+    several = cut_lineage(several.select("d", F.lit(True).alias("several")))
+    if several.isEmpty():
+        return keyed.withColumn("v", F.lit(0).cast("long"))
+    return keyed.join(several, "d", "left").withColumn("v", F.when(F.col("several"), text).otherwise(F.lit(0).cast("long"))).drop("several")
 
 
 def _context_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
