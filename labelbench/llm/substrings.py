@@ -211,7 +211,8 @@ def _judged(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _open_contexts(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
-    """The words of open contexts, under their anchor, or window by window under the window's hash."""
+    """The words of open contexts, under their anchor, or window by window under the window's hash.  All columns of ``docs``
+    go to the join, as they do where the spans come back to the texts, so that one shuffle of them serves both."""
 
     def run(batches):
         seen: dict = {}  # hashes of windows that this task has sent on: the first place
@@ -236,7 +237,7 @@ def _open_contexts(docs: DataFrame, open_: DataFrame, size: int) -> DataFrame:
                 yield batch(_OPEN, list(zip(*out)))
 
     todo = open_.groupBy("d", "v").agg(F.collect_list(F.struct("at", "anchor", "many")).alias("todo"))
-    return docs.select("d", "v", "text").join(todo, ["d", "v"]).mapInArrow(run, "key long, d long, v long, pos long, lo long, hi long, words binary")
+    return docs.join(todo, ["d", "v"]).mapInArrow(run, "key long, d long, v long, pos long, lo long, hi long, words binary")
 
 
 def _matched(contexts_: DataFrame, size: int) -> DataFrame:
@@ -312,9 +313,8 @@ def report(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOST
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield batch(schema, list(zip(*out)) or [[]] * 4)
 
-    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    spans = repeated_spans(keyed, size, gram, most)
-    joined = keyed.select("d", "v", "text").join(spans, ["d", "v"], "left")
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("d", "v", "text")
+    joined = keyed.join(repeated_spans(keyed, size, gram, most), ["d", "v"], "left")
     doc_id = F.when(F.col("d") != _NULL_ID, F.col("d")).alias("doc_id")
     return joined.select(doc_id, "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -325,9 +325,8 @@ def remove(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOST
     names = docs.columns
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text = f"c{names.index('text')}"
-    keyed = _keyed(renamed.withColumn("doc_id", F.col(f"c{names.index('doc_id')}")).withColumn("text", F.col(text)))
-    spans = repeated_spans(keyed, size, gram, most)
-    joined = keyed.drop("doc_id", text).join(spans, ["d", "v"], "left").drop("d", "v")
+    keyed = _keyed(renamed.withColumn("doc_id", F.col(f"c{names.index('doc_id')}")).withColumn("text", F.col(text))).drop("doc_id", text)
+    joined = keyed.join(repeated_spans(keyed, size, gram, most), ["d", "v"], "left").drop("d", "v")
 
     def run(batches):
         for rows in batches:
