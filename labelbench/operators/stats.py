@@ -39,11 +39,7 @@ def signed_rank_table(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFram
     (each n folds 1..n into a count array), so nothing but 50 numbers is
     planned on the driver; the size depends only on ``max_n`` (22,150 rows for
     50), which is what makes broadcasting it safe."""
-    def add_rank(acc, k):
-        return F.transform(F.sequence(F.lit(0), F.size(acc) - 1 + k),
-                           lambda w: F.coalesce(F.get(acc, w), F.lit(0).cast("long"))
-                           + F.coalesce(F.get(acc, w - k), F.lit(0).cast("long")))
-    counts = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.lit(1).cast("long")), add_rank)
+    counts = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.lit(1).cast("long")), _with_rank)
     rows = (spark.range(1, max_n + 1).select(F.col("id").cast("int").alias("n"))
             .select("n", F.posexplode(counts).alias("w", "c")))
     w = Window.partitionBy("n").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
@@ -51,6 +47,20 @@ def signed_rank_table(spark: SparkSession, max_n: int = EXACT_MAX_N) -> DataFram
                        (F.sum("c").over(w) / F.pow(F.lit(2.0), F.col("n"))).alias("cdf"))
 
 
+def _with_rank(counts: Column, k: Column) -> Column:
+    """Subsets by their sum, from those without an item of size ``k``."""
+    return F.transform(F.sequence(F.lit(0), F.size(counts) - 1 + k),
+                       lambda w: F.coalesce(F.get(counts, w), F.lit(0).cast("long")) + F.coalesce(F.get(counts, w - k), F.lit(0).cast("long")))
+
+
+def mid_rank_cdf(doubled: Column, t: Column) -> Column:
+    """P(W+ <= t) where each of the mid-ranks (an array, doubled so that they are whole) has either sign with
+    probability 1/2: a fold over the group's own ranks, at most 2^n subsets in n(n + 1) + 1 sums."""
+    counts = F.aggregate(doubled, F.array(F.lit(1).cast("long")), _with_rank)
+    below = F.aggregate(F.slice(counts, 1, F.round(2 * t).cast("int") + 1), F.lit(0).cast("long"), lambda acc, c: acc + c)
+    return below / F.pow(F.lit(2.0), F.size(doubled))
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function for x >= 0 as a column expression."""
     y = x * x
@@ -89,8 +99,9 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
     Zero differences are dropped.  ``method="auto"``: exact p = min(1, 2 P(W+ <= T)) when
     there are no zeros and no ties and n <= ``exact_max_n``, otherwise the normal approximation
     with tie correction and no continuity correction.  ``"approx"`` approximates every group;
-    ``"exact"`` raises for a group that has zeros, ties or more than ``exact_max_n`` pairs (the
-    null distribution is a table of about exact_max_n^3 / 6 rows).  All-zero -> NULL p.
+    ``"exact"`` takes the null distribution of a group's own mid-ranks, so ties and zeros (dropped) are exact
+    as well: of all 2^n signs, those whose sum is no larger than T; it raises beyond ``exact_max_n`` pairs.
+    All-zero -> NULL p.
 
     With ``value_col`` the groups also carry the mean and count of that column.
 
@@ -119,25 +130,29 @@ def wilcoxon_signed_rank(pairs: DataFrame, group_cols: list[str], d_col: str = "
         F.sum(F.when(d < 0, F.col("__r")).otherwise(0.0)).alias("w_minus"),
         F.sum(F.when(nz, F.col("__t") * F.col("__t") - 1).otherwise(0)).alias("tie_term"),
         F.max(F.when(nz, F.col("__t"))).alias("max_tie"),
-        *[a for c in own for a in (F.avg(c).alias("value_mean"), F.count(c).alias("value_n"))])
+        *[a for c in own for a in (F.avg(c).alias("value_mean"), F.count(c).alias("value_n"))],
+        *([F.collect_list(F.when(nz, (2 * F.col("__r")).cast("int"))).alias("__ranks")] if method == "exact" else []))
     s = s.withColumn("t_stat", F.least("w_plus", "w_minus"))
     exact = (F.col("n_zero") == 0) & (F.coalesce(F.col("max_tie"), F.lit(1)) <= 1) & \
             (F.col("n") <= exact_max_n) & (F.col("n") > 0)
     if method == "approx":
         exact = F.lit(False)
     elif method == "exact":
-        exact = F.when(exact | (F.col("n") == 0), exact).otherwise(
-            F.raise_error(F.lit("no exact null distribution: zeros, ties or too many pairs")).cast("boolean"))
+        exact = F.when(F.col("n") <= exact_max_n, F.col("n") > 0).otherwise(
+            F.raise_error(F.lit("no exact null distribution: too many pairs")).cast("boolean"))
     s = s.withColumn("method", F.when(F.col("n") == 0, F.lit(None).cast("string"))
                      .when(exact, F.lit("exact")).otherwise(F.lit("approx")))
     n = F.col("n").cast("double")
     mn = n * (n + 1) / 4.0
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * F.col("tie_term")) / 24.0)
     s = s.withColumn("z", F.when(F.col("method") == "approx", F.try_divide(F.col("t_stat") - mn, se)))
-    table = F.broadcast(signed_rank_table(spark, exact_max_n).withColumnRenamed("n", "__n"))
-    s = s.withColumn("__w", F.floor("t_stat").cast("int"))
-    s = s.join(table, (F.col("__n") == F.col("n")) & (F.col("w") == F.col("__w")) &
-               (F.col("method") == "exact"), "left")
+    if method == "exact":
+        s = s.withColumn("cdf", F.when(F.col("n") <= exact_max_n, mid_rank_cdf(F.col("__ranks"), F.col("t_stat"))))
+    else:
+        table = F.broadcast(signed_rank_table(spark, exact_max_n).withColumnRenamed("n", "__n"))
+        s = s.withColumn("__w", F.floor("t_stat").cast("int"))
+        s = s.join(table, (F.col("__n") == F.col("n")) & (F.col("w") == F.col("__w")) &
+                   (F.col("method") == "exact"), "left")
     p = (F.when(F.col("method") == "exact", F.least(F.lit(1.0), 2 * F.col("cdf")))
          .when(F.col("method") == "approx", normal_sf2(F.col("z"))))
     return s.select(*g, "n", "n_zero", "w_plus", "w_minus", "t_stat", "method", "z", p.alias("p_value"),

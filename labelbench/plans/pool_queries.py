@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vectors import layer_norm, vsum
+from ..functions.vectors import argmax, layer_norm, vsum
 from ..operators import labels as L
 from ..operators import pooling as PO
 from ..operators import scoring as SC
@@ -169,7 +169,7 @@ def _v19(spark, sf):
     return spark.createDataFrame(rows, "cls int, dim int, weight double").withColumn("weight", F.round("weight", 8))
 
 
-def _v19_sql():
+def _v19_ctes():
     """Position 64 is the constant, so its weight is the bias."""
     ctes = ["WITH ex AS (SELECT vec_id, label, CAST(unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || [1.0]) AS DOUBLE) AS x, "
             "generate_subscripts(embedding || [1.0], 1) - 1 AS dim FROM embeddings)",
@@ -181,21 +181,24 @@ def _v19_sql():
             f"FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM z{k}))",
             f"g{k} AS (SELECT cls, dim, sum(r * x) / (SELECT count(*) FROM embeddings) AS g FROM p{k} JOIN ex USING (vec_id) GROUP BY ALL)",
             f"w{k + 1} AS (SELECT cls, dim, weight - {RATE!r} * g AS weight FROM w{k} JOIN g{k} USING (cls, dim))"]
-    return ",\n".join(ctes) + f"\nSELECT CAST(cls AS INTEGER) AS cls, CAST(dim AS INTEGER) AS dim, round(weight, 8) AS weight FROM w{STEPS}"
+    return ",\n".join(ctes)
 
 
-_reg("V19_fit_head", (_v19, _v19_sql()))
+_reg("V19_fit_head", (_v19, _v19_ctes() + f"\nSELECT CAST(cls AS INTEGER) AS cls, CAST(dim AS INTEGER) AS dim, round(weight, 8) AS weight FROM w{STEPS}"))
 
 
 def _v19_predictions(spark, sf):
-    emb = _labelled_vectors(spark, sf).withColumn("label", F.col("label").cast("double"))
-    model = SC.fit_head(emb, "vec", "label", max_iter=50)
-    pred = SC.predict_head(model, emb)
-    return pred.select("example_id", F.col("label").cast("int").alias("y_true"),
-                       F.col("prediction").cast("int").alias("y_pred"))
+    """The class of the largest logit (rounded, so that the order of a sum decides nothing; the first of equals)."""
+    emb = _labelled_vectors(spark, sf)
+    w, b = SC.fit_head_steps(emb, N_CLASSES, HIDDEN, steps=STEPS, rate=RATE)
+    scored = emb.withColumn("logits", F.transform(SC.linear("vec", w, b), lambda z: F.round(z, 8)))
+    return scored.select("example_id", F.col("label").alias("y_true"), argmax("logits").cast("int").alias("y_pred"))
 
 
-_reg("V19_fit_head_predictions", (_v19_predictions, None))
+_reg("V19_fit_head_predictions", (_v19_predictions, _v19_ctes() + f""",
+scored AS (SELECT vec_id, label, cls, round(sum(x * weight), 8) AS z FROM ex JOIN w{STEPS} USING (dim) GROUP BY ALL)
+SELECT vec_id AS example_id, CAST(label AS INTEGER) AS y_true, CAST(cls AS INTEGER) AS y_pred FROM scored
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, cls) = 1"""))
 
 
 # -- labels -----------------------------------------------------------------

@@ -71,6 +71,36 @@ def test_wilcoxon_against_enumeration(spark):
             assert got[g].p_value == pytest.approx(want, rel=1e-11), g
 
 
+def test_exact_with_ties_and_zeros_against_enumeration(spark):
+    """All sign patterns of the groups' own mid-ranks."""
+    import random
+    r = random.Random(11)
+    groups = {f"r{k}": [r.choice([-0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 0.4]) for _ in range(r.randint(1, 12))] for k in range(25)}
+    groups |= {g: ds for g, ds in GROUPS.items() if len(ds) <= 12} | {"same": [0.5] * 12, "long": [0.1 * (i // 3 + 1) * (-1) ** (i % 4 == 0) for i in range(50)]}
+    rows = [(g, float(x)) for g, ds in groups.items() for x in ds]
+    got = {x.g: x for x in ST.wilcoxon_signed_rank(spark.createDataFrame(rows, "g string, d double"), ["g"], "d", method="exact").collect()}
+    assert set(got) == set(groups)
+    for g, ds in groups.items():
+        nz = [x for x in ds if x]
+        if not nz:
+            assert got[g].p_value is None and got[g].method is None
+            continue
+        a = sorted(map(abs, nz))
+        rank = [a.index(abs(x)) + a.count(abs(x)) / 2 + 0.5 for x in nz]
+        t = min(sum(k for k, x in zip(rank, nz) if x > 0), sum(k for k, x in zip(rank, nz) if x < 0))
+        sums = {0.0: 1}  # subsets of the ranks by their sum; for short groups this is the enumeration of all signs
+        for k in rank:
+            sums = {w: sums.get(w, 0) + sums.get(w - k, 0) for w in {*sums, *(w + k for w in sums)}}
+        if len(nz) <= 10:
+            assert sum(sums.values()) == sum(1 for _ in itertools.product([0, 1], repeat=len(nz)))
+            assert sum(c for w, c in sums.items() if w <= t) == sum(sum(k for k, s in zip(rank, signs) if s) <= t for signs in itertools.product([0, 1], repeat=len(nz)))
+        want = min(1.0, 2 * sum(c for w, c in sums.items() if w <= t) / 2 ** len(nz))
+        assert got[g].method == "exact" and got[g].p_value == pytest.approx(want, rel=1e-12), g
+    too_many = spark.createDataFrame([("g", float(i + 1)) for i in range(51)], "g string, d double")
+    with pytest.raises(Exception, match="too many pairs"):
+        ST.wilcoxon_signed_rank(too_many, ["g"], "d", method="exact").collect()
+
+
 def _py_table(max_n):
     rows, counts = {}, [1]
     for n in range(1, max_n + 1):
