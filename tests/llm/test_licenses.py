@@ -1,5 +1,6 @@
 """Base phrases and the positional index against plain Python."""
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -14,32 +15,37 @@ def split(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
 
 
-def brute(rows):
+def frequencies(rows, templates):
     lists = [split(t) for _, t in rows]
-    vocabulary = {w for _, t, _ in licenses.TEMPLATES for w in t.split()}
+    vocabulary = {w for _, t, _ in templates for w in t.split()}
     df = Counter(w for words in lists for w in set(words) & vocabulary)
-    n = len(rows)
-    idf = {w: math.log((n + 1) / (df[w] + 1)) + 1 for w in vocabulary}
-    rare = {w for w in vocabulary if df[w] <= licenses.RARE * n}
+    return {w: math.log((len(rows) + 1) / (df[w] + 1)) + 1 for w in vocabulary}
+
+
+def brute(rows, templates=licenses.TEMPLATES):
+    """Every template in every document: the rarest of its words there vote at every place."""
+    idf = frequencies(rows, templates)
     out = []
-    for (i, _), words in zip(rows, lists):
+    for i, text in rows:
+        words = split(text)
         starts, base = [], set()
         for phrase, label in licenses.BASE.items():
             p = phrase.split()
             found = [s for s in range(len(words) - len(p) + 1) if words[s:s + len(p)] == p]
             starts += found
             base |= {label} if found else set()
-        rarest = sorted(set(words) & rare, key=lambda w: (-idf[w], w))[:licenses.LOOKED_UP]
         labels, best = set(base), 0.0
-        for label, text, keys in licenses.TEMPLATES:
-            own = text.split()
-            total = sum(sorted((idf[w] for w in set(own) & rare), reverse=True)[:licenses.LOOKED_UP])
+        for label, notice, keys in templates:
+            own = notice.split()
+            ranked = sorted(set(own), key=lambda w: (-idf[w], w))
+            rarest = [w for w in ranked if w in words][:licenses.LOOKED_UP]
             votes = defaultdict(set)
             for at, w in enumerate(words):
                 if w in rarest:
                     for p, v in enumerate(own):
                         if v == w:
                             votes[at - p].add(w)
+            total = sum(idf[w] for w in ranked[:licenses.LOOKED_UP])
             share = max((sum(idf[w] for w in s) / total for s in votes.values()), default=0)
             if share >= licenses.SHARE and any(f" {k} " in f" {' '.join(words)} " for k in keys):
                 labels.add(label)
@@ -114,3 +120,34 @@ def test_several_notices_in_one_text(spark):
     for x in out:
         assert texts[x.doc_id][1] <= set(x.labels.split(",") if x.labels else [])
         assert texts[x.doc_id][1] or not x.labels
+
+
+def test_rare_words_lose_nothing():
+    """Whatever weighs enough holds a rare word, and one rare word fewer would not do."""
+    for frequent in ([], ["software", "license", "the"], sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()})):
+        rows = [(i, " ".join(frequent) if i % 2 else "x") for i in range(50)]
+        idf = frequencies(rows, licenses.TEMPLATES)
+        for _, text, _ in licenses.TEMPLATES:
+            ranked, rare = licenses.by_rarity(text, idf), licenses.rare_words(text, idf)
+            weigh = lambda ws: sum(idf[w] for w in ws[:licenses.LOOKED_UP])
+            assert ranked[:len(rare)] == rare
+            assert weigh(ranked[len(rare):]) < licenses.SHARE * weigh(ranked)
+            assert len(rare) == 1 or weigh(ranked[len(rare) - 1:]) >= licenses.SHARE * weigh(ranked) - 1e-5
+
+
+def test_parts_of_notices_and_given_templates(spark):
+    """Notices with words left out, swapped or added, key phrases alone, and templates of the caller's own."""
+    rng = random.Random(3)
+    own = licenses.TEMPLATES + [("house", "internal use only within the example house rules", ["internal use only"]), ("one", "zyzzyva", ["zyzzyva"])]
+    rows = []
+    for _, text, keys in own * 6:
+        notice = text.split()
+        for _ in range(rng.randrange(1, 8)):
+            at = rng.randrange(len(notice))
+            notice[at:at + 1] = rng.choice([[], [notice[at], "word"], [rng.choice(text.split())]])
+            notice = notice or ["word"]
+        rows.append((len(rows), " ".join(notice)))
+        rows.append((len(rows), f"{keys[0]} and {' '.join(reversed(text.split()))}"))
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), own).collect()
+    _same(out, brute(rows, own))
+    assert {"house", "one"} <= {label for x in out for label in x.labels.split(",")}
