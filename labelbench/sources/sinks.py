@@ -2,8 +2,10 @@
 
 Stored tables are never rewritten: an append, an upsert or a metric log adds a version
 folder (``v=000001`` ...) that holds only what is new, and readers take all complete
-versions, so a lost executor or a failed job leaves the stored rows intact.
-``compact`` writes the table that readers see as one version elsewhere.
+versions, so a lost executor or a failed job leaves the stored rows intact.  A compacted
+folder (``c=000007-000000``: what readers saw up to version 7) stands in for the versions up to its number, which
+readers pass over from then on and their owner may delete.  ``compact`` writes the table that
+readers see as one version elsewhere.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def write_split_jsonl(df: DataFrame, path: str, cols=("src", "label"), extra=()) -> None:
     """K1: one JSON-lines folder per split (``split=train`` ...), overwritten."""
@@ -44,30 +48,40 @@ def write_predictions(files: DataFrame, path: str, key_cols=("run_id", "file"),
      .write.mode("overwrite").partitionBy(*key_cols).text(path))
 
 
-def _versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
-    """Version numbers under ``path``; ``complete`` keeps only folders whose
-    write finished (``_SUCCESS``)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = re.fullmatch(r"v=(\d+)", st.getPath().getName())
-        if m and (not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-def read_versions(spark: SparkSession, path: str) -> DataFrame | None:
-    """Rows of all complete versions with their number ``__version``; None if there is none."""
-    found = _versions(spark, path)
-    if not found:
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    fs, p = _hadoop(spark, f"{folder}/_SUCCESS")
+    return fs.exists(p)
+
+
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """(number, -1 for a version or the attempt of a compaction, name) of every folder, also of writes that failed."""
+    fs, p = _hadoop(spark, path)
+    found = [re.fullmatch(r"v=(\d+)|c=(\d+)-(\d+)", st.getPath().getName()) for st in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted((int(m[1] or m[2]), int(m[3] or 0) if m[2] else -1, m[0]) for m in found if m)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders that hold the stored rows: the last complete compaction and the complete versions after it."""
+    out: list[str] = []
+    for _, attempt, name in _folders(spark, path):
+        if _complete(spark, f"{path}/{name}"):
+            out = [name] if attempt >= 0 else out + [name]
+    return out
+
+
+def read_versions(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame | None:
+    """Rows of all complete versions (or of those in ``names``) with their number ``__version``; None if there is none."""
+    names = _versions(spark, path) if names is None else names
+    if not names:
         return None
-    rows = spark.read.option("mergeSchema", True).parquet(*[f"{path}/v={v:06d}" for v in found])
-    number = F.regexp_extract("_metadata.file_path", r"/v=(\d+)/[^/]*$", 1).cast("int")
+    rows = spark.read.option("mergeSchema", True).parquet(*[f"{path}/{n}" for n in names])
+    number = F.regexp_extract("_metadata.file_path", r"/[vc]=(\d+)[-\d]*/[^/]*$", 1).cast("int")
     return rows.select("*", number.alias("__version"))
 
 
@@ -94,30 +108,80 @@ def compact(table: DataFrame, path: str) -> None:
 
 def _write_next(df: DataFrame, path: str) -> str:
     # numbered past every folder, also one left by a job that died half way
-    v = _versions(df.sparkSession, path, complete=False)
-    nxt = f"{path}/v={(v[-1] + 1 if v else 1):06d}"
-    df.write.mode("errorifexists").parquet(nxt)
-    return nxt
+    found = _folders(df.sparkSession, path)
+    name = f"v={(found[-1][0] + 1 if found else 1):06d}"
+    df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    return name
+
 
+def compact_versions(table: DataFrame, path: str) -> str:
+    """``table`` (what a reader of ``path`` returned, with no write since) as the one folder that stands for the versions so far."""
+    found = _folders(table.sparkSession, path)
+    last = found[-1][0]
+    name = f"c={last:06d}-{sum(n == last and k >= 0 for n, k, _ in found):06d}"
+    table.write.mode("errorifexists").parquet(f"{path}/{name}")
+    return name
 
-def append_distinct(new: DataFrame, path: str) -> DataFrame:
+
+def _row_hash(df: DataFrame):
+    # by name, so that it does not depend on their order; a NULL adds nothing, so a column that a version lacks does not either
+    return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+
+
+def _index_rows(spark: SparkSession, path: str, name: str) -> None:
+    """The row hashes of a version, beside it: 8 bytes a row."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    rows.select(_row_hash(rows).alias("h")).write.mode("overwrite").parquet(f"{path}/_rows/{name}")
+
+
+def versions_that_may_hold(rows: DataFrame, path: str) -> list[str]:
+    """The versions where the hash of one of ``rows`` is stored, and those without hashes (of a write that failed after its
+    rows, or of an older library).  It reads hashes alone.  Every version that holds one of the rows is among them."""
+    spark = rows.sparkSession
+    names = _versions(spark, path)
+    indexed = [n for n in names if _complete(spark, f"{path}/_rows/{n}")]
+    if not indexed:
+        return names
+    name = F.regexp_extract("_metadata.file_path", r"/_rows/([^/]+)/[^/]*$", 1).alias("name")
+    stored = spark.read.parquet(*[f"{path}/_rows/{n}" for n in indexed]).select("h", name)
+    hit = stored.join(rows.select(_row_hash(rows).alias("h")), "h", "left_semi").select("name").distinct()
+    found = {r.name for r in hit.collect()}  # one row a version at most
+    return [n for n in names if n in found or n not in indexed]
+
+
+def append_distinct(new: DataFrame, path: str, compact_after: int | None = None) -> DataFrame:
     """K4: adds the rows of ``new`` that the table does not hold yet (equal in all columns, NULL
-    equal to NULL); the table is created when missing.  Returns the stored rows."""
+    equal to NULL); the table is created when missing.  Returns the stored rows.
+
+    Each version keeps the hashes of its rows beside it.  The new rows' hashes are looked up there, and only versions
+    that have one of them are read and compared column by column, so an append of rows that are all new reads no stored row.
+    A column of another type than the stored one is an error, before anything is written.
+    (64 bits a row, as many as a Bloom filter takes for one false hit in 10^13: a false hit reads a whole version, and at
+    a percent any large append would read them all.)  Above ``compact_after`` folders the stored rows are written as one."""
     spark, rows = new.sparkSession, new.dropDuplicates()
-    old = read_appended(spark, path)
-    if old is not None:
-        for c in old.columns:
-            if c not in rows.columns:
-                rows = rows.withColumn(c, F.lit(None).cast(old.schema[c].dataType))
-        for c in rows.columns:
-            if c not in old.columns:
-                old = old.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
-        o, n = old.alias("o"), rows.alias("n")
-        same = F.lit(True)
-        for c in rows.columns:
-            same = same & F.col(f"n.`{c}`").eqNullSafe(F.col(f"o.`{c}`"))
-        rows = n.join(o, same, "left_anti")
-    _write_next(rows, path)
+    names = _versions(spark, path)
+    if names:
+        rows = cut_lineage(rows)  # looked up, compared and written: the same rows each time
+        schema = read_versions(spark, path, names).drop("__version").schema
+        for f in schema.fields:
+            if f.name not in rows.columns:
+                rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+            elif rows.schema[f.name].dataType.simpleString() != f.dataType.simpleString():  # versions of both types could not be read together
+                raise TypeError(f"{f.name} is stored as {f.dataType.simpleString()}, not {rows.schema[f.name].dataType.simpleString()}")
+        old = read_versions(spark, path, versions_that_may_hold(rows, path))
+        if old is not None:
+            old = old.drop("__version")
+            for c in rows.columns:
+                if c not in old.columns:
+                    old = old.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+            o, n = old.alias("o"), rows.alias("n")
+            same = F.lit(True)
+            for c in rows.columns:
+                same = same & F.col(f"n.`{c}`").eqNullSafe(F.col(f"o.`{c}`"))
+            rows = n.join(o, same, "left_anti")
+    _index_rows(spark, path, _write_next(rows, path))
+    if compact_after is not None and len(names) + 1 > compact_after:
+        _index_rows(spark, path, compact_versions(read_appended(spark, path), path))
     return read_appended(spark, path)
 
 
@@ -162,9 +226,9 @@ def weight_history_wide(hist: DataFrame, n: int, epoch_col: str = "epoch", weigh
                        *[F.get(F.col(weights_col), i).alias(str(i)) for i in range(n)])
 
 
-def write_weight_history(hist: DataFrame, path: str, n: int) -> DataFrame:
+def write_weight_history(hist: DataFrame, path: str, n: int, compact_after: int | None = None) -> DataFrame:
     """K8: wide weight rows appended with K4 semantics."""
-    return append_distinct(weight_history_wide(hist, n), path)
+    return append_distinct(weight_history_wide(hist, n), path, compact_after)
 
 
 def write_result_tables(matrices: DataFrame, path: str) -> None:

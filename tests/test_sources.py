@@ -3,6 +3,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelbench.sources import readers as RD
 from labelbench.sources import sinks as SK
@@ -225,3 +226,69 @@ def test_appends_write_only_new_rows(spark, tmp_dir):
     SK.append_distinct(spark.createDataFrame([(1, None), (2, "y")], "k int, v string"), path)
     SK.append_distinct(spark.createDataFrame([(1, None), (3, "z")], "k int, v string"), path)
     assert [tuple(r) for r in spark.read.parquet(f"{path}/v=000002").collect()] == [(3, "z")]
+
+
+def _spoil(folder):
+    """Overwrites the rows of a version; the footers with the schema stay."""
+    for name in os.listdir(folder):
+        if name.endswith(".crc"):
+            os.remove(os.path.join(folder, name))
+        elif name.endswith(".parquet"):
+            with open(os.path.join(folder, name), "r+b") as f:
+                f.seek(4)
+                f.write(b"\xff" * 12)
+
+
+def test_append_reads_only_versions_that_may_hold_its_rows(spark, tmp_dir):
+    path, ddl = os.path.join(tmp_dir, "held"), "k int, x double, v string"
+    batch = lambda lo, hi: spark.createDataFrame([(i, i / 2, f"v{i}" * 20) for i in range(lo, hi)], ddl)
+    for lo in (0, 100, 200):
+        SK.append_distinct(batch(lo, lo + 100), path)
+    assert SK.versions_that_may_hold(batch(300, 400), path) == []
+    assert SK.versions_that_may_hold(batch(150, 160), path) == ["v=000002"]
+    assert SK.versions_that_may_hold(batch(199, 201), path) == ["v=000002", "v=000003"]
+    _spoil(f"{path}/v=000001")
+    with pytest.raises(Exception):
+        SK.read_appended(spark, path).collect()
+    SK.append_distinct(batch(250, 350), path)  # reads version 3 alone
+    assert sorted(r.k for r in spark.read.parquet(f"{path}/v=000004").collect()) == list(range(300, 350))
+
+
+def test_append_hashes_agree_with_equality(spark, tmp_dir):
+    """NULLs, signed zeros, NaN, columns in another order, missing, new or of another type, nested values, a version without hashes."""
+    path, nan = os.path.join(tmp_dir, "alike"), float("nan")
+    first = spark.createDataFrame([(1, 0.0, ["a", None]), (2, nan, None), (None, None, [])], "k int, x double, a array<string>")
+    SK.append_distinct(first, path)
+    again = spark.createDataFrame([(["a", None], -0.0, 1), (None, nan, 2), ([], None, None)], "a array<string>, x double, k int")
+    assert SK.append_distinct(again, path).count() == 3
+    assert SK.append_distinct(again.withColumn("more", F.lit(None).cast("string")), path).count() == 3
+    assert SK.append_distinct(spark.createDataFrame([(2, nan)], "k int, x double"), path).count() == 3
+    assert SK.append_distinct(first.withColumn("more", F.lit("m")), path).count() == 6
+    other = os.path.join(tmp_dir, "wider")
+    SK.append_distinct(spark.createDataFrame([(1,), (2,)], "k int"), other)
+    with pytest.raises(TypeError):
+        SK.append_distinct(spark.createDataFrame([(1,), (2,)], "k long"), other)
+    assert SK.read_appended(spark, other).count() == 2
+    plain = os.path.join(tmp_dir, "plain")
+    spark.createDataFrame([(1, "x")], "k int, v string").write.parquet(f"{plain}/v=000001")
+    assert SK.append_distinct(spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), plain).count() == 2
+
+
+def test_appends_are_compacted(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "many")
+    for i in range(6):
+        SK.append_distinct(spark.createDataFrame([(i, "x"), (i + 1, "x")], "k int, v string"), path, compact_after=3)
+    assert "c=000004-000000" in os.listdir(path) and len(SK._versions(spark, path)) == 3
+    for name in ("v=000001", "v=000004"):  # nothing below the compacted folder is read any more
+        _spoil(f"{path}/{name}")
+    assert sorted(r.k for r in SK.read_appended(spark, path).collect()) == list(range(7))
+    os.makedirs(f"{path}/c=000006-000000")  # a compaction that died
+    SK.append_distinct(spark.createDataFrame([(2, "x"), (9, "x")], "k int, v string"), path, compact_after=3)
+    assert sorted(r.k for r in SK.read_appended(spark, path).collect()) == [0, 1, 2, 3, 4, 5, 6, 9]
+    assert SK.versions_that_may_hold(spark.createDataFrame([(3, "x")], "k int, v string"), path) == ["c=000007-000000"]
+    up = os.path.join(tmp_dir, "kv2")
+    for i in range(3):
+        SK.upsert_by_key(spark.createDataFrame([(1, i), (i + 5, i)], "k int, v int"), up, "k")
+    SK.compact_versions(SK.read_upserted(spark, up, "k"), up)
+    got = SK.upsert_by_key(spark.createDataFrame([(5, 9)], "k int, v int"), up, "k")
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, 2), (5, 9), (6, 1), (7, 2)]
