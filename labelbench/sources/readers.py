@@ -8,9 +8,8 @@ dense across files in the order of the given paths, then of the file names.
 Line-oriented layouts are read with the splittable text and CSV sources, in one scan whose rows
 are written once.  A row's position inside its split comes from the order in which that scan brought it, the
 rows of the splits before it from one small count table per (file, split).
-Single-document layouts (a JSON array or object per file) are read with
-``wholetext`` - one task per file, since such a file cannot be split anyway -
-and should be converted to parquet once.
+Single-document layouts (a JSON array or object per file) are split at closing braces
+(see ``documents``), so a large file is read by many tasks too.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions.text import py_strip
 from ..operators.labels import map_labels, map_split_names
 from ..session import cut_lineage
+from .documents import read_pieces
 
 
 def list_files(spark: SparkSession, paths) -> list[str]:
@@ -70,13 +70,6 @@ def _placed(df: DataFrame, *cols) -> DataFrame:
                      F.monotonically_increasing_id().alias("__at"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _lines(spark: SparkSession, paths, keep_blank: bool = True) -> tuple[DataFrame, DataFrame]:
     """(line, place) for every line of text files, in one scan over all paths, and the files; a carriage return before the line feed goes."""
     names, files = _files(spark, paths)
@@ -107,59 +100,73 @@ def _numbered(rows: DataFrame, files: DataFrame, per_path: bool = False) -> Data
                .drop(*place, "__at", "__first", "__off")
 
 
-def _documents(spark: SparkSession, paths, src: int = 0) -> DataFrame:
-    """(value, file_src, file_path): each file as one row."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return _union([spark.read.text(p, wholetext=True).select(
-        "value", F.lit(src + i).alias("file_src"), F.col("_metadata.file_path").alias("file_path")) for i, p in enumerate(paths)])
+def _elements(spark: SparkSession, paths: list[str], opening: str) -> DataFrame:
+    """(file_no, file_src, file_start, at, body) for the pieces of JSON documents; a file that is named twice is there twice."""
+    found = [(p, list_files(spark, p)) for p in paths]
+    for p, files in found:
+        if not files and not _exists(spark, p):
+            raise FileNotFoundError(f"no files behind {p}")
+    named = [(f, src) for src, (_, files) in enumerate(found) for f in files]
+    uris = [(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f).toUri().toString(), no, src) for no, (f, src) in enumerate(named)]
+    known = spark.createDataFrame(uris, "uri string, file_no int, file_src int").withColumn("uri", _uri(F.col("uri")))
+    pieces = read_pieces(spark, list(dict.fromkeys(f for f, _ in named)) or paths, opening)
+    pieces = pieces.withColumn("uri", _uri(F.col("file_path"))).join(known, "uri", "left")
+    lost = F.raise_error(F.concat(F.lit("a file of no path: "), F.col("file_path"))).cast("int")
+    return pieces.select(F.coalesce("file_no", lost).alias("file_no"), "file_src", "file_start", "at", "body")
 
 
-_FILE = ["file_src", "file_path"]
+def _exists(spark: SparkSession, path: str) -> bool:
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hp))
 
 
-def _dense_ord(df: DataFrame) -> DataFrame:
-    """ord = rows in earlier files + ``pos``; offsets come from one small count table."""
-    counts = df.groupBy(*_FILE).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(*_FILE).rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    off = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    return df.join(off, _FILE).withColumn("ord", (F.col("__off") + F.col("pos")).cast("long")).drop("__off", "pos", *_FILE)
+def _dense_ord(rows: DataFrame) -> DataFrame:
+    """ord from (file_no, file_start, at, pos): the place in the split, and the rows of the splits before it from one
+    small count table."""
+    split = ["file_no", "file_start"]
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    start = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("n")) \
+                .select(*split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    place = F.row_number().over(Window.partitionBy(*split).orderBy("at", "pos"))
+    return rows.withColumn("place", place).join(start, split) \
+               .withColumn("ord", (F.col("off") + F.col("place") - 1).cast("long"))
+
+
+def _array_rows(spark: SparkSession, paths: list[str], element: str) -> DataFrame:
+    """(file_src, r, ord) for the elements of JSON arrays."""
+    pieces = _elements(spark, paths, "[")
+    return _dense_ord(pieces.select("file_no", "file_src", "file_start", "at", F.posexplode(
+        F.from_json("body", f"array<{element}>", {"mode": "FAILFAST"})).alias("pos", "r")))
 
 
 def read_json_array(spark: SparkSession, paths, schema: str | T.StructType) -> DataFrame:
-    """Whole-file JSON array; ``ord`` = array position (dense across files)."""
+    """JSON arrays of objects, each file of any size in as many tasks as it has splits; ``ord`` = array position
+    (dense across files).  Null elements are rows of nulls."""
     ddl = schema if isinstance(schema, str) else schema.simpleString()
-    arr = f"array<{ddl}>"
-    d = _documents(spark, paths)
-    rows = d.select(*_FILE, F.posexplode(F.from_json("value", arr, {"mode": "FAILFAST"})).alias("pos", "r"))
-    return _dense_ord(rows.select(*_FILE, "pos", "r.*"))
+    rows = _array_rows(spark, [paths] if isinstance(paths, str) else list(paths), ddl)
+    return rows.select("r.*", "ord")
 
 
 def read_labelled_sources(spark: SparkSession, sources: list[tuple[str, str]], field: str = "code") -> DataFrame:
     """Several JSON arrays, one literal label per file, concatenated in the
     given order (the first source's rows first)."""
-    schema = f"struct<{field}:string>"
-    parts = []
-    for i, (path, label) in enumerate(sources):
-        d = _documents(spark, path, i).select(
-            *_FILE, F.posexplode(F.from_json("value", f"array<{schema}>", {"mode": "FAILFAST"})).alias("pos", "r"))
-        parts.append(d.select(*_FILE, "pos", F.col(f"r.{field}").alias("src"), F.lit(label).alias("label")))
-    return _dense_ord(_union(parts))
+    rows = _array_rows(spark, [path for path, _ in sources], f"struct<{field}:string>")
+    labels = F.array(*[F.lit(label) for _, label in sources])
+    return rows.select(F.col(f"r.{field}").alias("src"), F.get(labels, F.col("file_src")).alias("label"), "ord")
 
 
 BIFI_VALUE = "struct<code_string:string,err_obj:struct<msg:string>>"
 
 
 def read_json_object(spark: SparkSession, path: str, value_schema: str = BIFI_VALUE) -> DataFrame:
-    """S3: JSON object ``id -> record`` with file order kept; a repeated key
-    resolves to its last value."""
-    d = _documents(spark, path)
-    m = F.from_json("value", f"map<string,{value_schema}>", {"mode": "FAILFAST"})
-    rows = d.select(*_FILE, F.posexplode(m).alias("pos", "id", "r"))
-    # a repeated key keeps its first position and takes its last value (an ordered
-    # dict load); positions are renumbered inside the file (one file = one task)
-    rows = rows.groupBy(*_FILE, "id").agg(F.min("pos").alias("pos"), F.max_by("r", "pos").alias("r"))
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy(*_FILE).orderBy("pos")) - 1)
-    return _dense_ord(rows.select(*_FILE, "pos", "id", "r.*"))
+    """S3: JSON object ``id -> record`` with file order kept, a file in as many tasks as it has splits; a repeated key
+    of a file keeps its first position and takes its last value (an ordered dict load)."""
+    pieces = _elements(spark, [path] if isinstance(path, str) else list(path), "{")
+    rows = pieces.select("file_no", "file_start", "at", F.posexplode(
+        F.from_json("body", f"map<string,{value_schema}>", {"mode": "FAILFAST"})).alias("pos", "id", "r"))
+    rows = rows.withColumn("place", F.struct("file_start", "at", "pos")).groupBy("file_no", "id").agg(
+        F.min("place").alias("first"), F.max_by("r", "place").alias("r"))
+    return _dense_ord(rows.select("file_no", "first.*", "id", "r")).select("id", "r.*", "ord")
 
 
 def shard_paths(folder: str, dataset: str, split_in: str, n: int) -> list[str]:
