@@ -7,8 +7,13 @@ AQE turns into a broadcast once the dimension's real size is known.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..session import cut_lineage
@@ -23,6 +28,9 @@ ERROR_LABELS = {
     "invalid syntax": "invalid syntax",
 }
 
+#: Rows that share one dictionary of words; words of dictionaries and vocabulary, and chunks, in a partition.
+CHUNK, WORDS, CHUNKS = 1024, 1 << 18, 4
+
 # Input split names -> output split names.
 SPLIT_NAMES = {"train": "train", "dev": "valid", "eval": "test"}
 
@@ -98,6 +106,30 @@ def vocabulary(texts: DataFrame, src_col: str = "src", first_id: int = 0, tokens
     return dense_ranks(words, "token", "id", first_id).select("token", F.col("id").cast("int").alias("id"))
 
 
+def _by_place(df: DataFrame, id_col: str, words: str) -> DataFrame:
+    """The rows of ``df`` with their words as ``places`` in the dictionary of their chunk of at most ``CHUNK`` rows, whose
+    first row has the dictionary in ``words``.  Written once, as the chunks follow from the tasks."""
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("chunk", T.LongType()), df.schema[id_col], T.StructField("places", ints),
+                           T.StructField("words", T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        chunk = TaskContext.get().partitionId() << 33
+        for rows in batches:
+            for at in range(0, rows.num_rows, CHUNK):
+                part = rows.slice(at, CHUNK)
+                texts = part.column(1)
+                coded = pc.list_flatten(texts).dictionary_encode()
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy())])
+                places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.indices.cast(pa.int32()))
+                first = pa.ListArray.from_arrays(pa.array([0] + [len(coded.dictionary)] * len(part), pa.int32()), coded.dictionary.cast(pa.string()),
+                                                 mask=pa.array([False] + [True] * (len(part) - 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), part.column(0), places, first], schema.names)
+                chunk += 1
+
+    return cut_lineage(df.select(id_col, words).mapInArrow(run, schema))
+
+
 def encode_fixed_length(df: DataFrame, vocab: DataFrame, id_col: str, src_col: str = "src",
                         max_length: int = 512, bos_id: int = 0, eos_id: int = 2,
                         pad_id: int | None = 1, unk_id: int = 3, tokens_col: str | None = None) -> DataFrame:
@@ -107,20 +139,35 @@ def encode_fixed_length(df: DataFrame, vocab: DataFrame, id_col: str, src_col: s
 
     Only the positions that fit the fixed length leave the token array (that cut is the
     operator's definition).  ``tokens_col`` takes an already tokenized array column
-    instead of ``src_col``."""
+    instead of ``src_col``.
+
+    The vocabulary is joined to the different words of each chunk of rows, not to every word: a frequent word comes
+    once a chunk, so no task gets much of it.  The chunks' ids meet their rows by chunk.  Both shuffles have
+    partitions by the number of their rows, so a task's share does not grow with the tables."""
     pad = eos_id if pad_id is None else pad_id
-    keep = max_length - 2
-    # posexplode_outer keeps a text without tokens as one row with a NULL position
+    # a text without tokens is a row of length 0
     arr = F.col(tokens_col) if tokens_col else tokens(src_col)
-    toks = df.select(id_col, F.posexplode_outer(F.slice(arr, 1, keep)).alias("p", "token"))
-    ids = (toks.join(vocab, "token", "left")
-           .select(id_col, "p", F.when(F.col("p").isNotNull(), F.coalesce(F.col("id"), F.lit(unk_id))).alias("tid")))
-    item = F.when(F.col("p").isNotNull(), F.struct("p", "tid"))  # NULL items are not collected
-    seq = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    body = F.transform(F.col("__s"), lambda s: s["tid"])
-    full = F.concat(F.array(F.lit(bos_id)), body, F.array(F.lit(eos_id)))
-    n = F.size(full)
-    padded = F.concat(full, F.array_repeat(F.lit(pad), F.greatest(F.lit(max_length) - n, F.lit(0))))
-    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(max_length) - n, F.lit(0))))
-    return seq.select(id_col, padded.cast("array<int>").alias("input_ids"),
-                      mask.cast("array<int>").alias("attention_mask"))
+    rows = _by_place(df.select(id_col, F.slice(arr, 1, max_length - 2).alias("__words")), id_col, "__words")
+    many = rows.agg(F.count("words").alias("chunks"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
+    by_word, by_chunk = 1 + (many.words + vocab.count()) // WORDS, 1 + many.chunks // CHUNKS
+    words = rows.select("chunk", F.posexplode("words").alias("place", "token")).repartition(by_word, "token")
+    ids = (words.join(vocab.select("token", F.col("id").cast("int").alias("id")).repartition(by_word, "token"), "token")
+           .select(F.col("chunk").alias("of"), "place", "id").repartition(by_chunk, "of"))
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([df.schema[id_col], T.StructField("input_ids", ints), T.StructField("attention_mask", ints)])
+
+    def encode(texts, found):
+        places = pc.fill_null(pc.list_flatten(texts.column("places")), -1).to_numpy()
+        known = np.full(places.max(initial=-1) + 2, unk_id, np.int32)  # the last is for a null word
+        known[found.column("place").to_numpy()] = found.column("id").to_numpy()
+        end, at = pc.list_value_length(texts.column("places")).to_numpy()[:, None] + 1, np.arange(max_length)
+        full = np.full((len(end), max_length), pad, np.int32)
+        full[:, 0] = bos_id
+        full[(at > 0) & (at < end)] = known[places]
+        full[at == end] = eos_id
+        offsets = pa.array(np.arange(len(end) + 1) * max_length, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.int32())) for x in (full, (at <= end).astype(np.int32))]
+        return pa.Table.from_arrays([texts.column(id_col), *lists], schema.names)
+
+    texts = rows.select("chunk", id_col, "places").repartition(by_chunk, "chunk")
+    return texts.groupBy("chunk").cogroup(ids.groupBy("of")).applyInArrow(encode, schema)

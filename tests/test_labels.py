@@ -83,3 +83,46 @@ def test_vocabulary_of_words_with_one_beginning(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     assert len(parts) > 4 and max(parts) <= 2 * sorted(parts)[len(parts) // 2]
     assert L.dense_ranks(df.limit(0), "w", "n").count() == 0
+
+
+def _moved(df):
+    """Rows written to the shuffles of the plan that has run."""
+    def of(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            return of(node.executedPlan() if kind.startswith("Adaptive") else node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(of(node.children().apply(i)) for i in range(node.children().size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_encoding_moves_no_row_for_every_word(spark):
+    """A word that is in every text, again and again, where the vocabulary is too large for a broadcast."""
+    texts = [(i, "the " * (i % 90) + f"w{i} the", "null" if i % 7 else None) for i in range(1200)] + [(None, "the", None), (5000, None, None), (5001, "", None)]
+    df = spark.createDataFrame(texts, "ord long, src string, x string").repartition(3).cache()
+    vocab = L.vocabulary(df.where("ord % 2 = 0"), first_id=4)
+    ids = {r.token: r.id for r in vocab.collect()}
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        out = L.encode_fixed_length(df, vocab, "ord", max_length=64)
+        got = {r.ord: (r.input_ids, r.attention_mask) for r in out.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == len(texts)
+    for i, text, _ in texts:
+        want = [0] + [ids.get(w, 3) for w in (text or "").split()[:62]] + [2]
+        assert got[i] == (want + [1] * (64 - len(want)), [1] * len(want) + [0] * (64 - len(want)))
+    assert _moved(out) < 10_000  # 44,000 words
+
+
+def test_encoding_of_token_columns(spark):
+    """Null tokens are unknown, null arrays empty; ids of any type; an empty table gives no rows."""
+    df = spark.createDataFrame([("a", ["x", None, "y"]), ("b", None), ("c", []), (None, ["y"])], "k string, t array<string>").coalesce(1)
+    vocab = L.vocabulary(df, first_id=4, tokens_col="t").where("token is not null")
+    n = {r.token: r.id for r in vocab.collect()}
+    out = L.encode_fixed_length(df, vocab, "k", max_length=4, tokens_col="t")
+    assert {r.k: r.input_ids for r in out.collect()} == {"a": [0, n["x"], 3, 2], "b": [0, 2, 1, 1], "c": [0, 2, 1, 1], None: [0, n["y"], 2, 1]}
+    assert L.encode_fixed_length(df.limit(0), vocab, "k", tokens_col="t").count() == 0
