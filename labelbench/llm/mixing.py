@@ -84,21 +84,22 @@ def schedule(share: list[int], blocks: list[int]) -> list[int]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with the task's number and the row's position among those of its source in the task."""
-    schema = docs.withColumn("__task", F.lit(0)).withColumn("__row", F.lit(0).cast("long")).schema
+    """``docs`` with the task's number and the row's position among those of its source in the task.  Python sees the
+    sources alone; texts and other columns stay in the JVM."""
 
-    def run(batches):
+    @F.arrow_udf("__task int, __row long")
+    def at(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         task, counts = TaskContext.get().partitionId(), {}
-        for rows in batches:
-            at = []
-            for s in rows.column("source").to_pylist():
+        for sources in batches:
+            rows = []
+            for s in sources.to_pylist():
                 k = counts.get(s, 0)
                 counts[s] = k + 1
-                at.append(k)
-            yield rows.append_column(pa.field("__task", pa.int32()), pa.array([task] * len(at), pa.int32())).append_column(
-                pa.field("__row", pa.int64()), pa.array(at, pa.int64()))
+                rows.append(k)
+            yield pa.StructArray.from_arrays([pa.array([task] * len(rows), pa.int32()), pa.array(rows, pa.int64())], ["__task", "__row"])
 
-    return docs.mapInArrow(run, schema)
+    placed = docs.withColumn("__place", at.asNondeterministic()("source"))
+    return placed.withColumns({k: F.col(f"__place.{k}") for k in ("__task", "__row")}).drop("__place")
 
 
 def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temperature: float = TEMPERATURE, most_slots: int = MOST_SLOTS) -> DataFrame:

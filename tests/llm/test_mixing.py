@@ -136,3 +136,22 @@ def test_input_read_again_in_other_tasks(spark, tmp_dir):
         spark.conf.set(key, before)
     assert {x.doc_id for x in got if x.epoch == 0} == set(range(4000))
     assert len({(x.slot, x.position) for x in got}) == len(got)
+
+
+def test_texts_are_numbered_without_python(spark):
+    """Only the sources go to the Python workers, and every source is counted over all batches of a task."""
+    docs = spark.range(5000).selectExpr("id doc_id", "if(id % 3 = 0, 'a', null) source", "repeat('x', 50) text").repartition(2)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "300")
+        out = mixing._numbered(docs)
+        rows = out.collect()
+    finally:
+        spark.conf.set(size, before)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython [at(source" in plan
+    places = defaultdict(list)
+    for x in rows:
+        places[x["__task"], x.source].append(x["__row"])
+    assert len(rows) == 5000 and all(sorted(p) == list(range(len(p))) for p in places.values())
