@@ -2,7 +2,7 @@
 
 A source's documents form blocks of ``block`` documents.  With weight w, block j may start at
 slot floor(j / w) and must be placed before slot ceil((j + 1) / w); among the released blocks the one
-with the earliest deadline gets the slot.  The weights are exact (in whole numbers of 2^-64 of all slots), the schedule
+with the earliest deadline gets the slot.  The weights are exact fractions (of 2^-64 of all slots at least), the schedule
 runs over the whole mix, and every deadline is met, so at every slot each source is less than one block away from its weight.
 
 The schedule is a list of slots that the driver makes and the tasks look up.  Its length is bounded: where the mix would
@@ -41,32 +41,33 @@ from .tables import cut_lineage
 
 #: Documents in a block at least; exponent of a source's size where no weights are given; slots of a mix, and sources, at most.
 BLOCK, TEMPERATURE, MOST_SLOTS, MOST_SOURCES = 64, 0.7, 1 << 20, 10_000
-#: Weights are whole numbers of 1 / UNIT of all slots.
+#: Weights are counted in 1 / UNIT of all slots.
 UNIT = 1 << 64
 
 
-def shares(weights: dict) -> list[int]:
-    """The weights in their order as whole numbers, positive and with sum UNIT."""
+def shares(weights: dict) -> list[Fraction]:
+    """The weights in their order, exactly, with sum UNIT and each 1 at least."""
     if not weights or min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
     exact = [Fraction(w) for w in weights.values()]
     total = sum(exact)
-    out = [max(1, int(w / total * UNIT)) for w in exact]
+    out = [max(Fraction(1), w / total * UNIT) for w in exact]
     out[max(range(len(out)), key=out.__getitem__)] += UNIT - sum(out)
     return out
 
 
-def window(share: int, block: int) -> tuple[int, int]:
+def window(share: Fraction, block: int) -> tuple[int, int]:
     """The slot from which a block may be placed, and the one before which it must be."""
-    return block * UNIT // share, -(-(block + 1) * UNIT // share)
+    part, whole = share.numerator, share.denominator * UNIT
+    return block * whole // part, -(-(block + 1) * whole // part)
 
 
-def block_size(sizes: list[int], share: list[int], block: int, most: int) -> int:
+def block_size(sizes: list[int], share: list[Fraction], block: int, most: int) -> int:
     """The least block, from ``block`` documents on, with which all sources are read in about ``most`` slots."""
     return max(block, *(-(-n * UNIT // (s * most)) for n, s in zip(sizes, share)))
 
 
-def schedule(share: list[int], blocks: list[int]) -> list[int]:
+def schedule(share: list[Fraction], blocks: list[int]) -> list[int]:
     """The source of every slot, by earliest deadline first, until each source has placed its blocks; ties go by place."""
     waiting = [(0, i, 0) for i in range(len(share))]  # by release
     ready: list[tuple] = []

@@ -155,3 +155,11 @@ def test_texts_are_numbered_without_python(spark):
     for x in rows:
         places[x["__task"], x.source].append(x["__row"])
     assert len(rows) == 5000 and all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+@pytest.mark.parametrize("weights", [[1, 1, 4], [1, 2, 3], [3, 3, 1], [5, 7, 9, 21]])
+def test_weights_that_are_no_binary_fractions(weights):
+    """A rounded weight would let a block start a slot too early, a whole block ahead of the exact weight."""
+    share = mixing.shares(dict(enumerate(weights)))
+    assert [s / mixing.UNIT for s in share] == [Fraction(w, sum(weights)) for w in weights]
+    assert worst(weights, mixing.schedule(share, [50] * len(weights))) < 1
