@@ -8,6 +8,10 @@ again as the next stage's documents.  All but the last return the columns of doc
 3. substring_dedup: repeated windows of 20 words go; a document that loses every word goes.
 4. mix_sources: documents in the order of the Pfair schedule; small sources are read again.
 5. best_fit_packing: pieces of at most 1024 tokens, with their sequence and place.
+
+Whole texts go to the Python workers in all stages, so each stage sets the session's Arrow batches to ``BATCH_BYTES``: by rows
+alone a batch is as large as 10,000 texts, and lies in the JVM's direct memory, in the worker and as Python strings at a time.
+No result depends on the batches.
 """
 
 from __future__ import annotations
@@ -17,24 +21,36 @@ from pyspark.sql import DataFrame, SparkSession
 from labelbench.llm import langid, mixing, packing, simhash, substrings
 from labelbench.llm.tables import cut_lineage, read
 
+#: Bytes of an Arrow batch, plus one row.
+BATCH_BYTES = 4 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     return langid.keep_identified(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     return simhash.keep_one(docs, shingle=3, distance=3)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     return substrings.remove(docs, size=20)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     return mixing.mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bounded(spark)
     return packing.pack(docs)
 
 

@@ -2,9 +2,9 @@
 
 Each task packs its own rows.  A document's ids (plus the end id) stay whole if they fit into a
 sequence; a longer document is cut into full pieces, of which only the first may be shorter, so a
-document brings at most one piece that does not fill a sequence by itself.  Such pieces go, batch by
-batch as they come and the longest of a batch first, to the open bin with the least free space
-that still holds them.  The
+document brings at most one piece that does not fill a sequence by itself.  Such pieces go, those of
+``TOGETHER`` documents at a time and the longest of them first, to the open bin with the least free space
+that still holds them, in Arrow batches of any size.  The
 open bins are a bitset keyed by free space, so the search is a shift and a lowest set bit.  A task
 keeps a fixed number of bins open; when a new one is needed beyond that, the fullest closes first.
 
@@ -28,6 +28,8 @@ from .tokens import encoder, vocabulary_path
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+#: Documents of a task whose short pieces are placed together.
+TOGETHER = 10_000
 DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -85,9 +87,16 @@ def pack(docs: DataFrame, capacity: int = 1024, open_bins: int = 4096, end_id: i
     def run(batches):
         encode = encoder(path)
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 36)
+        out: list[tuple] = []
+        short: list[int] = []  # pieces that leave room in a sequence
+        held = 0
+
+        def placed():
+            for i in sorted(short, key=lambda i: -out[i][3]):
+                out[i] += bins.place(out[i][3])
+            return batch(SCHEMA, list(zip(*out)))
+
         for rows in batches:
-            out: list[tuple] = []
-            short: list[int] = []  # pieces that leave room in a sequence
             for doc_id, text in rows_of(rows, "doc_id", "text"):
                 ids = np.append(encode.ids(text).astype("<u4"), np.array([end_id], "<u4"))
                 data = memoryview(ids.tobytes())
@@ -98,9 +107,11 @@ def pack(docs: DataFrame, capacity: int = 1024, open_bins: int = 4096, end_id: i
                         out.append((doc_id, k, start, length, crc))
                     else:
                         out.append((doc_id, k, start, length, crc, *bins.place(length)))
-            for i in sorted(short, key=lambda i: -out[i][3]):
-                out[i] += bins.place(out[i][3])
-            if out:
-                yield batch(SCHEMA, list(zip(*out)))
+                held += 1
+                if held == TOGETHER:
+                    yield placed()
+                    out, short, held = [], [], 0
+        if out:
+            yield placed()
 
     return id_and_text(docs).mapInArrow(run, DDL)

@@ -24,8 +24,9 @@ import pyarrow.compute as pc
 
 #: Vocabulary of the public byte-level BPE; a parameter of every operator that needs ids.
 VOCABULARY = "byte_bpe_50k.json"
-#: Words in one generation of the memo (two are kept, about 200 bytes a word).
-MEMO_WORDS = 400_000
+#: Words in one generation of the memo (two are kept, about 200 bytes a word), and letters of a word that is kept: 90 MB in a worker at most,
+#: for as long as it lives.
+MEMO_WORDS, MEMO_LETTERS = 200_000, 64
 #: Bytes of the texts that ``batch`` cuts at a time.
 SLICE = 8_000_000
 
@@ -60,6 +61,8 @@ class _Memo(dict):
         found = self.older.get(word)
         if found is None:
             found = self.encode(word)
+            if len(word) > MEMO_LETTERS:
+                return found
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -104,7 +107,7 @@ class Encoder:
         # words with the space in front of them, and words at a line's start, which have none
         self.inside = _Memo(lambda w: self._word(w, self.inside, " "), memo_words)
         self.leading = _Memo(lambda w: self._word(w, self.leading, ""), memo_words // 8)
-        self.memo_words = memo_words
+        self.most_units = 2 * memo_words  # that ``batch`` keeps numbered before it starts again
         self.units = _Units(self.code)
 
     def _plain(self, text: str) -> np.ndarray:
@@ -154,7 +157,7 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(ends)
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.units) > self.memo_words:
+        if len(self.units) > self.most_units:
             self.units = _Units(self.code)
         whole = pc.match_substring_regex(texts, _WHOLE)
         cut = pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n")

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import zlib
 
 import corpus_pipeline
@@ -86,3 +87,21 @@ def test_given_table(spark):
 def test_run_counts_as_the_stages(spark):
     out = corpus_pipeline.run(spark, SF001).collect()
     assert sum(p.length for p in out) == sum(p.length for p in _staged(spark, read(spark, SF001, "documents"), SF001)[-1].collect())
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, monkeypatch):
+    """Whatever a stage's operator sends to the Python workers, when its result is written, comes in batches of BATCH_BYTES."""
+    docs = spark.range(4000).selectExpr("id doc_id", "repeat('some words ', 600) text").coalesce(1)  # 26 MB
+
+    def sizes(docs, **_):
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes], "rows": [b.num_rows]}) for b in batches),
+                               "bytes long, rows long")
+
+    for module, operator in ((corpus_pipeline.langid, "keep_identified"), (corpus_pipeline.simhash, "keep_one"), (corpus_pipeline.substrings, "remove"),
+                             (corpus_pipeline.mixing, "mix"), (corpus_pipeline.packing, "pack")):
+        monkeypatch.setattr(module, operator, sizes)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        got = stage(spark, docs, None).collect()
+        assert sum(x.rows for x in got) == 4000 and max(x.bytes for x in got) < 1.1 * corpus_pipeline.BATCH_BYTES
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")

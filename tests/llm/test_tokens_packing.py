@@ -1,4 +1,5 @@
 """Ids against the tokenizer itself; packing against its rules."""
+import random
 import zlib
 from collections import defaultdict
 
@@ -112,3 +113,26 @@ def test_pack(spark):
 
 def test_pack_nothing(spark):
     assert packing.pack(_doc_rows(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_memo_keeps_no_long_words():
+    """A memo is bounded by words, so a word of any length may not stay in it."""
+    enc = Encoder(PATH, memo_words=50)
+    text = "short " + "x" * 1000 + " " + "q" * 1000 + ",\n" + "y" * 1000
+    assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*enc.inside, *enc.leading])) <= tokens.MEMO_LETTERS and "short" in enc.leading
+
+
+def test_pack_in_batches_of_any_size(spark):
+    """Small Arrow batches, which bound a worker's memory, place the pieces as large ones do."""
+    r = random.Random(5)
+    docs = _doc_rows(spark, ["word " * r.randint(0, 90) for _ in range(400)]).coalesce(1).cache()
+    size, got = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(size)
+    try:
+        for n in ("10000", "7"):
+            spark.conf.set(size, n)
+            got.append(sorted(map(tuple, packing.pack(docs, capacity=64, open_bins=3).collect())))
+    finally:
+        spark.conf.set(size, before)
+    assert len(got[0]) > 400 and got[0] == got[1]
