@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .tables import cut_lineage
 
@@ -130,8 +131,11 @@ def place(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, temp
     by_source = np.argsort(source_at, kind="stable")  # the slots of each source, one source behind the other
     last = np.bincount(source_at, minlength=len(order))
     begin = np.cumsum(last) - last
-    per_source = spark.createDataFrame([(s, i, n, k) for i, (s, n, k) in enumerate(zip(order, blocks, last.tolist()))],
-                                       f"__s {docs.schema['source'].dataType.simpleString()}, __id int, __blocks long, __last long")
+    listed = [(s, i, n, k) for i, (s, n, k) in enumerate(zip(order, blocks, last.tolist()))]
+    kind = docs.schema["source"].dataType
+    if kind == StringType():  # Arrow needs no Python workers; those that turn a list into rows are a pool of their own in each executor, and stay
+        listed = pa.table([pa.array(c) for c in zip(*listed)], ["__s", "__id", "__blocks", "__last"])
+    per_source = spark.createDataFrame(listed, f"__s {kind.simpleString()}, __id int, __blocks long, __last long")
     before = Window.partitionBy("source").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select(F.col("source").alias("__s"), F.col("__task").alias("__of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))
     # written first, so that Spark knows its size when it chooses between broadcast and shuffle

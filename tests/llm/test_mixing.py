@@ -163,3 +163,21 @@ def test_weights_that_are_no_binary_fractions(weights):
     share = mixing.shares(dict(enumerate(weights)))
     assert [s / mixing.UNIT for s in share] == [Fraction(w, sum(weights)) for w in weights]
     assert worst(weights, mixing.schedule(share, [50] * len(weights))) < 1
+
+
+def test_sources_need_no_workers_of_their_own(spark, tmp_dir):
+    """A table made of a Python list would be read by a second pool of Python workers, which stay beside the first."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2] if i % 3 else None) for i in range(600)], "doc_id long, source string")
+    docs.write.parquet(f"{tmp_dir}/documents")
+    out = mixing.place(spark.read.parquet(f"{tmp_dir}/documents"), {"a": 1, "b": 2, None: 3}, block=8)
+    assert len({x.doc_id for x in out.collect() if x.epoch == 0}) == 600
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["int", "date", "timestamp", "binary"])
+def test_sources_of_other_types(spark, kind):
+    value = {"int": "id % 3", "date": "date_add(date'2020-01-01', int(id % 3))", "timestamp": "timestamp_seconds(id % 3)", "binary": "cast(string(id % 3) as binary)"}[kind]
+    docs = spark.range(600).selectExpr("id doc_id", f"if(id % 7 = 0, null, {value}) source").repartition(2).cache()
+    out = mixing.place(docs, block=8)
+    first = Counter((x.doc_id, x.source) for x in out.where("epoch = 0").collect())
+    assert first == Counter((x.doc_id, x.source) for x in docs.collect()) and len(first) == 600
