@@ -11,7 +11,7 @@ again as the next stage's documents.  All but the last return the columns of doc
 
 Whole texts go to the Python workers in all stages, so each stage sets the session's Arrow batches to ``BATCH_BYTES``: by rows
 alone a batch is as large as 10,000 texts, and lies in the JVM's direct memory, in the worker and as Python strings at a time.
-No result depends on the batches.
+The setting stays for the session.  No result depends on it, but for the last digits of a language's score.
 """
 
 from __future__ import annotations
